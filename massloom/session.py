@@ -68,3 +68,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once for each context.
+
+    Nothing is sent where PYTHONPATH, which workers inherit, has it.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_massloom_shipped", False) or os.path.dirname(root) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    tmp = os.path.realpath(tempfile.mkdtemp(prefix="massloom-zip-"))  # Spark serves the file from here until the end
+    atexit.register(shutil.rmtree, tmp, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(tmp, "massloom"), "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._massloom_shipped = True

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat_format, exact_dedup, mixing, packing, sharding
+from . import chat_format, exact_dedup, line_dedup, mixing, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,16 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    done = line_dedup.line_dedup(_table(spark, d, "documents").select("doc_id", "text"))
+    lengths = F.transform("removed_runs", lambda r: r["last"] - r["first"] + 1)
+    removed = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+    return done.select(
+        "doc_id", "n_lines", removed.alias("removed_lines"), F.size("removed_runs").cast("long").alias("n_runs"),
+        F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("longest_run"), F.sha2("clean_text", 256).alias("clean_sha256"),
+    )
+
+
 def op3_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(_table(spark, d, "documents"))
 
@@ -36,6 +46,10 @@ def op9_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digest_of(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.simhash_dedup(_table(spark, d, "documents"))
+
+
 def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -53,6 +67,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+LINE_DEDUP_SQL = r"""
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS raw, trim(unnest(ls), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM a),
+w AS (SELECT doc_id, line, [t, lead(t, 1) OVER d, lead(t, 2) OVER d] AS g, lead(line, 2) OVER d AS full3 FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+later AS (SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY g ORDER BY doc_id, line) AS k FROM w WHERE full3 IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, line + unnest([0, 1, 2]) AS line FROM later),
+m AS (SELECT l.doc_id, l.line, raw, gone.line IS NOT NULL AS out FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM m WHERE out) GROUP BY doc_id, island),
+s AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS removed_lines,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT out), '')) AS clean_sha256 FROM m GROUP BY doc_id)
+SELECT t.doc_id, n_lines, removed_lines, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, clean_sha256
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id
+"""
+
 # tokens decide formatted_chars no more than texts do: every control string is fixed text
 CHAT_FORMAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -67,8 +96,8 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_packing": op3_packing, "op4_sharding": op4_sharding, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op7_simhash": op7_simhash, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}

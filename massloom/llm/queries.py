@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat_format, exact_dedup, line_dedup, mixing, packing, sharding, simhash
+from . import chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, mixing, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, d, "documents")).drop("spans")
+
+
 def op3_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(_table(spark, d, "documents"))
 
@@ -46,6 +50,10 @@ def op9_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digest_of(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op5_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(_table(spark, d, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, d, "documents"))
 
@@ -82,6 +90,17 @@ SELECT t.doc_id, n_lines, removed_lines, coalesce(n_runs, 0) AS n_runs, coalesce
 FROM t LEFT JOIN s ON t.doc_id = s.doc_id
 """
 
+# links and components by brute force, within a label
+EMBEDDING_DEDUP_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.b, vec_id)) AS kept
+FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
 # tokens decide formatted_chars no more than texts do: every control string is fixed text
 CHAT_FORMAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -96,8 +115,11 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op7_simhash": op7_simhash, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_embedding_dedup": op5_embedding_dedup,
+        "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, mixing, packing, sharding, simhash
+from . import chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, mixing, packing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op5_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(_table(spark, d, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, d, "labels")))
+
+
 def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, d, "documents"))
 
@@ -117,7 +122,7 @@ FROM c GROUP BY conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_embedding_dedup": op5_embedding_dedup,
-        "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup,
+        "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup,
     }
 
 

@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Rounds are cut by tables in the shared folder.  Null ends and self loops of ``edges`` add nothing
     but, for loops, the vertex itself.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    e = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "edges")
     vertices = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
     star = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = materialize(star, "edges")

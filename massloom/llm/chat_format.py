@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import map_batches
 from .tokens import default_vocabulary, encoder
 
 #: Reserved ids follow the vocabulary's 50,257, and what each reads as.
@@ -80,30 +80,30 @@ def format_conversations(rows: DataFrame, vocabulary: str | None = None) -> Data
     path = vocabulary or default_vocabulary()
     none = F.lit("")
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text")))).alias("turns"))
-    slim = turns.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(b: pa.RecordBatch) -> dict:
         encode = encoder(path).encode
-        for b in batches:
-            made = [assemble(list(zip(r, t, strict=True)), encode) for r, t in zip(b["roles"], b["texts"], strict=True)]
-            yield pd.DataFrame({"conv_id": b["conv_id"], "ids": [x for x, _ in made], "loss_mask": [m for _, m in made]})
+        made = [assemble(list(zip(r, t, strict=True)), encode) for r, t in zip(b.column("roles").to_pylist(), b.column("texts").to_pylist(), strict=True)]
+        return {"conv_id": b.column("conv_id"), "ids": [x for x, _ in made], "loss_mask": [m for _, m in made]}
 
-    return slim.mapInPandas(run, "conv_id long, ids array<int>, loss_mask array<tinyint>")
+    return map_batches(slim, one, "conv_id long, ids array<int>, loss_mask array<tinyint>", {"ids": pa.list_(pa.int32()), "loss_mask": pa.list_(pa.int8())})
 
 
 def digest_of(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """What the formatted ids and masks read back as, one row per conversation."""
     path = vocabulary or default_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
+    def one(b: pa.RecordBatch) -> dict:
         decode = encoder(path).decode_bytes
-        for b in batches:
-            rows = []
-            for conv, ids, mask in zip(b["conv_id"], b["ids"], b["loss_mask"], strict=True):
-                turns, trained, text = read_back(list(ids), list(mask), decode)
-                own = "".join(trained)
-                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                rows.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(own), hashlib.sha256(own.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        rows = []
+        for ids, mask in zip(b.column("ids").to_pylist(), b.column("loss_mask").to_pylist(), strict=True):
+            turns, trained, text = read_back(ids, mask, decode)
+            own = "".join(trained)
+            said = "".join(f"{r}\n{t}\n" for r, t in turns)
+            rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(own), hashlib.sha256(own.encode()).hexdigest(), len(text)))
+        return {"conv_id": b.column("conv_id")} | {n: [r[k] for r in rows] for k, n in enumerate(types)}
+
+    return map_batches(formatted, one, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", types)

@@ -11,7 +11,7 @@ distance and loses nothing.  Lists are per label.  Equal vectors are one row fro
 than ``block`` members or queries is compared in blocks by several tasks; a block emits counts and a spanning
 forest, never its pairs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors of null label, link
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors of null label or id, link
 with nothing and are components of their own; vectors of different dimension never link; rows repeated with one id
 are separate vectors of one component; no rows give no rows.
 """
@@ -133,8 +133,8 @@ def embedding_dedup(
     """One row per row of ``rows``: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
     v = F.col(vector_col).cast("array<double>")
-    fine = v.isNotNull() & F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    named = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    fine = v.isNotNull() & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
+    named = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     named = materialize(named.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit("second"), "label", "v")), "vectors")
     own = named.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     reps = materialize(own, "reps")

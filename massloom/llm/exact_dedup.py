@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
+from .rows import unboxed, whole
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -56,7 +57,7 @@ class DigestIndex:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, n_points) of every row."""
-    return docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"))
 
 
 def best_of_batch(keyed: DataFrame) -> DataFrame:
@@ -90,9 +91,10 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None, id_col: st
     new = best.join(index.table().hint("merge"), "digest", "left_anti")
     new = materialize(new.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("keep_points").alias("_points"), F.col("keep_rows").alias("_rows")), "new")
     index.add(new.select(F.col("_digest").alias("digest"), F.col("_id").alias("keep_id")))
-    mine = docs.withColumn("_own", text_digest(F.col(text_col)))
-    met = (F.col("_own") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_points"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    mine = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"), F.length(text).cast("long").alias("points"))
+    met = (mine["digest"] == new["_digest"]) & mine["id"].eqNullSafe(new["_id"]) & (mine["points"] == new["_points"])
     joined = mine.join(new, met)
     # rows repeated with one id and length are rare: only they pay for the second shuffle
     once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_digest"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(once, docs)

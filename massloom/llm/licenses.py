@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .rows import keyed_texts, map_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -202,11 +202,14 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
     """
     scanner = Scanner(templates or TEMPLATES, phrases or PHRASES, min_match)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(None if d is None or d != d else int(d), *scanner.scan(t or "")) for d, t in zip(b["doc_id"], b["text"], strict=True)]
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-            yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+    span = pa.struct([("label", pa.string()), ("file_word", pa.int64()), ("template_word", pa.int64()), ("words", pa.int64())])
+    types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(span)}
+
+    def one(b: pa.RecordBatch) -> dict:
+        found = [scanner.scan(t or "") for t in b.column("text").to_pylist()]
+        out = {n: [f[k] for f in found] for k, n in enumerate(types)}
+        out["spans"] = [[dict(zip(("label", "file_word", "template_word", "words"), s, strict=True)) for s in spans] for spans in out["spans"]]
+        return {"doc_id": b.column("doc_id")} | out
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,file_word:long,template_word:long,words:long>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return map_batches(keyed_texts(docs, id_col, text_col), one, schema, types)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .rows import whole
 
 #: Parts in which prefix sums are made, so that no window holds a hot group whole.
 PARTS = 1024
@@ -35,7 +36,7 @@ def _lines(text: Column) -> Column:
 def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc_hash, line, h1, h2)."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("doc_hash"), F.posexplode(_lines(text)).alias("line", "s"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), F.posexplode(_lines(text)).alias("line", "s"))
     trimmed = F.btrim(F.col("s"), F.lit(" \t\n\x0b\x0c\r"))
     return rows.select(*DOC, F.col("line").cast("long").alias("line"), F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit("second"), trimmed).alias("h2"))
 
@@ -93,16 +94,16 @@ def runs_to_delete(ranks: DataFrame, depth: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with clean_text, n_lines and removed_runs (array of first and last line, from 0)."""
+    """doc (struct of the row's columns), doc_id, clean_text, n_lines, removed_runs (array of first and last line, from 0)."""
     ranks, depth = repeated_starts(docs, min_lines, id_col, text_col)
     runs = runs_to_delete(ranks, depth).select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "runs")
-    own = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
-    joined = own.join(runs, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    own = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_own"), F.col(text_col).alias("_text"))
+    joined = own.join(runs, own["doc_id"].eqNullSafe(runs["_id"]) & (own["_own"] == runs["_hash"]), "left")
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    joined = joined.withColumn("_lines", _lines(F.col(text_col))).withColumn("_runs", F.coalesce("runs", none))
+    joined = joined.withColumn("_lines", _lines(F.col("_text"))).withColumn("_runs", F.coalesce("runs", none))
     # what stays lies before the first run, between runs, and after the last
     kept = F.expr(
         "flatten(transform(sequence(0, size(_runs)), i -> slice(_lines, cast(if(i = 0, 0, _runs[i - 1].last + 1) + 1 as int), "
         "cast(if(i = size(_runs), size(_lines), _runs[i].first) - if(i = 0, 0, _runs[i - 1].last + 1) as int))))"
     )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_join(kept, "\n").alias("clean_text"), F.size("_lines").cast("long").alias("n_lines"), F.col("_runs").alias("removed_runs"))
+    return joined.select("doc", "doc_id", F.array_join(kept, "\n").alias("clean_text"), F.size("_lines").cast("long").alias("n_lines"), F.col("_runs").alias("removed_runs"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .rows import unboxed, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Patterns are combinations of sources, held on the driver; more than this is an error, never a cut.
@@ -31,6 +32,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def membership(docs: DataFrame, source: str) -> Column:
+    """The sorted set of a row's sources; none is the null source."""
+    none = F.array(F.lit(None).cast("string"))
+    if not dict(docs.dtypes)[source].startswith("array"):
+        return F.array(F.col(source))
+    return F.array_distinct(F.sort_array(F.when(F.size(F.coalesce(F.col(source), none)) > 0, F.col(source)).otherwise(none)))
+
+
 def capped_targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float) -> list[float]:
     """Share ``total`` by weight; a target stops at ``most`` times its size, and what is above is shared again."""
     target, free, rest = [0.0] * len(sizes), set(range(len(sizes))), float(total)
@@ -115,11 +124,8 @@ def mix(
     ``source`` may be a string column or an array of strings (overlapping sources).  Sources in code point
     order, null last, weigh ``weights``, repeating; they share ``total_share`` of all words.
     """
-    several = dict(docs.dtypes)[source].startswith("array")
-    none = F.array(F.lit(None).cast("string"))
-    pattern = F.array_distinct(F.sort_array(F.when(F.size(F.coalesce(F.col(source), none)) > 0, F.col(source)).otherwise(none))) if several else F.array(F.col(source))
     order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), pattern.alias("pattern"), order.alias("at")), "sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), membership(docs, source).alias("pattern"), order.alias("at")), "sizes")
     bins = materialize(sized.withColumn("bin", F.shiftrightunsigned("at", 52)).groupBy("pattern", "bin").agg(F.sum("size").alias("words")), "bins")
     found = bins.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -159,6 +165,7 @@ def mix(
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as many times as it is taken."""
     id_col = parameters.get("id_col", "doc_id")
-    taken = mix(docs, **parameters).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.withColumn("_own", n_words(F.col(parameters.get("text_col", "text")))).join(taken, (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, **parameters).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("pattern").alias("_pattern")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    own = docs.select(whole(docs).alias("doc"), F.col(id_col).alias("id"), n_words(F.col(parameters.get("text_col", "text"))).alias("size"), membership(docs, parameters.get("source", "source")).alias("pattern"))
+    joined = own.join(taken, own["id"].eqNullSafe(taken["_id"]) & (own["size"] == taken["_size"]) & own["pattern"].eqNullSafe(taken["_pattern"]))
+    return unboxed(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs)

@@ -22,11 +22,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .rows import keyed_texts
 from .tokens import default_vocabulary, encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -175,17 +175,19 @@ def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_bytes
         part = TaskContext.get().partitionId() << 36
         seq, group = 0, 0
         ids: list[bytes] = []
-        names: list[int] = []
+        names: list[int | None] = []
         base: list[int] = []  # ids of the document before what is in the block
         totals: list[int] = []
         held = 0
 
-        def flush(last: bool) -> pd.DataFrame:
+        def flush(last: bool) -> pa.RecordBatch:
             nonlocal seq, group, ids, names, base, totals, held
             windows, left = pack([len(x) // 4 for x in ids], tiers, last)
             groups = step_groups([sum(map(len, w)) for _, w in windows], group_tokens)
@@ -199,12 +201,13 @@ def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...
             group += max(groups, default=-1) + 1
             ids, names, base, totals = [ids[p.doc][4 * p.start : 4 * p.end] for p in left], [names[p.doc] for p in left], [base[p.doc] + p.start for p in left], [totals[p.doc] for p in left]
             held = sum(map(len, ids)) // 4
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            made = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=columns)
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 x = encode(text or "") + end
-                names.append(None if name is None or name != name else int(name))
+                names.append(name)
                 ids.append(x)
                 base.append(0)
                 totals.append(len(x) // 4)
@@ -214,4 +217,4 @@ def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...
         if ids:
             yield flush(True)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)

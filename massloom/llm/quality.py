@@ -19,14 +19,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import map_batches
+
 MAX_LABELLED, MAX_POOL = 12_000, 6_000
 META_BUCKETS = 64
 _LETTER = re.compile(r"[^\W\d_]+")
@@ -172,14 +175,17 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
     return scorer
 
 
-def _features(b: pd.DataFrame, n_meta: int) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t) for t in b["text"]]).reshape(len(b), -1)
-    meta = np.array([meta_features(v) for v in zip(*[b[f"m{k}"] for k in range(n_meta)], strict=True)]).reshape(len(b), META_BUCKETS + 2)
-    return text, meta
+def _features(texts: Sequence, meta: Sequence[Sequence]) -> tuple[np.ndarray, np.ndarray]:
+    text = np.array([text_features(t) for t in texts]).reshape(len(texts), -1)
+    return text, np.array([meta_features(v) for v in zip(*meta, strict=True)] if meta else [meta_features(())] * len(texts)).reshape(len(texts), META_BUCKETS + 2)
+
+
+def _of_batch(b: pa.RecordBatch, n_meta: int) -> tuple[np.ndarray, np.ndarray]:
+    return _features(b.column("text").to_pylist(), [b.column(f"m{k}").to_pylist() for k in range(n_meta)])
 
 
 def _view(docs: DataFrame, id_col: str, text_col: str, meta_cols: Sequence[str]) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)])
 
 
 def train(
@@ -194,13 +200,14 @@ def train(
     picked = known.select("doc_id", F.when(F.col("y") >= 0.5, 1).otherwise(0).alias("y")).unionByName(pool.select("doc_id", F.lit(-1).alias("y"))).where("doc_id is not null")
     n_meta = len(meta_cols)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            t, m = _features(b, n_meta)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "t": list(t), "m": list(m)})
+    def one(b: pa.RecordBatch) -> dict:
+        t, m = _of_batch(b, n_meta)
+        return {"doc_id": b.column("doc_id"), "y": b.column("y"), "t": t.tolist(), "m": m.tolist()}
 
+    lists = {"t": pa.list_(pa.float64()), "m": pa.list_(pa.float64())}
     # the sample's ids are at most max_labelled + max_pool
-    rows = _view(docs, id_col, text_col, meta_cols).join(F.broadcast(picked), "doc_id").mapInPandas(run, "doc_id long, y int, t array<double>, m array<double>").toPandas()
+    sample = _view(docs, id_col, text_col, meta_cols).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text", *[f"m{k}" for k in range(n_meta)])
+    rows = map_batches(sample, one, "doc_id long, y int, t array<double>, m array<double>", lists).toPandas()
     if rows.empty:
         return Scorer()
     rows = rows.sort_values(["doc_id", "y"], kind="stable").drop_duplicates("doc_id")
@@ -211,12 +218,12 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, id_col: str =
     """One row per row of ``docs``: doc_id, quality_score, text_score, meta_score, kept."""
     n_meta = len(meta_cols)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            both, t, m = scorer.score(*_features(b, n_meta))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality_score": both, "text_score": t, "meta_score": m, "kept": both >= threshold})
+    def one(b: pa.RecordBatch) -> dict:
+        both, t, m = scorer.score(*_of_batch(b, n_meta))
+        return {"doc_id": b.column("doc_id"), "quality_score": both, "text_score": t, "meta_score": m, "kept": both >= threshold}
 
-    return _view(docs, id_col, text_col, meta_cols).mapInPandas(run, "doc_id long, quality_score double, text_score double, meta_score double, kept boolean")
+    types = {"quality_score": pa.float64(), "text_score": pa.float64(), "meta_score": pa.float64(), "kept": pa.bool_()}
+    return map_batches(_view(docs, id_col, text_col, meta_cols), one, "doc_id long, quality_score double, text_score double, meta_score double, kept boolean", types)
 
 
 def good_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars")) -> DataFrame:
@@ -224,7 +231,6 @@ def good_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text
 
     @F.pandas_udf("boolean")
     def keeps(text: pd.Series, *meta: pd.Series) -> pd.Series:
-        b = pd.DataFrame({"text": text} | {f"m{k}": v for k, v in enumerate(meta)})
-        return pd.Series(scorer.score(*_features(b, len(meta)))[0] >= threshold)
+        return pd.Series(scorer.score(*_features(list(text), [list(m) for m in meta]))[0] >= threshold)
 
     return docs.where(keeps(F.col(text_col), *[F.col(c) for c in meta_cols]))

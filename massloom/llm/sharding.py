@@ -12,15 +12,14 @@ A null id is hashed as such.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ..session import fresh_path, materialize
+from ..session import fresh_path
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -38,27 +37,26 @@ def write_shards(
 ) -> DataFrame:
     """Write ``docs`` under ``path`` in shuffled order; return what was written, with shard, bucket and place.
 
-    Files lie in one folder by shard; within a shard the order is (bucket, place).  ``bucket_bytes`` bounds
-    what one task shuffles in memory.
+    Files lie in one folder by shard; within a shard the order is (bucket, place).  Columns of ``docs`` are written as
+    doc_<name>, which no other column is called.  ``bucket_bytes`` bounds what one task shuffles in memory.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(byte_size(F.col(text_col)))).first()[0] or 0
     per_shard = max(4, math.ceil(total / n_shards / bucket_bytes))
-    key = F.col(id_col)
-    placed = docs.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(per_shard)).cast("int"))
-    fields = [f for f in placed.schema.fields if f.name not in (id_col, text_col, "shard", "bucket")]
-    extra = [f.name for f in fields]
-
-    def shuffle(group: pd.DataFrame) -> pd.DataFrame:
-        order = group.assign(_t=group[text_col].map(lambda t: "" if t is None else t)).sort_values([id_col, "_t", *(c for c in extra if group[c].map(np.isscalar).all())], kind="stable", na_position="last").index
-        at = np.random.Generator(np.random.PCG64([seed, int(group["shard"].iat[0]), int(group["bucket"].iat[0])])).permutation(len(group))  # Fisher-Yates
-        out = group.loc[order].reset_index(drop=True)
-        out["place"] = at.astype("int64")
-        return out.sort_values("place")
+    named = docs.select(*[F.col(f"`{c}`").alias(f"doc_{c}") for c in docs.columns])
+    key = F.col(f"doc_{id_col}")
+    placed = named.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(per_shard)).cast("int"))
+    first = [f"doc_{id_col}", f"doc_{text_col}"]
+    flat = [f.name for f in named.schema.fields if f.name not in first and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "string", "boolean", "date")]
+
+    def shuffle(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, sort_keys=[(c, "ascending") for c in [*first, *flat]])  # the same after a lost task
+        rng = np.random.Generator(np.random.PCG64([seed, group["shard"][0].as_py(), group["bucket"][0].as_py()]))
+        shuffled = group.take(order.take(pa.array(rng.permutation(len(group)))))  # Fisher-Yates
+        return shuffled.append_column("place", pa.array(np.arange(len(group)), pa.int64()))
 
     schema = placed.withColumn("place", F.lit(0).cast("long")).schema
-    shuffled = placed.groupBy("shard", "bucket").applyInPandas(shuffle, schema)
-    shuffled.write.partitionBy("shard").parquet(path)
+    placed.groupBy("shard", "bucket").applyInArrow(shuffle, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -75,5 +73,6 @@ def slots(written: DataFrame) -> DataFrame:
 def sharding(docs: DataFrame, n_shards: int = 8, seed: int = 5, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, read back from the shards."""
     written = write_shards(docs.select("doc_id", "text"), path or fresh_path(docs.sparkSession, "shards"), n_shards, seed)
-    slim = written.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "bucket", "place")
+    text = F.coalesce("doc_text", F.lit(""))
+    slim = written.select(F.col("doc_doc_id").alias("doc_id"), byte_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "bucket", "place")
     return slots(slim).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), n_shards + 1, seed).alias("grown_shard"))

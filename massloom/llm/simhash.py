@@ -12,7 +12,8 @@ then is compared whole, in tiles.  A task emits a spanning forest of the links i
 each fingerprint, never the pairs of a group.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle
-are one shingle; no rows give no rows; rows repeated with one id fall in one component through that id.
+are one shingle; no rows give no rows; a component all of whose ids are null has a null name, and counts as one.
+Rows repeated with one id are compared by their own texts.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialize
+from .rows import keyed_texts, map_batches, unboxed, whole
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -54,14 +56,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+    def one(b: pa.RecordBatch) -> dict:
+        fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+        return {"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": fp}
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    texts = keyed_texts(docs, id_col, text_col)
+    return map_batches(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), one, "doc_id long, text_hash long, fp long", {"fp": pa.int64()})
 
 
 def correlated_partitions(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -214,19 +216,19 @@ def near_links(distinct: DataFrame, tau: int = 3, m: int = 4, limit: int = 2000,
         rows = reduce(DataFrame.unionByName, pieces)
     keyed = reduce(DataFrame.unionByName, runs).select(F.xxhash64("key").alias("key"), "fp", "own")
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = list(batches)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
         if got:
-            b = pd.concat(got)
-            x, y = linked(b["key"].to_numpy(), b["fp"].to_numpy(np.int64).view(np.uint64), b["own"].to_numpy(bool), tau)
-            yield pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
+            b = pa.Table.from_batches(got)
+            x, y = linked(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["own"].to_numpy(zero_copy_only=False).astype(bool), tau)
+            yield pa.RecordBatch.from_pydict({"a": x.view(np.int64), "b": y.view(np.int64)})
 
     n = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return keyed.repartition(int(n), "key").mapInPandas(probe, "a long, b long")
+    return keyed.repartition(int(n), "key").mapInArrow(probe, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, tau: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of ``docs``."""
+    """(doc_id, text_hash, fp, component, component_id), one row per row of ``docs``; ``component`` is a fingerprint of the group."""
     fps = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     links = near_links(distinct.select("fp"), tau, **options)
@@ -234,8 +236,8 @@ def simhash_components(docs: DataFrame, tau: int = 3, width: int = 3, id_col: st
     # the component's name is its smallest document
     joined = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(joined.join(names, "component").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(joined.join(names, "component").select("fp", "component", "component_id"), "named")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -243,10 +245,14 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     return simhash_components(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows repeated with that id one stays."""
-    comp = simhash_components(docs, id_col=id_col, **options)
-    keep = comp.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    joined = docs.join(keep, F.col(id_col) == F.col("_id"))
-    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component: that of least id (null ids last), then least hash of the text."""
+    comp = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
+    rows = comp.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_rows"))
+    keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "_rows")).alias("k"))
+    keep = materialize(keep.select("component", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k._rows").alias("_rows")), "kept")
+    own = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    joined = own.join(keep, own["id"].eqNullSafe(keep["_id"]) & (own["hash"] == keep["_hash"]))
+    # rows that repeat both id and text are rare: only they pay for the second shuffle
+    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["component"]))
+    return unboxed(once, docs)

@@ -118,7 +118,7 @@ EDGE_ATTRS = ("edge_type", "interaction_type", "target_type", "source_type", "wa
 def flow_vertices(vertices: DataFrame, info: DataFrame | None = None, component_groups: bool = True, labels: DataFrame | None = None) -> DataFrame:
     """Vertices (vertex, component, is_source, is_sink, is_steptrace[, flows_to, flows_from, loops_through]) with type,
     node names and lists of labels; component nodes are appended."""
-    kind = F.when(F.col("is_source") & F.col("is_sink"), "source/sink").when("is_source", "source").when("is_sink", "sink").when("is_steptrace", "step").otherwise("gene")
+    kind = F.when(F.col("is_source") & F.col("is_sink"), "source/sink").when(F.col("is_source"), "source").when(F.col("is_sink"), "sink").when(F.col("is_steptrace"), "step").otherwise("gene")
     out = vertices.withColumns({"node": F.concat(F.lit("v"), F.col("vertex").cast("string")), "component_node": F.concat(F.lit("g"), F.col("component").cast("string")), "vertex_type": kind, "layout_size": F.lit(0.0), "layout_mass": F.lit(1.0), "layout_x": F.lit(0.0), "layout_y": F.lit(0.0)})
     for c, name in (("flows_to", "flows_to_genes"), ("flows_from", "flows_from_genes"), ("loops_through", "loops_through_genes")):
         if c in vertices.columns and labels is not None:
@@ -142,7 +142,7 @@ def flow_edges(edges: DataFrame, keep_flows: bool = False, max_pvalue: float | N
     """Edges with type and -log10 of the least permutation p (null counts as 1); loops go, and edges of flows alone unless kept."""
     known = F.col("has_original") | F.col("has_original_rev")
     rows = edges.where((F.col("source") != F.col("target")) & (F.lit(keep_flows) | F.col("has_walk") | known))
-    kind = F.when(known, F.when(F.col("has_trace"), "trace").otherwise("interaction")).when("has_walk", "walk").when("has_flow", "flow")
+    kind = F.when(known, F.when(F.col("has_trace"), "trace").otherwise("interaction")).when(F.col("has_walk"), "walk").when(F.col("has_flow"), "flow")
     p = F.least(F.coalesce("prob_perm_walkweight_greater", F.lit(1.0)), F.coalesce("prob_perm_walkweight_greater_rev", F.lit(1.0)), F.lit(1.0))
     out = rows.withColumns({"source_node": F.concat(F.lit("v"), F.col("source").cast("string")), "target_node": F.concat(F.lit("v"), F.col("target").cast("string")), "edge_type": kind, "mlog10_prob_perm_walkweight_greater": -F.log10(p), "layout_weight": F.lit(1.0)})
     for c in ("flowpaths", "flowpaths_rev"):

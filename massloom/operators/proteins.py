@@ -256,8 +256,9 @@ def order_by_penalty(df: DataFrame, keys: Sequence[str], list_col: str, penaltie
     tokens = df.select(*keys, F.explode(literal_split(F.col(list_col), ";")).alias("ac")).join(penalties.select("ac", F.col("penalty").cast("double").alias("_p")), "ac", "left")
     items = F.array_sort(F.collect_list(F.struct(F.coalesce("_p", F.lit(float("inf"))).alias("p"), "ac")))
     ordered = tokens.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["ac"]), ";").alias("_ordered"))
-    met = reduce(lambda a, b: a & b, [df[k].eqNullSafe(ordered[k]) for k in keys])
-    return df.join(ordered, met, "left").select(*[F.coalesce(ordered["_ordered"], df[c]).alias(c) if c == list_col else df[c] for c in df.columns])
+    ordered = ordered.select("_ordered", *[F.col(k).alias(f"_{k}") for k in keys])
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(ordered, met, "left").withColumn(list_col, F.coalesce("_ordered", list_col)).select(*df.columns)
 
 
 # --- annotations of sites

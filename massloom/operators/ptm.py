@@ -70,7 +70,7 @@ def _tokens(seq: Column, pattern: str) -> Column:
     gaps = F.transform(F.split(seq, pattern, -1), lambda s: F.struct(F.length(s).alias("n"), F.right(s, F.lit(1)).alias("last")))
     upto = F.transform(tokens, lambda t, i: F.struct(
         t.alias("token"), F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + g["n"]).alias("before"),
-        F.element_at(F.filter(F.slice(gaps, 1, i + 1), lambda g: g["n"] > 0), -1)["last"].alias("aa"),
+        F.try_element_at(F.filter(F.slice(gaps, 1, i + 1), lambda g: g["n"] > 0), F.lit(-1))["last"].alias("aa"),
     ))
     return upto
 
@@ -113,7 +113,7 @@ def extract_ptm_locprobs(df: DataFrame, fmt: str = "maxquant", objid_col: str =
         return out
     mod = ptm_pattern(fmt)
     known = F.transform(_tokens(F.col("_mod"), mod), lambda t: F.struct((t["before"] - 2).cast("long").alias("offset"), t["aa"].alias("aa"), F.regexp_extract(t["token"], mod, 1).alias("type"), F.regexp_extract(t["token"], mod, 2).alias("aas")))
-    out = out.withColumn("_m", F.element_at(F.filter(known, lambda m: m["offset"] == F.col("ptm_offset")), 1)).where("_m is not null")
+    out = out.withColumn("_m", F.get(F.filter(known, lambda m: m["offset"] == F.col("ptm_offset")), F.lit(0))).where("_m is not null")
     fits = (F.col("_m.aa") == F.col("ptm_AA_seq")) & ((F.col("_m.type") == F.col("ptm_type")) | F.col("_m.aas").isin(*TERMINAL))
     return out.withColumn("ptm_type", F.when(fits, F.col("ptm_type")).otherwise(F.raise_error(F.concat(F.lit("probability contradicts "), F.col("_mod"))).cast("string"))).drop("_mod", "_m")
 

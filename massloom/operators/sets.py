@@ -78,7 +78,7 @@ def tighten(scores: DataFrame, set_col: str, score_col: str, max_best: float, ma
         k += 1
     low, high = max_best - k * step, max_score - k * step
     kept = best.where(F.col("_best") <= low).select(set_col)
-    return scores.where(F.col(score_col) <= high).join(kept, set_col, "left_semi"), low, high
+    return scores.where(F.col(score_col) <= high).join(kept, set_col, "left_semi").select(*scores.columns), low, high
 
 
 def automask(overlaps: DataFrame, set_col: str, log10_p_col: str, nmasked_col: str, setsize_col: str | None = None, max_sets: int = 2500, min_nmasked: int = 2, max_setsize: int | None = None, max_min_pvalue: float = 0.01, max_pvalue: float | None = None) -> tuple[DataFrame, float, float]:
@@ -117,4 +117,4 @@ def filter_multicover(
     terms = df.where(within(min(p_term, p_set, p_entry), max(min_term_overlap, n_set, min_entry_overlap))).select(*term_cols).distinct()
     of_terms = df.join(terms, list(term_cols), "left_semi")
     sets = of_terms.where(within(min(p_set, p_entry), max(n_set, min_entry_overlap))).select(*set_cols).distinct()
-    return of_terms.join(sets, list(set_cols), "left_semi").where(within(p_entry, min_entry_overlap))
+    return of_terms.join(sets, list(set_cols), "left_semi").where(within(p_entry, min_entry_overlap)).select(*df.columns)

@@ -85,7 +85,7 @@ def read_gmt(spark: SparkSession, path: str, id_col: str = "term_id", src_col: s
     term = F.when((src == "Reactome") & term.rlike(r"^\d+$"), F.concat(F.lit("R-HSA-"), term)).otherwise(term)
     rows = lines.select("_line", term.alias(id_col), src.alias(src_col), F.get(three, F.lit(0)).alias(name_col), F.get(parts, F.lit(1)).alias(descr_col), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))).alias("_objs"))
     last = rows.groupBy(id_col).agg(F.max_by("_objs", "_line").alias("_objs"))
-    members = last.select(id_col, F.explode(F.array_distinct("_objs")).cast(obj_type).alias("obj_id")).where("obj_id is not null")
+    members = last.select(id_col, F.explode(F.array_distinct(F.col("_objs").cast(f"array<{obj_type}>"))).alias("obj_id")).where("obj_id is not null")
     return rows.select(id_col, src_col, name_col, descr_col), members
 
 

@@ -56,19 +56,26 @@ def restart_walk(edges: DataFrame, starts: DataFrame, restart: float, tolerance:
     return total
 
 
-def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[float] = tuple(k / 20 for k in range(1, 20)), src: str = "source", dst: str = "target", tolerance: float = 1e-4) -> DataFrame:
-    """By restart probability and part (neighbors, exterior): mean mass that walks from ``starts`` put there."""
-    parts = []
-    near = edges.select(F.col(src).alias("start"), F.col(dst).alias("vertex"), F.lit(True).alias("near")).distinct()
-    for r in restarts:
-        walk = restart_walk(edges, starts, r, tolerance, src=src, dst=dst)
-        marked = walk.where("vertex <> start").join(near, ["start", "vertex"], "left")
-        sums = starts.select("start").distinct().join(marked.groupBy("start").agg(F.sum(F.when(F.col("near"), F.col("p"))).alias("n"), F.sum(F.when(F.col("near").isNull(), F.col("p"))).alias("x")), "start", "left")
-        parts.append(sums.agg(F.avg(F.coalesce("n", F.lit(0.0))).alias("neighbors"), F.avg(F.coalesce("x", F.lit(0.0))).alias("exterior")).withColumn("restart_prob", F.lit(float(r))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("restart_prob", F.explode(F.array(F.struct(F.lit("neighbors").alias("part"), F.col("neighbors").alias("mass")), F.struct(F.lit("exterior").alias("part"), F.col("exterior").alias("mass")))).alias("x")).select("restart_prob", "x.part", "x.mass")
+def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[float] = tuple(k / 20 for k in range(1, 20)), src: str = "source", dst: str = "target", tolerance: float = 1e-3) -> DataFrame:
+    """(restart_prob, part, mass): mean mass that walks from ``starts`` put on neighbours and beyond.
+
+    All restart probabilities weigh the same steps, so the walk is made once; each step leaves two means on the driver.
+    It ends when the least restart probability gives the rest less than ``tolerance``.
+    """
+    steps = materialize(transition(edges, src, dst), "steps")
+    near = materialize(edges.select(F.col(src).alias("start"), F.col(dst).alias("vertex"), F.lit(True).alias("near")).distinct(), "near")
+    mass = starts.select("start", F.col("start").alias("vertex"), F.lit(1.0).alias("p")).distinct()
+    n = max(1, mass.count())
+    sums: list[tuple[float, float]] = []
+    left = 1.0 - min(restarts)
+    weight = left
+    while weight > tolerance:
+        mass = materialize(walk_step(mass, steps, ["start"]).where(F.col("p") > tolerance / 1000), "walk")
+        got = mass.where("vertex <> start").join(near, ["start", "vertex"], "left").agg(F.sum(F.when(F.col("near"), F.col("p"))).alias("n"), F.sum(F.when(F.col("near").isNull(), F.col("p"))).alias("x")).first()
+        sums.append(((got["n"] or 0.0) / n, (got["x"] or 0.0) / n))
+        weight *= left
+    rows = [(float(r), part, sum(r * (1 - r) ** k * m[at] for k, m in enumerate(sums, 1))) for r in restarts for at, part in enumerate(("neighbors", "exterior"))]
+    return edges.sparkSession.createDataFrame(rows, "restart_prob double, part string, mass double")
 
 
 def weighted_matrix(walk: DataFrame, weights: DataFrame) -> DataFrame:
@@ -77,8 +84,8 @@ def weighted_matrix(walk: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame, threshold: float, weight: str = "w", src: str = "src", dst: str = "dst") -> DataFrame:
-    """N3, tree cut: (id, component) of vertices joined both ways by edges of at least ``threshold``: trimming of vertices without
-    ways in or out, then least labels forward and backward until both agree."""
+    """N3, tree cut: (id, component) of vertices joined both ways by edges of at least ``threshold``: least labels forward and
+    backward; where both agree a component is done, and edges inside one pair of labels go on."""
     strong = materialize(edges.where(F.col(weight) >= threshold).select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "strong")
     vertices = strong.select(F.col("u").alias("id")).union(strong.select("v")).distinct()
     done: list[DataFrame] = []

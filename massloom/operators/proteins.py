@@ -23,22 +23,35 @@ from .ids import dense_rank_table
 
 # --- relations of sets
 
+def _signature(df: DataFrame, key: str, *parts: str) -> DataFrame:
+    """(key, n, h1, h2): a hash of the set of ``parts`` that each key has, by sums, so a hot key is summed where its rows are."""
+    h = F.xxhash64(*parts)
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("h2"))
+
+
+def flagged(members: DataFrame, decisive: DataFrame, set_col: str, elem_col: str) -> DataFrame:
+    """(id, e, d): distinct members, d being 1 where the element is decisive for the set."""
+    rows = members.select(F.col(set_col).alias("id"), F.col(elem_col).alias("e"), F.lit(0).alias("d")).union(decisive.select(set_col, elem_col, F.lit(1)))
+    return rows.groupBy("id", "e").agg(F.max("d").alias("d"))
+
+
 def pair_relations(members: DataFrame, decisive: DataFrame, set_col: str = "id", elem_col: str = "pep") -> DataFrame:
     """G1, G3.4: (id1, id2, n_common, n_left, n_right) of sets id1 < id2 that share an element of ``members``.
 
-    ``n_left`` counts decisive elements of id1 that are not common, ``n_right`` those of id2.  Pairs are made within an
-    element, so an element of k sets costs k(k-1)/2 rows: ``members`` should hold distinct element signatures, as
-    ``assemble_protgroups`` gives it.
+    ``n_left`` counts decisive elements of id1 that are not common, ``n_right`` those of id2.  Elements of the very same
+    sets are one weighted element, so what a pair has in common costs one row however often it occurs; an element of k sets
+    makes k(k-1)/2 pairs, which are part of the result.
     """
-    a = members.select(F.col(set_col).alias("id1"), F.col(elem_col).alias("e")).distinct()
-    b = a.select(F.col("id1").alias("id2"), "e")
-    common = a.join(b, "e").where("id1 < id2")
-    marks = decisive.select(F.col(set_col).alias("id"), F.col(elem_col).alias("e"), F.lit(1).alias("d")).distinct()
-    both = common.join(marks.select(F.col("id").alias("id1"), "e", F.col("d").alias("d1")), ["id1", "e"], "left").join(marks.select(F.col("id").alias("id2"), "e", F.col("d").alias("d2")), ["id2", "e"], "left")
-    counts = both.groupBy("id1", "id2").agg(F.count("*").alias("n_common"), F.count("d1").alias("c1"), F.count("d2").alias("c2"))
-    sizes = marks.groupBy("id").agg(F.count("*").alias("n"))
-    out = counts.join(sizes.select(F.col("id").alias("id1"), F.col("n").alias("s1")), "id1", "left").join(sizes.select(F.col("id").alias("id2"), F.col("n").alias("s2")), "id2", "left")
-    return out.select("id1", "id2", "n_common", (F.coalesce("s1", F.lit(0)) - F.col("c1")).alias("n_left"), (F.coalesce("s2", F.lit(0)) - F.col("c2")).alias("n_right"))
+    rows = materialize(flagged(members, decisive, set_col, elem_col), "members")
+    like = _signature(rows, "e", "id", "d")
+    one = like.groupBy("n", "h1", "h2").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("e", "w")
+    few = rows.join(one, "e")
+    a = few.select(F.col("id").alias("id1"), "e", "w", F.col("d").alias("d1"))
+    b = few.select(F.col("id").alias("id2"), "e", F.col("d").alias("d2"))
+    counts = a.join(b, "e").where("id1 < id2").groupBy("id1", "id2").agg(F.sum("w").alias("n_common"), F.sum(F.col("w") * F.col("d1")).alias("c1"), F.sum(F.col("w") * F.col("d2")).alias("c2"))
+    sizes = rows.groupBy("id").agg(F.sum("d").alias("s"))
+    out = counts.join(sizes.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(sizes.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
+    return out.select("id1", "id2", "n_common", (F.col("s1") - F.col("c1")).alias("n_left"), (F.col("s2") - F.col("c2")).alias("n_right"))
 
 
 def sharing_groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -71,8 +84,14 @@ def assemble_protgroups(pep2prots: DataFrame, minspec_peptides: int = 1, nspec_p
     best = own.where("rank > 0").groupBy("id").agg(F.min("rank").alias("best"))
     decisive = own.join(best, "id").where("rank = best").select("id", "pep").distinct()
     allpeps = own.select("id", "pep").distinct()
-    pairs = materialize(pair_relations(allpeps, decisive), "pairs")
-    reps = materialize(sharing_groups(pairs, universe), "reps")
+    # proteins of the very same peptides are equivalent: only the first of each goes into pairs
+    alike = _signature(flagged(allpeps, decisive, "id", "pep"), "id", "e", "d")
+    first = alike.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
+    twins = materialize(alike.join(first, ["n", "h1", "h2"]).select("id", "first"), "twins")
+    only = twins.where("id = first").select("id")
+    pairs = materialize(pair_relations(allpeps.join(only, "id", "left_semi"), decisive.join(only, "id", "left_semi")), "pairs")
+    classes_of = sharing_groups(pairs, only).withColumnRenamed("id", "first")
+    reps = materialize(twins.join(classes_of, "first").select("id", "rep"), "reps")
     heads = reps.select("rep").distinct().select(F.col("rep").alias("id"))
     between = pairs.join(heads.select(F.col("id").alias("id1")), "id1", "left_semi").join(heads.select(F.col("id").alias("id2")), "id2", "left_semi")
     n1, n2, nb = F.col("n_left"), F.col("n_right"), F.col("n_common")

@@ -118,6 +118,7 @@ def strong_components(edges: DataFrame, threshold: float, weight: str = "w", src
     return vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+# Attributes that a graph file may have.
 VERTEX_ATTRS = ("gene_name", "protein_description", "vertex_type", "weight", "walkweight", "is_hit", "prob_perm_walkweight_greater", "flows_to_genes", "flows_from_genes", "loops_through_genes", "layout_component", "layout_size", "layout_mass", "layout_x", "layout_y")
 EDGE_ATTRS = ("edge_type", "interaction_type", "target_type", "source_type", "walkweight", "walkweight_rev", "walkpermweight_median", "walkpermweight_median_rev", "walkpermweight_mad", "walkpermweight_mad_rev", "walkpermweight_mean", "walkpermweight_mean_rev", "walkpermweight_std", "walkpermweight_std_rev", "prob_perm_walkweight_greater", "prob_perm_walkweight_greater_rev", "has_original", "has_original_rev", "has_flow", "has_walk", "flowpaths", "flowpaths_rev", "mlog10_prob_perm_walkweight_greater", "layout_weight")
 

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nulls import fill_flags, flag, null_tokens
+from ..functions.nulls import fill_flags, flag, literal_split, null_tokens
 from ..operators.ids import update_pepmodstates
 from .catalogues import DIA, DIA_NA, EVIDENCE, EVIDENCE_TYPES, PROTGROUPS, PROTGROUPS_NA
 from .columns import ColumnGroup, add_run_metadata
 
-NUMBERS = ("intensity", "score", "value", "_id", "n_", "mz", "rt", "charge", "seqlen", "qvalue", "normfactor")
-
-
 def read_wide_table(spark: SparkSession, path: str, groups: Sequence[ColumnGroup], data: Sequence[str] = (), na: Sequence[str] = ("",), limit: int | None = None, sep: str = "\t") -> tuple[DataFrame, dict[str, dict[str, str]]]:
     """(required and requested column groups, their renames by group).
 
@@ -81,3 +79,33 @@ def finish_evidence(df: DataFrame) -> DataFrame:
 def read_dia_report(spark: SparkSession, path: str, data: Sequence[str] = ("quantity", "pepmodstate", "peptide"), limit: int | None = None) -> tuple[DataFrame, dict[str, dict[str, str]]]:
     """S4."""
     return read_wide_table(spark, path, DIA, data, DIA_NA, limit)
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """The parts of an evidence report."""
+
+    peptides: DataFrame
+    pepmods: DataFrame
+    pepmodstates: DataFrame
+    peptide2protgroup: DataFrame | None
+    peptide2protein: DataFrame
+    observations: DataFrame
+
+
+def decompose_evidence(df: DataFrame) -> Evidence:
+    """An evidence frame with its ids, in parts; protein links say whether the protein leads or is the razor protein."""
+    have = lambda *cols: [c for c in cols if c in df.columns]
+    links = df.select("peptide_id", *have("lead_razor_protein_ac"), F.col("peptide_protein_acs").alias("acs"), F.lit(False).alias("is_lead")).distinct()
+    if "lead_protein_acs" in df.columns:
+        links = links.unionByName(df.select("peptide_id", *have("lead_razor_protein_ac"), F.col("lead_protein_acs").alias("acs"), F.lit(True).alias("is_lead")).distinct())
+    each = links.where("acs is not null").select("*", F.explode(literal_split(F.col("acs"), ";")).alias("protein_ac"))
+    razor = F.coalesce(F.col("protein_ac") == F.col("lead_razor_protein_ac"), F.lit(False)) if "lead_razor_protein_ac" in df.columns else F.lit(False)
+    proteins = each.groupBy("peptide_id", "protein_ac").agg(F.bool_or("is_lead").alias("is_lead"), F.bool_or(razor).alias("is_razor"))
+    groups = df.select("peptide_id", F.explode(literal_split(F.col("protgroup_ids"), ";")).alias("protgroup_id")).distinct() if "protgroup_ids" in df.columns else None
+    flags = have("is_reverse", "is_contaminant")
+    return Evidence(
+        df.groupBy("peptide_id", "peptide_seq").agg(*[F.bool_or(c).alias(c) for c in flags]) if flags else df.select("peptide_id", "peptide_seq").distinct(),
+        df.select("pepmod_id", "peptide_id", "pepmod_seq").distinct(), df.select("pepmodstate_id", "pepmod_id", "charge", *have("msfraction")).distinct(),
+        groups, proteins, df.select("pepmodstate_id", *have("evidence_id", "msrun", "rawfile", "ident_type", "intensity", "rt", "psm_pvalue")),
+    )

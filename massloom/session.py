@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="massloom-")
@@ -70,6 +70,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table that ``materialize`` and operators left in the shared folder; frames read from them end."""
+    delete_path(spark, f"{shared_dir(spark)}/massloom")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once for each context.
 

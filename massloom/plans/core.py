@@ -245,8 +245,8 @@ def token_offsets(s: SparkSession, d: str) -> DataFrame:
     return ptm.extract_ptms(table(s, d, "part").select("p_partkey", seq.alias("pepmod_seq")), "maxquant", "p_partkey", selected="Phos")
 
 
-@query("locprob_offsets", """SELECT p_partkey, p_size AS rawfile_ix, 'Phospho' AS ptm_type, substr(p_brand, 3, 1) AS "ptm_AA_seq", CAST(2 AS BIGINT) AS ptm_offset, 0.75 AS ptm_locprob FROM part
-  UNION ALL SELECT p_partkey, p_size, 'Phospho', substr(p_brand, 5, 1), 4, 0.25 FROM part""")
+@query("locprob_offsets", """SELECT p_partkey, p_size AS rawfile_ix, 'Phospho' AS ptm_type, substr(p_brand, 3, 1) AS "ptm_AA_seq", CAST(2 AS BIGINT) AS ptm_offset, CAST(0.75 AS DOUBLE) AS ptm_locprob FROM part
+  UNION ALL SELECT p_partkey, p_size, 'Phospho', substr(p_brand, 5, 1), 4, CAST(0.25 AS DOUBLE) FROM part""")
 def locprob_offsets(s: SparkSession, d: str) -> DataFrame:
     b = F.col("p_brand")
     seq = F.concat(F.lit("_"), F.substring(b, 1, 3), F.lit("(0.75)"), F.substring(b, 4, 2), F.lit("(0.25)"), F.substring(b, 6, 9), F.lit("_"))
@@ -357,8 +357,8 @@ def full_outer_chain(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("group_matching", """WITH a AS (SELECT s_suppkey AS row_ix, 'A' || s_suppkey AS ac FROM supplier), b AS (SELECT s_suppkey AS row_ix, 'A' || s_suppkey AS ac FROM supplier WHERE s_acctbal > 0)
-  SELECT 0 AS best_pg_rank, 0 AS worst_pg_rank, 1 AS best_ac_rank, 1 AS worst_ac_rank, a.row_ix AS rowix_a, b.row_ix AS rowix_b, 0 AS pgrank_a, 1 AS acrank_a, CASE WHEN b.row_ix IS NOT NULL THEN 0 END AS pgrank_b, CASE WHEN b.row_ix IS NOT NULL THEN 1 END AS acrank_b, a.ac AS majority_protein_acs, a.ac AS protein_acs
-  FROM a LEFT JOIN b ON a.ac = b.ac""")
+  SELECT z AS best_pg_rank, z AS worst_pg_rank, o AS best_ac_rank, o AS worst_ac_rank, a.row_ix AS rowix_a, b.row_ix AS rowix_b, z AS pgrank_a, o AS acrank_a, CASE WHEN b.row_ix IS NOT NULL THEN z END AS pgrank_b, CASE WHEN b.row_ix IS NOT NULL THEN o END AS acrank_b, a.ac AS majority_protein_acs, a.ac AS protein_acs
+  FROM a LEFT JOIN b ON a.ac = b.ac, (SELECT CAST(0 AS BIGINT) AS z, CAST(1 AS BIGINT) AS o)""")
 def group_matching(s: SparkSession, d: str) -> DataFrame:
     ac = F.concat(F.lit("A"), F.col("s_suppkey").cast("string"))
     a = table(s, d, "supplier").select("s_acctbal", F.col("s_suppkey").alias("row_ix"), ac.alias("majority_protein_acs"), ac.alias("protein_acs"))
@@ -380,7 +380,7 @@ def directed_edges(s: SparkSession, d: str) -> DataFrame:
     return network.directed_edges(fi, dirs)
 
 
-@query("vertex_degrees", "SELECT vertex, sum(i) AS ninedges, sum(o) AS noutedges FROM (SELECT l_suppkey AS vertex, 0 AS i, 1 AS o FROM lineitem UNION ALL SELECT l_partkey, 1, 0 FROM lineitem) GROUP BY vertex")
+@query("vertex_degrees", "SELECT vertex, CAST(sum(i) AS BIGINT) AS ninedges, CAST(sum(o) AS BIGINT) AS noutedges FROM (SELECT l_suppkey AS vertex, 0 AS i, 1 AS o FROM lineitem UNION ALL SELECT l_partkey, 1, 0 FROM lineitem) GROUP BY vertex")
 def vertex_degrees(s: SparkSession, d: str) -> DataFrame:
     return network.vertex_degrees(table(s, d, "lineitem"), "l_suppkey", "l_partkey")
 

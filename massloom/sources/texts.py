@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import extract_or_null, literal_split, minus_to_null
@@ -34,6 +34,12 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return text.select(header.alias("fasta_header"), F.regexp_replace(body, r"\s", "").alias("seq"))
 
 
+def read_lines(spark: SparkSession, path: str, order: str) -> DataFrame:
+    """(value, order): lines with their place in the input; splits of a file may come in any order."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("ix"))
+    return spark.read.text(path).select("value", at.alias(order))
+
+
 def _fields(header: Column, pattern: str, names: Sequence[str]) -> dict[str, Column]:
     return {n: extract_or_null(header, pattern, k) for k, n in enumerate(names, 1)}
 
@@ -75,7 +81,7 @@ def read_site_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gmt(spark: SparkSession, path: str, id_col: str = "term_id", src_col: str = "src", name_col: str = "name", descr_col: str = "descr", fix_source: bool = True, obj_type: str = "string") -> tuple[DataFrame, DataFrame]:
     """(info of sets, members (set, obj)).  An id that occurs in several lines has the members of the last; info keeps all."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
+    lines = read_lines(spark, path, "_line").where(F.trim("value") != "")
     parts = literal_split(F.rtrim("value"), "\t")
     names = literal_split(F.get(parts, F.lit(0)), "%")
     three = F.when(F.size(names) == 3, names).otherwise(F.raise_error(F.concat(F.lit("not name%source%id: "), F.get(parts, F.lit(0)))).cast("array<string>"))
@@ -132,7 +138,7 @@ def read_site_annotations(spark: SparkSession, folder: str, gz: bool = False, he
         fields = literal_split(F.regexp_replace("value", "\r$", ""), "\t")
         # what stands before the header is told by its text: those lines have fewer fields or are the header's own
         skip = head
-        rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").isin(skip)).withColumn("row_ix", F.monotonically_increasing_id())
+        rows = read_lines(spark, path, "row_ix").where((F.trim("value") != "") & ~F.col("value").isin(skip))
         cols = {own.get(h, h): F.nullif(F.get(fields, F.lit(k)), F.lit("")) for k, h in enumerate(header)}
         df = rows.select("row_ix", *[c.alias(n) for n, c in cols.items()])
         if "MOD_RSD" in df.columns:
@@ -191,8 +197,3 @@ def read_network(spark: SparkSession, interactions: str, directions: str) -> Dat
     fi = lower(tsv(interactions))
     return directed_edges(fi.withColumn("score", F.col("score").cast("double")), lower(tsv(directions)))
 
-
-def last_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-    return df.withColumn("_k", k).where("_k = 1").drop("_k")

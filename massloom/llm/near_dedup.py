@@ -1,0 +1,198 @@
+"""Near dedup by the Jaccard similarity of word shingles, exact by prefix filtering.
+
+A document is the set of its shingles (``width`` words, ASCII case and spacing aside).  Two sets whose similarity reaches
+``threshold`` share one of the first n - ceil(threshold * n) + 1 members of each, whatever order all sets are sorted by.
+The order is by hash, with shingles that are common in a sample last, rarest first; the sample decides how many candidates
+there are, not which links are found.  Rows of a prefix meet by shingle; sizes and places rule out pairs that cannot
+reach the threshold, and each pair left is verified on the shingles of its texts.
+
+Equal sets are one vertex from the start.  Groups of more than ``limit`` sets are first compared with one centre each, and
+again after what linked is one component; only pairs of different components are then compared whole, so a large
+group of near copies costs a row for each copy, not its pairs.
+
+Defined cases: null and empty texts have the empty set, equal to one another; texts of fewer words than a shingle are one
+shingle; no rows give no rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.graph import connected_components
+from ..session import materialize
+from .rows import keyed_texts, map_batches
+from .simhash import keep_one
+
+#: Documents that tell common shingles, about, and common shingles at most.
+SAMPLE_ROWS, COMMON = 20_000, 100_000
+SCHEMA = "token long, a long, b long, n long, pos long"
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    words = words_of(text)
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+    n = max(1, len(words) - width + 1)
+    out = np.full(n, min(width, len(words)), np.uint64)
+    for k in range(min(width, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def shingle_set(text: str | None, width: int) -> set[bytes]:
+    words = words_of(text)
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+    """First members by the common order; ``common`` is sorted, ``place`` ranks its shingles."""
+    n = len(hashes)
+    p = n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    hot = common[at] == hashes if len(common) else np.zeros(n, bool)
+    first = hashes[~hot][:p]
+    return first if len(first) == p else np.concatenate([first, hashes[hot][np.argsort(place[at[hot]])][: p - len(first)]])
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that several documents of a sample have, sorted; their ranks by count)."""
+    share = max(1, texts.count() // SAMPLE_ROWS)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"token": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
+
+    counts = texts.where(F.pmod("text_hash", F.lit(share)) == 0).select("text").mapInArrow(one, "token long").groupBy("token").agg(F.count("*").alias("c"))
+    got = counts.where("c > 4").orderBy(F.desc("c"), "token").limit(COMMON).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(got)
+    return got[order], (len(got) - order).astype(np.int64)
+
+
+def candidates(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, threshold: float, limit: int, stars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b): pairs of different labels that may reach the threshold; rows of groups over ``limit`` of which only a centre's pairs are made."""
+    order = np.lexsort((sid, token))
+    order = order[np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(sid[order]) != 0)))[: len(order)]]
+    token, sid, n, pos, label = token[order], sid[order], n[order], pos[order], label[order]
+    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    sizes = np.diff(np.append(starts, len(token)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        able = np.minimum(n[a] - pos[a], n[b] - pos[b])  # members from this one on
+        ok = (label[a] != label[b]) & (able >= threshold / (1 + threshold) * (n[a] + n[b]) - 1e-6)
+        a, b = sid[a[ok]], sid[b[ok]]
+        if len(a):
+            found.append((np.minimum(a, b), np.maximum(a, b)))
+
+    small = np.repeat(sizes <= limit, sizes)
+    for step in range(1, int(min(limit, sizes.max(initial=1)))):
+        a = np.flatnonzero(small[:-step] & (token[:-step] == token[step:]))
+        if not len(a):
+            break
+        add(a, a + step)
+    for s, size in zip(starts[sizes > limit].tolist(), sizes[sizes > limit].tolist(), strict=True):
+        at = np.arange(s, s + size)
+        if stars:
+            # the middle size of the largest component there
+            names, count = np.unique(label[at], return_counts=True)
+            inside = at[label[at] == names[count.argmax()]]
+            add(np.full(size, inside[np.argsort(n[inside], kind="stable")[len(inside) // 2]]), at)
+        else:
+            for i in range(s, s + size - 1):
+                add(np.full(s + size - i - 1, i), np.arange(i + 1, s + size))
+    pairs = np.unique(np.array([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1) if found else np.empty((2, 0), np.int64)
+    return pairs[0], pairs[1], order[~small]
+
+
+def compared(rows: DataFrame, threshold: float, limit: int, stars: bool) -> DataFrame:
+    """``SCHEMA``: candidates (a, b), and with ``stars`` the rows (token, a, n, pos) of large groups; ``rows``: (token, a, n, pos, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        token, sid, n, pos, label = (t[c].to_numpy() for c in ("token", "a", "n", "pos", "label"))
+        a, b, large = candidates(token, sid, n, pos, label, threshold, limit, stars)
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            none = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(y), none, none], names=["token", "a", "b", "n", "pos"])
+        if stars and len(large):
+            yield pa.RecordBatch.from_arrays([pa.array(token[large]), pa.array(sid[large]), pa.nulls(len(large), pa.int64()), pa.array(n[large]), pa.array(pos[large])], names=["token", "a", "b", "n", "pos"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartition(parts, "token").mapInArrow(run, SCHEMA), "candidates")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts reach the threshold."""
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    need = materialize(sets.join(ends, "sid").groupBy("sid").agg(F.min("text_hash").alias("text_hash")), "need")
+    own = materialize(texts.select("text_hash", "text").join(need, "text_hash").dropDuplicates(["sid"]).select("sid", "text"), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, last, x = [], None, set()
+            for s, t in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
+                if last is None or s != last:
+                    last, x = s, shingle_set(s, width)
+                y = shingle_set(t, width)
+                both = len(x & y)
+                keep.append(both / max(1, len(x) + len(y) - both) >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ta, tb = own.select(F.col("sid").alias("a"), F.col("text").alias("ta")), own.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
+    return materialize(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+
+
+def near_components(docs: DataFrame, threshold: float = 0.8, width: int = 5, limit: int = 64, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component) of every row: components of all pairs whose shingles' Jaccard similarity reaches ``threshold``."""
+    texts = keyed_texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    common, place = common_shingles(texts, width)
+
+    def one(b: pa.RecordBatch) -> dict:
+        sets = [shingle_hashes(t, width) for t in b.column("text").to_pylist()]
+        sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+        return {"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "sid": sid, "n": [len(s) for s in sets], "prefix": [prefix(s, common, place, threshold).view(np.int64) for s in sets]}
+
+    types = {"sid": pa.int64(), "n": pa.int64(), "prefix": pa.list_(pa.int64())}
+    sets = materialize(map_batches(texts, one, "doc_id long, text_hash long, sid long, n long, prefix array<long>", types), "sets")
+    rows = sets.select(F.col("sid").alias("a"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "a", "n", F.col("pos").cast("long").alias("pos"), F.col("a").alias("label"))
+    links, parts = None, None
+    for k in range(rounds + 1):
+        got = compared(rows, threshold, limit, k < rounds)
+        pairs = got.where("b is not null").select("a", "b").distinct()
+        new = verified(pairs, sets, texts, threshold, width)
+        links = new if links is None else links.unionByName(new)
+        parts = materialize(connected_components(links, "a", "b"), "parts")
+        large = got.where("b is null").select("token", "a", "n", "pos")
+        if k == rounds or large.isEmpty():
+            break
+        named = large.join(parts.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("component", "a")).drop("component")
+        # groups that have become one component are done
+        open_ = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+        rows = materialize(named.join(open_, "token"), "rows")
+        if rows.isEmpty():
+            break
+    return sets.select("doc_id", "text_hash", "sid").join(parts.withColumnRenamed("id", "sid"), "sid", "left").select("doc_id", "text_hash", F.coalesce("component", "sid").alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component: that of least id (null ids last), then least hash of the text."""
+    return keep_one(docs, near_components(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)

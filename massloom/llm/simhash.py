@@ -247,7 +247,11 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each component: that of least id (null ids last), then least hash of the text."""
-    comp = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
+    return keep_one(docs, simhash_components(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` that stays of each component; ``comp``: (doc_id, text_hash, component) of every row."""
     rows = comp.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_rows"))
     keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "_rows")).alias("k"))
     keep = materialize(keep.select("component", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k._rows").alias("_rows")), "kept")

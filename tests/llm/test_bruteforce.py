@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from massloom.llm import chat_format, embedding_dedup, licenses, line_dedup, mixing, packing, quality, queries, simhash
+from massloom.llm import chat_format, embedding_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, queries, simhash
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -295,3 +295,44 @@ def test_pipeline(spark, sf_dir, docs):
     assert len(norm) == len(set(norm))
     fp = [brute_fingerprint(docs[d][0]) for d in kept]
     assert not [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3]
+
+
+def brute_jaccard_components(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return components(len(sets), links)
+
+
+def edited_texts():
+    """Copies with more and more words changed, about both sides of similarity 0.8, a shared passage, short and empty texts."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", "one two", "One  two", "one two three four five"]
+    passage = " ".join(f"p{k}" for k in range(40))
+    for c in range(12):
+        base = [f"c{c}w{k}" for k in rng.integers(0, 400, 150)]
+        for edits in range(10):
+            words = list(base)
+            for at in rng.choice(150, edits, replace=False):
+                words[at] = f"e{rng.integers(1e9)}"
+            texts.append(" ".join(words) + (f" {passage}" if c % 3 == 0 else ""))
+    return texts
+
+
+@pytest.mark.parametrize("limit", [4, 64])
+def test_near_components_are_exact(spark, limit):
+    """Also where groups are over the limit."""
+    texts = edited_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in near_dedup.near_components(df, limit=limit).collect()}
+    want = brute_jaccard_components(texts)
+    assert len(set(want)) < len(texts) - 40 and len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+
+
+def test_near_stage_by_jaccard(spark):
+    texts = edited_texts()
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_jaccard_components(texts)
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, "").collect()} == {i for i, c in enumerate(want) if i == c}

@@ -42,15 +42,15 @@ def walk_step(mass: DataFrame, steps: DataFrame, keys: Sequence[str] = ()) -> Da
 def restart_walk(edges: DataFrame, starts: DataFrame, restart: float, tolerance: float = 1e-4, **columns) -> DataFrame:
     """(start, vertex, p): stationary mass of a walk that returns to its start with probability ``restart``.
 
-    ``starts``: (start); each is an independent walk.  Mass below ``tolerance`` is let go, which bounds what a step keeps
-    near the start; the series ends when the weight left is below it.
+    ``starts``: (start); each is an independent walk.  No mass is let go on the way; the series ends when the weight left is
+    at most ``tolerance``, which bounds what a start's masses lack in all.
     """
     steps = materialize(transition(edges, **columns), "steps")
     mass = starts.select(F.col("start"), F.col("start").alias("vertex"), F.lit(1.0).alias("p"))
     total = materialize(mass.withColumn("p", F.lit(restart)), "walk")
     left = 1.0 - restart
     while left > tolerance:
-        mass = materialize(walk_step(mass, steps, ["start"]).where(F.col("p") * left > tolerance / 100), "walk")
+        mass = materialize(walk_step(mass, steps, ["start"]), "walk")
         total = materialize(total.unionByName(mass.withColumn("p", F.col("p") * restart * left)).groupBy("start", "vertex").agg(F.sum("p").alias("p")), "walk")
         left *= 1.0 - restart
     return total
@@ -60,7 +60,7 @@ def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[fl
     """(restart_prob, part, mass): mean mass that walks from ``starts`` put on neighbours and beyond.
 
     All restart probabilities weigh the same steps, so the walk is made once; each step leaves two means on the driver.
-    It ends when the least restart probability gives the rest less than ``tolerance``.
+    It ends when the least restart probability gives the rest at most ``tolerance``; no mass is let go before.
     """
     steps = materialize(transition(edges, src, dst), "steps")
     near = materialize(edges.select(F.col(src).alias("start"), F.col(dst).alias("vertex"), F.lit(True).alias("near")).distinct(), "near")
@@ -70,7 +70,7 @@ def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[fl
     left = 1.0 - min(restarts)
     weight = left
     while weight > tolerance:
-        mass = materialize(walk_step(mass, steps, ["start"]).where(F.col("p") > tolerance / 1000), "walk")
+        mass = materialize(walk_step(mass, steps, ["start"]), "walk")
         got = mass.where("vertex <> start").join(near, ["start", "vertex"], "left").agg(F.sum(F.when(F.col("near"), F.col("p"))).alias("n"), F.sum(F.when(F.col("near").isNull(), F.col("p"))).alias("x")).first()
         sums.append(((got["n"] or 0.0) / n, (got["x"] or 0.0) / n))
         weight *= left

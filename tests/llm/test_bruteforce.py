@@ -336,3 +336,16 @@ def test_near_stage_by_jaccard(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     want = brute_jaccard_components(texts)
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, "").collect()} == {i for i, c in enumerate(want) if i == c}
+
+
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext", "  <|endoftext|>\n\n z", "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in packing.packed(df).collect():
+        ids = t.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [0]
+        own = ids[r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(own)}I", *own))

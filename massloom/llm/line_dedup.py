@@ -86,6 +86,11 @@ def runs_to_delete(ranks: DataFrame, depth: int) -> DataFrame:
     place = F.struct("doc_id", "doc_hash", "line")
     first = ranks.groupBy("rank").agg(F.min(place).alias("kept"))
     later = ranks.join(first, "rank").where(place > F.col("kept"))
+    return line_runs(later, depth)
+
+
+def line_runs(later: DataFrame, depth: int = 1) -> DataFrame:
+    """(doc_id, doc_hash, runs) of the starts (doc_id, doc_hash, line) of ``depth`` lines each."""
     starts = later.groupBy(*DOC).agg(F.array_sort(F.collect_set("line")).alias("s"))
     # a run starts where the gap to the start before is over ``depth``, and ends before the next such
     opens = F.expr(f"filter(s, (x, i) -> i = 0 or x > s[i - 1] + {depth})")
@@ -93,10 +98,34 @@ def runs_to_delete(ranks: DataFrame, depth: int) -> DataFrame:
     return starts.select(*DOC, F.arrays_zip(opens.alias("first"), closes.alias("last")).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (struct of the row's columns), doc_id, clean_text, n_lines, removed_runs (array of first and last line, from 0)."""
+def long_copies(docs: DataFrame, depth: int, long_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc_hash, line) of the lines in later copies of runs of ``depth`` lines that hold over ``long_words`` words."""
+    ranks, _ = repeated_starts(docs, depth, id_col, text_col)
+    text = F.col(text_col)
+    # words of the run that starts at each line
+    words = F.size(F.filter(F.split("s", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    lines = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(_lines(text)).alias("_line", "s")).select("_id", "_hash", "_line", words.alias("w")).distinct()
+    ahead = Window.partitionBy("_id", "_hash").orderBy("_line").rangeBetween(0, depth - 1)
+    long_ = lines.withColumn("w", F.sum("w").over(ahead)).where(F.col("w") > long_words).drop("w")
+    place = F.struct("doc_id", "doc_hash", "line")
+    later = ranks.join(ranks.groupBy("rank").agg(F.min(place).alias("kept")), "rank").where(place > F.col("kept"))
+    later = later.join(long_, later["doc_id"].eqNullSafe(long_["_id"]) & (later["doc_hash"] == long_["_hash"]) & (later["line"] == long_["_line"]), "left_semi")
+    return later.select(*DOC, F.explode(F.sequence("line", F.col("line") + (depth - 1))).alias("line"))
+
+
+def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+    """doc (struct of the row's columns), doc_id, clean_text, n_lines, removed_runs (array of first and last line, from 0).
+
+    With ``long_words``, later copies of shorter runs go too where the run holds more words than that.
+    """
     ranks, depth = repeated_starts(docs, min_lines, id_col, text_col)
-    runs = runs_to_delete(ranks, depth).select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "runs")
+    found = runs_to_delete(ranks, depth)
+    if long_words is not None:
+        gone = found.select(*DOC, F.explode("runs").alias("r")).select(*DOC, F.explode(F.sequence("r.first", "r.last")).alias("line"))
+        for d in range(1, depth):
+            gone = gone.unionByName(long_copies(docs, d, long_words, id_col, text_col))
+        found = line_runs(gone)
+    runs = found.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "runs")
     own = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_own"), F.col(text_col).alias("_text"))
     joined = own.join(runs, own["doc_id"].eqNullSafe(runs["_id"]) & (own["_own"] == runs["_hash"]), "left")
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")

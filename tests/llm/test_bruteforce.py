@@ -349,3 +349,22 @@ def test_packing_of_added_tokens(spark):
         ids = t.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [0]
         own = ids[r["start"] : r["start"] + r["length"]]
         assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(own)}I", *own))
+
+
+def test_long_passages_of_few_lines(spark):
+    """Runs of one and two lines go where they hold over 50 words; short ones stay."""
+    rng = np.random.default_rng(6)
+    pool = [" ".join(f"v{k}w{i}" for i in range(n)) for k, n in enumerate((2, 3, 30, 30, 49, 50, 51, 60))]
+    texts = [(None, [pool[7]])] + [(i, [pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 6))]) for i in range(25)]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts], "doc_id long, text string")
+    want = brute_deleted(texts, 3)
+    for size in (1, 2):
+        seen = set()
+        for doc, lines in texts:
+            for i in range(len(lines) - size + 1):
+                w = tuple(lines[i : i + size])
+                if w in seen and sum(len(x.split()) for x in w) > 50:
+                    want[doc] |= set(range(i, i + size))
+                seen.add(w)
+    got = {r["doc_id"]: {k for a, b in r["removed_runs"] for k in range(a, b + 1)} for r in line_dedup.line_dedup(df, long_words=50).collect()}
+    assert got == {doc: want[doc] for doc, _ in texts} and want[1]

@@ -72,7 +72,7 @@ def slots(written: DataFrame) -> DataFrame:
 
 def sharding(docs: DataFrame, n_shards: int = 8, seed: int = 5, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, read back from the shards."""
-    written = write_shards(docs.select("doc_id", "text"), path or fresh_path(docs.sparkSession, "shards"), n_shards, seed)
+    written = write_shards(docs, path or fresh_path(docs.sparkSession, "shards"), n_shards, seed)
     text = F.coalesce("doc_text", F.lit(""))
     slim = written.select(F.col("doc_doc_id").alias("doc_id"), byte_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "bucket", "place")
     return slots(slim).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), n_shards + 1, seed).alias("grown_shard"))

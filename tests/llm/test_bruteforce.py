@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from massloom.llm import chat_format, embedding_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, queries, simhash
+from massloom.llm import chat_format, embedding_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, queries, sharding, simhash
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -368,3 +368,10 @@ def test_long_passages_of_few_lines(spark):
                 seen.add(w)
     got = {r["doc_id"]: {k for a, b in r["removed_runs"] for k in range(a, b + 1)} for r in line_dedup.line_dedup(df, long_words=50).collect()}
     assert got == {doc: want[doc] for doc, _ in texts} and want[1]
+
+
+def test_shards_hold_whole_rows(spark, sf_dir, tmp_path):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sharding.sharding(df, path=f"file://{tmp_path}/shards").count()
+    back = spark.read.parquet(f"file://{tmp_path}/shards").select(*[F.col(f"doc_{c}").alias(c) for c in df.columns])
+    assert Counter(back.collect()) == Counter(df.collect())

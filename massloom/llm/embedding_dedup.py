@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialize
-from .simhash import _labels
+from ..operators.graph import least_labels
 
 #: Vectors that fit the index at most; those of least hash.
 SAMPLE_ROWS = 20_000
@@ -122,7 +122,7 @@ def block_links(model: Quantiser, at: int, members: pd.DataFrame, queries: pd.Da
         pa, pb = position[len(ids) + a], position[b]
         np.add.at(links, pa, weight[b])
         if len(a):
-            root = _labels(len(nodes), root[pa], root[pb])[root]
+            root = least_labels(len(nodes), root[pa], root[pb])[root]
     keep = (links > 0) | (root != np.arange(len(nodes)))
     return pd.DataFrame({"rep": nodes[keep], "links": links[keep], "root": nodes[root[keep]]})
 

@@ -6,11 +6,15 @@ within tau bits are within the threshold of at least one partition.  Thresholds
 programming picks them to make the estimated number of candidates least.  Fingerprints are probed by
 partition value (and the values within the partition's threshold) and every candidate is verified.
 
-Equal fingerprints are one row from the start.  A partition value with more than ``limit`` fingerprints is probed again by
-each of four parts of its other bits, of which one must be equal, and so on; what is still together
-then is compared whole, in tiles.  A task emits a spanning forest of the links it finds, at most one row for
-each fingerprint, never the pairs of a group.
-
+A partition's threshold is shared by both sides: each fingerprint stands under every value within half of it (rounded
+up) of its own, so two that differ by the threshold meet at a value between.  Equal fingerprints are one row from the
+start.  A value with more than ``limit`` fingerprints is probed again by each of tau + 1 parts of the other
+bits, of which one must be equal; what is still together, or where such parts are too short to split, is
+dealt to pairs of blocks of at most ``limit``.  A task reads its rows sorted by value, a few values at a time, and emits a spanning forest of
+the links it finds, at most one row for each fingerprint, never the pairs of a group.
+
+Columns of the input that are called like the operator's own do not clash: only id and text are read here.  Very long texts are
+read whole, their bits counted ``CHUNK`` shingles at a time.
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle
 are one shingle; no rows give no rows; a component all of whose ids are null has a null name, and counts as one.
 Rows repeated with one id are compared by their own texts.
@@ -18,8 +22,10 @@ Rows repeated with one id are compared by their own texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from ..session import materialize
-from .rows import keyed_texts, map_batches, unboxed, whole
+from ..operators.graph import connected_components, least_labels
+from ..session import materialize, ship_package
+from .rows import few, keyed_texts, map_batches, unboxed, whole, whole_groups
 
 BITS = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Thresholds of one partition at most, and fingerprints that estimate what they cost.
+MOST, ESTIMATE_ROWS = 4, 4096
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -48,7 +56,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-width])).tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    hashes = np.array([h(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return majority(np.array([h(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -62,6 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
         fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
         return {"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": fp}
 
+    ship_package(docs.sparkSession)
     texts = keyed_texts(docs, id_col, text_col)
     return map_batches(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), one, "doc_id long, text_hash long, fp long", {"fp": pa.int64()})
 
@@ -97,17 +110,29 @@ def value_of(fp: np.ndarray, part: list[int]) -> np.ndarray:
     return out
 
 
-def allocate(sample: np.ndarray, parts: list[list[int]], tau: int) -> list[int]:
-    """Thresholds of the partitions, -1 (not probed) to tau, adding up to tau - m + 1, of the least estimated cost."""
-    m, n = len(parts), max(1, len(sample))
+def masks(bits: int, radius: int) -> list[int]:
+    """Differences of at most ``radius`` of ``bits`` bits, fewest first."""
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+
+
+def allocate(sample: np.ndarray, parts: list[list[int]], tau: int, n: int | None = None) -> list[int]:
+    """Thresholds of the partitions, -1 (not probed) to ``MOST``, adding up to tau - m + 1, of the least estimated cost.
+
+    The cost is the number of rows that meet under one value, and of rows probed, for ``n`` fingerprints like the sample.
+    """
+    m, picked = len(parts), sample[:ESTIMATE_ROWS]
+    scale = max(1.0, (n or len(picked)) / max(1, len(picked)))
     cost: list[dict[int, float]] = []
     for part in parts:
-        values, counts = np.unique(value_of(sample, part), return_counts=True)
-        table = dict(zip(values.tolist(), counts.tolist(), strict=True))
-        by = {-1: 0.0, 0: float((counts.astype(float) ** 2).sum()) + n}
-        near = sum(c * table.get(v ^ (1 << k), 0) for v, c in table.items() for k in range(len(part)))
-        by[1] = by[0] + float(near) + n * len(part)
-        cost.append(by)  # a threshold of 2 or more enumerates too many values to be the least
+        value, by = value_of(picked, part), {-1: 0.0}
+        for e in range(min(tau, MOST, len(part)) + 1):
+            ball = masks(len(part), ceil(e / 2))
+            inner = sum(x.bit_count() <= e // 2 for x in ball)
+            at = (value[:, None] ^ np.array(ball, np.uint64)).ravel()
+            _, where = np.unique(at, return_inverse=True)
+            all_, own = np.bincount(where), np.bincount(where, np.tile(np.arange(len(ball)) < inner, len(picked)))
+            by[e] = float((all_ * own).sum()) * scale**2 + scale * len(at)
+        cost.append(by)
     goal = tau - m + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for by in cost:
@@ -117,114 +142,140 @@ def allocate(sample: np.ndarray, parts: list[list[int]], tau: int) -> list[int]:
                 if total + e not in step or c + x < step[total + e][0]:
                     step[total + e] = (c + x, [*chosen, e])
         best = step
+    if goal not in best:
+        raise ValueError(f"{m} partitions cannot hold a tolerance of {tau} bits: take more")
     return best[goal][1]
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable, for n vertices and links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def linked(key: np.ndarray, fp: np.ndarray, own: np.ndarray, tau: int, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``tau`` bits between rows of one key, one of them its own."""
-    order = np.lexsort((fp, key))
-    key, fp, own = key[order], fp[order], own[order]
+def linked(
+    key: np.ndarray, words: Sequence[np.ndarray], own: np.ndarray, tau: int, size: np.ndarray | None = None, ratio: float = 0.0, group: np.ndarray | None = None, tile: int = 2048,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a spanning forest of the links between rows of one key, one of them its own.
+
+    Linked are rows whose ``words`` differ by ``tau`` bits at most and whose sizes are within ``ratio`` of each other.
+    With a ``group``, all links between different groups are given, each once.
+    """
+    order = np.lexsort((words[0], key))
+    key, words, own = key[order], [w[order] for w in words], own[order]
+    size = size[order] if size is not None else None
+    group = group[order] if group is not None else None
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = sum(np.bitwise_count(w[a] ^ w[b]) for w in words) <= tau
+        a, b = a[ok], b[ok]
+        ok = own[a] | own[b]
+        if size is not None:
+            ok &= np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]) - 1e-6
+        if group is not None:
+            ok &= group[a] != group[b]
+        return a[ok], b[ok]
+
     small = np.repeat(sizes <= 64, sizes)
+    at = np.flatnonzero(small)
+    left = np.repeat(starts + sizes, sizes)[at] - at  # rows from this one to the end of its key
     for step in range(1, int(min(64, sizes.max(initial=1)))):  # all small groups at once, by distance in the order
-        a = np.flatnonzero(small[:-step] & (key[:-step] == key[step:]))
-        if not len(a):
-            break
-        a = a[(np.bitwise_count(fp[a] ^ fp[a + step]) <= tau) & (own[a] | own[a + step])]
-        found.append((a, a + step))
+        more = left > step
+        at, left = at[more], left[more]
+        found.append(near(at, at + step))
     for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         root = np.arange(n)
         for i in range(0, n, tile):
             for j in range(i, n, tile):
-                x, y = fp[s + i : s + min(n, i + tile)], fp[s + j : s + min(n, j + tile)]
-                a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= tau)
-                keep = (a + i < b + j) & (own[s + i + a] | own[s + j + b])
-                if keep.any():
-                    ra, rb = root[a[keep] + i], root[b[keep] + j]
-                    root = _labels(n, ra, rb)[root]
-        at = np.flatnonzero(root != np.arange(n))
-        found.append((s + at, s + root[at]))
-    if not found:
-        return fp[:0], fp[:0]
-    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    label = _labels(len(fp), a, b)
-    at = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[at], fp[label[at]]
-
-
-def near_links(distinct: DataFrame, tau: int = 3, m: int = 4, limit: int = 2000, sample_rows: int = 20_000) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints ``fp`` within ``tau`` bits of each other.
-
-    ``sample_rows`` fingerprints, those of least hash, fit the partitions and thresholds; all are probed.
+                x, y = slice(s + i, s + min(n, i + tile)), slice(s + j, s + min(n, j + tile))
+                a, b = np.nonzero(sum(np.bitwise_count(w[x][:, None] ^ w[y][None, :]) for w in words) <= tau)
+                keep = a + i < b + j
+                a, b = near(a[keep] + s + i, b[keep] + s + j)
+                if group is not None:
+                    found.append((a, b))
+                elif len(a):
+                    root = least_labels(n, root[a - s], root[b - s])[root]
+        if group is None:
+            at = np.flatnonzero(root != np.arange(n))
+            found.append((s + at, s + root[at]))
+    a, b = (np.concatenate([f[k] for f in found] or [starts[:0]]) for k in (0, 1))
+    if group is None:
+        label = least_labels(len(key), a, b)
+        a = np.flatnonzero(label != np.arange(len(key)))
+        b = label[a]
+    return order[a], order[b]
+
+
+def bits(word: str, part: Sequence[int]):
+    """Column: the bits ``part`` of the long ``word``, moved together."""
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftrightunsigned(word, b).bitwiseAND(F.lit(1).cast("long")), k) for k, b in enumerate(part)])
+
+
+def probed(rows: DataFrame, word: str, tau: int, m: int, number: int, sample_rows: int) -> DataFrame:
+    """``rows`` with their values (key, own) in the partitions of ``word``, and the place i of the partition.
+
+    ``sample_rows`` of them, those of least hash, fit partitions and thresholds; all are probed.
     """
-    picked = distinct.orderBy(F.xxhash64("fp")).limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    n = rows.count()
+    picked = rows.select(word).orderBy(F.xxhash64(word)).limit(sample_rows).toPandas()[word].to_numpy(np.int64).view(np.uint64)
     parts = correlated_partitions(picked, m)
-    thresholds = allocate(picked, parts, tau)
-
-    def bits(part: list[int]):
-        """Column: the bits of ``part``, moved together."""
-        return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)), k) for k, b in enumerate(part)])
-
-    # first level: a key is (partition, value); with threshold 1 the neighbouring values are probed too
-    level = []
-    for i, (part, e) in enumerate(zip(parts, thresholds, strict=True)):
+    made = []
+    for i, (part, e) in enumerate(zip(parts, allocate(picked, parts, tau, n), strict=True)):
         if e < 0:
             continue
-        value = bits(part)
-        entries = [F.struct(value.alias("v"), F.lit(True).alias("own"))]
-        if e == 1:
-            entries += [F.struct(value.bitwiseXOR(F.lit(1 << k)).alias("v"), F.lit(False).alias("own")) for k in range(len(part))]
-        level.append(distinct.select("fp", F.explode(F.array(*entries)).alias("x")).select("fp", F.concat_ws("-", F.lit(i), "x.v").alias("key"), F.lit(i).alias("i"), F.col("x.own").alias("own")))
-    rows = reduce(DataFrame.unionByName, level)
-    rest = {i: [b for b in range(BITS) if b not in part] for i, part in enumerate(parts)}
-    runs = []
-    for depth in range(3):
-        hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
-        if depth == 2:
-            runs.append(rows)
-            break
-        hot = materialize(hot, "hot")  # at most all rows / limit keys
-        # few rows hold hot keys; this join's sides both shuffle, so no size has to be known
-        marked = rows.join(hot.withColumn("hot", F.lit(True)), "key", "left")
-        runs.append(marked.where("hot is null").drop("hot"))
+        ball = masks(len(part), ceil(e / 2))
+        inner = sum(x.bit_count() <= e // 2 for x in ball)
+        value = bits(word, part)
+        probes = rows.withColumn("i", F.lit(number * m + i)).select("*", F.posexplode(F.array(*[value.bitwiseXOR(F.lit(x)) for x in ball])).alias("pos", "v"))
+        # the bits of other partitions, dealt to tau + 1 parts, tell apart what is together under a hot value
+        rest = [b for b in range(BITS) if b not in part]
+        chunks = F.array(*[bits(word, rest[c :: tau + 1]) for c in range(tau + 1)]) if 2 ** (len(rest) // (tau + 1)) > 2 * (tau + 1) else F.array().cast("array<bigint>")
+        made.append(probes.select(*rows.columns, F.xxhash64("i", "v").alias("key"), (F.col("pos") < inner).alias("own"), chunks.alias("chunks")))
+    return reduce(DataFrame.unionByName, made)
+
+
+def dealt(rows: DataFrame, limit: int, size: str | None = None, ratio: float = 0.0) -> DataFrame:
+    """``rows`` (id, key, own, chunks) under values that hold at most about 2 * ``limit`` of them each."""
+    done = []
+    for stage in ("chunks", "blocks") if size is None else ("chunks", "sizes", "blocks"):
+        # at most all rows / limit values
+        hot = materialize(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > limit), "hot")
         if hot.isEmpty():
             break
-        # the next level splits the key's other bits into tau + 1 parts, one of which must be equal
-        again = marked.where("hot").drop("hot")
-        pieces = []
-        for i, others in rest.items():
-            if thresholds[i] < 0:
-                continue
-            chunks = [others[c :: tau + 1][depth * 6 : depth * 6 + 6] for c in range(tau + 1)]
-            pieces.append(again.where(F.col("i") == i).select("fp", "i", "own", F.explode(F.array(*[F.concat_ws("-", F.lit(c), bits(chunk)) for c, chunk in enumerate(chunks)])).alias("more"), "key").select("fp", F.concat_ws("/", "key", "more").alias("key"), "i", "own"))
-        rows = reduce(DataFrame.unionByName, pieces)
-    keyed = reduce(DataFrame.unionByName, runs).select(F.xxhash64("key").alias("key"), "fp", "own")
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            b = pa.Table.from_batches(got)
-            x, y = linked(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["own"].to_numpy(zero_copy_only=False).astype(bool), tau)
-            yield pa.RecordBatch.from_pydict({"a": x.view(np.int64), "b": y.view(np.int64)})
-
-    n = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return keyed.repartition(int(n), "key").mapInArrow(probe, "a long, b long")
+        marked = rows.join(few(hot), "key", "left")
+        done.append(marked.where("many is null").drop("many"))
+        rows = marked.where("many is not null")
+        if stage == "chunks":
+            split = rows.where("size(chunks) > 0").select("*", F.posexplode("chunks").alias("c", "x")).withColumn("key", F.xxhash64("key", "c", "x")).drop("c", "x", "many")
+            rows = split.unionByName(rows.where("size(chunks) = 0").drop("many"))
+        elif stage == "sizes":
+            # sizes within the ratio lie in one band or in two that touch
+            band = F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / -np.log(ratio))
+            rows = rows.select("*", F.explode(F.array(band, band + 1)).alias("band")).withColumn("key", F.xxhash64("key", "band")).drop("band", "many")
+        else:
+            blocks = F.ceil(F.col("many") / limit)
+            rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), blocks)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("c"))
+            rows = rows.withColumn("key", F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c"))).drop("b", "c", "many")
+    return reduce(DataFrame.unionByName, done, rows).drop("chunks")
+
+
+def links_of(rows: DataFrame, words: Sequence[str], tau: int, size: str | None = None, ratio: float = 0.0, group: str | None = None) -> DataFrame:
+    """(a, b): what ``linked`` finds among ``rows`` (id, key, own, ...), by ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key"):
+            ids = t["id"].to_numpy()
+            own = t["own"].to_numpy(zero_copy_only=False).astype(bool)
+            x, y = linked(t["key"].to_numpy(), [t[w].to_numpy().view(np.uint64) for w in words], own, tau, t[size].to_numpy() if size else None, ratio, t[group].to_numpy() if group else None)
+            pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+    ship_package(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def near_links(distinct: DataFrame, tau: int = 3, m: int = 4, limit: int = 2000, sample_rows: int = 20_000) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints ``fp`` within ``tau`` bits of each other."""
+    rows = probed(distinct.select(F.col("fp").alias("id"), "fp"), "fp", tau, m, 0, sample_rows)
+    return links_of(dealt(rows, limit), ["fp"], tau)
 
 
 def simhash_components(docs: DataFrame, tau: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -251,12 +302,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of ``docs`` that stays of each component; ``comp``: (doc_id, text_hash, component) of every row."""
-    rows = comp.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_rows"))
-    keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "_rows")).alias("k"))
-    keep = materialize(keep.select("component", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k._rows").alias("_rows")), "kept")
+    """The row of ``docs`` that stays of each component; ``comp``: (doc_id, text_hash, component) of every row.
+
+    Of rows that repeat both id and text one stays.  Only rows that go, or repeat, are joined to ``docs``.
+    """
+    rows = comp.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"), F.sum("n").alias("all")).where("`all` > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))
+    marks = rows.join(keep, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays"), F.col("n").alias("_rows"))
+    marks = materialize(marks.where("not _stays or _rows > 1"), "marks")
     own = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
-    joined = own.join(keep, own["id"].eqNullSafe(keep["_id"]) & (own["hash"] == keep["_hash"]))
-    # rows that repeat both id and text are rare: only they pay for the second shuffle
-    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["component"]))
+    joined = own.join(few(marks), own["id"].eqNullSafe(marks["_id"]) & (own["hash"] == marks["_hash"]), "left")
+    # rows that repeat both id and text are rare: only they pay for another shuffle
+    once = joined.where("_stays is null").unionByName(joined.where("_stays").dropDuplicates(["id", "hash"]))
     return unboxed(once, docs)

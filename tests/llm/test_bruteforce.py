@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from massloom.llm import chat_format, embedding_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, queries, sharding, simhash
+from massloom.llm import chat_format, embedding_dedup, licenses, line_dedup, mixing, packing, quality, queries, sharding, simhash, simhash_jaccard
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -326,7 +326,7 @@ def test_near_components_are_exact(spark, limit):
     """Also where groups are over the limit."""
     texts = edited_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component"] for r in near_dedup.near_components(df, limit=limit).collect()}
+    got = {r["doc_id"]: r["component"] for r in simhash_jaccard.near_components(df, limit=limit).collect()}
     want = brute_jaccard_components(texts)
     assert len(set(want)) < len(texts) - 40 and len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
 

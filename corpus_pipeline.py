@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massloom.llm import exact_dedup, mixing, near_dedup, packing, quality
+from massloom.llm import exact_dedup, mixing, packing, quality, simhash_jaccard
 from massloom.session import materialize, ship_package
 
 
@@ -27,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays; near copies have a Jaccard similarity of 5-word shingles of at least 0.8."""
     ship_package(spark)
-    return near_dedup.one_of_each(docs, threshold=0.8, width=5)
+    return simhash_jaccard.one_of_each(docs, threshold=0.8, width=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

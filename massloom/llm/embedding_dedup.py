@@ -1,19 +1,21 @@
 """Embedding near-dedup by product quantisation with inverted lists.
 
 Coarse centroids and codebooks of residual subspaces are fitted on a bounded sample; every vector is indexed: put in the
-list of its nearest centroid and coded.  Every vector is also a query: it probes its own list and each list
-whose boundary lies within ``margin`` of it, gets asymmetric distances by table lookup, keeps candidates that
-the code's own error leaves possible (which loses none), and reranks them by exact cosine in double precision.
+list of its nearest centroid and coded.  Every vector is also a query: it probes its own list and each list whose boundary
+lies within half the link distance, gets asymmetric distances by table lookup, keeps candidates that the code's own error leaves
+possible, and reranks them by exact cosine in double precision.
 
-``margin`` is a share of the link distance, min(1, 4 / sqrt(dimension)) by default: a neighbour at link
-distance in a random direction is across a farther boundary with a chance under 1e-4.  ``exact=True`` probes with the whole
-distance and loses nothing.  Lists are per label.  Equal vectors are one row from the start.  A list with more
-than ``block`` members or queries is compared in blocks by several tasks; a block emits counts and a spanning
-forest, never its pairs.
+No link is lost: two vectors at link distance in different lists have the boundary of these between them, so one of the two at least is within
+half that distance of it and probes the other's list.  A link that one side alone can find is counted for both ends, one that both find for
+each by itself.  Codes are compared with their error added, so no candidate is dropped that the rerank would keep.
+
+Lists are per label and dimension, and their number grows with the rows, to ``MAX_LISTS``.  Equal vectors are one row from
+the start.  A list's members are dealt to blocks of ``block``, its queries to blocks of ``query_block``; a task holds one block of members and streams
+the queries past it, and emits counts and a spanning forest, never the pairs of a list.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors of null label or id, link
 with nothing and are components of their own; vectors of different dimension never link; rows repeated with one id
-are separate vectors of one component; no rows give no rows.
+are separate vectors of one component; no rows give no rows.  Only id, vector and label are read, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -23,17 +25,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from ..session import materialize
-from ..operators.graph import least_labels
+from ..operators.graph import connected_components, least_labels
+from ..session import materialize, ship_package
 
-#: Vectors that fit the index at most; those of least hash.
-SAMPLE_ROWS = 20_000
-MAX_LISTS = 1024
+#: Vectors that fit the index at most (those of least hash), vectors of the sample for a list, and lists of a dimension at most.
+SAMPLE_ROWS, PER_LIST, MAX_LISTS = 65_536, 32, 2048
 SUBSPACES, CODES = 8, 64
 
 
@@ -61,13 +61,27 @@ class Quantiser:
         return codes, np.sqrt((rest * rest).sum(1))
 
     def tables(self, q: np.ndarray, at: int) -> np.ndarray:
-        """(queries, subspaces, codes): squared distances of the query's residual in list ``at`` to each code."""
+        """(subspaces, codes, queries): squared distances of the query's residual in list ``at`` to each code."""
         rest = q - self.centroids[at]
-        out = np.zeros((len(q), len(self.slices), CODES))
+        out = np.zeros((len(self.slices), CODES, len(q)), np.float32)
         for m, (s, book) in enumerate(zip(self.slices, self.books, strict=True)):
             part = rest[:, s]
-            out[:, m, : len(book)] = (part * part).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
-        return np.maximum(out, 0)
+            out[m, : len(book)] = np.maximum((part * part).sum(1) - 2 * book @ part.T + (book**2).sum(1)[:, None], 0)
+        return out
+
+    def probes(self, x: np.ndarray, d: np.ndarray, lists: np.ndarray, margin: float) -> list[np.ndarray]:
+        """Lists of which each vector is within ``margin`` of the boundary, its own with them."""
+        c, out = self.centroids, []
+        norms = (c * c).sum(1)
+        for lo in range(0, len(x), 1024):
+            own = lists[lo : lo + 1024]
+            gaps = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * c[own] @ c.T, 0))
+            part = d[lo : lo + 1024]
+            at = np.arange(len(own))
+            near = part - part[at, own][:, None] <= 2 * gaps * margin + 1e-9
+            near[at, own] = True
+            out += [np.flatnonzero(r).astype(np.int32) for r in near]
+        return out
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -80,10 +94,15 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
+def flat(dim: int) -> Quantiser:
+    """One list, one code: for dimensions that the sample has not seen."""
+    return Quantiser(np.zeros((1, dim)), [slice(0, dim)], [np.zeros((1, dim))])
+
+
 def fit(x: np.ndarray, seed: int = 3) -> Quantiser:
-    """Fits on unit vectors: about one list for 64 vectors of the sample."""
+    """Fits on unit vectors: a list for ``PER_LIST`` vectors of the sample."""
     rng = np.random.default_rng(seed)
-    lists = max(1, min(MAX_LISTS, len(x) // 64))
+    lists = max(1, min(MAX_LISTS, len(x) // PER_LIST))
     centroids = k_means(x, lists, 8, rng)
     model = Quantiser(centroids, [], [])
     rest = x - centroids[model.assign(x)[1]]
@@ -93,100 +112,129 @@ def fit(x: np.ndarray, seed: int = 3) -> Quantiser:
     return model
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), np.float64)
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def block_links(model: Quantiser, at: int, members: pd.DataFrame, queries: pd.DataFrame, cosine: float, reach: float) -> pd.DataFrame:
-    """(rep, links, root) over one list's members and the queries that probe it."""
-    y, codes, err = unit(members["v"]), np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1), members["err"].to_numpy()
-    ids, weight = members["rep"].to_numpy(), members["copies"].to_numpy()
-    qids = queries["rep"].to_numpy()
-    nodes, position = np.unique(np.concatenate([ids, qids]), return_inverse=True)
-    links = np.zeros(len(nodes), np.int64)
-    root = np.arange(len(nodes))
-    bound = (reach + err + 1e-9) ** 2
-    for lo in range(0, len(queries), 256):
-        q = unit(queries["v"].iloc[lo : lo + 256])
-        tables = model.tables(q, at)
-        approx = np.zeros((len(q), len(y)))
-        for m in range(codes.shape[1]):
-            approx += tables[:, m, codes[:, m]]
-        a, b = np.nonzero(approx <= bound)
-        sim = np.empty(len(a))
-        for c in range(0, len(a), 1 << 16):  # bounded memory for a dense block
-            sim[c : c + (1 << 16)] = np.einsum("ij,ij->i", q[a[c : c + (1 << 16)]], y[b[c : c + (1 << 16)]])
-        ok = (sim >= cosine) & (qids[lo + a] != ids[b])
-        a, b = a[ok] + lo, b[ok]
-        pa, pb = position[len(ids) + a], position[b]
-        np.add.at(links, pa, weight[b])
-        if len(a):
-            root = least_labels(len(nodes), root[pa], root[pb])[root]
-    keep = (links > 0) | (root != np.arange(len(nodes)))
-    return pd.DataFrame({"rep": nodes[keep], "links": links[keep], "root": nodes[root[keep]]})
+def vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """Binary rows of doubles as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+
+
+class Members:
+    """One block of a list's members, past which queries are streamed."""
+
+    def __init__(self, model: Quantiser, at: int, dim: int, rows: pa.Table) -> None:
+        self.model, self.at, self.dim = model, at, dim
+        self.y = unit(vectors(rows["v"], dim))
+        self.codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.err, self.ids, self.copies = rows["err"].to_numpy(), rows["rep"].to_numpy(), rows["copies"].to_numpy()
+        probes = rows["probes"].to_pylist()
+        # (member, list that it probes) as one number, sorted
+        self.asks = np.array([k * len(model.centroids) + p for k, own in enumerate(probes) for p in own], np.int64)
+
+    def links(self, queries: pa.Table, cosine: float, reach: float) -> tuple[np.ndarray, ...]:
+        """(vector, links) of both ends, and a spanning forest (vector, root)."""
+        ids, home, copies = queries["rep"].to_numpy(), queries["home"].to_numpy(), queries["copies"].to_numpy()
+        x = unit(vectors(queries["v"], self.dim))
+        limit = ((reach + self.err) ** 2 * (1 + 1e-5) + 1e-6).astype(np.float32)[:, None]
+        nodes, place = np.unique(np.concatenate([self.ids, ids]), return_inverse=True)
+        count, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for lo in range(0, len(x), 256):
+            q = x[lo : lo + 256]
+            tables = self.model.tables(q, self.at)
+            approx = tables[0][self.codes[:, 0]]
+            for m in range(1, len(tables)):
+                approx += tables[m][self.codes[:, m]]
+            b, a = np.nonzero(approx <= limit)
+            sim = np.empty(len(a))
+            for c in range(0, len(a), 1 << 16):  # bounded memory for a dense block
+                sim[c : c + (1 << 16)] = np.einsum("ij,ij->i", q[a[c : c + (1 << 16)]], self.y[b[c : c + (1 << 16)]])
+            ok = (sim >= cosine) & (ids[lo + a] != self.ids[b])
+            a, b = a[ok] + lo, b[ok]
+            if not len(a):
+                continue
+            pa_, pb = place[len(self.ids) + a], place[b]
+            np.add.at(count, pa_, self.copies[b])
+            asked = b * len(self.model.centroids) + home[a]
+            found = np.searchsorted(self.asks, asked)
+            alone = self.asks[np.minimum(found, len(self.asks) - 1)] != asked  # the member does not probe the query's list
+            np.add.at(count, pb[alone], copies[a[alone]])
+            root = least_labels(len(nodes), root[pa_], root[pb])[root]
+        keep = (count > 0) | (root != np.arange(len(nodes)))
+        return nodes[keep], count[keep], nodes[root[keep]]
 
 
 def embedding_dedup(
-    rows: DataFrame, cosine: float = 0.98, exact: bool = False, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    rows: DataFrame, cosine: float = 0.98, block: int = 8192, query_block: int = 1 << 18, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """One row per row of ``rows``: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
+    ship_package(spark)
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     named = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     named = materialize(named.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit("second"), "label", "v")), "vectors")
     own = named.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     reps = materialize(own, "reps")
-    sample = reps.orderBy("h1").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    models: dict[int, Quantiser] = {}
-    for dim, part in sample.groupby(sample.map(len)):
-        models[int(dim)] = fit(unit(part))
+    sample = reps.orderBy("h1").limit(sample_rows).select("v").toPandas()["v"]
+    models = {int(dim): fit(unit(np.stack(part.to_list()).astype(np.float64))) for dim, part in sample.groupby(sample.map(len))}
     reach = math.sqrt(2 - 2 * cosine)
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, part in b.groupby(b["v"].map(len)):
-                model = models.get(int(dim)) or Quantiser(np.zeros((1, dim)), [slice(0, dim)], [np.zeros((1, dim))])
-                x = unit(part["v"])
-                d, lists = model.assign(x)
-                codes, err = model.encode(x, lists)
-                c = model.centroids
-                gaps = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T, 0))[lists]
-                margin = reach * (1.0 if exact else min(1.0, 4 / math.sqrt(dim)))
-                near = d - d[np.arange(len(x)), lists][:, None] <= 2 * gaps * margin + 1e-9
-                near[np.arange(len(x)), lists] = True
-                yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "label": part["label"], "v": part["v"], "dim": int(dim), "at": lists, "codes": [r.tobytes() for r in codes], "err": err, "probes": [np.flatnonzero(r).astype(np.int32) for r in near]})
-
-    schema = "rep long, copies long, label string, v array<double>, dim int, at int, codes binary, err double, probes array<int>"
-    indexed = materialize(reps.select("rep", "copies", "label", "v").mapInPandas(index, schema), "indexed")
+            v = b.column("v")
+            dims = np.diff(v.offsets.to_numpy())
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                model, rest = models.get(dim) or flat(dim), b.take(pa.array(at))
+                x = rest.column("v").flatten().to_numpy().reshape(-1, dim)
+                u = unit(x)
+                d, lists = model.assign(u)
+                codes, err = model.encode(u, lists)
+                probes = model.probes(u, d, lists, reach / 2)
+                names = ["rep", "copies", "label", "v", "dim", "home", "codes", "err", "probes"]
+                made = [rest.column("rep"), rest.column("copies"), rest.column("label"), pa.array([r.tobytes() for r in np.ascontiguousarray(x, np.float64)], pa.binary()), pa.array(np.full(len(at), dim), pa.int32()),
+                        pa.array(lists, pa.int32()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(err, pa.float64()), pa.array(probes, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(made, names=names)
+
+    schema = "rep long, copies long, label string, v binary, dim int, home int, codes binary, err double, probes array<int>"
+    indexed = materialize(reps.select("rep", "copies", "label", "v").mapInArrow(index, schema), "indexed")
     cell = ["label", "dim", "at"]
-    members = indexed.drop("probes")
-    queries = indexed.select("rep", "label", "dim", F.explode("probes").alias("at"), "v")
+    members = indexed.withColumn("at", F.col("home"))
+    queries = indexed.select("rep", "copies", "label", "v", "dim", "home", F.explode("probes").alias("at"))
     sizes = members.groupBy(*cell).agg(F.count("*").alias("n")).join(queries.groupBy(*cell).agg(F.count("*").alias("nq")), cell)
-    sizes = materialize(sizes.select(*cell, F.ceil(F.col("n") / block).cast("int").alias("mb"), F.ceil(F.col("nq") / block).cast("int").alias("qb")), "cells")
+    sizes = materialize(sizes.select(*cell, F.ceil(F.col("n") / block).cast("int").alias("mb"), F.ceil(F.col("nq") / query_block).cast("int").alias("qb")), "cells")
 
     def dealt(side: DataFrame, mine: str, other: str) -> DataFrame:
         """Each row once for each block of the other side."""
         k = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
         return side.join(sizes, cell).withColumn(mine, k).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    both = dealt(members, "mb", "qb").withColumn("member", F.lit(True)).unionByName(dealt(queries, "qb", "mb").withColumn("member", F.lit(False)), allowMissingColumns=True)
-    key = [*cell, "mb", "qb"]
+    both = dealt(members, "mb", "qb").withColumn("query", F.lit(False)).unionByName(dealt(queries, "qb", "mb").withColumn("query", F.lit(True)), allowMissingColumns=True)
+    both = both.select(F.concat_ws(" ", "dim", "at", "mb", "qb", "label").alias("key"), "query", "rep", "copies", "v", "home", "codes", "err", "probes")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        for (_, dim, at, _, _), g in pd.concat(got).groupby(key, sort=False):
-            m, q = g[g["member"]], g[~g["member"].astype(bool)]
-            if len(m) and len(q) and (int(dim) in models):
-                yield block_links(models[int(dim)], int(at), m, q, cosine, reach)
-            elif len(m) and len(q):
-                yield block_links(Quantiser(np.zeros((1, int(dim))), [slice(0, int(dim))], [np.zeros((1, int(dim)))]), int(at), m, q, cosine, reach)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block_ = None, [], None
+        for b in batches:
+            keys = b.column("key").to_numpy(zero_copy_only=False)
+            asks = b.column("query").to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *turns], [*turns, b.num_rows], strict=True):
+                part = b.slice(lo, hi - lo)
+                if keys[lo] != key:
+                    key, held, block_ = keys[lo], [], None
+                if not asks[lo]:
+                    held.append(part)
+                elif held:
+                    if block_ is None:
+                        dim, at = map(int, key.split(" ", 2)[:2])
+                        block_ = Members(models.get(dim) or flat(dim), at, dim, pa.Table.from_batches(held))
+                    made = block_.links(pa.Table.from_batches([part]), cosine, reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["rep", "links", "root"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(both.repartition(n, *key).mapInPandas(compare, "rep long, links long, root long"), "links")
+    found = materialize(both.repartition(n, "key").sortWithinPartitions("key", "query").mapInArrow(compare, "rep long, links long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("id", "rep")
     done = materialize(reps.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left"), "named")

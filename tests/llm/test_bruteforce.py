@@ -270,11 +270,28 @@ def test_embedding_blocks_and_recall(spark):
     links = [(i, j) for i in range(len(u)) for j in range(len(u)) if i != j and label[i] == label[j] and sim[i, j] >= 0.98]
     n = Counter(i for i, _ in links)
     comp = components(len(u), links)
-    for exact, block in ((True, 8), (False, 4096)):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, exact=exact, block=block).collect()}
-        if exact:
-            assert got == {i: (n[i], comp[i]) for i in range(len(u))}
-        assert sum(g[0] for g in got.values()) >= 0.9 * len(links)
+    for options in ({"block": 8, "query_block": 16}, {}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, **options).collect()}
+        assert got == {i: (n[i], comp[i]) for i in range(len(u))}
+
+
+@pytest.mark.parametrize(("dim", "rank"), [(64, 3), (64, 64), (256, 5), (768, 3), (768, 8)])
+def test_embedding_links_in_few_directions(spark, dim, rank):
+    """All links, where vectors differ in few directions and lists have boundaries everywhere; counted alike from both ends."""
+    rng = np.random.default_rng(dim + rank)
+    basis = np.linalg.qr(rng.normal(size=(dim, rank)))[0]
+    x = (rng.normal(size=(1500, rank)) @ basis.T).astype(np.float32)
+    x[1000:] = x[:500] * rng.uniform(0.5, 2, (500, 1)).astype(np.float32) + (rng.normal(0, 0.12 / np.sqrt(rank), (500, rank)) @ basis.T).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    sim = u @ u.T
+    same = (np.arange(1500)[:, None] - np.arange(1500)) % 2 == 0
+    links = [(i, j) for i, j in np.argwhere((sim >= 0.98) & same).tolist() if i != j]
+    clear = {i for i, j in np.argwhere((abs(sim - 0.98) < 1e-12) & same).tolist()}
+    n, comp = Counter(i for i, _ in links), components(1500, links)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, block=200).collect()}
+    assert len(links) > 200 and not clear and got == {i: (n[i], comp[i]) for i in range(1500)}
 
 
 def test_chat_round_trip(spark, sf_dir):

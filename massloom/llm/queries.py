@@ -80,12 +80,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+# later copies of three lines, and of one or two lines that have over 50 words
 LINE_DEDUP_SQL = r"""
 WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS raw, trim(unnest(ls), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM a),
-w AS (SELECT doc_id, line, [t, lead(t, 1) OVER d, lead(t, 2) OVER d] AS g, lead(line, 2) OVER d AS full3 FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
-later AS (SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY g ORDER BY doc_id, line) AS k FROM w WHERE full3 IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, line + unnest([0, 1, 2]) AS line FROM later),
+w AS (SELECT doc_id, line, t AS g1, [t, lead(t, 1) OVER d] AS g2, [t, lead(t, 1) OVER d, lead(t, 2) OVER d] AS g3, lead(line, 1) OVER d AS full2, lead(line, 2) OVER d AS full3,
+  len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS w1, lead(len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')), 1) OVER d AS w2 FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+k AS (SELECT doc_id, line, full2, full3, w1, w2, row_number() OVER (PARTITION BY g1 ORDER BY doc_id, line) AS k1 FROM w),
+k2 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY g2 ORDER BY doc_id, line) AS k2 FROM w WHERE full2 IS NOT NULL),
+k3 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY g3 ORDER BY doc_id, line) AS k3 FROM w WHERE full3 IS NOT NULL),
+gone AS (SELECT doc_id, line + unnest([0, 1, 2]) AS line FROM k3 WHERE k3 > 1
+  UNION SELECT k.doc_id, k.line + unnest([0, 1]) FROM k JOIN k2 ON k.doc_id = k2.doc_id AND k.line = k2.line WHERE k2 > 1 AND w1 + w2 > 50
+  UNION SELECT doc_id, line FROM k WHERE k1 > 1 AND w1 > 50),
 m AS (SELECT l.doc_id, l.line, raw, gone.line IS NOT NULL AS out FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line),
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM m WHERE out) GROUP BY doc_id, island),
 s AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM r GROUP BY doc_id),

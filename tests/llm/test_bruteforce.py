@@ -70,11 +70,32 @@ def test_line_runs(spark, size):
         assert r["clean_text"] == "\n".join(x for k, x in enumerate(lines) if k not in gone[r["doc_id"]])
 
 
-def test_suffixes_to_the_end(spark):
-    """Ranks of a full array: suffixes that share the depth lie in one group, and depth reaches the longest repeat."""
-    df = spark.createDataFrame([(1, "a\nb\nc\nd\ne\nx"), (2, "q\na\nb\nc\nd\ne\ny"), (3, "b\nc")], "doc_id long, text string")
-    ranks, depth = line_dedup.repeated_starts(df, None, "doc_id", "text")
-    assert depth == 4 and ranks.groupBy("rank").count().collect() and {(r["doc_id"], r["line"]) for r in ranks.collect()} == {(1, 0), (1, 1), (2, 1), (2, 2)}
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_suffix_array_and_common_prefixes(spark, depth):
+    """Neighbours in the array have the common prefix that it says, and every repeat is an interval of it."""
+    rng = np.random.default_rng(depth)
+    texts = {i: ["l%d" % k for k in rng.integers(0, 5, rng.integers(1, 25))] for i in range(30)} | {30: ["a", "b", "c", "d", "e", "x"], 31: ["q", "a", "b", "c", "d", "e", "y"]}
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    got = sorted(line_dedup.lcp_array(line_dedup.ranks_by_depth(df, depth)).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(len(got)))
+    suffix = [texts[r["doc_id"]][r["line"] :] for r in got]
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y), depth) and x[n] == y[n]:
+            n += 1
+        return n
+
+    assert [r["lcp"] for r in got[1:]] == [common(x, y) for x, y in zip(suffix, suffix[1:], strict=False)] and got[0]["lcp"] == 0
+    # the longest prefix that any two places share is the least along the array between them: intervals hold every repeat
+    every = [texts[d][k:] for d in texts for k in range(len(texts[d]))]
+    for k in range(1, depth + 1):
+        want = Counter(tuple(s[:k]) for s in every if len(s) >= k)
+        runs, last = Counter(), None
+        for r, s in zip(got, suffix, strict=True):
+            last = last if last is not None and r["lcp"] >= k else (tuple(s[:k]) if len(s) >= k else None)
+            runs[last] += 1
+        assert all(runs[w] == n for w, n in want.items() if n > 1)
 
 
 def test_licenses(spark, sf_dir, docs):

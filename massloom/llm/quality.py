@@ -1,84 +1,93 @@
 """Quality classifier by co-training of two views.
 
-One view sees the text's content (statistics of its characters, words and lines), the other the page's metadata (source,
-language, declared length).  Each trains a logistic model on the labelled rows; over several rounds each gives
-the other the unlabelled documents of which it is most sure, as pseudo-labels.  Both are calibrated on labelled rows that
-their models did not see, where a last logistic model combines their log-odds; its probability scores all documents.
+One view sees what the text says: hashed word uni- and bigrams, and statistics of words and letters.  The other sees the page
+about it: source, language, both together, bands of the declared length, and the layout (lines, their lengths and repeats, marks
+and separators).  Each trains a logistic model on the labelled rows; over several rounds each model reads all unlabelled
+documents, on the executors, and gives the other view those of which it is most sure, as pseudo-labels.  Both are calibrated
+on labelled rows that their models did not see, where a last logistic model combines their log-odds; its probability scores
+all documents.
 
-Training reads a bounded, documented sample: at most ``max_labelled`` labelled and ``max_pool`` unlabelled
-documents, those of least hash of the id, so a rerun takes the same.  Features are made on the executors and only they reach
-the driver.  Scoring reads every document, whole, in one pass without a shuffle.
+Texts cross to Python once: features of every document are written, about 400 bytes each, and training, every round and
+scoring read that table.  Bounded, by documented parameters, is what fits a model: at most ``max_labelled`` labelled rows, those of
+least hash of the id, so a rerun takes the same, and at most ``per_round`` pseudo-labels a round and view, picked from all documents.
 
 Defined cases: a null or empty text has all statistics 0, null metadata is a value of its own; labels that are null are
 left out and of several labels of one id the mean counts; without labels of both classes every document
-scores 1 and stays; rows repeated score alike; no rows give no rows.
+scores 1 and stays; with a class of one labelled row the views are not calibrated and count alike; rows repeated score alike; no
+rows give no rows; very long texts are read whole.  Columns are renamed apart, so none clashes.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import map_batches
+from ..session import materialize, ship_package
+from .rows import few, unboxed, whole
 
-MAX_LABELLED, MAX_POOL = 12_000, 6_000
-META_BUCKETS = 64
+MAX_LABELLED, PER_ROUND = 12_000, 500
+META_COLS = ("source", "lang", "n_chars")
+#: Statistics of either view, buckets of n-grams and of names.
+CONTENT, LAYOUT, GRAMS, NAMES = 7, 7, 64, 64
+#: Documents whose features are made at once.
+SLICE = 500
 _LETTER = re.compile(r"[^\W\d_]+")
 _CAPS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
 _MARKS = re.compile(r"[^\w\s.,;:'\"()?-]")
+_BARE = re.compile(r"(?<!\S)[\W_]")
 
 
-def text_features(text: str | None) -> list[float]:
-    """Statistics of content, each near 0 to 1 or a logarithm."""
+def text_features(text: str | None) -> tuple[list[float], list[float]]:
+    """(content: statistics and hashed n-grams, layout) of one text; statistics are near 0 to 1 or logarithms."""
     text = text or ""
     words = text.split()
     if not words:
-        return [0.0] * 14
+        return [0.0] * (CONTENT + GRAMS), [0.0] * LAYOUT
     n, chars = len(words), len(text)
-    counts = Counter(words)
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
+    pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    counts = np.unique(h, return_counts=True)[1]
     lines = [x for x in text.split("\n") if x.strip()]
     letters = sum(map(len, _LETTER.findall(text)))
     caps = sum(map(len, _CAPS.findall(text)))
-    marks = len(_MARKS.findall(text))
-    bare = sum(1 for w, k in counts.items() for _ in range(k) if not w[0].isalnum())
-    bigrams = len(set(zip(words, words[1:], strict=False)))
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return [
-        np.log1p(n), letters / n / 10, len(counts) / n, max(counts.values()) / n, same / n, bigrams / max(1, n - 1), caps / max(1, letters), marks / n,
-        bare / n, letters / chars, text.count("|") / n, len(set(lines)) / max(1, len(lines)), min(n / max(1, len(lines)) / 100, 5.0), np.log1p(len(lines)),
-    ]
-
-
-def meta_features(values: Sequence) -> np.ndarray:
-    """Hashed one-hot of names, logarithm and tenth of the range of numbers."""
-    out = np.zeros(META_BUCKETS + 2)
-    for k, v in enumerate(values):
+    content = [letters / n / 10, len(counts) / n, counts.max() / n, (h[1:] == h[:-1]).sum() / n, len(np.unique(pairs)) / max(1, n - 1), caps / max(1, letters), letters / chars]
+    grams = np.concatenate([h, pairs])
+    grams = (grams ^ (grams >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    sign = 1.0 - 2.0 * ((grams >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+    hashed = np.bincount((grams >> np.uint64(58)).astype(np.int64), sign, GRAMS) / np.sqrt(len(grams))
+    layout = [np.log1p(n), len(_MARKS.findall(text)) / n, len(_BARE.findall(text)) / n, text.count("|") / n, len(set(lines)) / max(1, len(lines)), min(n / max(1, len(lines)) / 100, 5.0), np.log1p(len(lines))]
+    return [*content, *hashed.tolist()], layout
+
+
+def name_features(values: Sequence) -> np.ndarray:
+    """Hashed one-hot of names, of the first two together, and of bands of numbers."""
+    out = np.zeros(NAMES)
+    names = []
+    for v in values:
         number = isinstance(v, (int, float, np.integer, np.floating)) and v == v
-        if number:
-            out[META_BUCKETS] += np.log1p(max(0.0, float(v))) / 10
-            v = int(np.log1p(max(0.0, float(v))))
-        name = "" if v is None or v != v else str(v)
-        out[zlib.crc32(f"{k}={name}".encode()) % META_BUCKETS] = 1.0
+        names.append("" if v is None or v != v else f"{4 * np.log1p(max(0.0, float(v))):.0f}" if number else str(v))
+    names.append(" ".join(names[:2]))
+    for k, name in enumerate(names):
+        out[zlib.crc32(f"{k}={name}".encode("utf-8", "surrogatepass")) % NAMES] = 1.0
     return out
 
 
-#: Where features take steps, as quantiles of the training rows.
+#: Where statistics take steps, as quantiles of the training rows.
 STEPS = (0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99)
 
 
 @dataclass
 class Logistic:
-    """Ridge logistic regression by Newton steps, on standardised features and on steps at their quantiles, which let a
-    feature count for much or little on either tail whatever lies beyond."""
+    """Ridge logistic regression by Newton steps, on standardised features and, for the first ``stats`` of them, on steps at
+    their quantiles, which let a feature count for much or little on either tail whatever lies beyond."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -87,10 +96,10 @@ class Logistic:
     weight: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
+    def fit(cls, x: np.ndarray, y: np.ndarray, stats: int, ridge: float = 1.0) -> Logistic:
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        edges = np.quantile(x, STEPS, axis=0)
-        stepped = np.array([c for c in range(x.shape[1]) if len(np.unique(edges[:, c])) > 2], int)  # not those of two values
+        edges = np.quantile(x[:, :stats], STEPS, axis=0)
+        stepped = np.array([c for c in range(edges.shape[1]) if len(np.unique(edges[:, c])) > 2], int)  # not those of two values
         model = cls(mean, scale, stepped, edges[:, stepped], np.zeros(x.shape[1] + len(STEPS) * len(stepped) + 1))
         z = model._expand(x)
         penalty = np.full(z.shape[1], ridge)
@@ -113,6 +122,10 @@ class Logistic:
     def odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._expand(x) @ self.weight, -15, 15)
 
+    def sureness(self, x: np.ndarray) -> np.ndarray:
+        """Probability of good, to nine digits: alike however rows are batched."""
+        return np.round(1 / (1 + np.exp(-self.odds(x))), 9)
+
 
 @dataclass
 class Scorer:
@@ -121,7 +134,7 @@ class Scorer:
     text: Logistic | None = None
     meta: Logistic | None = None
     calibration: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0))
-    mix: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    mix: tuple[float, float, float] = (0.5, 0.5, 0.0)
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(combined, text, metadata) probabilities of good quality."""
@@ -144,105 +157,182 @@ def _line(columns: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95, folds: int = 5, seed: int = 7) -> Scorer:
-    """``label``: 1 good, 0 bad, -1 unlabelled.  Each round a view gives at most ``share`` of the pool, in the classes' proportion,
-    of which it is at least ``sure``.  Calibration and mix are fitted on odds that models give to folds that they did not see."""
-    known = np.flatnonzero(label >= 0)
-    if len(np.unique(label[known])) < 2 or len(known) < 20:
+def surest(p: np.ndarray, keys: np.ndarray, good: int, bad: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``good`` rows of highest p and the ``bad`` of lowest, none less than ``sure``; ties by key."""
+    up, down = np.lexsort((keys, -p))[:good], np.lexsort((keys, p))[:bad]
+    return up[p[up] >= sure], down[1 - p[down] >= sure]
+
+
+class ArrayPool:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, keys: np.ndarray | None = None) -> None:
+        self.views, self.keys = (text, meta), np.arange(len(text)) if keys is None else keys
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def surest(self, model: Logistic, view: int, good: int, bad: int, sure: float, skip: set[int]) -> list[tuple[int, float, np.ndarray]]:
+        """(key, label, features for the other view) that the model of ``view`` is surest of."""
+        free = np.array([i for i, k in enumerate(self.keys.tolist()) if k not in skip], int)
+        if not len(free):
+            return []
+        up, down = surest(model.sureness(self.views[view][free]), self.keys[free], good, bad, sure)
+        other = self.views[1 - view]
+        return [(int(self.keys[i]), v, other[i]) for v, at in ((1.0, free[up]), (0.0, free[down])) for i in at]
+
+
+class TablePool:
+    """Unlabelled rows of a feature table: every one is scored, by the executors, and the surest come back."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+        self.n = rows.count()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def surest(self, model: Logistic, view: int, good: int, bad: int, sure: float, skip: set[int]) -> list[tuple[int, float, np.ndarray]]:
+        mine, other = ("t", "m") if view == 0 else ("m", "t")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p, keys = model.sureness(matrix(b.column(mine))), b.column("key").to_numpy()
+                free = np.array([i for i, k in enumerate(keys.tolist()) if k not in skip], int)
+                up, down = surest(p[free], keys[free], good, bad, sure)
+                at = np.concatenate([free[up], free[down]])
+                label = np.repeat([1.0, 0.0], [len(up), len(down)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(label), pa.array(np.where(label > 0, p[at], 1 - p[at])), b.column(other).take(pa.array(at))], names=["key", "label", "p", "x"])
+
+        found = self.rows.select("key", "t", "m").mapInArrow(run, "key long, label double, p double, x binary")
+        found = materialize(found, "surest")
+        out: dict[int, tuple[int, float, np.ndarray]] = {}
+        for label, n in ((1.0, good), (0.0, bad)):
+            for r in found.where(F.col("label") == label).orderBy(F.desc("p"), "key").limit(n).collect():
+                out.setdefault(r["key"], (r["key"], label, np.frombuffer(r["x"], np.float32).astype(float)))
+        return list(out.values())
+
+
+def co_train(
+    text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: ArrayPool | TablePool, rounds: int = 4, share: float = 0.05, per_round: int = PER_ROUND, sure: float = 0.95, folds: int = 5, seed: int = 7,
+    stats: tuple[int, int] = (CONTENT, LAYOUT),
+) -> Scorer:
+    """``text``, ``meta``, ``label`` (1 good, 0 bad): labelled rows.  Each round a view gives at most ``share`` of the pool and
+    ``per_round`` rows, in the classes' proportion, of which it is at least ``sure``.  Calibration and mix are fitted on odds that models give
+    to folds that they did not see."""
+    label = label.astype(float)
+    if len(np.unique(label)) < 2:
         return Scorer()
-    views = (text, meta)
-    pool = np.flatnonzero(label < 0)
-    taught: list[dict[int, float]] = [{}, {}]  # by view: pseudo-labels that the other gave
-    base = label[known].mean()
+    views, base = (text, meta), label.mean()
+    taught: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # by view: pseudo-labels that the other gave
 
     def train(k: int, own: np.ndarray) -> Logistic:
-        extra = np.array(sorted(taught[k]), int)
-        rows = np.concatenate([own, extra])
-        y = np.concatenate([label[own], [taught[k][i] for i in extra]]).astype(float)
-        return Logistic.fit(views[k][rows], y)
+        extra = [taught[k][i] for i in sorted(taught[k])]
+        x = np.concatenate([views[k][own], *([np.stack([x for _, x in extra])] if extra else [])])
+        return Logistic.fit(x, np.concatenate([label[own], [y for y, _ in extra]]), stats[k])
 
-    for _ in range(rounds):
+    known = np.arange(len(label))
+    most = max(1, min(per_round, int(share * len(pool))))
+    for _ in range(rounds if len(pool) else 0):
         models = [train(0, known), train(1, known)]
         for k in (0, 1):
-            free = np.array([i for i in pool if i not in taught[1 - k]], int)
-            if not len(free):
-                continue
-            p = 1 / (1 + np.exp(-models[k].odds(views[k][free])))
-            most = max(1, int(share * len(pool)))
-            for value, conf, n in ((1.0, p, max(1, round(most * base))), (0.0, 1 - p, max(1, round(most * (1 - base))))):
-                best = np.argsort(-conf, kind="stable")[:n]
-                taught[1 - k].update({int(free[i]): value for i in best if conf[i] >= sure})
-    fold = np.random.default_rng(seed).permutation(len(known)) % folds
+            for i, y, x in pool.surest(models[k], k, max(1, round(most * base)), max(1, round(most * (1 - base))), sure, set(taught[1 - k])):
+                taught[1 - k][i] = (y, x)
+    scorer = Scorer(train(0, known), train(1, known))
+    folds = min(folds, int(min((label == 1).sum(), (label == 0).sum())))
+    if folds < 2:
+        return scorer
+    # each class is dealt to the folds evenly
+    order = np.random.default_rng(seed).permutation(len(known))
+    fold = np.empty(len(known), int)
+    for c in (0, 1):
+        at = order[label[order] == c]
+        fold[at] = np.arange(len(at)) % folds
     odds = np.zeros((2, len(known)))
     for f in range(folds):
-        seen, out = known[fold != f], known[fold == f]
         for k in (0, 1):
-            if len(np.unique(label[seen])) == 2 and len(out):
-                odds[k, fold == f] = train(k, seen).odds(views[k][out])
-    y = label[known].astype(float)
-    scorer = Scorer(train(0, known), train(1, known))
-    scorer.calibration = tuple(tuple(_line(o[:, None], y)) for o in odds)  # type: ignore[assignment]
+            odds[k, fold == f] = train(k, known[fold != f]).odds(views[k][fold == f])
+    scorer.calibration = tuple(tuple(_line(o[:, None], label)) for o in odds)  # type: ignore[assignment]
     both = np.stack([a * o + b for o, (a, b) in zip(odds, scorer.calibration, strict=True)], axis=1)
-    scorer.mix = tuple(_line(both, y))  # type: ignore[assignment]
+    scorer.mix = tuple(_line(both, label))  # type: ignore[assignment]
     return scorer
 
 
-def _features(texts: Sequence, meta: Sequence[Sequence]) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t) for t in texts]).reshape(len(texts), -1)
-    return text, np.array([meta_features(v) for v in zip(*meta, strict=True)] if meta else [meta_features(())] * len(texts)).reshape(len(texts), META_BUCKETS + 2)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Binary rows of floats as a matrix."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(float)
 
 
-def _of_batch(b: pa.RecordBatch, n_meta: int) -> tuple[np.ndarray, np.ndarray]:
-    return _features(b.column("text").to_pylist(), [b.column(f"m{k}").to_pylist() for k in range(n_meta)])
+def row_key(docs: DataFrame, id_col: str, text_col: str, meta_cols: Sequence[str]) -> Column:
+    """A hash of all that a row's features are made of, and its id."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, text_col, *meta_cols)])
 
 
-def _view(docs: DataFrame, id_col: str, text_col: str, meta_cols: Sequence[str]) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)])
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = META_COLS) -> DataFrame:
+    """(doc_id, key, t, m) of every row: features of either view, as floats in bytes."""
+    ship_package(docs.sparkSession)
+    n_meta = len(meta_cols)
+    view = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(docs, id_col, text_col, meta_cols).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"m{k}") for k, c in enumerate(meta_cols)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_ in batches:
+            for lo in range(0, whole_.num_rows, SLICE):
+                b = whole_.slice(lo, SLICE)
+                t, m = [], []
+                names = [b.column(f"m{k}").to_pylist() for k in range(n_meta)]
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    content, layout = text_features(text)
+                    t.append(np.array(content, np.float32).tobytes())
+                    m.append(np.concatenate([layout, name_features([v[i] for v in names])]).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "key", "t", "m"])
+
+    return view.mapInArrow(run, "doc_id long, key long, t binary, m binary")
+
+
+def train_on(table: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, **options) -> Scorer:
+    """A scorer fitted on a written table of ``features``."""
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    label = materialize(own.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(label_col).alias("y")), "labels")
+    known = table.join(few(label), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(max_labelled).toPandas()
+    known = known.drop_duplicates("doc_id")
+    if known.empty:
+        return Scorer()
+    pool = TablePool(materialize(table.join(few(label.select("doc_id")), "doc_id", "left_anti").where("doc_id is not null"), "pool"))
+    t, m = (np.stack([np.frombuffer(x, np.float32) for x in known[c]]).astype(float) for c in ("t", "m"))
+    return co_train(t, m, (known["y"].to_numpy() >= 0.5).astype(float), pool, **options)
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars"),
-    max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL,
-) -> Scorer:
-    """A scorer fitted on the sample (see above)."""
-    label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(label_col).alias("y"))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    known = label.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = ids.join(label, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    picked = known.select("doc_id", F.when(F.col("y") >= 0.5, 1).otherwise(0).alias("y")).unionByName(pool.select("doc_id", F.lit(-1).alias("y"))).where("doc_id is not null")
-    n_meta = len(meta_cols)
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = META_COLS, **options) -> Scorer:
+    """A scorer fitted on ``docs``."""
+    return train_on(materialize(features(docs, id_col, text_col, meta_cols), "features"), labels, label_col, id_col, **options)
 
-    def one(b: pa.RecordBatch) -> dict:
-        t, m = _of_batch(b, n_meta)
-        return {"doc_id": b.column("doc_id"), "y": b.column("y"), "t": t.tolist(), "m": m.tolist()}
 
-    lists = {"t": pa.list_(pa.float64()), "m": pa.list_(pa.float64())}
-    # the sample's ids are at most max_labelled + max_pool
-    sample = _view(docs, id_col, text_col, meta_cols).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text", *[f"m{k}" for k in range(n_meta)])
-    rows = map_batches(sample, one, "doc_id long, y int, t array<double>, m array<double>", lists).toPandas()
-    if rows.empty:
-        return Scorer()
-    rows = rows.sort_values(["doc_id", "y"], kind="stable").drop_duplicates("doc_id")
-    return co_train(np.stack(rows["t"]), np.stack(rows["m"]), rows["y"].to_numpy())
+def score_features(table: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, key, quality_score, text_score, meta_score, kept) of every row of ``features``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both, t, m = scorer.score(matrix(b.column("t")), matrix(b.column("m")))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *map(pa.array, (both, t, m, both >= threshold))], names=["doc_id", "key", "quality_score", "text_score", "meta_score", "kept"])
 
-def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars")) -> DataFrame:
-    """One row per row of ``docs``: doc_id, quality_score, text_score, meta_score, kept."""
-    n_meta = len(meta_cols)
+    ship_package(table.sparkSession)
+    return table.mapInArrow(run, "doc_id long, key long, quality_score double, text_score double, meta_score double, kept boolean")
 
-    def one(b: pa.RecordBatch) -> dict:
-        both, t, m = scorer.score(*_of_batch(b, n_meta))
-        return {"doc_id": b.column("doc_id"), "quality_score": both, "text_score": t, "meta_score": m, "kept": both >= threshold}
 
-    types = {"quality_score": pa.float64(), "text_score": pa.float64(), "meta_score": pa.float64(), "kept": pa.bool_()}
-    return map_batches(_view(docs, id_col, text_col, meta_cols), one, "doc_id long, quality_score double, text_score double, meta_score double, kept boolean", types)
+def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = META_COLS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, quality_score, text_score, meta_score, kept."""
+    return score_features(features(docs, id_col, text_col, meta_cols), scorer, threshold).drop("key")
 
 
-def good_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars")) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps; texts cross to Python once and nothing is shuffled."""
+def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """Trains on ``docs`` and scores them, reading texts once: doc_id, key, quality_score, text_score, meta_score, kept."""
+    table = materialize(features(docs), "features")
+    return score_features(table, train_on(table, labels, **options), threshold)
 
-    @F.pandas_udf("boolean")
-    def keeps(text: pd.Series, *meta: pd.Series) -> pd.Series:
-        return pd.Series(scorer.score(*_features(list(text), [list(m) for m in meta]))[0] >= threshold)
 
-    return docs.where(keeps(F.col(text_col), *[F.col(c) for c in meta_cols]))
+def good_documents(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: Sequence[str] = META_COLS) -> DataFrame:
+    """The rows of ``docs`` that ``scored`` keeps; texts are shuffled only where more are rejected than may be broadcast."""
+    gone = materialize(scored.where("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "rejected")
+    own = docs.select(whole(docs).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("id"), row_key(docs, id_col, text_col, meta_cols).alias("key"))
+    return unboxed(own.join(few(gone), own["id"].eqNullSafe(gone["_id"]) & (own["key"] == gone["_key"]), "left_anti"), docs)

@@ -55,8 +55,7 @@ def op5_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents")
-    return quality.score(docs, quality.train(docs, _table(spark, d, "labels")))
+    return quality.classified(_table(spark, d, "documents"), _table(spark, d, "labels")).drop("key")
 
 
 def op7_simhash(spark: SparkSession, d: str) -> DataFrame:

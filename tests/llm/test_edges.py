@@ -113,12 +113,14 @@ def test_quality_edges(spark, messy, nothing):
     scorer = quality.train(messy, labels)
     got = rows_of(quality.score(messy, scorer))
     assert len(got) == messy.count() and all(r["kept"] and r["quality_score"] == 1.0 for r in got)  # one class: all stay
-    assert quality.good_documents(messy, scorer).count() == messy.count()
-    assert rows_of(quality.score(nothing, quality.train(nothing, labels))) == [] and quality.good_documents(nothing, scorer).count() == 0
+    assert quality.good_documents(messy, quality.classified(messy, labels)).count() == messy.count()
+    assert rows_of(quality.score(nothing, quality.train(nothing, labels))) == [] and quality.good_documents(nothing, quality.classified(nothing, labels)).count() == 0
     many = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("Plain words make a fair sentence here.")).otherwise(F.lit("BUY!! NOW!! CHEAP!! $$$ ###")).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"))
-    trained = quality.train(many, many.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality")))
-    assert len(rows_of(quality.score(messy, trained))) == messy.count()
-    assert {r["doc_id"] % 2 for r in rows_of(quality.good_documents(many, trained))} == {0}
+    for n in (2, 3, 60):  # few labels too
+        known = many.where(F.col("doc_id") < n).select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+        assert len(rows_of(quality.score(messy, quality.train(many, known)))) == messy.count()
+        kept = quality.good_documents(many, quality.classified(many, known))
+        assert kept.columns == many.columns and {r["doc_id"] % 2 for r in rows_of(kept)} == {0}
 
 
 def test_embedding_edges(spark):

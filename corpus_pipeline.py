@@ -14,9 +14,8 @@ from massloom.session import materialize, ship_package
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    ship_package(spark)
-    scorer = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.good_documents(docs, scorer)
+    scored = quality.classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.good_documents(docs, scored)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

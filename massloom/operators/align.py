@@ -30,46 +30,56 @@ def read_score_matrix(text: str) -> Callable[[str, str], int]:
     return lambda a, b: table.get((a, b), worst)
 
 
-def align(a: str, b: str, score: Callable[[str, str], int], gap_open: int = -10, gap_extend: int = -1) -> tuple[int, np.ndarray, int, int]:
-    """(score, for each residue of a the 1-based place in b or 0, columns, matches) of a best global alignment.
+def align(a: str, b: str, score: Callable[[str, str], int], gap_open: int = -10, gap_extend: int = -1) -> tuple[int, np.ndarray, int, int, np.ndarray]:
+    """(score, for each residue of a the 1-based place in b or 0, columns, matches, its 1-based column) of a best global alignment.
 
     A gap of n residues costs gap_open + n * gap_extend.  Of equal alignments the diagonal is preferred, then a gap in b.
-    Rows are filled as vectors; the gap along a row is a running maximum.
+    Rows are filled as vectors; the gap along a row is a running maximum.  Two rows of scores are held, and one byte
+    for each cell to find the way back.
     """
     n, m = len(a), len(b)
     letters = {c: k for k, c in enumerate(sorted(set(a + b)))}
     table = np.array([[score(x, y) for y in letters] for x in letters], float).reshape(len(letters), len(letters))
     ia, ib = np.array([letters[c] for c in a], int), np.array([letters[c] for c in b], int)
     steps = np.arange(m + 1)
-    best = np.empty((n + 1, m + 1))
-    down = np.full((n + 1, m + 1), NEG)  # a's residue against a gap
-    along = np.full((n + 1, m + 1), NEG)
-    best[0] = along[0] = gap_open + gap_extend * steps
-    best[0, 0], along[0, 0] = 0, NEG
+    # how a cell was reached: its best by the diagonal, or by a gap in b, and whether either gap was opened there
+    way = np.zeros((n + 1, m + 1), np.uint8)
+    best = gap_open + gap_extend * steps.astype(float)
+    best[0] = 0
+    along = best.copy()
+    along[0] = NEG
+    way[0] = _OPENED_ALONG * (steps == 1)
+    down = np.full(m + 1, NEG)
     for i in range(1, n + 1):
-        down[i] = np.maximum(best[i - 1] + gap_open, down[i - 1]) + gap_extend
-        diagonal = np.concatenate(([NEG], best[i - 1, :-1] + table[ia[i - 1], ib]))
-        base = np.maximum(diagonal, down[i])
+        opened = best + gap_open + gap_extend
+        down = np.maximum(opened, down + gap_extend)
+        diagonal = np.concatenate(([NEG], best[:-1] + table[ia[i - 1], ib]))
+        base = np.maximum(diagonal, down)
         reach = np.maximum.accumulate(base - gap_extend * steps)
-        along[i, 1:] = reach[:-1] + gap_open + gap_extend * steps[1:]
-        best[i] = np.maximum(base, along[i])
-    to = np.zeros(n, int)
-    i, j, columns, matches, state = n, m, 0, 0, "best"
+        along = np.concatenate(([NEG], reach[:-1] + gap_open + gap_extend * steps[1:]))
+        best = np.maximum(base, along)
+        began = np.concatenate(([False], along[1:] == best[:-1] + gap_open + gap_extend))
+        way[i] = _DIAGONAL * (best == diagonal) | _DOWN * (best == down) | _OPENED_DOWN * (down == opened) | _OPENED_ALONG * began
+    to, place = np.zeros(n, int), np.zeros(n, int)
+    i, j, columns, matches, state = n, m, 0, 0, 0
     while i or j:
-        if state == "best":
-            if i and j and best[i, j] == best[i - 1, j - 1] + table[ia[i - 1], ib[j - 1]]:
+        if not state:
+            if i and j and way[i, j] & _DIAGONAL:
                 to[i - 1] = j
+                place[i - 1] = columns
                 matches += a[i - 1] == b[j - 1]
                 i, j, columns = i - 1, j - 1, columns + 1
                 continue
-            state = "down" if i and best[i, j] == down[i, j] else "along"
-        columns += 1
-        if state == "down":
-            opened = down[i, j] == best[i - 1, j] + gap_open + gap_extend
+            state = _DOWN if i and way[i, j] & _DOWN else _OPENED_ALONG
+        if state == _DOWN:
+            place[i - 1] = columns
+            state = 0 if way[i, j] & _OPENED_DOWN else state
             i -= 1
         else:
-            opened = along[i, j] == best[i, j - 1] + gap_open + gap_extend
+            state = 0 if way[i, j] & _OPENED_ALONG else state
             j -= 1
-        if opened:
-            state = "best"
-    return int(best[n, m]), to, columns, matches
+        columns += 1
+    return int(best[m]), to, columns, matches, columns - place
+
+
+_DIAGONAL, _DOWN, _OPENED_DOWN, _OPENED_ALONG = 1, 2, 4, 8

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, ship_package
 
@@ -51,14 +52,14 @@ def _in_one_task(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): the smallest id that each vertex reaches, for every vertex of an edge.
 
-    Up to ``one_task`` edges are settled by one task.  More go by alternating large-star and small-star steps:
+    Up to ``one_task`` edges between numbers or strings are settled by one task.  More go by alternating large-star and small-star steps:
     each round maps every vertex's neighbours to the smallest of them, so the number of rounds grows with the
     logarithm of the component size.  Each step is one aggregation with map-side combine and one join, which AQE
     splits when a hub is hot.  Rounds are cut by tables in the shared folder.  Null ends and self loops of ``edges``
     add nothing but, for loops, the vertex itself.
     """
     e = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "edges")
-    if e.count() <= one_task:
+    if not isinstance(e.schema["u"].dataType, (T.StructType, T.ArrayType, T.MapType)) and e.count() <= one_task:
         return _in_one_task(e)
     vertices = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
     star = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -74,6 +74,8 @@ def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[fl
         got = mass.where("vertex <> start").join(near, ["start", "vertex"], "left").agg(F.sum(F.when(F.col("near"), F.col("p"))).alias("n"), F.sum(F.when(F.col("near").isNull(), F.col("p"))).alias("x")).first()
         sums.append(((got["n"] or 0.0) / n, (got["x"] or 0.0) / n))
         weight *= left
+        if mass.isEmpty():  # every walk has ended
+            break
     rows = [(float(r), part, sum(r * (1 - r) ** k * m[at] for k, m in enumerate(sums, 1))) for r in restarts for at, part in enumerate(("neighbors", "exterior"))]
     return edges.sparkSession.createDataFrame(rows, "restart_prob double, part string, mass double")
 

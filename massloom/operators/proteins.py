@@ -54,6 +54,21 @@ def pair_relations(members: DataFrame, decisive: DataFrame, set_col: str = "id",
     return out.select("id1", "id2", "n_common", (F.col("s1") - F.col("c1")).alias("n_left"), (F.col("s2") - F.col("c2")).alias("n_right"))
 
 
+def containments(members: DataFrame, decisive: DataFrame, set_col: str = "id", elem_col: str = "pep") -> DataFrame:
+    """(child, parent) of different sets: every decisive element of the child is a member of the parent.
+
+    A parent has the child's rarest decisive element, so only sets that share that one are looked at: a set with an element of its
+    own has no candidate, however many sets its other elements are in.
+    """
+    has = members.select(F.col(set_col).alias("parent"), F.col(elem_col).alias("e")).distinct()
+    must = materialize(decisive.select(F.col(set_col).alias("child"), F.col(elem_col).alias("e")).distinct(), "decisive")
+    rare = must.join(has.groupBy("e").agg(F.count("*").alias("n")), "e").groupBy("child").agg(F.min(F.struct("n", "e")).alias("r"), F.count("*").alias("need"))
+    found = rare.where("r.n > 1").select("child", "need", F.col("r.e").alias("e")).join(has, "e").where("child <> parent").select("child", "parent", "need")
+    found = materialize(found, "candidates")
+    met = found.join(must, "child").join(has, ["parent", "e"]).groupBy("child", "parent", "need").agg(F.count("*").alias("met"))
+    return met.where("met = need").select("child", "parent")
+
+
 def sharing_groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, rep) of every id: pairs without left and right are equivalent, the least id represents them."""
     same = pairs.where("n_left = 0 and n_right = 0").select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
@@ -89,19 +104,36 @@ def assemble_protgroups(pep2prots: DataFrame, minspec_peptides: int = 1, nspec_p
     first = alike.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
     twins = materialize(alike.join(first, ["n", "h1", "h2"]).select("id", "first"), "twins")
     only = twins.where("id = first").select("id")
-    pairs = materialize(pair_relations(allpeps.join(only, "id", "left_semi"), decisive.join(only, "id", "left_semi")), "pairs")
-    classes_of = sharing_groups(pairs, only).withColumnRenamed("id", "first")
+    own_all, own_decisive = allpeps.join(only, "id", "left_semi"), decisive.join(only, "id", "left_semi")
+    # groups merge by the shares of what they have apart: without such a share no pair but those that contain one another counts
+    merging = rspec_peptides > 0
+    if merging:
+        pairs = materialize(pair_relations(own_all, own_decisive), "pairs")
+        inside = pairs.where("n_left = 0").select(F.col("id1").alias("child"), F.col("id2").alias("parent")).union(pairs.where("n_right = 0").select("id2", "id1"))
+    else:
+        inside = containments(own_all, own_decisive)
+    inside = materialize(inside, "inside")
+    back = inside.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    same = connected_components(inside.join(back, ["child", "parent"]), "child", "parent")
+    classes_of = only.join(same, "id", "left").select(F.col("id").alias("first"), F.coalesce("component", "id").alias("rep"))
     reps = materialize(twins.join(classes_of, "first").select("id", "rep"), "reps")
-    heads = reps.select("rep").distinct().select(F.col("rep").alias("id"))
-    between = pairs.join(heads.select(F.col("id").alias("id1")), "id1", "left_semi").join(heads.select(F.col("id").alias("id2")), "id2", "left_semi")
-    n1, n2, nb = F.col("n_left"), F.col("n_right"), F.col("n_common")
-    subsets = between.where("n_left = 0 and n_right > 0").select(F.col("id2").alias("parent"), F.col("id1").alias("child")).union(between.where("n_right = 0 and n_left > 0").select(F.col("id1").alias("parent"), F.col("id2").alias("child")))
-    subsets = materialize(subsets.distinct(), "subsets")
+    heads = materialize(reps.select("rep").distinct().select(F.col("rep").alias("id")), "heads")
+
+    def of_heads(df: DataFrame, *cols: str) -> DataFrame:
+        for c in cols:
+            df = df.join(heads.select(F.col("id").alias(c)), c, "left_semi")
+        return df
+
+    subsets = materialize(of_heads(inside.join(back, ["child", "parent"], "left_anti"), "child", "parent").select("parent", "child").distinct(), "subsets")
     tops = heads.join(subsets.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
-    close = ((n1 < rspec_peptides * (n1 + nb)) | (n2 < rspec_peptides * (n2 + nb))) & ((n1 < nspec_peptides) | (n2 < nspec_peptides)) & (n1 > 0) & (n2 > 0)
-    merges = between.where(close).join(tops.select(F.col("id").alias("id1")), "id1", "left_semi").join(tops.select(F.col("id").alias("id2")), "id2", "left_semi")
-    merged = connected_components(merges, "id1", "id2")
-    group_of = tops.join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    if merging:
+        n1, n2, nb = F.col("n_left"), F.col("n_right"), F.col("n_common")
+        close = ((n1 < rspec_peptides * (n1 + nb)) | (n2 < rspec_peptides * (n2 + nb))) & ((n1 < nspec_peptides) | (n2 < nspec_peptides)) & (n1 > 0) & (n2 > 0)
+        merges = of_heads(pairs.where(close), "id1", "id2").join(tops.select(F.col("id").alias("id1")), "id1", "left_semi").join(tops.select(F.col("id").alias("id2")), "id2", "left_semi")
+        merged = connected_components(merges, "id1", "id2")
+        group_of = tops.join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    else:
+        group_of = tops.select("id", F.col("id").alias("group"))
     # a group has its tops, what is below them, and all that these represent
     below = descendants(subsets, tops)
     classes = below.join(group_of.select(F.col("id").alias("root"), "group"), "root").select("group", F.col("id").alias("rep")).distinct()
@@ -220,8 +252,10 @@ def match_protgroups(datasets: Mapping[str, DataFrame], penalties: DataFrame | N
     """N-way matching of protein groups; each dataset has a unique ``row_ix`` and its accession lists.
 
     References that share (ac, pg_rank, ac_rank) meet in one row; in the order of these three (the reference order
-    is that of a hash) a row is absorbed by every row before it that is compatible.  Rows are folded
-    within connected components of datasets' groups, which compatibility cannot leave.
+    is that of a hash) a row is absorbed by every row before it that is compatible, and betters its ranks where both are
+    no worse.  Rows are folded within connected components of datasets' groups, which compatibility cannot leave; a row is held
+    against those alone that name one of its groups.  Lists are intersected over the references of a list's own rank: majority
+    lists over those of rank 0, others over the best rank.
     """
     names = list(datasets)
     refs = reduce(DataFrame.unionByName, [protgroup_refs(df, penalties).withColumn("ds", F.lit(n)) for n, df in datasets.items()])
@@ -235,16 +269,24 @@ def match_protgroups(datasets: Mapping[str, DataFrame], penalties: DataFrame | N
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
+        naming: dict[tuple[str, int], list[int]] = {}  # rows that name a group
         for r in rows.sort_values(["ac", "pg_rank", "ac_rank"], kind="stable").to_dict("records"):
             new = {n: (int(r[f"rowix_{n}"]), int(r["pg_rank"]), int(r["ac_rank"])) for n in names if r[f"rowix_{n}"] == r[f"rowix_{n}"] and r[f"rowix_{n}"] is not None}
             absorbed = False
-            for old in kept:
-                shared = [n for n in new if n in old]
-                if shared and all(new[n][0] == old[n][0] for n in shared):
-                    for n, ref in new.items():
-                        old[n] = min(old.get(n, ref), ref)
-                    absorbed = True
+            for at in sorted({k for n, ref in new.items() for k in naming.get((n, ref[0]), ())}):
+                old = kept[at]
+                if any(n in old and new[n][0] != old[n][0] for n in new):
+                    continue
+                absorbed = True
+                for n, ref in new.items():
+                    if n not in old:
+                        old[n] = ref
+                        naming.setdefault((n, ref[0]), []).append(at)
+                    elif old[n][1] >= ref[1] and old[n][2] >= ref[2]:
+                        old[n] = ref
             if not absorbed:
+                for n, ref in new.items():
+                    naming.setdefault((n, ref[0]), []).append(len(kept))
                 kept.append(new)
         out = [{c: None for c in columns + ranks} | {f"rowix_{n}": v[0] for n, v in k.items()} | {f"pgrank_{n}": v[1] for n, v in k.items()} | {f"acrank_{n}": v[2] for n, v in k.items()} for k in kept]
         return pd.DataFrame(out, columns=columns + ranks).astype("Int64")
@@ -264,8 +306,10 @@ def match_protgroups(datasets: Mapping[str, DataFrame], penalties: DataFrame | N
     lists, flags = [c for c in lists if c in everywhere], [c for c in flags if c in everywhere]
     for n, df in datasets.items():
         out = out.join(df.select(F.col("row_ix").alias(f"rowix_{n}"), *[F.col(c).alias(f"_{c}_{n}") for c in [*lists, *flags]]), f"rowix_{n}", "left")
-    result = [F.col(c) for c in out.columns if not c.startswith("_")] + [intersect_lists(*[F.col(f"_{c}_{n}") for n in names]).alias(c) for c in lists]
-    result += [any_flag(*[F.col(f"_{c}_{n}") for n in names]).alias(c) for c in flags]
+    limit = {"majority_protein_acs": F.lit(0), "protein_acs": F.lit(1)}
+    best = lambda c: [F.when(F.col(f"pgrank_{n}") <= limit.get(c, F.col("best_pg_rank")), F.col(f"_{c}_{n}")) for n in names]
+    result = [F.col(c) for c in out.columns if not c.startswith("_")] + [intersect_lists(*best(c)).alias(c) for c in lists]
+    result += [any_flag(*best(c)).alias(c) for c in flags]
     out = out.select(*result)
     return out if penalties is None else reduce(lambda df, c: order_by_penalty(df, columns, c, penalties), [c for c in lists if c.endswith("protein_acs")], out)
 

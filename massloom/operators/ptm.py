@@ -118,8 +118,8 @@ def extract_ptm_locprobs(df: DataFrame, fmt: str = "maxquant", objid_col: str =
     return out.withColumn("ptm_type", F.when(fits, F.col("ptm_type")).otherwise(F.raise_error(F.concat(F.lit("probability contradicts "), F.col("_mod"))).cast("string"))).drop("_mod", "_m")
 
 
-def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col: str, seqid_col: str = "protein_ac", objid_cols: Sequence[str] = ("ptm_id",), pos_col: str = "ptm_pos", self_matches: bool = False, score: Callable[[str, str], int] | None = None, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
-    """Where each object's residue lies in the other sequences of its group; unmapped objects stay with nulls.
+def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col: str, seqid_col: str = "protein_ac", objid_cols: Sequence[str] = ("ptm_id",), pos_col: str = "ptm_pos", self_matches: bool = True, score: Callable[[str, str], int] | None = None, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
+    """Where each object's residue lies in the sequences of its group, and in the alignment; unmapped objects stay with nulls.
 
     Only sequences that objects use are aligned, and each pair of different sequence texts once.
     """
@@ -134,10 +134,10 @@ def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [align(x, y, score, gap_open, gap_extend) for x, y in zip(b["src_seq"], b["dest_seq"], strict=True)]
-            yield pd.DataFrame({"src_seq": b["src_seq"], "dest_seq": b["dest_seq"], "agn_score": [m[0] for m in made], "places": [m[1].tolist() for m in made], "agn_len": [m[2] for m in made], "agn_match_ratio": [m[3] / m[2] if m[2] else 0.0 for m in made]})
+            yield pd.DataFrame({"src_seq": b["src_seq"], "dest_seq": b["dest_seq"], "agn_score": [m[0] for m in made], "places": [m[1].tolist() for m in made], "columns": [m[4].tolist() for m in made], "agn_len": [m[2] for m in made], "agn_match_ratio": [m[3] / m[2] if m[2] else 0.0 for m in made]})
 
     texts = pairs.select("src_seq", "dest_seq").distinct()
-    aligned = materialize(texts.mapInPandas(run, "src_seq string, dest_seq string, agn_score long, places array<int>, agn_len long, agn_match_ratio double"), "alignments")
+    aligned = materialize(texts.mapInPandas(run, "src_seq string, dest_seq string, agn_score long, places array<int>, columns array<int>, agn_len long, agn_match_ratio double"), "alignments")
     found = pairs.join(aligned, ["src_seq", "dest_seq"])
     rows = objs.select(*objid_cols, seqid_col, F.col(pos_col).cast("int").alias(pos_col)).distinct()
     mapped = rows.join(found.withColumnRenamed("src", seqid_col), seqid_col, "left")
@@ -146,7 +146,8 @@ def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col:
     aa, dest_aa = F.when(inside, F.substring("src_seq", F.col(pos_col), F.lit(1))), F.substring("dest_seq", F.col("agn_pos"), F.lit(1))
     out = mapped.withColumn("agn_pos", place).withColumn("agn_AA", F.when(F.col("agn_pos").isNotNull(), dest_aa))
     op = F.when(F.col("dest").isNull() | ~inside, F.lit(None).cast("string")).when(F.col("agn_pos").isNull(), "-").when(F.col("agn_AA") == aa, "=").otherwise("X")
-    return out.select(*objid_cols, seqid_col, pos_col, group_col, F.col("dest").alias("agn_seqid"), "agn_pos", "agn_AA", op.alias("agn_match"), "agn_score", "agn_len", "agn_match_ratio")
+    column = F.when(inside, F.get("columns", F.col(pos_col) - 1)).alias("agn_column")
+    return out.select(*objid_cols, seqid_col, pos_col, group_col, F.col("dest").alias("agn_seqid"), "agn_pos", column, "agn_AA", op.alias("agn_match"), "agn_score", "agn_len", "agn_match_ratio")
 
 
 def group_objects(objs: DataFrame, seqs: DataFrame, group_col: str = "protgroup_id", seqid_col: str = "protein_ac", rank_col: str = "seq_rank", type_col: str = "ptm_type", aa_col: str = "ptm_AA", pos_col: str = "ptm_pos", force_refseqs: bool = True, **alignment) -> DataFrame:

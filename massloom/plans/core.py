@@ -5,7 +5,7 @@ Roles: order is peptide, part is protein, supplier is gene set, user is object,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists, stats, strings
@@ -403,8 +403,8 @@ LOGSTD = f"(0.5 * 1.5 * {_D} + 0.5 * 0.7000000000000001 * sqrt({_D} * {_D} + 0.5
 @query("zscore_cols", "SELECT event_id, round((ln(value) - m) / s, 6) AS z FROM events, (SELECT avg(ln(value)) AS m, stddev_samp(ln(value)) AS s FROM events WHERE value > 0) WHERE value > 0")
 def zscore_cols(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").where("value > 0").select("event_id", F.ln("value").alias("logintensity"))
-    stat = F.broadcast(rows.agg(F.avg("logintensity").alias("m"), F.stddev_samp("logintensity").alias("s")))
-    return rows.crossJoin(stat).select("event_id", F.round((F.col("logintensity") - F.col("m")) / F.col("s"), 6).alias("z"))
+    shift, scale = calib.z_parameters(rows)
+    return rows.select("event_id", F.round((F.col("logintensity") - shift) * scale, 6).alias("z"))
 
 
 @query("noise_std", f"SELECT event_id, round((log2(value) - 5.0) * 0.7, 6) AS z, round(pow(2.0, {LOGSTD}), 6) AS std, round(pow(2.0, -{LOGSTD}), 6) AS prec, round(pow(2.0, log2(value) - {LOGSTD}), 4) AS snr FROM events WHERE value > 0")
@@ -438,9 +438,9 @@ def positive_or_null(s: SparkSession, d: str) -> DataFrame:
 
 @query("run_ordinal_quantile", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value, event_id) AS rank, round(row_number() OVER (PARTITION BY event_type, user_id ORDER BY value, event_id) / count(*) OVER (PARTITION BY event_type, user_id), 6) AS qtl FROM events")
 def run_ordinal_quantile(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("event_type", "user_id")
-    rank = F.row_number().over(w.orderBy("value", "event_id")).cast("long")
-    return table(s, d, "events").select("event_id", "event_type", rank.alias("rank"), F.round(rank / F.count("*").over(w), 6).alias("qtl"))
+    rank, share = noise.quantile_rank("v", ["event_type", "user_id"])
+    rows = table(s, d, "events").select("event_id", "event_type", "user_id", F.struct("value", "event_id").alias("v"))
+    return rows.select("event_id", "event_type", rank.cast("long").alias("rank"), F.round(share, 6).alias("qtl"))
 
 
 RUNS = "SELECT user_id AS obj, event_type AS run, max(value) AS x FROM events GROUP BY 1, 2"

@@ -96,11 +96,10 @@ def read_gmt(spark: SparkSession, path: str, id_col: str = "term_id", src_col: s
 
 
 GTF_SCHEMA = "seqname string, src_db string, feature string, start long, end long, score string, strand string, frame string, attribute string"
-GTF_MAX_ROWS = 10_000_000
 
 
-def read_gtf(spark: SparkSession, path: str, max_rows: int | None = GTF_MAX_ROWS) -> DataFrame:
-    """Comments start with "#!"; the row cap is the format's limit parameter, None for all rows."""
+def read_gtf(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Comments start with "#!"; all rows, or at most ``max_rows`` of them."""
     fields = literal_split(F.col("value"), "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#!") & (F.col("value") != ""))
     names = [f.split() for f in GTF_SCHEMA.split(", ")]
@@ -110,19 +109,25 @@ def read_gtf(spark: SparkSession, path: str, max_rows: int | None = GTF_MAX_ROWS
 
 def attribute_map(attrs: Column) -> Column:
     """E5: map of tag to value; of a repeated tag the last counts, chunks of another form are left out."""
-    chunk = r'^\s*(.+)\s"(.+)"\s*$'
-    chunks = F.filter(literal_split(attrs, ";"), lambda c: c.rlike(chunk))
-    pairs = F.transform(chunks, lambda c: F.struct(F.regexp_extract(c, chunk, 1).alias("k"), F.regexp_extract(c, chunk, 2).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    tags, values = _attributes(attrs)
+    names = F.array_distinct(tags)
+    return F.map_from_arrays(names, F.transform(names, lambda t: F.element_at(values, F.array_position(tags, t).cast("int"))))
+
+
+def _attributes(attrs: Column) -> tuple[Column, Column]:
+    """Tags and values, the last first, by one pass each over the text."""
+    chunk = F.lit(r'(?:^|;)\s*([^;\r\n]+)\s"([^;\r\n]+)"\s*(?=;|$)')
+    return tuple(F.reverse(F.regexp_extract_all(attrs, chunk, F.lit(k))) for k in (1, 2))
 
 
 def parse_attributes(df: DataFrame, col: str = "attribute", tags: Sequence[str] | None = None) -> DataFrame:
     """E5: one column per tag; without ``tags`` a pass finds them."""
-    rows = df.withColumn("_a", attribute_map(F.col(col)))
+    found, values = _attributes(F.col(col))
     if tags is None:
-        tags = [r[0] for r in rows.select(F.explode(F.map_keys("_a"))).distinct().orderBy("col").collect()]
-    return rows.select(*df.columns, *[F.element_at("_a", t).alias(t) for t in tags])
+        tags = [r[0] for r in df.select(F.explode(found)).distinct().orderBy("col").collect()]
+    rows = df.withColumn("_tags", found).withColumn("_values", values)
+    last = lambda t: F.array_position("_tags", t).cast("int")
+    return rows.select(*df.columns, *[F.when(last(t) > 0, F.try_element_at("_values", F.greatest(last(t), F.lit(1)))).alias(t) for t in tags])
 
 
 def read_site_annotations(spark: SparkSession, folder: str, gz: bool = False, header_line: int = 4) -> dict[str, DataFrame]:

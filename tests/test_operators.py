@@ -250,7 +250,7 @@ def test_alignment():
     rng = np.random.default_rng(1)
     for _ in range(60):
         a, b = ("".join(rng.choice(list("AGST"), rng.integers(1, 9))) for _ in range(2))
-        s, to, columns, matches = align.align(a, b, score)
+        s, to, columns, matches, _ = align.align(a, b, score)
         assert s == round(brute_score(a, b, score))
         placed = [t for t in to if t]
         assert placed == sorted(placed) and matches == sum(t and a[i] == b[t - 1] for i, t in enumerate(to)) and columns == len(a) + len(b) - len(placed)
@@ -423,3 +423,70 @@ def test_calibration(spark, tmp_path):
 
 def test_beta_density():
     assert calib.beta_logpdf(0.5, 2, 2) == pytest.approx(math.log(1.5)) and calib.beta_logpdf(1.5, 2, 2) == float("-inf")
+
+
+def test_containments_of_a_hot_element(spark):
+    """One peptide in 5,000 proteins makes no pairs of those that have another of their own."""
+    rows = [(k, 0) for k in range(5000)] + [(k, k + 1) for k in range(4990)]
+    df = spark.createDataFrame(rows, "id long, pep long")
+    got = {(r["child"], r["parent"]) for r in proteins.containments(df, df).where("child >= 4990 and parent < 3 or child < 4990").collect()}
+    assert got == {(c, p) for c in range(4990, 5000) for p in range(3)}
+    groups = proteins.assemble_protgroups(df.select(F.col("id").alias("prot"), "pep", F.lit(1).alias("rank")).where("prot < 300 or prot > 4996"))
+    assert groups.where("kind = 'pep' and item = '0'").count() == 300  # every group, and no group of the three that hold it alone
+
+
+@pytest.mark.parametrize("merge", [0.0, 0.4])
+def test_inference_by_either_path(spark, merge):
+    """Containment alone and the relations of all pairs give the same groups where nothing merges."""
+    rng = np.random.default_rng(3)
+    rows = [(int(p), int(e), 1) for p in range(60) for e in rng.choice(40, rng.integers(1, 5), replace=False)]
+    df = spark.createDataFrame(rows, "prot long, pep long, rank long")
+    got = proteins.assemble_protgroups(df, rspec_peptides=merge, nspec_peptides=0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, proteins.assemble_protgroups(df).collect()))
+
+
+def test_ranks_are_bettered_only_together(spark):
+    """A reference that is better in one rank alone does not replace another."""
+    a = spark.createDataFrame([(1, "B", "A;B")], "row_ix long, majority_protein_acs string, protein_acs string")
+    b = spark.createDataFrame([(7, "A", "A")], "row_ix long, majority_protein_acs string, protein_acs string")
+    penalties = spark.createDataFrame([("A", 2), ("B", 7)], "ac string, penalty long")
+    r = proteins.match_protgroups({"a": a, "b": b}, penalties).collect()
+    assert [(x["pgrank_a"], x["acrank_a"], x["pgrank_b"], x["acrank_b"]) for x in r] == [(1, 2, 0, 2)]
+
+
+def test_axis_of_many_members(spark):
+    """Only clustering has a limit."""
+    df = spark.range(6000).select(F.col("id").alias("m"), F.lit(1).alias("o"), F.lit(1.0).alias("score"))
+    assert len(matrices.axis_order(df, "m", "o", order=None)) == 6000 and matrices.axis_order(df, "m", "o", order=list(range(5999, 5990, -1))) == list(range(5999, 5990, -1))
+    with pytest.raises(ValueError, match="more than"):
+        matrices.axis_order(df, "m", "o")
+
+
+def test_ward_by_chains():
+    """Chains of nearest neighbours merge what the nearest pair of all merges."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x = rng.normal(size=(12, 5))
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        d = (1 - unit @ unit.T) ** 2
+        np.fill_diagonal(d, np.inf)
+        leaves, size, live = [[i] for i in range(12)], np.ones(12), np.ones(12, bool)
+        for _ in range(11):
+            i, j = sorted(divmod(int(np.argmin(d)), 12))
+            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+            first, second = (leaves[i], leaves[j]) if len(leaves[i]) <= len(leaves[j]) else (leaves[j], leaves[i])
+            leaves[i] = first + second
+            size[i] += size[j]
+            live[j] = False
+            new[~live] = new[i] = np.inf
+            d[i] = d[:, i] = new
+            d[j] = d[:, j] = np.inf
+        assert matrices.ward_order(x) == leaves[int(np.flatnonzero(live)[0])]
+
+
+def test_alignment_columns():
+    from massloom.operators.align import align, class_scores
+
+    s, to, columns, matches, at = align("MKTAYIAK", "MKYIAK", class_scores(), -2, -1)
+    assert columns == 8 and matches == 6 and to.tolist() == [1, 2, 0, 0, 3, 4, 5, 6] and at.tolist() == list(range(1, 9))
+    assert align("AC", "XXAC", class_scores(), -2, -1)[4].tolist() == [3, 4]

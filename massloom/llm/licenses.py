@@ -1,22 +1,27 @@
 """License scans with a generalised suffix automaton of licence tokens.
 
-The words of all licence templates and phrases make one automaton, a few thousand states, built on the driver and sent
-with the task.  Each file is streamed through it once: after every word the state and the length of the
+The words of all licence templates (whole texts in ``templates``, and the notices by which files refer to them) and phrases
+make one automaton, some 90,000 states.  The templates are read on the driver and sent with the task; each worker process builds the
+automaton once.  Each file is streamed through it once: after every word the state and the length of the
 longest match that ends there (the matching statistics) are known.  Maximal matches of enough words are
-chained, in order in file and template, to the spans of a template that the file covers.
+chained, in order and without overlap in file and template, to the spans of a template that the file covers.
 
 Defined cases: a null text is an empty text; a text without words has no labels and score 0; rows repeated give
-equal rows; no rows give no rows.  Texts are read whole, in time linear in their words.
+equal rows; no rows give no rows.  Very long texts are read whole, in time linear in their words and n log n in their long
+matches.  Only id and text are read, so no other column clashes.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
 import re
 from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship_package
 from .rows import keyed_texts, map_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -25,8 +30,8 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 # Phrases whose every occurrence counts, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Opening and notice passages of public licences, the templates.
-TEMPLATES = {
+# Passages by which files refer to a public licence, templates beside the whole texts.
+NOTICES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
@@ -36,6 +41,22 @@ TEMPLATES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
 }
 
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "templates")
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.translate(LOWER))
+
+
+def whole_texts(folder: str = FOLDER) -> dict[str, str]:
+    """Templates by name: the files ``<name>.txt`` of a folder."""
+    out = {}
+    for file in sorted(os.listdir(folder)):
+        if file.endswith(".txt"):
+            with open(os.path.join(folder, file), encoding="utf-8") as f:
+                out[file[:-4]] = " ".join(words_of(f.read()))
+    return out
+
 
 class Automaton:
     """Generalised suffix automaton of token strings: by state its transitions, suffix link, longest length and
@@ -118,13 +139,12 @@ class Scanner:
                     state = a.link[state]
                 state = a.next[state][w]
                 at = state
-                while at > 0:
+                while at > 0 and a.length[at] >= min_match:  # shorter ones are never looked up
                     self.where[at].setdefault(i, []).append(end)
                     at = a.link[at]
 
-    def scan(self, text: str) -> tuple:
-        """(n_words, n_base, first, last, base labels, labels, score, spans)."""
-        words = WORD.findall(text.translate(LOWER))
+    def matches(self, words: list[str]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
+        """(where phrases start, with their labels; long matches: file end, words, state), by the matching statistics."""
         a, start = self.automaton, self.automaton.next[0]
         nxt, link, length = a.next, a.link, a.length
         hits: list[tuple[int, str]] = []
@@ -149,6 +169,12 @@ class Scanner:
                 hits += [(at - n, label) for n, label in self.ends[state] if n <= size]
         if size >= self.min_match:
             matches.append((len(words), size, state))
+        return hits, matches
+
+    def scan(self, text: str) -> tuple:
+        """(n_words, n_base, first, last, base labels, labels, score, spans)."""
+        words = words_of(text)
+        hits, matches = self.matches(words)
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, state in matches:
             for i, ends in self.where[state].items():
@@ -167,46 +193,70 @@ class Scanner:
 
 
 def chain(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The chain of matches (file start, template start, words), in order in both and not overlapping in
-    the template, that covers most words of it.  Matches are taken by template end with a running best, in
-    n log n; overlaps are trimmed from the later match."""
+    """The chain of matches (file start, template start, words), in order and not overlapping in file and template, that
+    covers most words.
+
+    Matches are taken by file start; those that have ended in the file by then stand in a list by template end in which covered words
+    rise too, so the best before a match is the last one there.  n log n but for the shifting of that list.
+    """
     found = sorted(set(found))
-    best: list[tuple[int, int]] = []  # template end rising, covered words rising
-    back: dict[int, tuple[int, int | None]] = {}
+    ends: list[tuple[int, int]] = []  # (template end, covered words), both rising
     owner: list[int] = []
-    for k, (_, t, n) in enumerate(found):
-        at = bisect_left(best, (t + 1, -1)) - 1
-        covered = n + (best[at][1] if at >= 0 else 0)
-        back[k] = (covered, owner[at] if at >= 0 else None)
-        item = (t + n, covered)
-        i = bisect_left(best, item)
-        if (i and best[i - 1][1] >= covered) or (i < len(best) and best[i][0] == t + n and best[i][1] >= covered):
-            continue
-        best.insert(i, item)
-        owner.insert(i, k)
-        while i + 1 < len(best) and best[i + 1][1] <= covered:
-            best.pop(i + 1)
-            owner.pop(i + 1)
-    out, at = [], owner[-1] if owner else None
+    open_: list[tuple[int, int]] = []  # (file end, match)
+    covered: list[int] = []
+    back: list[int | None] = []
+    for k, (f, t, n) in enumerate(found):
+        while open_ and open_[0][0] <= f:
+            _, j = heapq.heappop(open_)
+            item = (found[j][1] + found[j][2], covered[j])
+            i = bisect_left(ends, item)
+            if (i and ends[i - 1][1] >= item[1]) or (i < len(ends) and ends[i][0] == item[0]):
+                continue
+            ends.insert(i, item)
+            owner.insert(i, j)
+            while i + 1 < len(ends) and ends[i + 1][1] <= item[1]:
+                ends.pop(i + 1)
+                owner.pop(i + 1)
+            if i and ends[i - 1][0] == item[0]:
+                ends.pop(i - 1)
+                owner.pop(i - 1)
+        at = bisect_left(ends, (t + 1, -1)) - 1
+        covered.append(n + (ends[at][1] if at >= 0 else 0))
+        back.append(owner[at] if at >= 0 else None)
+        heapq.heappush(open_, (f + n, k))
+    out, at = [], max(range(len(found)), key=lambda k: covered[k], default=None)
     while at is not None:
         out.append(found[at])
-        at = back[at][1]
+        at = back[at]
     return out[::-1]
 
 
+_scanners: dict[tuple, Scanner] = {}
+
+
+def scanner(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], min_match: int) -> Scanner:
+    """One scanner for each worker process and catalogue."""
+    key = (templates, phrases, min_match)
+    if key not in _scanners:
+        _scanners[key] = Scanner(dict(templates), dict(phrases), min_match)
+    return _scanners[key]
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, min_match: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` lists (label, file word, template word, words) of chained matches for each template covered
-    by half or more; ``score`` is the greatest share of a template that is covered.
+    by half or more; ``score`` is the greatest share of a template that is covered.  ``templates`` are the notices and whole texts by default.
     """
-    scanner = Scanner(templates or TEMPLATES, phrases or PHRASES, min_match)
+    ship_package(docs.sparkSession)
+    catalogue = tuple((templates or NOTICES | whole_texts()).items()), tuple((phrases or PHRASES).items()), min_match
 
     span = pa.struct([("label", pa.string()), ("file_word", pa.int64()), ("template_word", pa.int64()), ("words", pa.int64())])
     types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(span)}
 
     def one(b: pa.RecordBatch) -> dict:
-        found = [scanner.scan(t or "") for t in b.column("text").to_pylist()]
+        own = scanner(*catalogue)
+        found = [own.scan(t or "") for t in b.column("text").to_pylist()]
         out = {n: [f[k] for f in found] for k, n in enumerate(types)}
         out["spans"] = [[dict(zip(("label", "file_word", "template_word", "words"), s, strict=True)) for s in spans] for spans in out["spans"]]
         return {"doc_id": b.column("doc_id")} | out

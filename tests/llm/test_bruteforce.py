@@ -120,9 +120,49 @@ def test_matching_statistics():
     assert (n, base, first, last, labels, score) == (12, 1, 3, 3, "p", 1.0)
 
 
+def test_long_matches_are_all_and_chains_are_best():
+    """Matching statistics by a search at every place, and the chain by trying every predecessor."""
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        templates = {n: " ".join(rng.choice(list("abcde"), 30)) for n in "tuv"}
+        a = licenses.Scanner(templates, {"a b": "p"}, 3)
+        words = [str(w) for w in rng.choice(list("abcdex"), 40)]
+        strings = [a.templates[n] for n in "tuv"] + [["a", "b"]]
+
+        def longest(end, words=words, strings=strings):
+            n = 0
+            while n < end and any(words[end - n - 1 : end] == x[i : i + n + 1] for x in strings for i in range(len(x) - n)):
+                n += 1
+            return n
+
+        size = [longest(e) for e in range(len(words) + 1)]
+        want = [(e, size[e]) for e in range(1, len(words) + 1) if size[e] >= 3 and (e == len(words) or size[e + 1] <= size[e])]
+        assert [(e, n) for e, n, _ in a.matches(words)[1]] == want
+        places = []
+        for e, n in want:
+            places += [(e - n, i, n) for i in range(31 - n) if a.templates["t"][i : i + n] == words[e - n : e]]
+        places = sorted(set(places))
+        best = [0] * len(places)
+        for k, (f, t, n) in enumerate(places):
+            best[k] = n + max([best[j] for j, (g, u, m) in enumerate(places) if g + m <= f and u + m <= t], default=0)
+        got = licenses.chain(places)
+        assert sum(n for _, _, n in got) == max(best, default=0)
+        assert all(f + n <= g and t + n <= u for (f, t, n), (g, u, _) in zip(got, got[1:], strict=False))
+
+
+def test_catalogue_tells_licences_apart():
+    texts = licenses.whole_texts()
+    s = licenses.Scanner(licenses.NOTICES | texts, licenses.PHRASES, 5)
+    assert len(texts) >= 16
+    for name, text in texts.items():
+        out = s.scan(f"Header words. {text.upper()} trailing words")
+        assert name in out[5].split(",") and out[6] == 1.0 and len(text.split()) == sum(n for label, _, _, n in out[7] if label == name)
+    assert s.scan("no licence here at all, only the words of any other text")[5:7] == ("", 0.0)
+
+
 def test_template_spans_survive_edits():
-    words = licenses.TEMPLATES["mit"].split()
-    s = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES, 5)
+    words = licenses.whole_texts()["mit"].split()
+    s = licenses.Scanner(licenses.whole_texts(), licenses.PHRASES, 5)
     words[30:31] = ["changed", "here"]
     out = s.scan("Intro. " + " ".join(words))
     assert "mit" in out[5] and 0.9 < out[6] < 1.0 and len(out[7]) >= 2

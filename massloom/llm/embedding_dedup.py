@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, least_labels
 from ..session import materialize, ship_package
+from .rows import least_by_hash
 
+#: Rows whose distances to all centroids are held at once.
+SLICE = 2048
 #: Vectors that fit the index at most (those of least hash), vectors of the sample for a list, and lists of a dimension at most.
-SAMPLE_ROWS, PER_LIST, MAX_LISTS = 65_536, 32, 2048
+SAMPLE_ROWS, PER_LIST, MAX_LISTS = 32_768, 32, 1024
 SUBSPACES, CODES = 8, 64
 
 
@@ -46,7 +49,7 @@ class Quantiser:
     books: list[np.ndarray]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(squared distances to centroids, nearest list)."""
+        """(squared distances to centroids, nearest list) of at most ``SLICE`` vectors."""
         d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(1), 0)
         return d, d.argmin(1)
 
@@ -71,23 +74,19 @@ class Quantiser:
 
     def probes(self, x: np.ndarray, d: np.ndarray, lists: np.ndarray, margin: float) -> list[np.ndarray]:
         """Lists of which each vector is within ``margin`` of the boundary, its own with them."""
-        c, out = self.centroids, []
+        c = self.centroids
         norms = (c * c).sum(1)
-        for lo in range(0, len(x), 1024):
-            own = lists[lo : lo + 1024]
-            gaps = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * c[own] @ c.T, 0))
-            part = d[lo : lo + 1024]
-            at = np.arange(len(own))
-            near = part - part[at, own][:, None] <= 2 * gaps * margin + 1e-9
-            near[at, own] = True
-            out += [np.flatnonzero(r).astype(np.int32) for r in near]
-        return out
+        gaps = np.sqrt(np.maximum(norms[lists][:, None] + norms - 2 * c[lists] @ c.T, 0))
+        at = np.arange(len(x))
+        near = d - d[at, lists][:, None] <= 2 * gaps * margin + 1e-9
+        near[at, lists] = True
+        return [np.flatnonzero(r).astype(np.int32) for r in near]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        near = np.concatenate([((c * c).sum(1) - 2 * x[lo : lo + SLICE] @ c.T).argmin(1) for lo in range(0, len(x), SLICE)])
         n = np.bincount(near, minlength=k)
         sums = np.stack([np.bincount(near, x[:, j], k) for j in range(x.shape[1])], axis=1)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
@@ -105,7 +104,7 @@ def fit(x: np.ndarray, seed: int = 3) -> Quantiser:
     lists = max(1, min(MAX_LISTS, len(x) // PER_LIST))
     centroids = k_means(x, lists, 8, rng)
     model = Quantiser(centroids, [], [])
-    rest = x - centroids[model.assign(x)[1]]
+    rest = x - centroids[np.concatenate([model.assign(x[lo : lo + SLICE])[1] for lo in range(0, len(x), SLICE)])]
     edges = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
     model.slices = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
     model.books = [k_means(np.ascontiguousarray(rest[:, s]), min(CODES, len(x)), 8, rng) for s in model.slices]
@@ -177,16 +176,24 @@ def embedding_dedup(
     named = materialize(named.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit("second"), "label", "v")), "vectors")
     own = named.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     reps = materialize(own, "reps")
-    sample = reps.orderBy("h1").limit(sample_rows).select("v").toPandas()["v"]
-    models = {int(dim): fit(unit(np.stack(part.to_list()).astype(np.float64))) for dim, part in sample.groupby(sample.map(len))}
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(v).tobytes() for v in b.column("v").to_pylist()], pa.binary())], names=["v"])
+
+    sample = [r["v"] for r in least_by_hash(reps.select("h1", "v"), F.col("h1"), sample_rows).select("v").mapInArrow(packed, "v binary").collect()]
+    models = {}
+    for size in sorted(set(map(len, sample))):
+        models[size // 8] = fit(unit(np.frombuffer(b"".join(v for v in sample if len(v) == size), np.float64).reshape(-1, size // 8)))
+    del sample
     reach = math.sqrt(2 - 2 * cosine)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("v")
             dims = np.diff(v.offsets.to_numpy())
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
+            for dim, lo in [(dim, lo) for dim in np.unique(dims).tolist() for lo in range(0, (dims == dim).sum(), SLICE)]:
+                at = np.flatnonzero(dims == dim)[lo : lo + SLICE]
                 model, rest = models.get(dim) or flat(dim), b.take(pa.array(at))
                 x = rest.column("v").flatten().to_numpy().reshape(-1, dim)
                 u = unit(x)

@@ -33,7 +33,16 @@ def few(written: DataFrame, rows: int = FEW) -> DataFrame:
     return F.broadcast(written) if written.count() <= rows else written
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 19) -> Iterator[pa.Table]:
+def least_by_hash(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those of least hash ``h`` (a long); of a large table only about that many are sorted and sent."""
+    place = F.pmod(h, F.lit(1 << 40))
+    n = df.count()
+    if n > rows:  # one and a half times the rows that are wanted, and 500 more, pass the bound
+        df = df.where(place <= int((1.5 * rows + 500) / n * (1 << 40)))
+    return df.orderBy(place).limit(rows)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that end where a value of ``key`` ends; batches come sorted by it."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -53,6 +62,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 1
                 n = len(t) - cut
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
+    pa.default_memory_pool().release_unused()
 
 
 def map_batches(df: DataFrame, one: Callable[[pa.RecordBatch], dict], schema: str, types: dict[str, pa.DataType]) -> DataFrame:

@@ -3,10 +3,13 @@
 Pass one scatters rows uniformly into memory-sized buckets by seeded hashes; pass two puts each bucket in
 canonical order, shuffles it by Fisher-Yates with a seed of its own, and writes it.  The shard of a row is
 the best of ``n_shards`` seeded hashes of its id (rendezvous hashing), so id and shard count alone decide,
-and one more shard takes rows only into itself.
+and one more shard takes rows only into itself.  The bucket comes of the row itself: of its id, its text and its place in the
+input.  So rows of one id, or without an id, and rows that repeat spread over all buckets of their shard, and a bucket
+holds about ``bucket_bytes`` whatever the keys are.  A task that is lost is made again alike, for places do not change; an input that
+is split in another way gives another order, and the same shards.
 
 Defined cases: a null text has 0 bytes; rows repeated with one id share a shard; no rows give no files.
-A null id is hashed as such.
+A null id is hashed as such.  Columns are written as doc_<name>, so none clashes.  A very long text is one row of its bucket.
 """
 
 from __future__ import annotations
@@ -41,11 +44,12 @@ def write_shards(
     doc_<name>, which no other column is called.  ``bucket_bytes`` bounds what one task shuffles in memory.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(byte_size(F.col(text_col)))).first()[0] or 0
-    per_shard = max(4, math.ceil(total / n_shards / bucket_bytes))
+    # the largest shard decides how many buckets there are: one id may have many rows
+    sizes = docs.groupBy(shard_of(F.col(f"`{id_col}`"), n_shards, seed)).agg(F.sum(byte_size(F.col(f"`{text_col}`"))).alias("b"))
+    per_shard = max(4, math.ceil((sizes.agg(F.max("b")).first()[0] or 0) / bucket_bytes))
     named = docs.select(*[F.col(f"`{c}`").alias(f"doc_{c}") for c in docs.columns])
     key = F.col(f"doc_{id_col}")
-    placed = named.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(per_shard)).cast("int"))
+    placed = named.withColumn("shard", shard_of(key, n_shards, seed)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), key, F.col(f"doc_{text_col}"), F.monotonically_increasing_id()), F.lit(per_shard)).cast("int"))
     first = [f"doc_{id_col}", f"doc_{text_col}"]
     flat = [f.name for f in named.schema.fields if f.name not in first and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "string", "boolean", "date")]
 

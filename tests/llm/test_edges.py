@@ -29,6 +29,16 @@ def test_one_row_per_document(messy, nothing, name):
     assert rows_of(f(nothing)) == []
 
 
+def test_sharding_spreads_a_hot_id(spark, tmp_path):
+    """A third of the rows without an id, and rows that repeat, go to one shard but to all of its buckets."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("one text").alias("text")).repartition(4)
+    written = sharding.write_shards(df, f"file://{tmp_path}/hot", bucket_bytes=1000)
+    hot = written.where("doc_doc_id is null").groupBy("shard", "bucket").count().collect()
+    assert len({r["shard"] for r in hot}) == 1 and sum(r["count"] for r in hot) == 1000 and max(r["count"] for r in hot) < 300
+    slots = sharding.slots(written).where(F.col("shard") == hot[0]["shard"])
+    assert sorted(r["slot"] for r in slots.collect()) == list(range(slots.count()))
+
+
 def test_packing_edges(messy, nothing):
     got = rows_of(packing.packed(messy))
     assert sum(r["length"] for r in got if r["doc_id"] == 5) == 1 and sum(r["length"] for r in got if r["doc_id"] == 4) == 1

@@ -2,21 +2,21 @@
 
 Each document is tokenised once and routed by length to the smallest of several context-size tiers that
 holds it; what is longer than the largest tier gives full windows and routes its rest.  Each tier is packed
-by best fit, the gaps of long windows are filled with pieces of shorter tiers, and the windows
-are dealt to step groups of near-equal tokens.  A window whose length is one of the tiers is not padded.
+by best fit, the gaps of long windows are filled with pieces of shorter tiers, and the windows of all partitions
+are dealt to step groups of near-equal tokens: the windows of a tier in turn to the groups, so that groups differ by one window of each
+tier at most.  A window whose length is one of the tiers is not padded.
 
 Packing is local to a partition, in blocks of at most ``block_tokens`` tokens: no shuffle, memory bounded by
 the block, and a lost task is redone alike.  Windows that a block leaves open are carried to the
 next block, so a partition pads one window at most.
 
 Defined cases: a null text is an empty text; an empty text is the end id alone; rows repeated are packed
-each; no rows give no pieces.  Ids of windows are (partition, count) in one long, so they depend on
-how the input is split, not on timing.
+each; no rows give no pieces; a very long text fills windows of its own and routes its rest.  Only id and text are read, so no
+other column clashes.  Windows depend on how the input is split, not on timing; their ids are dense.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .rows import keyed_texts
+from ..session import materialize, ship_package
+from .rows import few, keyed_texts
 from .tokens import default_vocabulary, encoder
 
 TIERS = (128, 256, 512, 1024)
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, seq long, offset long, tier long, in_tier long"
 
 
 class Piece:
@@ -158,20 +160,29 @@ def _fit(pieces: list[Piece], size: int, done: list) -> list[Piece]:
     return out
 
 
-def step_groups(sizes: list[int], group_tokens: int) -> list[int]:
-    """Deals windows to groups of about ``group_tokens``, largest first to the group with the least."""
-    n = max(1, round(sum(sizes) / group_tokens))
-    heap = [(0, g) for g in range(n)]
-    out = [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        total, g = heapq.heappop(heap)
-        out[i] = g
-        heapq.heappush(heap, (total + sizes[i], g))
-    return out
+def dealt(packed_: DataFrame, group_tokens: int) -> DataFrame:
+    """Dense ids and step groups for the written pieces of ``packed``.
+
+    A table of one row for each partition and tier says how many windows come before; a window's number in its tier,
+    modulo the number of groups, is its group.  Each tier starts at the group where the one before it ended.
+    """
+    windows = packed_.where("offset = 0")
+    counts = windows.groupBy("part", "tier").agg(F.count("*").alias("n"))
+    upto = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(*by[-1])) - F.col("n")
+    tiers = counts.withColumn("before_tier", upto(["tier", "part"])).select("part", "tier", F.col("before_tier"))
+    parts = windows.groupBy("part").agg(F.count("*").alias("n")).withColumn("before_part", upto(["part"])).select("part", "before_part")
+    groups = max(1, round((packed_.agg(F.sum("length")).first()[0] or 0) / group_tokens))
+    found = packed_.join(few(materialize(tiers.join(parts, "part"), "windows")), ["part", "tier"])
+    number, group = F.col("before_part") + F.col("seq"), F.pmod(F.col("before_tier") + F.col("in_tier"), F.lit(groups))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", number.alias("sequence_id"), "offset", "tier", group.alias("step_group"))
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = 0, block_tokens: int = 4 << 20, group_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece (see ``SCHEMA``): ``start`` counts the document's ids before it, ``offset`` its place in the window."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
+
+    ``start`` counts the document's ids before it, ``offset`` its place in the window.
+    """
+    ship_package(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -179,8 +190,9 @@ def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_bytes
-        part = TaskContext.get().partitionId() << 36
-        seq, group = 0, 0
+        part = TaskContext.get().partitionId()
+        seq = 0
+        in_tier = dict.fromkeys(tiers, 0)
         ids: list[bytes] = []
         names: list[int | None] = []
         base: list[int] = []  # ids of the document before what is in the block
@@ -188,17 +200,16 @@ def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...
         held = 0
 
         def flush(last: bool) -> pa.RecordBatch:
-            nonlocal seq, group, ids, names, base, totals, held
+            nonlocal seq, ids, names, base, totals, held
             windows, left = pack([len(x) // 4 for x in ids], tiers, last)
-            groups = step_groups([sum(map(len, w)) for _, w in windows], group_tokens)
             rows = []
-            for g, (tier, window) in zip(groups, windows, strict=True):
+            for tier, window in windows:
                 at = 0
                 for p in window:
-                    rows.append((names[p.doc], base[p.doc] + p.start, len(p), zlib.crc32(ids[p.doc][4 * p.start : 4 * p.end]), totals[p.doc], part + seq, at, tier, part + group + g))
+                    rows.append((names[p.doc], base[p.doc] + p.start, len(p), zlib.crc32(ids[p.doc][4 * p.start : 4 * p.end]), totals[p.doc], part, seq, at, tier, in_tier[tier]))
                     at += len(p)
                 seq += 1
-            group += max(groups, default=-1) + 1
+                in_tier[tier] += 1
             ids, names, base, totals = [ids[p.doc][4 * p.start : 4 * p.end] for p in left], [names[p.doc] for p in left], [base[p.doc] + p.start for p in left], [totals[p.doc] for p in left]
             held = sum(map(len, ids)) // 4
             made = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
@@ -217,4 +228,4 @@ def packed(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...
         if ids:
             yield flush(True)
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return dealt(materialize(keyed_texts(docs, id_col, text_col).mapInArrow(run, SCHEMA), "pieces"), group_tokens)

@@ -263,7 +263,7 @@ def test_mapping_and_groups(spark):
     seqs = spark.createDataFrame([("P1", 1, 1, core), ("P1-2", 1, 2, core[5:]), ("Q", 2, 1, "AAAASAAA")], "protein_ac string, protgroup_id int, seq_rank int, seq string")
     objs = spark.createDataFrame([("Phospho", "P1-2", 8, "S"), ("Phospho", "Q", 5, "S")], "ptm_type string, protein_ac string, ptm_pos int, ptm_AA string")
     assert core[12] == "S" and core[5:][7] == "S"
-    m = ptm.map_positions(objs.withColumn("ptm_id", F.monotonically_increasing_id()), seqs, seqs, "protgroup_id")
+    m = ptm.map_positions(objs.withColumn("ptm_id", F.monotonically_increasing_id()), seqs, seqs, "protgroup_id", self_matches=False)
     assert rows(m, "protein_ac", "agn_seqid", "agn_pos", "agn_match") == [("P1-2", "P1", 13, "="), ("Q", None, None, None)]
     g = ptm.group_objects(objs, seqs)
     got = {(r["protein_ac"], r["ptm_pos"]): (r["is_observed"], r["is_reference"], r["ptm_label"]) for r in g.collect()}

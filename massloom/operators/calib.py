@@ -165,6 +165,19 @@ def z_parameters(rows: DataFrame, log_col: str = "logintensity") -> tuple[float,
     return r["m"], 1.0 / r["s"]
 
 
+def calibration_data_of(kind: str, data: Mapping[str, DataFrame], channels: DataFrame, **options) -> CalibrationData:
+    """Q3: by kind of object: "protgroup" (wide: columns Intensity.<run>) or "pepmodstate" (observations, pepmodstates[, peptides])."""
+    if kind == "protgroup":
+        wide = data["wide"]
+        rows = protgroup_data(wide, ["protgroup_id"])
+        return calibration_data(rows, wide.select("protgroup_id", F.lit(True).alias("use_for_calib")), channels, "protgroup_id", **options)
+    if kind == "pepmodstate":
+        allowed = options.pop("allowed", None)
+        objects = pepmodstate_data(data["observations"], data["pepmodstates"], data.get("peptides"), allowed=allowed)
+        return calibration_data(data["observations"], objects, channels, "pepmodstate_id", **options)
+    raise ValueError(f"unknown kind of object: {kind}")
+
+
 MIN_DETECT = math.log(1e-3)
 
 
@@ -270,6 +283,19 @@ def save_result(path: str, model: NoiseModel, fitness: float, params: Sequence[f
         json.dump({"info": dict(info or {}), "mscalib": model.to_dict(), "fitness": fitness, "raw_params": list(params)}, f, indent=1)
 
 
+def save_data(data: CalibrationData, folder: str) -> None:
+    """K1: the frames and numbers of the calibration, as tables under ``folder``."""
+    numbers = data.used.sparkSession.createDataFrame([(data.base, data.zScale, data.zShift, [float(g) for g in data.grid])], "base double, zScale double, zShift double, grid array<double>")
+    for name, df in (("numbers", numbers), ("used", data.used), ("shifts", data.shifts)):
+        df.write.parquet(f"{folder}/{name}")
+
+
+def load_data(spark, folder: str) -> CalibrationData:
+    """K1: what ``save_data`` has written."""
+    r = spark.read.parquet(f"{folder}/numbers").first()
+    return CalibrationData(r["base"], r["zScale"], r["zShift"], list(r["grid"]), spark.read.parquet(f"{folder}/used"), spark.read.parquet(f"{folder}/shifts"))
+
+
 def load_model(path: str) -> NoiseModel:
     with open(path) as f:
         return NoiseModel.from_dict(json.load(f)["mscalib"])

@@ -171,6 +171,43 @@ def graph_frames(vertices: DataFrame, edges: DataFrame, component_groups: bool =
     return with_attributes(vertices, ["node", *(["component_node"] if component_groups else [])], VERTEX_ATTRS), with_attributes(edges, ["source_node", "target_node"], EDGE_ATTRS)
 
 
+GRAPHML_TYPES = {"boolean": "boolean", "int": "int", "bigint": "long", "double": "double", "float": "double"}
+
+
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """K3: (part, value): a graph file's lines in order of ``part``: head and keys, nodes, edges, end.
+
+    A null attribute is left out; a node without a name is an error when computed.
+    """
+    spark = nodes.sparkSession
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    ends = {"node": ("node", "component_node"), "edge": ("source_node", "target_node")}
+    frames = {"node": nodes, "edge": edges}
+    attributes = {kind: [c for c in df.columns if c not in ends[kind]] for kind, df in frames.items()}
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    for kind, df in frames.items():
+        types = dict(df.dtypes)
+        head += [f'<key id="{kind}_{c}" for="{kind}" attr.name="{c}" attr.type="{GRAPHML_TYPES.get(types[c], "string")}"/>' for c in attributes[kind]]
+    if "component_node" in nodes.columns:
+        head.append('<key id="node_parent" for="node" attr.name="parent" attr.type="string"/>')
+
+    def data(kind: str) -> list[Column]:
+        own = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{kind}_{c}">'), text(F.col(c)), F.lit("</data>"))) for c in attributes[kind]]
+        parent = [F.when(F.col("component_node").isNotNull(), F.concat(F.lit('<data key="node_parent">'), text(F.col("component_node")), F.lit("</data>")))] if kind == "node" and "component_node" in nodes.columns else []
+        return own + parent
+
+    name = F.coalesce(F.col("node"), F.raise_error(F.lit("a node has no name")))
+    node = nodes.select(F.lit(1).alias("part"), F.concat_ws("", F.lit('<node id="'), text(name), F.lit('">'), *data("node"), F.lit("</node>")).alias("value"))
+    edge = edges.select(F.lit(2).alias("part"), F.concat_ws("", F.lit('<edge source="'), text(F.col("source_node")), F.lit('" target="'), text(F.col("target_node")), F.lit('">'), *data("edge"), F.lit("</edge>")).alias("value"))
+    frame = spark.createDataFrame([(0, "\n".join([*head, '<graph edgedefault="directed">'])), (3, "</graph>\n</graphml>")], "part int, value string")
+    return frame.unionByName(node).unionByName(edge)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """K3: one file under ``path``; a graph is for drawing, and one task writes it in order."""
+    graphml_lines(nodes, edges).repartition(1).sortWithinPartitions("part").select("value").write.text(path)
+
+
 def layout_weights(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """N4 without the force layout: degrees and flags of vertices, carried to edges, and the edges' weights."""
     known = F.coalesce("has_original", F.lit(False)) | F.coalesce("has_original_rev", F.lit(False))

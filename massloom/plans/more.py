@@ -149,6 +149,36 @@ def network_reader(s: SparkSession, d: str) -> DataFrame:
     return texts.read_network(s, f"{folder}/fi", f"{folder}/ways")
 
 
+@query("graph_file", """SELECT 'node' AS kind, 'v' || s_suppkey AS a, 'g' || s_nationkey AS b, CASE WHEN s_suppkey % 6 = 0 THEN 'source/sink' WHEN s_suppkey % 2 = 0 THEN 'source' WHEN s_suppkey % 3 = 0 THEN 'sink' WHEN s_suppkey % 5 = 0 THEN 'step' ELSE 'gene' END AS label FROM supplier
+  UNION ALL SELECT 'edge', 'v' || s_suppkey, 'v' || (s_suppkey + 1), CASE WHEN s_suppkey % 2 = 0 THEN 'interaction' ELSE 'flow' END FROM supplier""")
+def graph_file(s: SparkSession, d: str) -> DataFrame:
+    """Written as a graph file and read back by its tags."""
+    vertices, edges = _flow_frames(s, d)
+    none = F.lit(None).cast("double")
+    rows = edges.withColumns({"has_trace": F.lit(False), "has_walk": F.lit(False), "has_flow": F.lit(True), "prob_perm_walkweight_greater": none, "prob_perm_walkweight_greater_rev": none})
+    nodes, links = network.graph_frames(network.flow_vertices(vertices, component_groups=False), network.flow_edges(rows, True))
+    path = fresh_path(s, "graphml")
+    network.write_graphml(nodes, links, path)
+    lines = s.read.text(path)
+    got = lambda pattern: F.regexp_extract("value", pattern, 1)
+    node = lines.where("value like '<node %'").select(F.lit("node").alias("kind"), got('id="([^"]+)"').alias("a"), got('key="node_parent">([^<]+)<').alias("b"), got('key="node_vertex_type">([^<]+)<').alias("label"))
+    edge = lines.where("value like '<edge %'").select(F.lit("edge").alias("kind"), got('source="([^"]+)"').alias("a"), got('target="([^"]+)"').alias("b"), got('key="edge_edge_type">([^<]+)<').alias("label"))
+    return node.unionByName(edge)
+
+
+@query("calibration_frames", f"""WITH u AS (SELECT user_id AS obj, event_type AS msrun, max(value) AS x FROM events GROUP BY 1, 2), r AS (SELECT DISTINCT msrun FROM u), n AS (SELECT count(*) AS n FROM r)
+  SELECT msrun, CAST(count(*) AS BIGINT) AS npairs FROM u WHERE obj IN (SELECT obj FROM u WHERE msrun = (SELECT min(msrun) FROM r) AND x > 0) AND x > 0 GROUP BY msrun""")
+def calibration_frames(s: SparkSession, d: str) -> DataFrame:
+    """Q3 by kind, saved and loaded: the pairs that each run's shift is made of."""
+    rows = table(s, d, "events").groupBy(F.col("user_id").alias("pepmodstate_id"), F.col("event_type").alias("msrun")).agg(F.max("value").alias("intensity")).withColumn("ident_type", F.lit("MSMS"))
+    objects = rows.select("pepmodstate_id").distinct().withColumns({"is_contaminant": F.lit(False), "is_reverse": F.lit(False)})
+    channels = rows.select("msrun").distinct().withColumn("experiment", F.lit("e"))
+    data = calib.calibration_data_of("pepmodstate", {"observations": rows, "pepmodstates": objects}, channels)
+    folder = fresh_path(s, "calibration")
+    calib.save_data(data, folder)
+    return calib.load_data(s, folder).shifts.select("msrun", "npairs")
+
+
 @query("model_dict_round_trip", "SELECT event_id, round((log2(value) - 5.0) * 0.7, 6) AS z FROM events WHERE value > 0")
 def model_dict_round_trip(s: SparkSession, d: str) -> DataFrame:
     model = noise.NoiseModel.from_dict(MODEL.to_dict())

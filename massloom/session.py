@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_scopes: list[str] = []
 
 
 def get_spark(cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -47,9 +50,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/massloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str = "table") -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/massloom/{name}-{uuid.uuid4().hex}"
+    """A path in the application's scratch folder that nothing has used."""
+    return "/".join([scratch_dir(spark), *_scopes, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside of the block go at its end; write what is to stay to a path made before."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    path = "/".join([scratch_dir(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        delete_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -71,8 +91,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove every table that ``materialize`` and operators left in the shared folder; frames read from them end."""
-    delete_path(spark, f"{shared_dir(spark)}/massloom")
+    """Remove every table that ``materialize`` and operators left in this application's scratch folder; frames read from them end.
+
+    What other applications have there stays, as does an index or shards at a path of the caller's own.
+    """
+    delete_path(spark, scratch_dir(spark))
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -12,6 +12,7 @@ from ..functions.nulls import extract_or_null, literal_split, minus_to_null
 from ..functions.strings import fix_annotation_source
 from ..operators.network import directed_edges
 from .catalogues import SITE_COLUMNS, SITE_FILES, SITE_OVERRIDES
+from .rdata import read_rdata
 
 # Header grammars, with numbered groups.
 UNIPROT = r"^(sp|tr)\|([^|]+)\|(\S+)\s(.+)\sOS=(.+?(?=\s(?:GN|PE|SV)\=|$))?(?:\sGN=([^=]+))?(?:\sPE=(\S+))?(?:\sSV=(\S+))?$"
@@ -175,7 +176,7 @@ def read_motif_alignments(spark: SparkSession, folder: str) -> DataFrame:
 def read_set_collections(spark: SparkSession, paths: dict[str, str], organism: str = "Hs") -> DataFrame:
     """(coll_id, set_id, obj_id) of Parquet files (set_id, obj_id) by collection name; a missing file is left out with a warning.
 
-    R's own serialisation has no reader here: convert such lists to long Parquet frames first.
+    Saved R lists are read by ``read_set_workspaces``.
     """
     parts = []
     for name, path in paths.items():
@@ -195,6 +196,32 @@ def read_set_collections(spark: SparkSession, paths: dict[str, str], organism: s
     return out.distinct()
 
 
+# Set collections by the name of their file, and organisms.
+SET_COLLECTIONS = {"c2": "C2", "c6": "C6", "c7": "C7", "H": "Hallmark"}
+SET_ORGANISMS = {"Mm": "mouse", "Hs": "human"}
+
+
+def read_set_workspaces(spark: SparkSession, folder: str, organism: str = "Hs", version: str = "v5p2") -> DataFrame:
+    """(coll_id, set_id, obj_id) of the saved R lists <organism>_<collection>_<version>.rdata; a missing file is left out with a warning.
+
+    A workspace holds one list of sets, some megabytes, which the driver parses.
+    """
+    rows = []
+    for name, title in SET_COLLECTIONS.items():
+        path = f"{folder}/{SET_ORGANISMS[organism]}_{name}_{version}.rdata"
+        try:
+            data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+        except Exception as e:  # noqa: BLE001  Spark tells a missing path by its message alone
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            warnings.warn(f"collection {name} is not at {path}, skipped", stacklevel=2)
+            continue
+        sets = read_rdata(data)[f"{organism}.{name}"]
+        rows += [(f"{organism}_SigDB_{title}", set_id, [int(x) for x in members]) for set_id, members in sets.items()]
+    lists = spark.createDataFrame(rows, "coll_id string, set_id string, objs array<long>")
+    return lists.select("coll_id", "set_id", F.explode(F.array_distinct("objs")).alias("obj_id"))
+
+
 def read_network(spark: SparkSession, interactions: str, directions: str) -> DataFrame:
     """Directed edges of an interaction file and its dictionary of directions."""
     tsv = lambda p: spark.read.csv(p, sep="\t", header=True, inferSchema=False)

@@ -133,3 +133,38 @@ def test_projection_on_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("k int, xs string").parquet(f"{tmp_path}/in")
     run_projection(stream, lambda d: expand_delim_column(d, "xs", "k"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def r_item(value, names=None):
+    """R's serialisation of strings, numbers and lists."""
+    import struct
+
+    number = lambda *x: struct.pack(f">{len(x)}i", *x)
+    chars = lambda x: number(9 | 1 << 18, len(x)) + x.encode()
+    flags = 512 if names else 0
+    if all(isinstance(v, str) for v in value):
+        out = number(16 | flags, len(value)) + b"".join(map(chars, value))
+    elif all(isinstance(v, int) for v in value):
+        out = number(13 | flags, len(value)) + number(*value)
+    else:
+        out = number(19 | flags, len(value)) + b"".join(map(r_item, value))
+    if names:
+        out += number(2 | 1024) + number(1) + chars("names") + r_item(names) + number(254)
+    return out
+
+
+def test_saved_r_lists(spark, tmp_path):
+    import struct
+
+    from massloom.sources.rdata import read_rdata
+
+    sets = r_item([["1", "2", "2"], ["3"]], ["SET_A", "SET_B"])
+    body = b"RDX2\nX\n" + struct.pack(">3i", 2, 0x30000, 0x20300) + struct.pack(">2i", 2 | 1024, 1) + struct.pack(">2i", 9 | 1 << 18, 5) + b"Hs.c2" + sets + struct.pack(">i", 254)
+    assert read_rdata(gzip.compress(body)) == {"Hs.c2": {"SET_A": ["1", "2", "2"], "SET_B": ["3"]}} == read_rdata(body)
+    assert read_rdata(body.replace(b"RDX2", b"RDX3").replace(struct.pack(">3i", 2, 0x30000, 0x20300), struct.pack(">3i", 3, 0x30000, 0x20300) + struct.pack(">i", 5) + b"UTF-8"))["Hs.c2"]["SET_B"] == ["3"]
+    with pytest.raises(ValueError, match="not a binary R workspace"):
+        read_rdata(b"zzz")
+    (tmp_path / "human_c2_v5p2.rdata").write_bytes(gzip.compress(body))
+    with pytest.warns(UserWarning):
+        got = texts.read_set_workspaces(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("Hs_SigDB_C2", "SET_A", 1), ("Hs_SigDB_C2", "SET_A", 2), ("Hs_SigDB_C2", "SET_B", 3)]

@@ -6,7 +6,9 @@ starts and -1 where it ends.  Control strings that occur in a text are escaped r
 backslash more than twice the backslashes before it.
 
 Defined cases: a null text or role is empty; rows of one turn follow by role and text; an empty
-assistant text has no token under the mask; no rows give no conversations.
+assistant text has no token under the mask; no rows give no conversations.  Rows that repeat are turns each.  Only conv_id, turn,
+role and text are read, so no other column clashes.  A conversation is assembled whole, as a model reads it: it must fit a row (2 GB) and a
+task; conversations are spread over tasks by their id.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .rows import map_batches
 from .tokens import default_vocabulary, encoder
 
@@ -77,6 +80,7 @@ def read_back(ids: list[int], mask: list[int], decode) -> tuple[list[tuple[str,
 
 def format_conversations(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(conv_id, ids, loss_mask) of every conversation in ``rows`` (conv_id, turn, role, text)."""
+    ship_package(rows.sparkSession)
     path = vocabulary or default_vocabulary()
     none = F.lit("")
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text")))).alias("turns"))

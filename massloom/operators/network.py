@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import flow_label
-from ..session import materialize
-from .graph import connected_components
+from ..session import materialize, ship_package
+from .graph import ONE_TASK, connected_components
 
 
 def directed_edges(interactions: DataFrame, directions: DataFrame) -> DataFrame:
@@ -85,10 +88,75 @@ def weighted_matrix(walk: DataFrame, weights: DataFrame) -> DataFrame:
     return walk.join(weights, "j").select("i", "j", (F.col("v") * F.col("weight")).alias("v"))
 
 
-def strong_components(edges: DataFrame, threshold: float, weight: str = "w", src: str = "src", dst: str = "dst") -> DataFrame:
-    """N3, tree cut: (id, component) of vertices joined both ways by edges of at least ``threshold``: least labels forward and
-    backward; where both agree a component is done, and edges inside one pair of labels go on."""
+def strong_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least vertex of each one's strong component, for n vertices and directed edges (a, b): one walk in depth, without recursion."""
+    order = np.argsort(a, kind="stable")
+    to, first = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    seen, low, label = [-1] * n, [0] * n, [-1] * n
+    held: list[int] = []
+    count = 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        path = [(root, first[root])]
+        while path:
+            v, at = path.pop()
+            if at == first[v] and seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                held.append(v)
+            went = False
+            while at < first[v + 1]:
+                w = to[at]
+                if seen[w] < 0:
+                    path += [(v, at), (w, first[w])]
+                    went = True
+                    break
+                if label[w] < 0:
+                    low[v] = min(low[v], low[w])
+                at += 1
+            if went:
+                continue
+            if low[v] == seen[v]:
+                k = len(held) - 1
+                while held[k] != v:
+                    k -= 1
+                least = min(held[k:])
+                for w in held[k:]:
+                    label[w] = least
+                del held[k:]
+            if path:
+                parent = path[-1][0]
+                low[parent] = min(low[parent], low[v])
+    return np.array(label, int)
+
+
+def _strong_in_one_task(strong: DataFrame) -> DataFrame:
+    kind = strong.schema["u"].dataType.simpleString()
+    ship_package(strong.sparkSession)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            names, ends = np.unique(np.concatenate([t["u"].to_numpy(), t["v"].to_numpy()]), return_inverse=True)
+            label = strong_labels(len(names), ends[: len(t)], ends[len(t) :])
+            for at in range(0, len(names), 1 << 16):
+                own = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(names[own], t["u"].type), pa.array(names[label[own]], t["u"].type)], names=["id", "component"])
+
+    return materialize(strong.repartition(1).mapInArrow(settle, f"id {kind}, component {kind}"), "components")
+
+
+def strong_components(edges: DataFrame, threshold: float, weight: str = "w", src: str = "src", dst: str = "dst", one_task: int = ONE_TASK) -> DataFrame:
+    """N3, tree cut: (id, component) of vertices joined both ways by edges of at least ``threshold``.
+
+    Up to ``one_task`` edges are settled by one task.  More go by least labels forward and backward; where both agree
+    a component is done, and edges inside one pair of labels go on.
+    """
     strong = materialize(edges.where(F.col(weight) >= threshold).select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "strong")
+    if not isinstance(strong.schema["u"].dataType, (T.StructType, T.ArrayType, T.MapType)) and strong.count() <= one_task:
+        return _strong_in_one_task(strong)
     vertices = strong.select(F.col("u").alias("id")).union(strong.select("v")).distinct()
     done: list[DataFrame] = []
     live = strong

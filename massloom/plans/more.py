@@ -744,3 +744,33 @@ def evidence_proteins(s: SparkSession, d: str) -> DataFrame:
     )
     return wide.decompose_evidence(wide.finish_evidence(rows)).peptide2protein
 
+
+
+# --- what is drawn at random, by what must hold
+
+
+@query("simulated_bounds", "SELECT event_id, true AS missed_is_near, true AS noise_is_in_scale FROM events WHERE value > 0")
+def simulated_bounds(s: SparkSession, d: str) -> DataFrame:
+    """Missing values lie within the posterior's grid around their bin, detected ones within a wide multiple of their deviation."""
+    e = table(s, d, "events").where("value > 0").select("event_id", "value", F.when(F.col("event_type") != "view", F.col("value")).alias("seen"))
+    cuts = [float(x) for x in e.agg(F.percentile(F.log2("value"), F.array(*[F.lit(k / 10) for k in range(1, 11)])).alias("q")).first()["q"]]
+    at = F.get(F.array(*[F.lit(c) for c in cuts]), F.least(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda q: q <= F.log2("value"))), F.lit(9)))
+    width = 8 / (MODEL.zScale * 3.0)
+    rows = MODEL.simulate(MODEL.simulate_missing(e, "value"), "seen", "value")
+    near = F.abs(F.col("missed_log") - at) <= width + 1e-6
+    noise_ = F.when(F.col("seen").isNull(), F.col("simulated") > 0).otherwise(F.abs(F.col("simulated") - F.col("seen")) <= 9 * MODEL.signal_std(F.col("seen")))
+    return rows.select("event_id", near.alias("missed_is_near"), noise_.alias("noise_is_in_scale"))
+
+
+@query("calibration_search", "SELECT true AS is_better, true AS is_in_box FROM region LIMIT 1")
+def calibration_search(s: SparkSession, d: str) -> DataFrame:
+    """The search ends no worse than it began, inside of the factory's box."""
+    rows = table(s, d, "events").groupBy(F.col("user_id").alias("pepmodstate_id"), F.col("event_type").alias("msrun")).agg(F.max("value").alias("intensity")).withColumn("ident_type", F.lit("MSMS"))
+    objects = rows.select("pepmodstate_id").distinct().withColumns({"is_contaminant": F.lit(False), "is_reverse": F.lit(False)})
+    channels = rows.select("msrun").distinct().withColumn("experiment", F.lit("e"))
+    data = calib.calibration_data_of("pepmodstate", {"observations": rows, "pepmodstates": objects}, channels, most=500)
+    factory = calib.ModelFactory(data.zScale, data.zShift, data.base)
+    best: list[float] = []
+    model, fitness = calib.calibrate(data, factory, rounds=6, population=10, progress=lambda _, f: best.append(f))
+    inside = all(lo <= getattr(model, k) <= hi for k, (lo, hi) in factory.bounds.items())
+    return s.createDataFrame([(fitness >= best[0], inside)], "is_better boolean, is_in_box boolean")

@@ -490,3 +490,22 @@ def test_alignment_columns():
     s, to, columns, matches, at = align("MKTAYIAK", "MKYIAK", class_scores(), -2, -1)
     assert columns == 8 and matches == 6 and to.tolist() == [1, 2, 0, 0, 3, 4, 5, 6] and at.tolist() == list(range(1, 9))
     assert align("AC", "XXAC", class_scores(), -2, -1)[4].tolist() == [3, 4]
+
+
+def test_graphs_by_either_path(spark):
+    """One task, or rounds over all: the same components."""
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2))]
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    named = df.selectExpr("concat('v', src) as src", "concat('v', dst) as dst")
+    assert sorted(map(tuple, graph.connected_components(df).collect())) == sorted(map(tuple, graph.connected_components(df, one_task=0).collect()))
+    assert sorted(map(tuple, graph.connected_components(named).collect())) == sorted(map(tuple, graph.connected_components(named, one_task=0).collect()))
+    reach = np.eye(60, dtype=bool)
+    for a, b in pairs:
+        reach[a, b] = True
+    for _ in range(6):
+        reach = reach @ reach
+    edges = [(a, b) for a, b in pairs if a != b]
+    want = {v: int(np.flatnonzero(reach[v] & reach[:, v]).min()) for v in {x for e in edges for x in e}}
+    weighted = df.withColumn("w", F.lit(1.0))
+    assert dict(map(tuple, network.strong_components(weighted, 0.5).collect())) == want == dict(map(tuple, network.strong_components(weighted, 0.5, one_task=0).collect()))

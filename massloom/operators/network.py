@@ -60,7 +60,7 @@ def restart_walk(edges: DataFrame, starts: DataFrame, restart: float, tolerance:
 
 
 def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[float] = tuple(k / 20 for k in range(1, 20)), src: str = "source", dst: str = "target", tolerance: float = 1e-3) -> DataFrame:
-    """(restart_prob, part, mass): mean mass that walks from ``starts`` put on neighbours and beyond.
+    """(restart_prob, vertices, trans_probs): mean mass that walks from ``starts`` put on neighbours and beyond.
 
     All restart probabilities weigh the same steps, so the walk is made once; each step leaves two means on the driver.
     It ends when the least restart probability gives the rest at most ``tolerance``; no mass is let go before.
@@ -80,7 +80,7 @@ def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[fl
         if mass.isEmpty():  # every walk has ended
             break
     rows = [(float(r), part, sum(r * (1 - r) ** k * m[at] for k, m in enumerate(sums, 1))) for r in restarts for at, part in enumerate(("neighbors", "exterior"))]
-    return edges.sparkSession.createDataFrame(rows, "restart_prob double, part string, mass double")
+    return edges.sparkSession.createDataFrame(rows, "restart_prob double, vertices string, trans_probs double")
 
 
 def weighted_matrix(walk: DataFrame, weights: DataFrame) -> DataFrame:

@@ -359,7 +359,7 @@ def _variants(s: SparkSession, d: str) -> DataFrame:
 
 @query("aligned_positions", f"""WITH v AS ({_SEQS}), w AS (SELECT ac, g, spot, substr(base, 1, spot - 1) || 'H' || substr(base, spot + 1) AS seq FROM v)
   SELECT CAST(a.ac AS VARCHAR) AS protein_ac, CAST(b.ac AS VARCHAR) AS agn_seqid, a.spot AS ptm_pos, a.spot AS agn_pos, substr(b.seq, a.spot, 1) AS "agn_AA", CASE WHEN substr(b.seq, a.spot, 1) = 'H' THEN '=' ELSE 'X' END AS agn_match, a.spot AS agn_column, CAST(20 AS BIGINT) AS agn_len,
-  CASE WHEN a.spot = b.spot THEN 1.0 ELSE 0.9 END AS agn_match_ratio FROM w a JOIN w b ON a.g = b.g""")
+  CAST(CASE WHEN a.spot = b.spot THEN 1.0 ELSE 0.9 END AS DOUBLE) AS agn_match_ratio FROM w a JOIN w b ON a.g = b.g""")
 def aligned_positions(s: SparkSession, d: str) -> DataFrame:
     v = _variants(s, d)
     objs = v.select(F.col("protein_ac").alias("ptm_id"), "protein_ac", F.col("spot").alias("ptm_pos"))
@@ -530,16 +530,16 @@ def filter_multicover_own_limits(s: SparkSession, d: str) -> DataFrame:
 _RESTARTS = "SELECT k / 20.0 AS r FROM range(1, 20) t(k)"
 
 
-@query("walk_weights", f"""SELECT round(r, 2) AS restart_prob, part, round(CASE part WHEN 'neighbors' THEN r * (1 - r) ELSE r * (1 - r) * (1 - r) END, 6) AS mass FROM ({_RESTARTS}), (VALUES ('neighbors'), ('exterior')) p(part) WHERE (SELECT count(*) FROM supplier) > 0""")
+@query("walk_weights", f"""SELECT round(r, 2) AS restart_prob, part AS vertices, round(CASE part WHEN 'neighbors' THEN r * (1 - r) ELSE r * (1 - r) * (1 - r) END, 6) AS trans_probs FROM ({_RESTARTS}), (VALUES ('neighbors'), ('exterior')) p(part) WHERE (SELECT count(*) FROM supplier) > 0""")
 def walk_weights(s: SparkSession, d: str) -> DataFrame:
     """Every supplier leads to its nation, every nation to its region, where walks end."""
     sup = table(s, d, "supplier").select((F.col("s_suppkey") * 3).alias("source"), (F.col("s_nationkey") * 3 + 1).cast("long").alias("target"))
     nation = table(s, d, "nation").select((F.col("n_nationkey") * 3 + 1).cast("long").alias("source"), (F.col("n_regionkey") * 3 + 2).cast("long").alias("target"))
     got = network.walk_weight_stats(sup.unionByName(nation), sup.select(F.col("source").alias("start")))
-    return got.select(F.round("restart_prob", 2).alias("restart_prob"), "part", F.round("mass", 6).alias("mass"))
+    return got.select(F.round("restart_prob", 2).alias("restart_prob"), "vertices", F.round("trans_probs", 6).alias("trans_probs"))
 
 
-@query("stationary_walk", """SELECT s_suppkey * 3 AS start, v.vertex, round(v.p, 6) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey, LATERAL (SELECT unnest([s_suppkey * 3, n_nationkey * 3 + 1, n_regionkey * 3 + 2]) AS vertex, unnest([0.5, 0.25, 0.125]) AS p) v""")
+@query("stationary_walk", """SELECT s_suppkey * 3 AS start, v.vertex, CAST(round(v.p, 6) AS DOUBLE) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey, LATERAL (SELECT unnest([s_suppkey * 3, n_nationkey * 3 + 1, n_regionkey * 3 + 2]) AS vertex, unnest([0.5, 0.25, 0.125]) AS p) v""")
 def stationary_walk(s: SparkSession, d: str) -> DataFrame:
     sup = table(s, d, "supplier").select((F.col("s_suppkey") * 3).alias("source"), (F.col("s_nationkey") * 3 + 1).cast("long").alias("target"))
     nation = table(s, d, "nation").select((F.col("n_nationkey") * 3 + 1).cast("long").alias("source"), (F.col("n_regionkey") * 3 + 2).cast("long").alias("target"))
@@ -619,7 +619,7 @@ def likelihood_terms(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("model_prior", f"""WITH g AS (SELECT pow(2.0, k) AS value FROM range(1, 11) t(k)), r AS (SELECT pow(2.0, {_LOGSTD}) / value AS r FROM g), s AS (SELECT sum(-0.5 * (r / 0.1) * (r / 0.1) - ln(0.1) - 0.5 * ln(2 * pi())) AS s FROM r)
-  SELECT round((-ln(pi()) - ln(1 + 2.0 * 2.0)) + (-ln(pi()) - ln(1 + 1.2 * 1.2)) + s * 3 + (9.0 * ln(0.99) + 0.1000000000000000888 * ln(1 - 0.99) - (lgamma(10.0) + lgamma(1.1) - lgamma(11.1))), 4) AS prior, round(2.0 * 7.5 + 1.25, 4) AS score FROM s""")
+  SELECT round((-ln(pi()) - ln(1 + 2.0 * 2.0)) + (-ln(pi()) - ln(1 + 1.2 * 1.2)) + s * 3 + (9.0 * ln(0.99) + 0.1000000000000000888 * ln(1 - 0.99) - (lgamma(10.0) + lgamma(1.1) - lgamma(11.1))), 4) AS prior, CAST(round(2.0 * 7.5 + 1.25, 4) AS DOUBLE) AS score FROM s""")
 def model_prior(s: SparkSession, d: str) -> DataFrame:
     """Q1 over a grid of ten powers of two, weighed as 30 rows; Q14's score."""
     prior = calib.log_prior(MODEL, [2.0**k for k in range(1, 11)], n=30)

@@ -314,7 +314,7 @@ def test_walks_keep_thin_mass(spark):
     """A start with so many ways out that each takes little."""
     e = spark.range(1, 4001).select(F.lit(0).alias("source"), F.col("id").cast("int").alias("target"))
     starts = spark.createDataFrame([(0,)], "start int")
-    s = {r["part"]: r["mass"] for r in network.walk_weight_stats(e, starts, [0.5], tolerance=0.4).collect()}
+    s = {r["vertices"]: r["trans_probs"] for r in network.walk_weight_stats(e, starts, [0.5], tolerance=0.4).collect()}
     assert s == {"neighbors": pytest.approx(0.25), "exterior": 0.0}
     thin = network.restart_walk(e, starts, 0.5, 0.4).where("vertex > 0").agg(F.count("*"), F.sum("p")).first()
     assert (thin[0], thin[1]) == (4000, pytest.approx(0.25))

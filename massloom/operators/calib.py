@@ -217,10 +217,17 @@ class ModelFactory:
 
 
 def bayesian_score(prior: float, llh: float, prior_weight: float = 1.0) -> float:
-    """Q14."""
+    """Q14: two objectives as one."""
     return prior_weight * prior + llh
 
 
+def pareto_front(scores: Sequence[Sequence[float]]) -> list[int]:
+    """Q14: places of the scores (all to be large) that no other is at least as good as in each objective and better in one; ties stay."""
+    x = np.array(scores, float).reshape(len(scores), -1)
+    beaten = [bool(((x >= row).all(1) & (x > row).any(1)).any()) for row in x]
+    return [k for k, b in enumerate(beaten) if not b]
+
+
 def sampled_llh(model: NoiseModel, x: Mapping[str, np.ndarray]) -> float:
     """Q12 in numpy over the balanced sample, whose size the bins bound."""
     error, z, logp = x["error"], x["z"], x["log"]
@@ -237,10 +244,11 @@ def sampled_llh(model: NoiseModel, x: Mapping[str, np.ndarray]) -> float:
     return float(total + (pdf - (logstd - model.zShift) * b).sum() + beta_logpdf(p, len(d) - n_in + 1, n_in + 1))
 
 
-def calibrate(data: CalibrationData, factory: ModelFactory | None = None, rounds: int = 200, population: int = 40, seed: int = 1, prior_weight: float = 1.0, max_rows: int = 200_000, progress: Callable[[int, float], None] | None = None) -> tuple[NoiseModel, float]:
+def calibrate(data: CalibrationData, factory: ModelFactory | None = None, rounds: int = 200, population: int = 40, seed: int = 1, prior_weight: float = 1.0, max_rows: int = 200_000, progress: Callable[[int, float], None] | None = None, front: list | None = None) -> tuple[NoiseModel, float]:
     """Q15: differential evolution over the factory's box; the balanced sample comes to the driver.
 
-    A sample of over ``max_rows`` rows is an error: bound it by ``most`` when the data are made.
+    Candidates are ranked by the score of both objectives; ``front`` is given those of all candidates that none beats in
+    both, as (prior, log-likelihood, parameters).  A sample of over ``max_rows`` rows is an error: bound it by ``most`` when the data are made.
     """
     factory = factory or ModelFactory(data.zScale, data.zShift, data.base)
     rows = data.used.select("intensity_prediction_error", "intensity_zscore_predicted", "logintensity_predicted").limit(max_rows + 1).toPandas()
@@ -250,9 +258,14 @@ def calibrate(data: CalibrationData, factory: ModelFactory | None = None, rounds
     rng = np.random.default_rng(seed)
     lo, hi = np.array(list(factory.bounds.values())).T
 
+    best_of_both: list[tuple[float, float, list[float]]] = []
+
     def fitness(p: np.ndarray) -> float:
         model = factory.model(p)
-        value = bayesian_score(log_prior(model, data.grid, n=len(rows)), sampled_llh(model, x), prior_weight)
+        prior, llh = log_prior(model, data.grid, n=len(rows)), sampled_llh(model, x)
+        value = bayesian_score(prior, llh, prior_weight)
+        if front is not None and math.isfinite(value) and not any(a >= prior and b >= llh for a, b, _ in best_of_both):
+            best_of_both[:] = [c for c in best_of_both if not (prior >= c[0] and llh >= c[1])] + [(float(prior), float(llh), p.tolist())]
         return value if math.isfinite(value) else -1e300
 
     pool = lo + rng.random((population, len(lo))) * (hi - lo)
@@ -267,6 +280,8 @@ def calibrate(data: CalibrationData, factory: ModelFactory | None = None, rounds
         if progress:
             progress(r, float(scores.max()))
     best = int(scores.argmax())
+    if front is not None:
+        front.extend(sorted(best_of_both, key=lambda c: -c[0]))
     return factory.model(pool[best]), float(scores[best])
 
 

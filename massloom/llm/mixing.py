@@ -19,11 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ids import dense_rank_table
 from ..session import materialize
-from .rows import unboxed, whole
+from .rows import few, unboxed, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns are combinations of sources, held on the driver; more than this is an error, never a cut.
+#: Patterns that the driver routes.  More sources than these are planned on the executors; more patterns of overlapping sources are
+#: an error, never a cut.
 MAX_PATTERNS = 200_000
 BINS = 4096
 
@@ -89,7 +91,7 @@ def min_cost_flow(supply: dict, quota: dict, member: dict, passes: int = 2) -> d
                                 tick += 1
                                 heapq.heappush(heap, (len(member[x]), tick, "s", s))
                     elif left[x] > eps:
-                        end = x
+                        end = ("s", x)  # a source may be called None
                     else:
                         for p in by_source[x]:
                             if flow.get((p, x), 0) > eps and ("p", p) not in before:
@@ -98,12 +100,12 @@ def min_cost_flow(supply: dict, quota: dict, member: dict, passes: int = 2) -> d
                                 heapq.heappush(heap, (1 + len(member[p]), tick, "p", p))
                 if end is None:
                     break
-                path, at = [], ("s", end)
+                path, at = [], end
                 while at is not None:
                     path.append(at)
                     at = before[at]
                 path.reverse()
-                amount = min(room, left[end])
+                amount = min(room, left[end[1]])
                 for a, b in zip(path, path[1:], strict=False):
                     if a[0] == "s":  # takes back what pattern b sends to source a
                         amount = min(amount, flow[b[1], a[1]])
@@ -111,13 +113,37 @@ def min_cost_flow(supply: dict, quota: dict, member: dict, passes: int = 2) -> d
                     key, sign = ((a[1], b[1]), 1) if a[0] == "p" else ((b[1], a[1]), -1)
                     flow[key] = flow.get(key, 0.0) + sign * amount
                 given[start] += amount
-                left[end] -= amount
+                left[end[1]] -= amount
     return {k: v for k, v in flow.items() if v > eps}
 
 
+def plan_of_sources(words: DataFrame, weights: Sequence[float], total_share: float, most: float) -> DataFrame:
+    """(pattern, whole, part, source_size, target) of sources that do not overlap, however many: (pattern, words), a pattern being
+    one source.
+
+    What the flow gives is then each source's target.  The level to which weights are filled rises until no other source
+    is over its limit; a round is one aggregation.
+    """
+    ranked = dense_rank_table(words.select("pattern", F.get("pattern", F.lit(0)).alias("s"), F.col("words").cast("double").alias("size")), ["s"], "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    rows = materialize(ranked.withColumn("w", weight).withColumn("limit", most * F.col("size")), "sources")
+    total, free = rows.agg(F.sum("size"), F.sum("w")).first()
+    level, before = total_share * total / free, -1.0
+    while level != before:
+        full = F.col("limit") < F.col("w") * level
+        used, free = rows.agg(F.sum(F.when(full, F.col("limit")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        level, before = ((total_share * total - used) / free if free else float("inf")), level
+        if not free or level < before:
+            break
+    target = F.least("limit", F.col("w") * F.lit(level)) if level != float("inf") else F.col("limit")
+    rows = rows.withColumn("target", target)
+    whole = F.when(F.col("size") > 0, F.least(F.floor((F.col("target") + 1e-6) / F.col("size")), F.lit(int(most)))).otherwise(0).cast("int")
+    return rows.withColumn("whole", whole).select("pattern", "whole", (F.col("target") - F.col("whole") * F.col("size")).alias("part"), F.col("size").alias("source_size"), "target")
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source: str = "source", max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), copies, pattern.
 
@@ -127,9 +153,12 @@ def mix(
     order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), membership(docs, source).alias("pattern"), order.alias("at")), "sizes")
     bins = materialize(sized.withColumn("bin", F.shiftrightunsigned("at", 52)).groupBy("pattern", "bin").agg(F.sum("size").alias("words")), "bins")
-    found = bins.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    words = bins.groupBy("pattern").agg(F.sum("words").alias("words"))
+    found = words.limit(max_patterns + 1).collect()
+    if len(found) > max_patterns:
+        if dict(docs.dtypes)[source].startswith("array"):
+            raise ValueError(f"more than {max_patterns} membership patterns")
+        return _taken(sized, bins, plan_of_sources(words, weights, total_share, most), most)
     supply = {tuple(r["pattern"]): float(r["words"]) for r in found}
     member = {p: sorted(p, key=lambda s: (s is None, (s or "").encode())) for p in supply}
     names = sorted({s for p in member.values() for s in p}, key=lambda s: (s is None, (s or "").encode()))
@@ -143,6 +172,11 @@ def mix(
         rows.append((list(p), whole, amount - whole * supply[p], float(sum(size_of[s] for s in p)), float(sum(target[s] for s in p))))
     spark = docs.sparkSession
     plan = F.broadcast(spark.createDataFrame(rows, "pattern array<string>, whole int, part double, source_size double, target double"))
+    return _taken(sized, bins, plan, most)
+
+
+def _taken(sized: DataFrame, bins: DataFrame, plan: DataFrame, most: float) -> DataFrame:
+    """Documents by the plan of their pattern: whole passes, and a part in the order of their hash."""
     # null elements: join on a text form, in which null differs from every name
     tag = F.to_json(F.struct("pattern")).alias("tag")
     plan = plan.select("*", tag).drop("pattern")
@@ -151,7 +185,7 @@ def mix(
     # the bin in which the part ends: all before it are taken once more, all after it are not
     edge = sums.withColumn("before", F.sum("words").over(upto) - F.col("words")).where("before < part and before + words >= part")
     edge = materialize(edge.groupBy("tag").agg(F.min(F.struct("bin", "before")).alias("e")).select("tag", F.col("e.bin").alias("edge"), F.col("e.before").alias("before")), "edge")
-    marked = sized.select("*", tag).join(plan, "tag").join(F.broadcast(edge), "tag", "left").withColumn("bin", F.shiftrightunsigned("at", 52))
+    marked = sized.select("*", tag).join(plan, "tag").join(few(edge), "tag", "left").withColumn("bin", F.shiftrightunsigned("at", 52))
     inside = Window.partitionBy("tag").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = marked.where("bin = edge").withColumn("upto", F.col("before") + F.sum("size").over(inside))
     # the last document is taken when that brings the sum nearer to the part

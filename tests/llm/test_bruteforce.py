@@ -192,11 +192,18 @@ def test_packing(spark, sf_dir, docs):
     assert padding < 1024 * 8
 
 
-def test_step_groups_are_even():
-    sizes = [1024] * 100 + [128] * 50 + [512] * 20
-    groups = packing.step_groups(sizes, 16_384)
-    totals = np.bincount(groups, sizes)
-    assert len(totals) == 7 and totals.max() - totals.min() <= 1024
+def test_step_groups_are_even(spark):
+    """Over all partitions, and window ids are dense."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
+    got = packing.packed(df, group_tokens=20_000).groupBy("sequence_id", "tier", "step_group").agg(F.sum("length").alias("n")).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+    tokens, by_tier = Counter(), defaultdict(Counter)
+    for r in got:
+        tokens[r["step_group"]] += r["n"]
+        by_tier[r["tier"]][r["step_group"]] += 1
+    groups = round(sum(tokens.values()) / 20_000)
+    assert len(tokens) == groups > 10 and all(max(c[g] for g in range(groups)) - min(c[g] for g in range(groups)) <= 1 for c in by_tier.values())
+    assert max(tokens.values()) - min(tokens.values()) <= sum(packing.TIERS)
 
 
 def test_sharding(spark, sf_dir, docs):
@@ -291,6 +298,43 @@ def test_min_cost_flow_prefers_first_passes():
     assert sum(v for (_, s), v in flow.items() if s == "a") == 12.0 and sum(v for (_, s), v in flow.items() if s == "b") == 9.0
 
 
+def test_min_cost_flow_is_best():
+    """The most words that can be routed, at the least cost of repetition, by trying every flow."""
+    import itertools
+
+    rng = np.random.default_rng(11)
+    member = {("a",): ["a"], ("b",): ["b"], ("a", "b"): ["a", "b"], ("b", "c"): ["b", "c"]}
+    arcs = [(p, s) for p, sources in member.items() for s in sources]
+    for _ in range(25):
+        supply = {p: float(rng.integers(0, 3)) for p in member}
+        quota = {s: float(rng.integers(0, 6)) for s in "abc"}
+        best = (0.0, 0.0)
+        for x in itertools.product(*[range(int(min(2 * supply[p], quota[s])) + 1) for p, s in arcs]):
+            given, taken = Counter(), Counter()
+            for (p, s), n in zip(arcs, x, strict=True):
+                given[p] += n
+                taken[s] += n
+            if all(given[p] <= 2 * supply[p] for p in member) and all(taken[s] <= quota[s] for s in quota):
+                best = max(best, (sum(x), -sum(max(0.0, given[p] - supply[p]) for p in member)))
+        flow = mixing.min_cost_flow(supply, quota, member)
+        given = Counter()
+        for (p, _), n in flow.items():
+            given[p] += n
+        assert (sum(flow.values()), -sum(max(0.0, given[p] - supply[p]) for p in member)) == best
+
+
+def test_more_sources_than_the_driver_plans(spark, sf_dir):
+    """The plan that executors make is the driver's."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 11 > 0, F.concat("source", F.lit("/"), F.col("doc_id") % 3)))
+    for share in (1.5, 0.3, 5.0):
+        one, two = ({r["doc_id"]: r for r in mixing.mix(df, total_share=share, max_patterns=n).collect()} for n in (10**6, 3))
+        none = [r for r in one.values() if r["pattern"] == [None]]  # the null source has its share like others
+        assert none and abs(sum(r["taken"] for r in none) - none[0]["target"]) <= max(r["size"] for r in none)
+        assert one.keys() == two.keys() and all(one[d]["taken"] == two[d]["taken"] and one[d]["source_size"] == two[d]["source_size"] and abs(one[d]["target"] - two[d]["target"]) < 1e-6 for d in one)
+    with pytest.raises(ValueError, match="membership patterns"):
+        mixing.mix(df.withColumn("source", F.array("source")), max_patterns=3)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * (1 + i % 7), [["a"], ["b"], ["a", "b"], []][i % 4]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
@@ -340,7 +384,7 @@ def test_training_on_a_table_is_training_on_arrays(spark, sf_dir):
     t, m = (np.stack([np.frombuffer(x, np.float32) for x in table[c]]).astype(float) for c in ("t", "m"))
     label = labels.groupBy("doc_id").agg(F.avg("quality").alias("y")).toPandas().set_index("doc_id")["y"]
     own = table["doc_id"].isin(label.index).to_numpy()
-    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).collect()}
     at = np.array(sorted(np.flatnonzero(own), key=lambda i: order[table["doc_id"][i]]))
     pool = quality.ArrayPool(t[~own], m[~own], table["key"].to_numpy()[~own])
     want = quality.co_train(t[at], m[at], (label[table["doc_id"][at]].to_numpy() >= 0.5).astype(float), pool, sure=0.8)
@@ -448,12 +492,12 @@ def edited_texts():
     return texts
 
 
-@pytest.mark.parametrize("limit", [4, 64])
-def test_near_components_are_exact(spark, limit):
-    """Also where groups are over the limit."""
+@pytest.mark.parametrize(("limit", "block"), [(4, 3), (4, 256), (64, 5), (4096, 256)])
+def test_near_components_are_exact(spark, limit, block):
+    """Also where groups are over the limit, or of several blocks."""
     texts = edited_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component"] for r in simhash_jaccard.near_components(df, limit=limit).collect()}
+    got = {r["doc_id"]: r["component"] for r in simhash_jaccard.near_components(df, limit=limit, block=block).collect()}
     want = brute_jaccard_components(texts)
     assert len(set(want)) < len(texts) - 40 and len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, least_labels
 from ..session import materialize, ship_package
-from .rows import few, keyed_texts, map_batches, unboxed, whole, whole_groups
+from .rows import few, keyed_texts, least_by_hash, map_batches, unboxed, whole, whole_groups
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -148,17 +148,15 @@ def allocate(sample: np.ndarray, parts: list[list[int]], tau: int, n: int | None
 
 
 def linked(
-    key: np.ndarray, words: Sequence[np.ndarray], own: np.ndarray, tau: int, size: np.ndarray | None = None, ratio: float = 0.0, group: np.ndarray | None = None, tile: int = 2048,
+    key: np.ndarray, words: Sequence[np.ndarray], own: np.ndarray, tau: int, size: np.ndarray | None = None, ratio: float = 0.0, tile: int = 2048,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) of a spanning forest of the links between rows of one key, one of them its own.
 
     Linked are rows whose ``words`` differ by ``tau`` bits at most and whose sizes are within ``ratio`` of each other.
-    With a ``group``, all links between different groups are given, each once.
     """
     order = np.lexsort((words[0], key))
     key, words, own = key[order], [w[order] for w in words], own[order]
     size = size[order] if size is not None else None
-    group = group[order] if group is not None else None
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -169,8 +167,6 @@ def linked(
         ok = own[a] | own[b]
         if size is not None:
             ok &= np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]) - 1e-6
-        if group is not None:
-            ok &= group[a] != group[b]
         return a[ok], b[ok]
 
     small = np.repeat(sizes <= 64, sizes)
@@ -188,19 +184,14 @@ def linked(
                 a, b = np.nonzero(sum(np.bitwise_count(w[x][:, None] ^ w[y][None, :]) for w in words) <= tau)
                 keep = a + i < b + j
                 a, b = near(a[keep] + s + i, b[keep] + s + j)
-                if group is not None:
-                    found.append((a, b))
-                elif len(a):
+                if len(a):
                     root = least_labels(n, root[a - s], root[b - s])[root]
-        if group is None:
-            at = np.flatnonzero(root != np.arange(n))
-            found.append((s + at, s + root[at]))
+        at = np.flatnonzero(root != np.arange(n))
+        found.append((s + at, s + root[at]))
     a, b = (np.concatenate([f[k] for f in found] or [starts[:0]]) for k in (0, 1))
-    if group is None:
-        label = least_labels(len(key), a, b)
-        a = np.flatnonzero(label != np.arange(len(key)))
-        b = label[a]
-    return order[a], order[b]
+    label = least_labels(len(key), a, b)
+    a = np.flatnonzero(label != np.arange(len(key)))
+    return order[a], order[label[a]]
 
 
 def bits(word: str, part: Sequence[int]):
@@ -209,12 +200,12 @@ def bits(word: str, part: Sequence[int]):
 
 
 def probed(rows: DataFrame, word: str, tau: int, m: int, number: int, sample_rows: int) -> DataFrame:
-    """``rows`` with their values (key, own) in the partitions of ``word``, and the place i of the partition.
+    """``rows`` with their values (key, own) in the partitions of ``word``; a key is a partition's number and a value.
 
     ``sample_rows`` of them, those of least hash, fit partitions and thresholds; all are probed.
     """
     n = rows.count()
-    picked = rows.select(word).orderBy(F.xxhash64(word)).limit(sample_rows).toPandas()[word].to_numpy(np.int64).view(np.uint64)
+    picked = least_by_hash(rows.select(word), F.xxhash64(word), sample_rows).toPandas()[word].to_numpy(np.int64).view(np.uint64)
     parts = correlated_partitions(picked, m)
     made = []
     for i, (part, e) in enumerate(zip(parts, allocate(picked, parts, tau, n), strict=True)):
@@ -223,16 +214,19 @@ def probed(rows: DataFrame, word: str, tau: int, m: int, number: int, sample_row
         ball = masks(len(part), ceil(e / 2))
         inner = sum(x.bit_count() <= e // 2 for x in ball)
         value = bits(word, part)
-        probes = rows.withColumn("i", F.lit(number * m + i)).select("*", F.posexplode(F.array(*[value.bitwiseXOR(F.lit(x)) for x in ball])).alias("pos", "v"))
+        # a function of one small expression: a column for each mask would make the plan many times as large
+        near = F.transform(F.array(*[F.lit(x).cast("long") for x in ball]), lambda x: x.bitwiseXOR(value))
+        probes = rows.select("*", F.posexplode(near).alias("pos", "v"))
+        key = F.shiftleft(F.lit(number * m + i).cast("long"), 56).bitwiseOR(F.col("v"))  # small numbers: they are packed well
         # the bits of other partitions, dealt to tau + 1 parts, tell apart what is together under a hot value
         rest = [b for b in range(BITS) if b not in part]
         chunks = F.array(*[bits(word, rest[c :: tau + 1]) for c in range(tau + 1)]) if 2 ** (len(rest) // (tau + 1)) > 2 * (tau + 1) else F.array().cast("array<bigint>")
-        made.append(probes.select(*rows.columns, F.xxhash64("i", "v").alias("key"), (F.col("pos") < inner).alias("own"), chunks.alias("chunks")))
+        made.append(probes.select(*rows.columns, key.alias("key"), (F.col("pos") < inner).alias("own"), chunks.alias("chunks")))
     return reduce(DataFrame.unionByName, made)
 
 
-def dealt(rows: DataFrame, limit: int, size: str | None = None, ratio: float = 0.0) -> DataFrame:
-    """``rows`` (id, key, own, chunks) under values that hold at most about 2 * ``limit`` of them each."""
+def dealt(rows: DataFrame, limit: int, names: Sequence[str], size: str | None = None, ratio: float = 0.0) -> DataFrame:
+    """``rows`` (``names``, key, own, chunks) under values that hold at most about 2 * ``limit`` of them each."""
     done = []
     for stage in ("chunks", "blocks") if size is None else ("chunks", "sizes", "blocks"):
         # at most all rows / limit values
@@ -251,31 +245,31 @@ def dealt(rows: DataFrame, limit: int, size: str | None = None, ratio: float = 0
             rows = rows.select("*", F.explode(F.array(band, band + 1)).alias("band")).withColumn("key", F.xxhash64("key", "band")).drop("band", "many")
         else:
             blocks = F.ceil(F.col("many") / limit)
-            rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), blocks)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("c"))
+            rows = rows.withColumn("b", F.pmod(F.xxhash64(*names), blocks)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("c"))
             rows = rows.withColumn("key", F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c"))).drop("b", "c", "many")
     return reduce(DataFrame.unionByName, done, rows).drop("chunks")
 
 
-def links_of(rows: DataFrame, words: Sequence[str], tau: int, size: str | None = None, ratio: float = 0.0, group: str | None = None) -> DataFrame:
-    """(a, b): what ``linked`` finds among ``rows`` (id, key, own, ...), by ids."""
+def links_of(rows: DataFrame, names: Sequence[str], words: Sequence[str], tau: int, size: str | None = None, ratio: float = 0.0) -> DataFrame:
+    """(a_<name>, b_<name>): what ``linked`` finds among ``rows`` (``names``, longs that tell rows apart, key, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
-            ids = t["id"].to_numpy()
             own = t["own"].to_numpy(zero_copy_only=False).astype(bool)
-            x, y = linked(t["key"].to_numpy(), [t[w].to_numpy().view(np.uint64) for w in words], own, tau, t[size].to_numpy() if size else None, ratio, t[group].to_numpy() if group else None)
-            pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+            ends = linked(t["key"].to_numpy(), [t[w].to_numpy().view(np.uint64) for w in words], own, tau, t[size].to_numpy() if size else None, ratio)
+            pairs = np.unique(np.stack([t[c].to_numpy()[e] for e in ends for c in names]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=columns)
 
     ship_package(rows.sparkSession)
+    columns = [f"{e}_{c}" for e in "ab" for c in names]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
 def near_links(distinct: DataFrame, tau: int = 3, m: int = 4, limit: int = 2000, sample_rows: int = 20_000) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints ``fp`` within ``tau`` bits of each other."""
-    rows = probed(distinct.select(F.col("fp").alias("id"), "fp"), "fp", tau, m, 0, sample_rows)
-    return links_of(dealt(rows, limit), ["fp"], tau)
+    rows = probed(distinct.select("fp"), "fp", tau, m, 0, sample_rows)
+    return links_of(dealt(rows, limit, ["fp"]), ["fp"], ["fp"], tau).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
 
 def simhash_components(docs: DataFrame, tau: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .rows import few, unboxed, whole
+from .rows import few, least_by_hash, unboxed, whole
 
 MAX_LABELLED, PER_ROUND = 12_000, 500
 META_COLS = ("source", "lang", "n_chars")
@@ -294,10 +294,14 @@ def train_on(table: DataFrame, labels: DataFrame, label_col: str = "quality", id
     """A scorer fitted on a written table of ``features``."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     label = materialize(own.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(label_col).alias("y")), "labels")
-    known = table.join(few(label), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(max_labelled).toPandas()
-    known = known.drop_duplicates("doc_id")
+    # ids are picked first, then their features alone come to the driver
+    there = materialize(table.select("doc_id").join(few(label), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y")), "labelled")
+    picked = materialize(least_by_hash(there, F.xxhash64("doc_id"), max_labelled), "picked")
+    known = table.join(F.broadcast(picked), "doc_id").toPandas()  # at most max_labelled ids
     if known.empty:
         return Scorer()
+    known["at"] = known["doc_id"].map({r[0]: r[1] for r in picked.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).collect()})
+    known = known.sort_values(["at", "doc_id", "key"], kind="stable").drop_duplicates("doc_id")
     pool = TablePool(materialize(table.join(few(label.select("doc_id")), "doc_id", "left_anti").where("doc_id is not null"), "pool"))
     t, m = (np.stack([np.frombuffer(x, np.float32) for x in known[c]]).astype(float) for c in ("t", "m"))
     return co_train(t, m, (known["y"].to_numpy() >= 0.5).astype(float), pool, **options)

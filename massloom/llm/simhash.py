@@ -300,10 +300,10 @@ def keep_one(docs: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> Da
 
     Of rows that repeat both id and text one stays.  Only rows that go, or repeat, are joined to ``docs``.
     """
-    rows = comp.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = materialize(comp.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")
     keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"), F.sum("n").alias("all")).where("`all` > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))
-    marks = rows.join(keep, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays"), F.col("n").alias("_rows"))
+    marks = rows.join(few(materialize(keep, "keep")), "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("_stays"), F.col("n").alias("_rows"))
     marks = materialize(marks.where("not _stays or _rows > 1"), "marks")
     own = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     joined = own.join(few(marks), own["id"].eqNullSafe(marks["_id"]) & (own["hash"] == marks["_hash"]), "left")

@@ -198,7 +198,7 @@ def centre_pairs(rows: DataFrame, far: int, threshold: float) -> DataFrame:
 
 
 def near_components(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, probe_words: int = 3, tau: int = 11, far: int = 28, m: int = 4, limit: int = 512, block: int = 256, rounds: int = 2, hot: int = 2000,
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, probe_words: int = 3, tau: int = 11, far: int = 28, m: int = 4, limit: int = 1024, block: int = 256, rounds: int = 2, hot: int = 2000,
     sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, text_hash, component) of every row: components of the verified links."""

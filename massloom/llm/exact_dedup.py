@@ -163,8 +163,9 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None, id_col: st
     """The rows of ``docs`` that stay, one for each new digest, with the columns of ``docs``."""
     keyed = materialize(digests(docs, id_col, text_col), "keyed")
     found = indexed(keyed, index, batch, batches).where("group_size > 1 or keep_row is null").select("digest", "keep_row")
-    # marked are rows that go, and rows that stay but have others like them in id and length
-    rows = keyed.join(found, "digest").groupBy("digest", "doc_id", "n_points").agg(F.count("*").alias("_rows"), F.max(F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))).alias("_stays"))
+    # marked are rows that go, and rows that stay but have others like them in id and length; of those the first is the one that stays
+    alike = materialize(keyed.groupBy("digest", "doc_id", "n_points").agg(F.count("*").alias("_rows"), F.min("row").alias("first")), "alike")
+    rows = alike.join(few(found), "digest").withColumn("_stays", F.coalesce(F.col("first") == F.col("keep_row"), F.lit(False)))
     marks = materialize(rows.where("not _stays or _rows > 1").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), F.col("n_points").alias("_points"), "_stays"), "marks")
     text = F.col(text_col)
     mine = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), text_digest(text).alias("digest"), n_points(text).alias("points"))

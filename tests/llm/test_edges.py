@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from massloom.llm import chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, mixing, packing, quality, sharding, simhash
+from massloom.llm import chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, mixing, packing, quality, sharding, simhash, simhash_jaccard
 
 
 def rows_of(df):
@@ -159,3 +159,12 @@ def test_stages_on_messy_and_empty(spark, messy, nothing, tmp_path):
             n = out.count()
             assert k == 4 or out.columns == messy.columns
             assert docs is messy or n == 0
+
+
+def test_tables_too_large_to_broadcast(spark, messy, monkeypatch):
+    """What is joined by a shuffle, where a counted table is over the bound, gives the same rows."""
+    stages = [lambda: exact_dedup.kept_documents(messy), lambda: simhash_jaccard.one_of_each(messy), lambda: packing.packed(messy).select("doc_id", "length")]
+    first = [sorted(map(str, f().collect())) for f in stages]
+    for module in (exact_dedup, simhash_jaccard, simhash, packing, quality):
+        monkeypatch.setattr(module, "few", lambda df, rows=0: df)
+    assert [sorted(map(str, f().collect())) for f in stages] == first

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat_format, embedding_dedup, exact_dedup, licenses, line_dedup, mixing, packing, quality, sharding, simhash
+from . import chat_format, embedding_dedup, exact_dedup, filter_audit, licenses, line_dedup, mixing, packing, quality, sharding, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,14 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, d, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, d, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 EXACT_DEDUP_SQL = r"""
 WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n,
   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
@@ -123,13 +131,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+# documents counted by part, labels and failed filters, then every order by what each class of them meets
+FILTER_AUDIT_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+m AS (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+  regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, len(list_filter(fails, lambda x: x)) AS k, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS seq FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, step, seq[step] AS own, seq[1:step - 1] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+x AS (SELECT part, filter_order, step, own, n, good, toxic, k, fails[own] AS fail, coalesce(list_bool_or(list_transform(before, lambda i: fails[i])), false) AS gone FROM c, s),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT fail AND NOT gone) AS kept, sum(n) FILTER (fail AND NOT gone) AS removed, sum(n) FILTER (fail AND gone) AS redundant,
+  sum(n) FILTER (fail AND k = 1) AS unique_fails, sum(good) FILTER (fail AND NOT gone) AS good_lost, sum(toxic) FILTER (fail AND NOT gone) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_embedding_dedup": op5_embedding_dedup,
         "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup,
+        "op12_token_counts": op12_token_counts, "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import chat_format, embedding_dedup, exact_dedup, filter_audit, licenses, line_dedup, mixing, packing, quality, sharding, simhash, token_counts
+from . import chat_format, embedding_dedup, exact_dedup, filter_audit, licenses, line_dedup, mixing, packing, quality, sharding, simhash, spelling, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, d, "documents"))
 
 
+def op11_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, d, "documents")))
+
+
 def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, d, "documents"))
 
@@ -131,6 +135,26 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+# checksums by a table of 256 remainders; near words by what is left of a word without one code point
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) AS g(i)),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL),
+b AS (SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda s: CASE WHEN unicode(s) < 128 THEN [CAST(unicode(s) AS BIGINT)] ELSE [CAST(192 + (unicode(s) >> 6) AS BIGINT), CAST(128 + (unicode(s) & 63) AS BIGINT)] END)) AS bytes FROM k),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+s AS (SELECT DISTINCT d.word AS a, d.n AS an, w.word AS b, w.n AS bn FROM d JOIN w ON d.rest = w.word),
+p AS (SELECT x.word AS a, y.word AS b, y.n FROM d x JOIN d y ON x.l = y.l AND x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION ALL SELECT a, b, bn FROM s UNION ALL SELECT b, a, an FROM s),
+q AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM p),
+f AS (SELECT w.word, w.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.n >= 2 * w.n THEN q.b END AS form, CASE WHEN q.n >= 2 * w.n THEN q.n END AS form_n FROM w LEFT JOIN q ON w.word = q.a AND q.place = 1),
+c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON f.word = c.word JOIN f e ON e.word = c.root WHERE e.form IS NULL
+"""
+
 # documents counted by part, labels and failed filters, then every order by what each class of them meets
 FILTER_AUDIT_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -155,9 +179,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_embedding_dedup": op5_embedding_dedup,
         "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat_format": op9_chat_format, "op10_exact_dedup": op10_exact_dedup,
-        "op12_token_counts": op12_token_counts, "op13_filter_audit": op13_filter_audit,
+        "op11_spelling": op11_spelling, "op12_token_counts": op12_token_counts, "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_chat_format": CHAT_FORMAT_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL, "op11_spelling": SPELLING_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}

@@ -36,10 +36,10 @@ def components(n, links):
     return label
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_embedding_dedup", "op9_chat_format", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_embedding_dedup", "op9_chat_format", "op10_exact_dedup", "op11_spelling", "op13_filter_audit"])
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     cols = [c[0] for c in want.description]

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import core, files, more, networks  # noqa: F401  they register their queries
+    from . import core, files, more, mosaics, networks  # noqa: F401  they register their queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

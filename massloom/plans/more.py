@@ -711,17 +711,30 @@ def weighted_spread(s: SparkSession, d: str) -> DataFrame:
 # --- matrices
 
 
-@query("axis_distances", """WITH c AS (SELECT l_returnflag AS a, l_linenumber AS o, round(avg(l_quantity), 6) AS x FROM lineitem GROUP BY 1, 2), n AS (SELECT a, sqrt(sum(x * x)) AS n FROM c GROUP BY a)
-  SELECT p.a, q.a AS b, round(1 - sum(p.x * q.x) / (any_value(m.n) * any_value(k.n)), 6) AS distance FROM c p JOIN c q ON p.o = q.o AND p.a < q.a JOIN n m ON m.a = p.a JOIN n k ON k.a = q.a GROUP BY p.a, q.a""")
+# suppliers by line number and flag, with gaps: cells that are not there are 0, a member without a length is at 100 from all
+@query("axis_distances", """WITH c AS (SELECT l_suppkey AS a, l_returnflag || l_linenumber AS o, CASE WHEN l_suppkey % 50 = 7 THEN 0 ELSE round(avg(l_quantity), 6) END AS x FROM lineitem WHERE l_quantity > 49 GROUP BY 1, 2),
+  n AS (SELECT a, sqrt(sum(x * x)) AS n FROM c GROUP BY a), p AS (SELECT c.a, e.a AS b, sum(c.x * e.x) AS d FROM c JOIN c e ON c.o = e.o AND c.a < e.a GROUP BY 1, 2)
+  SELECT m.a, k.a AS b, CASE WHEN m.n * k.n > 0 THEN round(greatest(1 - coalesce(d, 0) / (m.n * k.n), 0), 6) ELSE 100 END AS distance FROM n m JOIN n k ON m.a < k.a LEFT JOIN p ON p.a = m.a AND p.b = k.a""")
 def axis_distances(s: SparkSession, d: str) -> DataFrame:
-    cells = table(s, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_quantity"), 6).alias("score"))
-    return matrices.cosine_distances(cells, "l_returnflag", "l_linenumber").withColumn("distance", F.round("distance", 6))
+    cells = table(s, d, "lineitem").where("l_quantity > 49").groupBy("l_suppkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("o")).agg(F.round(F.avg("l_quantity"), 6).alias("x"))
+    zeros = cells.withColumn("score", F.when(F.col("l_suppkey") % 50 == 7, 0.0).otherwise(F.col("x")))
+    return matrices.cosine_distances(zeros, "l_suppkey", "o").withColumn("distance", F.round("distance", 6))
+
+
+# of three members the nearest two merge first and stand last, as a cluster comes after a single leaf; columns are sorted
+@query("heatmap_order", """WITH c AS (SELECT l_returnflag AS r, l_suppkey AS c, -sum(l_discount) * 9 AS s, count(*) AS n FROM lineitem WHERE l_quantity > 45 AND l_tax > 0.05 GROUP BY 1, 2), z AS (SELECT r, c, sqrt(-s) AS x FROM c WHERE s < 0),
+  l AS (SELECT r, sqrt(sum(x * x)) AS l FROM z GROUP BY r), d AS (SELECT p.r AS a, q.r AS b, 1 - (SELECT sum(u.x * v.x) FROM z u JOIN z v ON u.c = v.c WHERE u.r = p.r AND v.r = q.r) / (p.l * q.l) AS d FROM l p JOIN l q ON p.r < q.r),
+  m AS (SELECT a, b FROM d ORDER BY d, a, b LIMIT 1), o AS (SELECT r, CASE WHEN r = a THEN 2 WHEN r = b THEN 3 ELSE 1 END AS row_place FROM l, m), k AS (SELECT DISTINCT c FROM c)
+  SELECT o.r AS l_returnflag, k.c AS l_suppkey, CAST(row_place AS BIGINT) AS row_place, dense_rank() OVER (ORDER BY k.c) AS column_place, round(s, 4) AS score FROM o CROSS JOIN k LEFT JOIN c ON c.r = o.r AND c.c = k.c""")
+def heatmap_order(s: SparkSession, d: str) -> DataFrame:
+    covers = table(s, d, "lineitem").where("l_quantity > 45 and l_tax > 0.05").groupBy("l_returnflag", "l_suppkey").agg((-F.sum("l_discount") * 9).alias("set_original_weight"), F.count("*").alias("nmasked"))
+    drawn = matrices.ordered_heatmap(matrices.heatmap_cells(covers, ["l_returnflag"], ["l_suppkey"]), "l_returnflag", "l_suppkey", column_order=None)
+    return drawn.select("l_returnflag", "l_suppkey", "row_place", "column_place", F.round(F.nanvl("score", F.lit(None).cast("double")), 4).alias("score"))
 
 
 @query("axis_members", "SELECT l_suppkey AS member, row_number() OVER (ORDER BY l_suppkey) AS place FROM (SELECT DISTINCT l_suppkey FROM lineitem)")
 def axis_members(s: SparkSession, d: str) -> DataFrame:
-    order = matrices.axis_order(table(s, d, "lineitem").select("l_suppkey"), "l_suppkey", "l_partkey", order=None)
-    return s.createDataFrame([(int(m), k) for k, m in enumerate(order, 1)], "member long, place long")
+    return matrices.axis_places(table(s, d, "lineitem"), "l_suppkey", "l_partkey", order=None)
 
 
 @query("permutation_traces", """WITH r AS (SELECT l_suppkey AS threshold, avg(l_quantity) AS m, avg(l_quantity) * 3 AS hi, 0.0 AS lo FROM lineitem WHERE l_suppkey BETWEEN 5 AND 60 GROUP BY 1), b AS (SELECT 0.5 * min(m) AS l, 2 * max(m) AS h FROM r)

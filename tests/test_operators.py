@@ -343,12 +343,10 @@ def test_heatmap_and_order(spark):
     df = spark.createDataFrame([("a", "x", -3.0, 2), ("b", "x", -1.0, 0), ("b", "y", -2.0, 1)], "t string, e string, set_original_weight double, nmasked int")
     cells = matrices.heatmap_cells(df, ["t"], ["e"])
     assert [(r[0], r[1], None if math.isnan(r[2]) else r[2]) for r in rows(cells, "t", "e", "score")] == [("a", "x", -3.0), ("a", "y", None), ("b", "x", None), ("b", "y", -2.0)]
-    assert matrices.axis_order(cells, "t", "e", order=None) == ["a", "b"] and matrices.axis_order(cells, "t", "e", order=["b", "z"]) == ["b"]
-    assert matrices.axis_order(cells, "t", "e", order=lambda m, x: m[::-1]) == ["b", "a"] and sorted(matrices.axis_order(cells, "t", "e")) == ["a", "b"]
+    order = lambda o: [r["member"] for r in matrices.axis_places(cells, "t", "e", order=o).orderBy("place").collect()]
+    assert order(None) == ["a", "b"] and order(["b", "z"]) == ["b"] and order(lambda m: m[::-1]) == ["b", "a"] and sorted(order("hclu")) == ["a", "b"]
     with pytest.raises(ValueError):
-        matrices.axis_order(cells, "t", "e", order="x")
-    order = matrices.ward_order(np.array([[1, 0], [0, 1], [1, 0.1], [0.1, 1.0]]))
-    assert abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+        order("x")
     assert matrices.cosine_distances(cells, "t", "e").count() == 1
     real = spark.createDataFrame([(0.1, 2.0, 0.1), (0.2, 4.0, 99.0), (0.9, 100.0, 1.0)], "threshold double, m double, m_975 double")
     deltas = spark.createDataFrame([("s", "v", 0.1, 1.0, 2.0, -1.0), ("s", "v", 0.2, 1.0, 4.0, 3.0)], "stat string, value_type string, threshold double, value double, permuted_value double, delta double")
@@ -457,31 +455,62 @@ def test_ranks_are_bettered_only_together(spark):
 def test_axis_of_many_members(spark):
     """Only clustering has a limit."""
     df = spark.range(6000).select(F.col("id").alias("m"), F.lit(1).alias("o"), F.lit(1.0).alias("score"))
-    assert len(matrices.axis_order(df, "m", "o", order=None)) == 6000 and matrices.axis_order(df, "m", "o", order=list(range(5999, 5990, -1))) == list(range(5999, 5990, -1))
+    assert matrices.axis_places(df, "m", "o", order=None).where("place = member + 1").count() == 6000
+    assert [r["member"] for r in matrices.axis_places(df, "m", "o", order=list(range(5999, 5990, -1))).orderBy("place").collect()] == list(range(5999, 5990, -1))
     with pytest.raises(ValueError, match="more than"):
-        matrices.axis_order(df, "m", "o")
+        matrices.axis_places(df, "m", "o")
 
 
 def test_ward_by_chains():
-    """Chains of nearest neighbours merge what the nearest pair of all merges."""
+    """Chains of nearest neighbours merge what the nearest pair of all merges; single leaves first, then earlier clusters."""
     rng = np.random.default_rng(1)
     for _ in range(20):
         x = rng.normal(size=(12, 5))
         unit = x / np.linalg.norm(x, axis=1)[:, None]
-        d = (1 - unit @ unit.T) ** 2
+        dist = 1 - unit @ unit.T
+        d = dist**2
         np.fill_diagonal(d, np.inf)
-        leaves, size, live = [[i] for i in range(12)], np.ones(12), np.ones(12, bool)
-        for _ in range(11):
+        leaves, size, live, made = [[i] for i in range(12)], np.ones(12), np.ones(12, bool), [-1] * 12
+        for at in range(11):
             i, j = sorted(divmod(int(np.argmin(d)), 12))
             new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-            first, second = (leaves[i], leaves[j]) if len(leaves[i]) <= len(leaves[j]) else (leaves[j], leaves[i])
-            leaves[i] = first + second
+            first, second = (leaves[j], leaves[i]) if made[j] < made[i] else (leaves[i], leaves[j])
+            leaves[i], made[i] = first + second, at
             size[i] += size[j]
             live[j] = False
             new[~live] = new[i] = np.inf
             d[i] = d[:, i] = new
             d[j] = d[:, j] = np.inf
-        assert matrices.ward_order(x) == leaves[int(np.flatnonzero(live)[0])]
+        assert matrices.ward_leaves(dist) == leaves[int(np.flatnonzero(live)[0])]
+    far = np.full((4, 4), 100.0)
+    far[0, 2] = far[2, 0] = 0.1
+    assert matrices.ward_leaves(far) == [0, 2, 1, 3] and matrices.ward_leaves(np.ones((1, 1))) == [0] and matrices.ward_leaves(np.ones((0, 0))) == []
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_distances_with_missing_cells(spark, block, monkeypatch):
+    """Absent cells are 0; members of zeros alone, or with a NaN or null, are at 100; blocks and spans of columns change nothing."""
+    monkeypatch.setattr(matrices, "SPAN", 4 if block == 3 else 1 << 16)
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((10, 9)) < 0.5, rng.normal(size=(10, 9)), 0.0)
+    x[3] = 0.0
+    x[7, 2] = np.nan
+    cells = [(f"m{i}", j, None if i == 7 and j == 2 else float(x[i, j])) for i in range(10) for j in range(9) if i == 3 or x[i, j] != 0]
+    got = {(r["a"], r["b"]): r["distance"] for r in matrices.cosine_distances(spark.createDataFrame(cells, "m string, o int, score double"), "m", "o", block=block).collect()}
+    assert set(got) == {(f"m{i}", f"m{j}") for i in range(10) for j in range(i + 1, 10)}
+    for (a, b), d in got.items():
+        u, v = x[int(a[1])], x[int(b[1])]
+        length = np.linalg.norm(u) * np.linalg.norm(v)
+        assert d == pytest.approx(1 - u @ v / length if length > 0 else 100.0)
+    assert matrices.cosine_distances(spark.createDataFrame([], "m string, o int, score double"), "m", "o").collect() == []
+
+
+def test_ordered_heatmap(spark):
+    df = spark.createDataFrame([("a", "x", -9.0, 2), ("b", "y", -4.0, 1), ("c", "x", -4.0, 1), ("c", "y", -1.0, 2), ("d", "y", -1.0, 0)], "t string, e string, set_original_weight double, nmasked int")
+    got = rows(matrices.ordered_heatmap(matrices.heatmap_cells(df, ["t"], ["e"]), "t", "e", column_order=["y"]), "t", "e", "row_place", "column_place")
+    places = {t: p for t, _, p, _ in got}
+    assert len(got) == 8 and {(e, c) for _, e, _, c in got} == {("x", None), ("y", 1)} and sorted(places.values()) == [1, 2, 3, 4]
+    assert abs(places["a"] - places["c"]) == 1  # their roots point almost the same way; d, which has no score, is at 100 from all
 
 
 def test_alignment_columns():

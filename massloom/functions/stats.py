@@ -8,6 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Rows of a few numbers each that may be broadcast.
+FEW = 200_000
+
 
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series from 10 on (error under 1e-12), by table below."""
@@ -40,19 +45,69 @@ def hypergeom_log10_sf(overlap: Column, drawn: Column, marked: Column, total: Co
     return F.when(k0 > top, F.lit(float("-inf"))).when(overlap <= drawn + marked - total, F.lit(0.0)).when(overlap <= 0, F.lit(0.0)).otherwise(value)
 
 
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str = "wmedian") -> DataFrame:
-    """Per group the value at half of the weight, interpolated between the midpoints of the weights.
+def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None) -> DataFrame:
+    """``df`` by ranges of key (as ``_k``, which may hold nulls) and ``order``, with the number of the range as ``_part``.
+
+    A key with many rows is in many ranges.  It is written once: the bounds come from a sample, and another evaluation could draw others.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_k", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    return materialize(keyed.repartitionByRange(n, "_k", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
 
-    Rows of weight 0 or null count for nothing.  Groups are ordered by a window over their own rows.
+def _few(df: DataFrame) -> DataFrame:
+    """A small table, to be broadcast if its count is within the bound."""
+    written = materialize(df, "offsets")
+    return F.broadcast(written) if written.count() <= FEW else written
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rank: str = "rank", share: str | None = None, parts: int | None = None) -> DataFrame:
+    """``df`` with the ordinal rank of each row within its keys, and ``share``, the rank over the number of the keys' rows.
+
+    Rows are ranked inside ranges of key and order, and the sizes of a key's ranges give the offsets; so a key of any size is spread over
+    tasks.  The order should end with a column that tells rows apart: equal rows are in one range.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = _spread(df, keys, by, parts)
+    w = Window.partitionBy("_k").orderBy("_part")
+    sizes = rows.groupBy("_k", "_part").agg(F.count("*").alias("_n"))  # as many rows as keys and ranges
+    offsets = _few(sizes.select("_k", "_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_k")).alias("_all")))
+    own = F.row_number().over(Window.partitionBy("_part", "_k").orderBy(*by))
+    out = rows.withColumn("_own", own).join(offsets, ["_k", "_part"]).withColumn(rank, F.col("_before") + F.col("_own"))
+    if share:
+        out = out.withColumn(share, F.col(rank) / F.col("_all"))
+    return out.drop("_k", "_part", "_own", "_before", "_all")
+
+
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str = "wmedian", parts: int | None = None) -> DataFrame:
+    """Per group the value at half of the weight, interpolated between the midpoints of the weights; equal values by weight.
+
+    Rows of weight 0 or null count for nothing, equal rows are added up first.  Weights are added up by ranges of key and value, and only in
+    the one range of a key that holds its half are rows put in order, so a key of any size is spread over tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).withColumn("_mid", upto - F.col(weight) / 2)
-    rows = rows.withColumn("_half", F.sum(weight).over(Window.partitionBy(*keys)) / 2).withColumn("_mid0", F.lag("_mid").over(w)).withColumn("_value0", F.lag(value).over(w))
-    at = rows.where("_mid >= _half").groupBy(*keys).agg(F.min_by(F.struct(F.col(value).alias("v"), "_mid", "_mid0", "_value0", "_half"), "_mid").alias("x"))
-    share = (F.col("x._half") - F.col("x._mid0")) / (F.col("x._mid") - F.col("x._mid0"))
-    inner = at.select(*keys, F.when(F.col("x._mid0").isNull(), F.col("x.v")).otherwise(F.col("x._value0") + share * (F.col("x.v") - F.col("x._value0"))).alias(name))
-    return inner
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    rows = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*keys, v.alias("_v"), w.alias("_w")).agg(F.count("*").alias("_c"))
+    rows = _spread(rows, keys, [F.col("_v"), F.col("_w")], parts)
+    by_key = Window.partitionBy("_k").orderBy("_part")
+    sums = rows.groupBy("_k", "_part").agg(F.sum(F.col("_w") * F.col("_c")).alias("_s"), F.max(F.struct("_v", "_w")).alias("_last"))
+    upto = F.sum("_s").over(by_key)
+    sums = sums.select("_k", "_part", (upto - F.col("_s")).alias("_before"), (F.sum("_s").over(Window.partitionBy("_k")) / 2).alias("_half"), (upto - F.col("_last._w") / 2).alias("_end"), F.col("_last._v").alias("_last"))
+    sums = sums.withColumns({"_end0": F.lag("_end").over(by_key), "_last0": F.lag("_last").over(by_key)})
+    # the first range whose last midpoint reaches the half; with roundings against it, the last
+    reach = F.col("_end") >= F.col("_half")
+    chosen = _few(sums.groupBy("_k").agg(F.coalesce(F.min_by(F.when(reach, F.struct("_part", "_before", "_half", "_end0", "_last0")), F.when(reach, F.col("_part"))), F.max_by(F.struct("_part", "_before", "_half", "_end0", "_last0"), "_part")).alias("x")).select("_k", "x.*"))
+    inside = Window.partitionBy("_k").orderBy("_v", "_w")
+    own = F.sum(F.col("_w") * F.col("_c")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+    rows = rows.join(chosen, ["_k", "_part"]).withColumn("_upto", own)
+    # midpoints of the first and the last of equal rows
+    rows = rows.withColumns({"_mid": F.col("_upto") - F.col("_w") * (F.col("_c") - 0.5), "_mid1": F.col("_upto") - F.col("_w") / 2})
+    rows = rows.withColumns({"_prev": F.coalesce(F.lag("_mid1").over(inside), "_end0"), "_value0": F.coalesce(F.lag("_v").over(inside), "_last0"), "_at": F.row_number().over(inside)})
+    reached = F.col("_mid1") >= F.col("_half")
+    pick = F.struct("_v", "_mid", "_prev", "_value0", "_half")
+    at = rows.groupBy("_k").agg(F.coalesce(F.min_by(F.when(reached, pick), F.when(reached, F.col("_at"))), F.max_by(pick, "_at")).alias("x"))
+    between = F.col("x._value0") + (F.col("x._half") - F.col("x._prev")) / (F.col("x._mid") - F.col("x._prev")) * (F.col("x._v") - F.col("x._value0"))
+    inner = F.when(F.col("x._prev").isNull() | (F.col("x._mid") <= F.col("x._half")), F.col("x._v")).otherwise(between)
+    return at.select(*[F.col(f"_k.{k}").alias(k) for k in keys], inner.alias(name))
 
 
 def weighted_sd(value: Column, weight: Column) -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import grid_bin, quantile_grid, weighted_median
+from ..functions.stats import grid_bin, quantile_grid, ranked, weighted_median
 from ..session import materialize
 from .noise import NoiseModel
 from .reshape import pivot_longer
@@ -93,11 +93,10 @@ def used_intensities(intensities: DataFrame, objects: DataFrame, channels: DataF
 
 def run_shifts(used: DataFrame, obj: str, msrun: str = "msrun", base: float = 2.0) -> DataFrame:
     """Q7: per channel and run the weighted median of log shifts to the channel's first run, its sd, pairs and multiplier."""
-    run = Window.partitionBy("expchannel", msrun)
-    ranked = used.withColumn("qtl", F.row_number().over(run.orderBy("logintensity", obj)) / F.count("*").over(run))
+    by_rank = ranked(used, ["expchannel", msrun], ["logintensity", obj], "_rank", "qtl").drop("_rank")
     first = used.groupBy("expchannel").agg(F.min(msrun).alias("_first"))
-    one = ranked.join(first, "expchannel").where(F.col(msrun) == F.col("_first")).select("expchannel", obj, F.col("logintensity").alias("log1"), F.col("qtl").alias("qtl1"))
-    pairs = materialize(ranked.join(one, ["expchannel", obj]).select("expchannel", msrun, (F.col("logintensity") - F.col("log1")).alias("shift"), (0.5 * F.sqrt(F.col("qtl") + F.col("qtl1"))).alias("w")), "shifts")
+    one = by_rank.join(first, "expchannel").where(F.col(msrun) == F.col("_first")).select("expchannel", obj, F.col("logintensity").alias("log1"), F.col("qtl").alias("qtl1"))
+    pairs = materialize(by_rank.join(one, ["expchannel", obj]).select("expchannel", msrun, (F.col("logintensity") - F.col("log1")).alias("shift"), (0.5 * F.sqrt(F.col("qtl") + F.col("qtl1"))).alias("w")), "shifts")
     keys = ["expchannel", msrun]
     median = weighted_median(pairs, keys, "shift", "w", "logshift")
     # the deviation is of shifts from their median, around their own weighted mean

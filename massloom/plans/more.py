@@ -699,8 +699,7 @@ def z_parameters(s: SparkSession, d: str) -> DataFrame:
 @query("quantile_ranks", "SELECT event_id, row_number() OVER w AS rank, round(row_number() OVER w / CAST(count(*) OVER (PARTITION BY event_type) AS DOUBLE), 6) AS qtl FROM (SELECT event_id, event_type, value + event_id / 1e9 AS v FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY v)")
 def quantile_ranks(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").select("event_id", "event_type", (F.col("value") + F.col("event_id") / 1e9).alias("v"))
-    rank, share = noise.quantile_rank("v", ["event_type"])
-    return rows.select("event_id", rank.cast("long").alias("rank"), F.round(share, 6).alias("qtl"))
+    return stats.ranked(rows, ["event_type"], ["v"], "rank", "qtl").select("event_id", "rank", F.round("qtl", 6).alias("qtl"))
 
 
 @query("weighted_spread", "SELECT l_suppkey, round(sqrt(greatest(sum(l_discount * l_discount * l_quantity) / sum(l_quantity) - pow(sum(l_discount * l_quantity) / sum(l_quantity), 2), 0)), 6) AS sd FROM lineitem GROUP BY l_suppkey")

@@ -1,6 +1,7 @@
 """Scalar and list functions on hand-made values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,38 @@ def test_lambert():
         assert w <= -1 and w * math.exp(w) == pytest.approx(x, rel=1e-10)
     with pytest.raises(ValueError):
         stats.lambert_w_minus(0.1)
+
+
+def brute_median(rows):
+    """Value at half of the weight between midpoints, rows in order of value and weight."""
+    rows = sorted((v, w) for v, w in rows if w and w > 0 and v is not None)
+    half, upto, last = sum(w for _, w in rows) / 2, 0.0, None
+    for v, w in rows:
+        mid = upto + w / 2
+        if mid >= half - 1e-12:
+            return v if last is None or mid - half < 1e-12 else last[0] + (half - last[1]) / (mid - last[1]) * (v - last[0])
+        upto, last = upto + w, (v, mid)
+    return last and last[0]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_medians_and_ranks_by_ranges(spark, parts):
+    """A key with most rows, a value with a third of them, equal rows, null keys: spread over ranges, and the same as in order."""
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "hot", "hot", "b", None]), r.choice([0.0, 0.0, round(r.gauss(0, 3), 1)]), r.choice([0.0, 0.25, 0.5, r.random(), None]), k) for k in range(3000)] + [("one", 5.0, 2.0, 9000), ("none", 1.0, 0.0, 9001)]
+    df = spark.createDataFrame(rows, "k string, v double, w double, id long").repartition(3)
+    got = {x["k"]: x["m"] for x in stats.weighted_median(df, ["k"], "v", "w", "m", parts).collect()}
+    want = {k: brute_median([(v, w) for q, v, w, _ in rows if q == k]) for k in {"hot", "b", None, "one"}}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    ranks = {x["id"]: (x["rank"], x["qtl"]) for x in stats.ranked(df, ["k"], ["v", "id"], "rank", "qtl", parts).collect()}
+    for k in {q for q, *_ in rows}:
+        own = sorted((v, i) for q, v, _, i in rows if q == k)
+        assert all(ranks[i] == (at, pytest.approx(at / len(own))) for at, (_, i) in enumerate(own, 1))
+    assert stats.weighted_median(df, [], "v", "w", "m", parts).first()["m"] == pytest.approx(brute_median([(v, w) for _, v, w, _ in rows]), abs=1e-9)
+    assert stats.ranked(df.limit(0), ["k"], ["v"]).collect() == [] and stats.weighted_median(df.limit(0), ["k"], "v", "w").collect() == []
+
+
+def test_ranges_of_a_hot_run_are_even(spark):
+    df = spark.range(200_000).select(F.lit("run").alias("k"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.rand(1)).alias("v"), "id")
+    sizes = [r["n"] for r in stats._spread(df, ["k"], [F.col("v"), F.col("id")], 16).groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * 200_000 / 16

@@ -112,7 +112,9 @@ def fit(x: np.ndarray, seed: int = 3) -> Quantiser:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1)[:, None]
+    """Rows scaled to length 1, by their greatest component first, so that no square leaves the range of doubles."""
+    y = x / np.abs(x).max(1)[:, None]
+    return y / np.linalg.norm(y, axis=1)[:, None]
 
 
 def vectors(column: pa.Array, dim: int) -> np.ndarray:

@@ -297,11 +297,13 @@ def train_on(table: DataFrame, labels: DataFrame, label_col: str = "quality", id
     # ids are picked first, then their features alone come to the driver
     there = materialize(table.select("doc_id").join(few(label), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y")), "labelled")
     picked = materialize(least_by_hash(there, F.xxhash64("doc_id"), max_labelled), "picked")
-    known = table.join(F.broadcast(picked), "doc_id").toPandas()  # at most max_labelled ids
+    # one row for each id, that of the least key, is left on executors
+    own_rows = table.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("key", "t", "m", "y"), "key").alias("x"))
+    known = own_rows.select("doc_id", "x.*").toPandas()  # at most max_labelled rows
     if known.empty:
         return Scorer()
     known["at"] = known["doc_id"].map({r[0]: r[1] for r in picked.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).collect()})
-    known = known.sort_values(["at", "doc_id", "key"], kind="stable").drop_duplicates("doc_id")
+    known = known.sort_values(["at", "doc_id"], kind="stable")
     pool = TablePool(materialize(table.join(few(label.select("doc_id")), "doc_id", "left_anti").where("doc_id is not null"), "pool"))
     t, m = (np.stack([np.frombuffer(x, np.float32) for x in known[c]]).astype(float) for c in ("t", "m"))
     return co_train(t, m, (known["y"].to_numpy() >= 0.5).astype(float), pool, **options)

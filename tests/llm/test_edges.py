@@ -168,3 +168,45 @@ def test_tables_too_large_to_broadcast(spark, messy, monkeypatch):
     for module in (exact_dedup, simhash_jaccard, simhash, packing, quality):
         monkeypatch.setattr(module, "few", lambda df, rows=0: df)
     assert [sorted(map(str, f().collect())) for f in stages] == first
+
+
+def test_embedding_norms_of_any_size(spark):
+    """Vectors of tiny and huge components link by their cosine, and change no other vector's links."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    planted = [(3 * k + j, [float(c) for c in base[k] + rng.normal(size=16) * 0.01], "x") for k in range(60) for j in range(3)]
+    small = [(1000, [1e-200 * c for c in planted[0][1]], "x"), (1001, [1e200 * c for c in planted[3][1]], "x"), (1002, [5e-324] + [0.0] * 15, "x"), (1003, [1e308] + [0.0] * 15, "x"), (1004, [0.0] * 16, "x")]
+    schema = "vec_id long, embedding array<double>, label string"
+    links = lambda rows: {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, schema)).collect()}
+    before, after = links(planted), links(planted + small)
+    assert sum(n for n, _ in before.values()) == 360
+    for i, (n, c) in before.items():
+        assert after[i] == (n + (i // 3 in (0, 1)), c)
+    assert after[1000] == (3, 0) and after[1001] == (3, 3) and after[1002] == (1, 1002) and after[1003] == (1, 1002) and after[1004] == (0, 1004)
+
+
+def test_embedding_extra_columns(spark):
+    rows = [(k, [1.0, 0.01 * k], "l", "x", 7, [2.0], "r") for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep string, copies int, v array<double>, h1 string")
+    assert sorted(tuple(r) for r in rows_of(embedding_dedup.embedding_dedup(df))) == [(k, 3, 0, k == 0) for k in range(4)]
+
+
+def test_quality_repeated_labelled_id(spark, monkeypatch):
+    """A labelled document that repeats thousands of times sends one row to the driver and is one example."""
+    import pandas as pd
+
+    rows = [(k, ("good words of prose here " if k % 2 else "buy now $$ click ") * (3 + k % 5), "en", "s", 10) for k in range(80)]
+    docs = spark.createDataFrame(rows + [rows[3]] * 3000, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    table = quality.materialize(quality.features(docs), "features")
+    sizes = []
+    plain = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: sizes.append(got := plain(df)) or got)
+    scorer = quality.train_on(table, labels)
+    assert max(len(x) for x in sizes if isinstance(x, pd.DataFrame) and "t" in x.columns and "y" in x.columns) == 60
+    monkeypatch.undo()
+    once = quality.train_on(quality.materialize(quality.features(docs.dropDuplicates()), "features"), labels)
+    score = lambda s: {r["doc_id"]: round(r["quality_score"], 6) for r in quality.score_features(table, s).collect()}
+    assert set(score(scorer)) == set(score(once))

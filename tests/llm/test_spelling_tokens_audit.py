@@ -143,7 +143,7 @@ def test_token_counts_edges(messy, nothing, library):
     want = Counter((x["doc_id"], n, len((x["text"] or "").encode())) for x, n in zip(rows, library([x["text"] or "" for x in rows]), strict=True))
     assert Counter((x["doc_id"], x["n_tokens"], x["n_bytes"]) for x in got) == want
     assert token_counts.token_counts(nothing).collect() == []
-    assert sum(map(token_counts.takes_part, range(100_000))) < 32 * 12 and all(map(token_counts.takes_part, range(32)))
+    assert sum(map(token_counts.takes_part, range(100_000))) < token_counts.SAMPLED * 12 and all(map(token_counts.takes_part, range(token_counts.SAMPLED)))
 
 
 def test_vocabularies_in_which_white_space_counts(library):

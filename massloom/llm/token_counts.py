@@ -42,9 +42,9 @@ from .rows import keyed_texts
 #: Rows of the broadcast table, and bytes of a pre-token that a table or cache may hold: 2 MB at most.
 TABLE, LONGEST = 1 << 15, 64
 #: Partitions that are all sampled, bytes of text read in each, pre-tokens that one tells.
-SAMPLED, SAMPLE_BYTES, SUMMARY = 32, 1 << 20, 512
-#: Pre-tokens that a worker remembers, and bytes of text that it splits at once.
-CACHE, PIECE = 1 << 18, 4 << 20
+SAMPLED, SAMPLE_BYTES, SUMMARY = 16, 1 << 20, 4096
+#: Pre-tokens that a worker remembers, about, and bytes of text that it splits at once.
+CACHE, PIECE = 1 << 20, 4 << 20
 
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -64,6 +64,7 @@ class Lengths:
         self.inner.no_truncation()
         self.inner.no_padding()
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def encoded(self, words: list[str]) -> list[int]:
         out: list[int] = []
@@ -72,15 +73,18 @@ class Lengths:
         return out
 
     def of(self, words: list[str]) -> np.ndarray:
-        """Counts of distinct ``words``."""
-        new = [w for w in words if w not in self.known]
-        fresh = dict(zip(new, self.encoded(new), strict=True))
-        got = np.fromiter((self.known[w] if w in self.known else fresh[w] for w in words), np.int64, len(words))
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-        if len(fresh) <= CACHE:
-            self.known.update((w, n) for w, n in fresh.items() if len(w) <= LONGEST)
-        return got
+        """Counts of distinct ``words``.
+
+        What is remembered is of two ages: once the younger is full it becomes the older, which goes.
+        """
+        held = [self.known.get(w) or self.older.get(w) for w in words]
+        new = [w for w, n in zip(words, held, strict=True) if n is None]
+        fresh = iter(self.encoded(new))
+        got = [next(fresh) if n is None else n for n in held]
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        self.known.update((w, n) for w, n in zip(words[:CACHE], got, strict=False) if n and len(w) <= LONGEST)
+        return np.array(got, np.int64)
 
 
 _lengths: dict[str, Lengths] = {}

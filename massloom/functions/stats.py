@@ -79,6 +79,33 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ra
     return out.drop("_k", "_part", "_own", "_before", "_all")
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], parts: int | None = None) -> list[float]:
+    """Quantiles of a column, interpolated between the two values at (n - 1) times each share; none without values; NaN and null do not count.
+
+    Values are counted by ranges, and only those ranges are put in order that hold a place which is asked for, so no task has all values.
+    """
+    v = F.col(value).cast("double")
+    rows = _spread(df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("_v")).agg(F.count("*").alias("_c")), [], [F.col("_v")], parts)
+    sizes = sorted(rows.groupBy("_part").agg(F.sum("_c").alias("n")).collect(), key=lambda r: r["_part"])  # a row for each range
+    total = sum(r["n"] for r in sizes)
+    if not total:
+        return []
+    places = {h: (total - 1) * h for h in shares}
+    wanted = sorted({p for x in places.values() for p in (math.floor(x), math.ceil(x))})
+    upto, holds = 0, []
+    for r in sizes:
+        own = [p for p in wanted if upto <= p < upto + r["n"]]
+        if own:
+            holds.append((r["_part"], upto, own))
+        upto += r["n"]
+    asked = df.sparkSession.createDataFrame(holds, "_part int, _before long, _places array<long>")
+    end = F.sum("_c").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+    ends = rows.join(F.broadcast(asked), "_part").withColumn("_end", end)
+    found = ends.select("_v", "_end", "_c", F.explode("_places").alias("p")).where("p < _end and p >= _end - _c").select("p", "_v").collect()  # two for each share
+    at = {r["p"]: r["_v"] for r in found}
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places.values()]
+
+
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str = "wmedian", parts: int | None = None) -> DataFrame:
     """Per group the value at half of the weight, interpolated between the midpoints of the weights; equal values by weight.
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import lambert_w_minus
+from ..functions.stats import exact_quantiles, lambert_w_minus
 
 OUTLIER_PROB = 1e-4
 
@@ -193,32 +194,50 @@ class NoiseModel:
         z = expected_log * self.detection_factor + self.detection_intercept
         return -log1p_exp(F.when(detected, -z).otherwise(z))
 
-    # Simulation, seeded but not comparable between engines
-    def simulate_missing(self, df: DataFrame, signal: str, name: str = "missed_log", bins: int = 10, std_scale: float = 3.0, det_factor_scale: float = 10.0, points: int = 201, seed: int = 1) -> DataFrame:
+    # Simulation by hashes of row keys, the same after any split
+    def missing_table(self, spark: SparkSession, cuts: Sequence[float], std_scale: float = 3.0, det_factor_scale: float = 10.0, points: int = 201) -> DataFrame:
+        """(bin, at, xs, upto): for each bin of signals, by its upper end, a grid and the running sum of the posterior of an undetected log intensity."""
+        centre = np.array(cuts, float)[:, None]
+        width = 8 / (self.zScale * std_scale)
+        xs = centre + width * (np.arange(points) / (points - 1) - 0.5) * 2
+        z, missed = (xs - centre) * self.zScale * std_scale, xs * self.detection_factor * det_factor_scale + self.detection_intercept
+        upto = np.cumsum(np.exp(-z * z / 2 - np.logaddexp(0.0, missed)), axis=1)
+        rows = [(k, float(cuts[k]), xs[k].tolist(), upto[k].tolist()) for k in range(len(cuts))]
+        return spark.createDataFrame(rows, "bin int, at double, xs array<double>, upto array<double>")
+
+    def simulate_missing(self, df: DataFrame, signal: str, name: str = "missed_log", bins: int = 10, std_scale: float = 3.0, det_factor_scale: float = 10.0, points: int = 201, seed: int = 1, keys: Sequence[str] | None = None) -> DataFrame:
         """Log intensities that would go undetected, drawn per bin of signals from the posterior on a grid.
 
-        The inverse of a gridded distribution function is drawn from, in place of a slice sampler.
+        The inverse of a gridded distribution function is drawn from, in place of a slice sampler.  Bins end at quantiles of the logarithms; their
+        tables are made once and broadcast (``bins`` rows), and a row's place is found by halving.  What is drawn hangs on the row's ``keys`` (all columns by
+        default) and the seed alone.  A signal without a logarithm draws null.
         """
+        keys = list(df.columns if keys is None else keys)
         logs = df.withColumn("_log", self.log(F.col(signal)))
-        cuts = F.broadcast(logs.agg(F.percentile("_log", F.array(*[F.lit(k / bins) for k in range(1, bins + 1)])).alias("_cuts")))
-        at = logs.crossJoin(cuts).withColumn("_at", F.get("_cuts", F.least(F.size(F.filter("_cuts", lambda q: q <= F.col("_log"))), F.lit(bins - 1))))
-        width = 8 / (self.zScale * std_scale)
-        xs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("_at") + width * (k / (points - 1) - F.lit(0.5)) * 2)
-
-        def weight(x: Column) -> Column:
-            z = (x - F.col("_at")) * self.zScale * std_scale
-            return F.exp(-z * z / 2 - log1p_exp(x * self.detection_factor * det_factor_scale + self.detection_intercept))
-
-        grid = at.withColumn("_x", xs).withColumn("_w", F.transform("_x", weight)).withColumn("_u", F.rand(seed) * F.aggregate("_w", F.lit(0.0), lambda a, w: a + w))
-        pick = F.aggregate(F.arrays_zip(F.col("_x").alias("x"), F.col("_w").alias("w")), F.struct(F.lit(0.0).alias("c"), F.col("_at").alias("x")), lambda a, p: F.struct((a["c"] + p["w"]).alias("c"), F.when(a["c"] < F.col("_u"), p["x"]).otherwise(a["x"]).alias("x")), lambda a: a["x"])
-        return grid.withColumn(name, pick).drop("_log", "_cuts", "_at", "_x", "_w", "_u")
-
-    def simulate(self, df: DataFrame, intensity: str, signal: str, name: str = "simulated", seed: int = 1) -> DataFrame:
-        """Detected intensities with noise, missing ones from M12."""
-        missed = self.simulate_missing(df, signal, "_missed", seed=seed)
+        cuts = exact_quantiles(logs, "_log", [k / bins for k in range(1, bins + 1)])
+        if not cuts:
+            return df.withColumn(name, F.lit(None).cast("double"))
+        place = F.least(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q <= F.col("_log"))), F.lit(bins - 1))
+        table = self.missing_table(df.sparkSession, cuts, std_scale, det_factor_scale, points).select(F.col("bin").alias("_bin"), F.col("xs").alias("_xs"), F.col("upto").alias("_upto"))
+        drawn = logs.withColumn("_bin", F.when(F.col("_log").isNotNull() & ~F.isnan("_log"), place)).join(F.broadcast(table), "_bin", "left").withColumn("_u", uniform(keys, seed) * F.element_at("_upto", -1))
+        halves = F.array(*[F.lit(1 << k) for k in reversed(range(points.bit_length()))])
+        at = F.aggregate(halves, F.lit(0), lambda a, h: F.when((a + h <= points - 1) & (F.get("_upto", a + h - 1) < F.col("_u")), a + h).otherwise(a))
+        return drawn.withColumn(name, F.get("_xs", at)).drop("_log", "_bin", "_xs", "_upto", "_u")
+
+    def simulate(self, df: DataFrame, intensity: str, signal: str, name: str = "simulated", seed: int = 1, keys: Sequence[str] | None = None) -> DataFrame:
+        """Detected intensities with normal noise, missing ones from M12."""
+        keys = list(df.columns if keys is None else keys)
+        missed = self.simulate_missing(df, signal, "_missed", seed=seed, keys=keys)
         x = F.col(intensity)
         there = x.isNotNull() & ~F.isnan(x)
-        return missed.withColumn(name, F.when(there, x + F.randn(seed + 1) * self.signal_std(x)).otherwise(self.exp(F.col("_missed")))).drop("_missed")
+        normal = F.sqrt(-2 * F.ln(1 - uniform(keys, seed + 1))) * F.cos(2 * math.pi * uniform(keys, seed + 2))
+        return missed.withColumn(name, F.when(there, x + normal * self.signal_std(x)).otherwise(self.exp(F.col("_missed")))).drop("_missed")
+
+
+def uniform(keys: Sequence[str], seed: int) -> Column:
+    """A number from 0 to below 1 by a digest of the seed and the keys as strings."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
 def quantile_rank(value: str, keys: list[str]) -> tuple[Column, Column]:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import literal_split
 from ..functions.strings import locprob_pattern, ptm_label, ptm_pattern
 from ..session import materialize, ship_package
-from .align import align, class_scores
+from .align import align, blosum90
 from .graph import connected_components
 from .ids import dense_rank_table
 
@@ -121,23 +122,26 @@ def extract_ptm_locprobs(df: DataFrame, fmt: str = "maxquant", objid_col: str =
 def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col: str, seqid_col: str = "protein_ac", objid_cols: Sequence[str] = ("ptm_id",), pos_col: str = "ptm_pos", self_matches: bool = True, score: Callable[[str, str], int] | None = None, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
     """Where each object's residue lies in the sequences of its group, and in the alignment; unmapped objects stay with nulls.
 
-    Only sequences that objects use are aligned, and each pair of different sequence texts once.
+    Only sequences that objects use are aligned, and each pair of different sequence texts once, with BLOSUM90 by default.
     """
     ship_package(objs.sparkSession)
-    score = score or class_scores()
+    score = score or blosum90()
     used = seqs.join(objs.select(seqid_col).distinct(), seqid_col, "left_semi").select(F.col(seqid_col).alias("src"), group_col, F.col("seq").alias("src_seq"))
     pairs = used.join(dest.select(F.col(seqid_col).alias("dest"), group_col, F.col("seq").alias("dest_seq")), group_col)
     if not self_matches:
         pairs = pairs.where("src <> dest")
     pairs = materialize(pairs, "pairs")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [align(x, y, score, gap_open, gap_extend) for x, y in zip(b["src_seq"], b["dest_seq"], strict=True)]
-            yield pd.DataFrame({"src_seq": b["src_seq"], "dest_seq": b["dest_seq"], "agn_score": [m[0] for m in made], "places": [m[1].tolist() for m in made], "columns": [m[4].tolist() for m in made], "agn_len": [m[2] for m in made], "agn_match_ratio": [m[3] / m[2] if m[2] else 0.0 for m in made]})
+            for k in range(b.num_rows):  # a pair's places are sent before the next is aligned
+                total, to, columns, matches, at = align(b["src_seq"][k].as_py(), b["dest_seq"][k].as_py(), score, gap_open, gap_extend)
+                places = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (to, at)]
+                numbers = [pa.array([total]), *places, pa.array([columns]), pa.array([matches / columns if columns else 0.0])]
+                yield pa.RecordBatch.from_arrays([b["src_seq"].slice(k, 1), b["dest_seq"].slice(k, 1), *numbers], names=["src_seq", "dest_seq", "agn_score", "places", "columns", "agn_len", "agn_match_ratio"])
 
     texts = pairs.select("src_seq", "dest_seq").distinct()
-    aligned = materialize(texts.mapInPandas(run, "src_seq string, dest_seq string, agn_score long, places array<int>, columns array<int>, agn_len long, agn_match_ratio double"), "alignments")
+    aligned = materialize(texts.mapInArrow(run, "src_seq string, dest_seq string, agn_score long, places array<int>, columns array<int>, agn_len long, agn_match_ratio double"), "alignments")
     found = pairs.join(aligned, ["src_seq", "dest_seq"])
     rows = objs.select(*objid_cols, seqid_col, F.col(pos_col).cast("int").alias(pos_col)).distinct()
     mapped = rows.join(found.withColumnRenamed("src", seqid_col), seqid_col, "left")

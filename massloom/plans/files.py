@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import network, ptm, reshape
 from ..session import fresh_path
 from ..sources import texts, wide
-from .core import MODEL
 from .registry import query, table
 
 
@@ -131,10 +130,3 @@ def aligned_names(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "nation").select(F.col("n_name").alias("protein_ac"), F.col("n_regionkey").alias("protgroup_id"), F.upper("n_name").alias("seq"))
     objs = n.select(F.col("protein_ac").alias("ptm_id"), "protein_ac", F.lit(2).alias("ptm_pos"))
     return ptm.map_positions(objs, n, n, "protgroup_id", self_matches=False).select("protein_ac", "agn_seqid", "agn_pos", "agn_match", "agn_score")
-
-
-# drawn at random: rows alone can be compared
-@query("simulated_intensity")
-def simulated_intensity(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").where("value > 0").select("event_id", "value", F.when(F.col("event_type") != "view", F.col("value")).alias("seen"))
-    return MODEL.simulate(e, "seen", "value").select("event_id", "simulated")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nulls, stats, strings
 from ..operators import calib, ids, matrices, network, noise, proteins, ptm, reshape, sets
+from ..operators.align import blosum90
 from ..session import fresh_path
 from ..sources import columns, texts, wide
-from .core import MODEL
+from .core import LOGSTD, MODEL
 from .registry import query, table
 
 # --- reports written and read back
@@ -769,17 +772,37 @@ def evidence_proteins(s: SparkSession, d: str) -> DataFrame:
 # --- what is drawn at random, by what must hold
 
 
-@query("simulated_bounds", "SELECT event_id, true AS missed_is_near, true AS noise_is_in_scale FROM events WHERE value > 0")
+# draws by the digest of seed and event: the bins' grids and running sums, and the first place of these that is not below the draw
+def _uniform(seed: int) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}|' || event_id), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+_WIDTH = 8 / (MODEL.zScale * 3.0)
+DRAWS = f"""e AS (SELECT event_id, event_type, value, ln(value) / {math.log(2.0)!r} AS l FROM events WHERE value > 0), q AS (SELECT quantile_cont(l, {[k / 10 for k in range(1, 11)]}) AS q FROM e),
+  c AS (SELECT event_id, event_type, value, l, q, least(len(list_filter(q, lambda x: x <= l)), 9) AS b FROM e, q), g AS (SELECT b, k, q[b + 1] AS mid, q[b + 1] + {_WIDTH!r} * (k / 200.0 - 0.5) * 2 AS x FROM q, range(10) AS t(b), range(201) AS u(k)),
+  w AS (SELECT b, k, mid, x, exp(-pow((x - mid) * {MODEL.zScale * 3.0!r}, 2) / 2 - (greatest(y, 0) + ln(1 + exp(-abs(y))))) AS w FROM (SELECT *, x * {MODEL.detection_factor * 10.0!r} + {MODEL.detection_intercept!r} AS y FROM g)),
+  s AS (SELECT b, any_value(mid) AS mid, list(x ORDER BY k) AS xs, list(s ORDER BY k) AS upto FROM (SELECT *, sum(w) OVER (PARTITION BY b ORDER BY k) AS s FROM w) GROUP BY b),
+  d AS (SELECT event_id, event_type, value, c.b, mid, xs[1 + len(list_filter(upto, lambda y: y < {_uniform(1)} * upto[201]))] AS missed FROM c JOIN s ON c.b = s.b)"""
+
+
+@query("simulated_bounds", f"WITH {DRAWS} SELECT event_id, round(mid, 6) AS bin_end, round(missed, 6) AS missed_log, abs(missed - mid) <= {_WIDTH + 1e-6} AS is_near FROM d")
 def simulated_bounds(s: SparkSession, d: str) -> DataFrame:
-    """Missing values lie within the posterior's grid around their bin, detected ones within a wide multiple of their deviation."""
-    e = table(s, d, "events").where("value > 0").select("event_id", "value", F.when(F.col("event_type") != "view", F.col("value")).alias("seen"))
-    cuts = [float(x) for x in e.agg(F.percentile(F.log2("value"), F.array(*[F.lit(k / 10) for k in range(1, 11)])).alias("q")).first()["q"]]
-    at = F.get(F.array(*[F.lit(c) for c in cuts]), F.least(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda q: q <= F.log2("value"))), F.lit(9)))
-    width = 8 / (MODEL.zScale * 3.0)
-    rows = MODEL.simulate(MODEL.simulate_missing(e, "value"), "seen", "value")
-    near = F.abs(F.col("missed_log") - at) <= width + 1e-6
-    noise_ = F.when(F.col("seen").isNull(), F.col("simulated") > 0).otherwise(F.abs(F.col("simulated") - F.col("seen")) <= 9 * MODEL.signal_std(F.col("seen")))
-    return rows.select("event_id", near.alias("missed_is_near"), noise_.alias("noise_is_in_scale"))
+    """Missing values by event, within the grid around the end of their bin."""
+    e = table(s, d, "events").where("value > 0").select("event_id", "value")
+    logs = e.withColumn("l", MODEL.log(F.col("value")))
+    cuts = F.array(*map(F.lit, stats.exact_quantiles(logs, "l", [k / 10 for k in range(1, 11)])))
+    rows = MODEL.simulate_missing(logs, "value", keys=["event_id"]).withColumn("at", F.get(cuts, F.least(F.size(F.filter(cuts, lambda q: q <= F.col("l"))), F.lit(9))))
+    return rows.select("event_id", F.round("at", 6).alias("bin_end"), F.round("missed_log", 6).alias("missed_log"), (F.abs(F.col("missed_log") - F.col("at")) <= _WIDTH + 1e-6).alias("is_near"))
+
+
+@query("missed_quantiles", f"WITH {DRAWS} SELECT CAST(b AS INTEGER) AS bin, count(*) AS n, round(quantile_cont(missed, 0.1), 6) AS q10, round(quantile_cont(missed, 0.5), 6) AS q50, round(quantile_cont(missed, 0.9), 6) AS q90 FROM d GROUP BY b")
+def missed_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """What is drawn in each bin of signals, by its quantiles."""
+    e = table(s, d, "events").where("value > 0").select("event_id", "value")
+    logs = e.withColumn("l", MODEL.log(F.col("value")))
+    cuts = F.array(*map(F.lit, stats.exact_quantiles(logs, "l", [k / 10 for k in range(1, 11)])))
+    rows = MODEL.simulate_missing(logs, "value", keys=["event_id"]).withColumn("bin", F.least(F.size(F.filter(cuts, lambda q: q <= F.col("l"))), F.lit(9)))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), *[F.round(F.percentile("missed_log", F.lit(q)), 6).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
 
 
 @query("calibration_search", "SELECT true AS is_better, true AS is_in_box FROM region LIMIT 1")
@@ -796,3 +819,44 @@ def calibration_search(s: SparkSession, d: str) -> DataFrame:
     inside = all(lo <= getattr(model, k) <= hi for k, (lo, hi) in factory.bounds.items())
     ends = abs(max(calib.bayesian_score(p, l) for p, l, _ in front) - fitness) < 1e-6 and len(calib.pareto_front([c[:2] for c in front])) == len(front)
     return s.createDataFrame([(fitness >= best[0] and ends, inside)], "is_better boolean, is_in_box boolean")
+
+
+# noise of detected values by the model's deviation there, missing ones from the draws
+@query("simulated_intensity", f"""WITH {DRAWS} SELECT event_id, round(CASE WHEN event_type <> 'view' THEN value + sqrt(-2 * ln(1 - {_uniform(2)})) * cos(2 * pi() * {_uniform(3)}) * pow(2.0, {LOGSTD}) ELSE pow(2.0, missed) END, 4) AS simulated FROM d""")
+def simulated_intensity(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").where("value > 0").select("event_id", "value", F.when(F.col("event_type") != "view", F.col("value")).alias("seen"))
+    return MODEL.simulate(e, "seen", "value", keys=["event_id"]).select("event_id", F.round("simulated", 4).alias("simulated"))
+
+
+# twenty different residues, of which one to three are missing in a supplier's variant: the only best alignment has one gap
+_BASE = "ACDEFGHIKLMNPQRSTVWY"
+
+
+@query("aligned_gaps", f"""WITH v AS (SELECT s_suppkey AS k, 4 + s_suppkey % 8 AS p, 1 + s_suppkey % 3 AS n, 1 + s_nationkey % 20 AS spot FROM supplier)
+  SELECT 'B' || k AS protein_ac, 'V' || k AS agn_seqid, CAST(spot AS INTEGER) AS ptm_pos, CAST(CASE WHEN spot < p THEN spot WHEN spot >= p + n THEN spot - n END AS INTEGER) AS agn_pos,
+  CASE WHEN spot < p OR spot >= p + n THEN '=' ELSE '-' END AS agn_match, CAST(spot AS INTEGER) AS agn_column, CAST(20 AS BIGINT) AS agn_len, round((20 - n) / 20.0, 6) + 0.0 AS agn_match_ratio,
+  (SELECT CAST(sum(s) AS BIGINT) FROM (SELECT unnest([5, 9, 7, 6, 7, 6, 8, 5, 6, 5, 7, 7, 8, 7, 6, 5, 6, 5, 11, 8]) AS s, unnest(range(1, 21)) AS i) WHERE i < p OR i >= p + n) - 10 - n AS agn_score FROM v""")
+def aligned_gaps(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "supplier").select("s_suppkey", (4 + F.col("s_suppkey") % 8).cast("int").alias("p"), (1 + F.col("s_suppkey") % 3).cast("int").alias("n"), (1 + F.col("s_nationkey") % 20).cast("int").alias("spot"))
+    base = v.select(F.concat(F.lit("B"), "s_suppkey").alias("protein_ac"), F.col("s_suppkey").alias("protgroup_id"), F.lit(_BASE).alias("seq"))
+    less = F.concat(F.expr(f"substring('{_BASE}', 1, p - 1)"), F.expr(f"substring('{_BASE}', p + n, 20)"))
+    variants = v.select(F.concat(F.lit("V"), "s_suppkey").alias("protein_ac"), F.col("s_suppkey").alias("protgroup_id"), less.alias("seq"))
+    objs = v.select(F.concat(F.lit("B"), "s_suppkey").alias("protein_ac"), F.col("s_suppkey").alias("ptm_id"), F.col("spot").alias("ptm_pos"))
+    got = ptm.map_positions(objs, base, variants, "protgroup_id")
+    return got.select("protein_ac", "agn_seqid", "ptm_pos", "agn_pos", "agn_match", "agn_column", "agn_len", F.round("agn_match_ratio", 6).alias("agn_match_ratio"), "agn_score")
+
+
+# the recurrence of best scores, a row of the matrix at a time, over lists
+_MATRIX = [[blosum90()(a, b) for b in "ARNDCQEGHILKMFPSTWYVBZX*"] for a in "ARNDCQEGHILKMFPSTWYVBZX*"]
+
+
+@query("aligned_scores", f"""WITH RECURSIVE x AS (SELECT {_MATRIX} AS m), p AS (SELECT a.n_name AS a, b.n_name AS b, a.n_name AS s, b.n_name AS t FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name),
+  r(a, b, s, t, i, best, down) AS (SELECT a, b, s, t, 0, list_transform(range(length(t) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE -10 - j END), list_transform(range(length(t) + 1), lambda j: -100000) FROM p
+    UNION ALL SELECT a, b, s, t, i + 1, list_transform(range(length(t) + 1), lambda j: greatest(base[j + 1], coalesce(list_max(list_transform(range(j), lambda k: base[k + 1] - 10 - (j - k))), -100000))), down
+    FROM (SELECT a, b, s, t, i, down, list_transform(range(length(t) + 1), lambda j: greatest(down[j + 1], CASE WHEN j = 0 THEN -100000 ELSE best[j] + coalesce(m[nullif(instr('ARNDCQEGHILKMFPSTWYVBZX*', substr(s, i + 1, 1)), 0)][nullif(instr('ARNDCQEGHILKMFPSTWYVBZX*', substr(t, j, 1)), 0)], -6) END)) AS base
+      FROM (SELECT a, b, s, t, i, best, list_transform(range(length(t) + 1), lambda j: greatest(best[j + 1] - 11, down[j + 1] - 1)) AS down FROM r WHERE i < length(s)), x))
+  SELECT a AS protein_ac, b AS agn_seqid, CAST(best[length(t) + 1] AS BIGINT) AS agn_score FROM r WHERE i = length(s)""")
+def aligned_scores(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "nation").select(F.col("n_name").alias("protein_ac"), F.col("n_regionkey").alias("protgroup_id"), F.upper("n_name").alias("seq"))
+    objs = n.select(F.col("protein_ac").alias("ptm_id"), "protein_ac", F.lit(2).alias("ptm_pos"))
+    return ptm.map_positions(objs, n, n, "protgroup_id", self_matches=False).select("protein_ac", "agn_seqid", "agn_score")

@@ -132,3 +132,15 @@ def test_ranges_of_a_hot_run_are_even(spark):
     df = spark.range(200_000).select(F.lit("run").alias("k"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.rand(1)).alias("v"), "id")
     sizes = [r["n"] for r in stats._spread(df, ["k"], [F.col("v"), F.col("id")], 16).groupBy("_part").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 16 and max(sizes) <= 2 * 200_000 / 16
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_exact_quantiles(spark, parts):
+    import numpy as np
+
+    r = random.Random(8)
+    values = [r.choice([0.0, 1.5, r.gauss(0, 9)]) for _ in range(1000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    assert stats.exact_quantiles(df, "v", shares, parts) == pytest.approx(np.quantile(values, shares).tolist(), abs=1e-12)
+    assert stats.exact_quantiles(df.limit(0), "v", shares, parts) == [] and stats.exact_quantiles(df.where("v = 1.5"), "v", [0.5], parts) == [1.5]

@@ -461,6 +461,19 @@ def test_axis_of_many_members(spark):
         matrices.axis_places(df, "m", "o")
 
 
+def test_draws_hang_on_keys_alone(spark):
+    """The same after any split; within the grid; tables of bins hold running sums; no signal, no draw."""
+    df = spark.range(400).select("id", (F.col("id") + 1.0).alias("v"), F.when(F.col("id") % 2 == 0, F.col("id") + 1.0).alias("x")).unionByName(spark.createDataFrame([(900, None, None), (901, 5.0, float("nan"))], "id long, v double, x double"))
+    one = {r["id"]: r["s"] for r in MODEL.simulate(df.repartition(1), "x", "v", "s", keys=["id"]).collect()}
+    other = {r["id"]: r["s"] for r in MODEL.simulate(df.repartition(7, "v"), "x", "v", "s", keys=["id"]).collect()}
+    assert one == other and one[900] is None and all(math.isfinite(v) for k, v in one.items() if k != 900)
+    assert {r["id"]: r["s"] for r in MODEL.simulate(df, "x", "v", "s", seed=2, keys=["id"]).collect()} != one
+    t = MODEL.missing_table(spark, [1.0, 2.0], points=11).collect()
+    assert [r["at"] for r in t] == [1.0, 2.0] and all(list(r["upto"]) == sorted(r["upto"]) and r["xs"][5] == pytest.approx(r["at"]) for r in t)
+    u = [r[0] for r in spark.range(4000).select(noise.uniform(["id"], 1)).collect()]
+    assert 0 <= min(u) and max(u) < 1 and np.histogram(u, 8, (0, 1))[0].min() > 400
+
+
 def test_ward_by_chains():
     """Chains of nearest neighbours merge what the nearest pair of all merges; single leaves first, then earlier clusters."""
     rng = np.random.default_rng(1)
@@ -521,6 +534,33 @@ def test_alignment_columns():
     assert align("AC", "XXAC", class_scores(), -2, -1)[4].tolist() == [3, 4]
 
 
+def test_alignment_in_bounded_memory():
+    """The way back by blocks of rows costs what the score says, in memory far below one cell a pair of residues."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a = "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 5000))
+    b = a[:700] + a[760:2000] + "".join(rng.choice(list("ACDEF"), 90)) + a[2000:4400] + "WW" + a[4410:]
+    tracemalloc.start()
+    total, to, columns, matches, at = align.align(a, b, align.blosum90())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20 < len(a) * len(b)  # a byte for each cell would be 25 MB
+    score = align.blosum90()
+    paired = [(i, int(j) - 1) for i, j in enumerate(to) if j]
+    cost = sum(score(a[i], b[j]) for i, j in paired)
+    for (i, j), (k, m) in zip([(-1, -1), *paired], [*paired, (len(a), len(b))], strict=True):
+        cost += sum(-10 - gap for gap in (k - i - 1, m - j - 1) if gap)
+    assert cost == total and columns == len(a) + len(b) - len(paired) and matches > 4800 and sorted(set(at)) == sorted(at)
+
+
+def test_blosum():
+    score = align.blosum90()
+    residues = "ARNDCQEGHILKMFPSTWYVBZX*"
+    assert all(score(x, y) == score(y, x) for x in residues for y in residues) and all(score(x, x) > max(score(x, y) for y in residues[:20] if y != x) for x in residues[:20])
+    assert score("A", "?") == -6
+
+
 def test_graphs_by_either_path(spark):
     """One task, or rounds over all: the same components."""
     rng = np.random.default_rng(5)

@@ -68,7 +68,6 @@ def test_entry_without_the_subpackage(tmp_path):
 def test_without_sql(spark, sf_dir):
     """Queries that SQL cannot express, by what must hold."""
     q = registry.queries()
-    assert set(q) - set(registry.oracle_sql()) == {"aligned_names", "simulated_intensity"}
+    assert set(q) - set(registry.oracle_sql()) == {"aligned_names"}
     got = q["aligned_names"](spark, sf_dir).collect()
     assert len(got) == 100 and all(r["agn_pos"] is None or 1 <= r["agn_pos"] <= len(r["agn_seqid"]) for r in got)
-    assert q["simulated_intensity"](spark, sf_dir).where("simulated is null or isnan(simulated)").count() == 0

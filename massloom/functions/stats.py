@@ -137,6 +137,21 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     return at.select(*[F.col(f"_k.{k}").alias(k) for k in keys], inner.alias(name))
 
 
+def skyline(df: DataFrame, first: str, second: str, parts: int | None = None) -> DataFrame:
+    """Rows that no other is at least as good as in both columns and better in one, large being good; ties stay, rows with nulls or NaN go.
+
+    Of each value of ``first`` the best ``second`` counts; these are put in ranges, and what is best above a range is one number.
+    """
+    fine = df.where(F.col(first).isNotNull() & F.col(second).isNotNull() & ~F.isnan(F.col(first).cast("double")) & ~F.isnan(F.col(second).cast("double")))
+    best = fine.groupBy(F.col(first).alias("_a")).agg(F.max(second).alias("_b"))
+    rows = _spread(best, [], [F.col("_a")], parts)
+    tops = rows.groupBy("_part").agg(F.max("_b").alias("_top"))  # a row for each range
+    above = F.broadcast(tops.select("_part", F.max("_top").over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_above")))
+    inside = F.max("_b").over(Window.partitionBy("_part").orderBy(F.col("_a").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    left = rows.join(above, "_part").withColumn("_over", F.greatest("_above", inside)).where("_over is null or _over < _b").select("_a", "_b")
+    return fine.join(left, (F.col(first) == F.col("_a")) & (F.col(second) == F.col("_b"))).drop("_a", "_b")
+
+
 def weighted_sd(value: Column, weight: Column) -> Column:
     """Aggregate: uncorrected weighted standard deviation."""
     mean = F.sum(value * weight) / F.sum(weight)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import grid_bin, quantile_grid, ranked, weighted_median
-from ..session import materialize
+from ..session import materialize, ship_package
 from .noise import NoiseModel
 from .reshape import pivot_longer
 
@@ -46,6 +47,22 @@ def log_prior(model: NoiseModel, grid: Sequence[float], sigma_prior_sd: float =
     return cauchy_logpdf(model.zDetectionIntercept) + cauchy_logpdf(model.zDetectionFactor) + total + beta_logpdf(model.detectionMax, 10.0, 1.1)
 
 
+def log_priors(grid: Sequence[float], n: int, base: float = math.e, sigma_prior_sd: float = 0.1) -> Column:
+    """Q1 for a table of models, whose columns are called like the model's fields."""
+    c, b = F.col, math.log(base)
+    half_sum, half_difference = 0.5 * (c("sigmaScaleHi") + c("sigmaScaleLo")), 0.5 * (c("sigmaScaleHi") - c("sigmaScaleLo"))
+
+    def term(x: Column) -> Column:
+        d = (F.ln(x) / b - c("zShift")) * c("zScale") - c("sigmaBend")
+        ratio = F.exp((half_sum * d + half_difference * F.sqrt(d * d + c("sigmaSmooth")) + c("sigmaOffset")) * b) / x
+        return -0.5 * F.pow(ratio / sigma_prior_sd, F.lit(2.0)) - math.log(sigma_prior_sd) - 0.5 * math.log(2 * math.pi)
+
+    total = F.aggregate(F.transform(F.array(*[F.lit(float(g)) for g in grid]), term), F.lit(0.0), lambda a, t: a + t) * (n / len(grid))
+    cauchy = lambda x: -math.log(math.pi) - F.log1p(x * x)
+    beta = 9.0 * F.ln("detectionMax") + (1.1 - 1) * F.log1p(-c("detectionMax")) - (math.lgamma(10.0) + math.lgamma(1.1) - math.lgamma(11.1))
+    return cauchy(c("zDetectionIntercept")) + cauchy(c("zDetectionFactor")) + total + beta
+
+
 @dataclass
 class CalibrationData:
     """Q3: what the likelihood reads; ``used`` has intensity, logintensity_predicted, intensity_zscore_predicted,
@@ -227,8 +244,8 @@ def pareto_front(scores: Sequence[Sequence[float]]) -> list[int]:
     return [k for k, b in enumerate(beaten) if not b]
 
 
-def sampled_llh(model: NoiseModel, x: Mapping[str, np.ndarray]) -> float:
-    """Q12 in numpy over the balanced sample, whose size the bins bound."""
+def partial_llh(model: NoiseModel, x: Mapping[str, np.ndarray]) -> tuple[float, int, int]:
+    """Q12 in numpy over some rows: (sum of terms, errors, inliers among them); sums of parts are those of the whole."""
     error, z, logp = x["error"], x["z"], x["log"]
     there = np.isfinite(error)
     b = math.log(model.logintensityBase)
@@ -239,49 +256,75 @@ def sampled_llh(model: NoiseModel, x: Mapping[str, np.ndarray]) -> float:
     d = e * np.exp(-logstd * b)
     p = model.outlierProb
     pdf = np.logaddexp(math.log1p(-p) - d * d / 2 - math.log(2 * math.pi) / 2, math.log(p) - np.log1p(d * d) - math.log(math.pi))
-    n_in = int((np.abs(d) <= model.distr.threshold).sum())
-    return float(total + (pdf - (logstd - model.zShift) * b).sum() + beta_logpdf(p, len(d) - n_in + 1, n_in + 1))
+    return float(total + (pdf - (logstd - model.zShift) * b).sum()), len(d), int((np.abs(d) <= model.distr.threshold).sum())
 
 
-def calibrate(data: CalibrationData, factory: ModelFactory | None = None, rounds: int = 200, population: int = 40, seed: int = 1, prior_weight: float = 1.0, max_rows: int = 200_000, progress: Callable[[int, float], None] | None = None, front: list | None = None) -> tuple[NoiseModel, float]:
-    """Q15: differential evolution over the factory's box; the balanced sample comes to the driver.
+def whole_llh(model: NoiseModel, total: float, errors: int, inliers: int) -> float:
+    """Q12: the terms' sum, and how likely so many outliers are."""
+    return float(total + beta_logpdf(model.outlierProb, errors - inliers + 1, inliers + 1))
 
-    Candidates are ranked by the score of both objectives; ``front`` is given those of all candidates that none beats in
-    both, as (prior, log-likelihood, parameters).  A sample of over ``max_rows`` rows is an error: bound it by ``most`` when the data are made.
-    """
-    factory = factory or ModelFactory(data.zScale, data.zShift, data.base)
-    rows = data.used.select("intensity_prediction_error", "intensity_zscore_predicted", "logintensity_predicted").limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError(f"the calibration sample has more than {max_rows} rows")
-    x = {"error": rows.iloc[:, 0].to_numpy(float), "z": rows.iloc[:, 1].to_numpy(float), "log": rows.iloc[:, 2].to_numpy(float)}
-    rng = np.random.default_rng(seed)
-    lo, hi = np.array(list(factory.bounds.values())).T
 
-    best_of_both: list[tuple[float, float, list[float]]] = []
+def population_llh(rows: DataFrame, models: Sequence[NoiseModel]) -> list[float]:
+    """Q15: the log-likelihood of each model over all ``rows`` (error, z, log), in one pass: each task sends three numbers a model."""
+    ship_package(rows.sparkSession)
+    models = list(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(models), 3))
+        for b in batches:
+            x = {c: b[c].cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in ("error", "z", "log")}
+            sums += [partial_llh(m, x) for m in models]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1].astype(int)), pa.array(sums[:, 2].astype(int))], names=["k", "total", "errors", "inliers"])
+
+    made = rows.select("error", "z", "log").mapInArrow(run, "k int, total double, errors long, inliers long")
+    by = {r["k"]: r for r in made.groupBy("k").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors"), F.sum("inliers").alias("inliers")).collect()}  # a row for each model
+    return [whole_llh(m, by[k]["total"], by[k]["errors"], by[k]["inliers"]) if k in by else whole_llh(m, 0.0, 0, 0) for k, m in enumerate(models)]
 
-    def fitness(p: np.ndarray) -> float:
-        model = factory.model(p)
-        prior, llh = log_prior(model, data.grid, n=len(rows)), sampled_llh(model, x)
-        value = bayesian_score(prior, llh, prior_weight)
-        if front is not None and math.isfinite(value) and not any(a >= prior and b >= llh for a, b, _ in best_of_both):
-            best_of_both[:] = [c for c in best_of_both if not (prior >= c[0] and llh >= c[1])] + [(float(prior), float(llh), p.tolist())]
-        return value if math.isfinite(value) else -1e300
 
+def generations(bounds: Sequence[tuple[float, float]], fitness: Callable[[np.ndarray], np.ndarray], rounds: int, population: int, seed: int, progress: Callable[[int, float], None] | None = None) -> tuple[np.ndarray, float]:
+    """Differential evolution inside of a box: ``fitness`` weighs a whole generation (rows of parameters) at a time."""
+    rng = np.random.default_rng(seed)
+    lo, hi = np.array(bounds, float).T
     pool = lo + rng.random((population, len(lo))) * (hi - lo)
-    scores = np.array([fitness(p) for p in pool])
+    scores = fitness(pool)
     for r in range(rounds):
-        for i in range(population):
-            a, b, c = pool[rng.choice(population, 3, replace=False)]
-            trial = np.where(rng.random(len(lo)) < 0.9, a + 0.7 * (b - c), pool[i])
-            trial = np.clip(trial, lo, hi)
-            if (s := fitness(trial)) >= scores[i]:
-                pool[i], scores[i] = trial, s
+        a, b, c = (pool[x] for x in np.array([rng.choice(population, 3, replace=False) for _ in range(population)]).T)
+        trials = np.clip(np.where(rng.random(pool.shape) < 0.9, a + 0.7 * (b - c), pool), lo, hi)
+        made = fitness(trials)
+        better = made >= scores
+        pool[better], scores[better] = trials[better], made[better]
         if progress:
             progress(r, float(scores.max()))
     best = int(scores.argmax())
+    return pool[best], float(scores[best])
+
+
+def calibrate(data: CalibrationData, factory: ModelFactory | None = None, rounds: int = 200, population: int = 40, seed: int = 1, prior_weight: float = 1.0, progress: Callable[[int, float], None] | None = None, front: list | None = None) -> tuple[NoiseModel, float]:
+    """Q15: differential evolution over the factory's box; a generation is one aggregation of the sample, which stays on executors.
+
+    Candidates are ranked by the score of both objectives; ``front`` is given those of all candidates that none beats in
+    both, as (prior, log-likelihood, parameters).
+    """
+    factory = factory or ModelFactory(data.zScale, data.zShift, data.base)
+    rows = materialize(data.used.select(F.col("intensity_prediction_error").alias("error"), F.col("intensity_zscore_predicted").alias("z"), F.col("logintensity_predicted").alias("log")), "sample")
+    n = rows.count()
+    best_of_both: list[tuple[float, float, list[float]]] = []
+
+    def fitness(pool: np.ndarray) -> np.ndarray:
+        models = [factory.model(p) for p in pool]
+        out = []
+        for p, model, llh in zip(pool, models, population_llh(rows, models), strict=True):
+            prior = log_prior(model, data.grid, n=n)
+            value = bayesian_score(prior, llh, prior_weight)
+            if front is not None and math.isfinite(value) and not any(a >= prior and b >= llh for a, b, _ in best_of_both):
+                best_of_both[:] = [c for c in best_of_both if not (prior >= c[0] and llh >= c[1])] + [(float(prior), float(llh), p.tolist())]
+            out.append(value if math.isfinite(value) else -1e300)
+        return np.array(out)
+
+    best, score = generations(list(factory.bounds.values()), fitness, rounds, population, seed, progress)
     if front is not None:
         front.extend(sorted(best_of_both, key=lambda c: -c[0]))
-    return factory.model(pool[best]), float(scores[best])
+    return factory.model(best), score
 
 
 def calibration_file_prefix(info: Mapping[str, str]) -> str:
@@ -289,6 +332,11 @@ def calibration_file_prefix(info: Mapping[str, str]) -> str:
     return "mscalib_" + "_".join(str(info[k]) for k in ("msinstrument", "quanttype", "quantobj", "id", "calib_ver"))
 
 
+def file_prefixes(*parts: Column) -> Column:
+    """K4 for a table: instrument, type, object, id and version of its rows."""
+    return F.concat_ws("_", F.lit("mscalib"), *[p.cast("string") for p in parts])
+
+
 def save_result(path: str, model: NoiseModel, fitness: float, params: Sequence[float], info: Mapping | None = None) -> None:
     """K1: JSON on the driver; data frames are saved as Parquet by their own writer."""
     if not path.endswith(".json"):

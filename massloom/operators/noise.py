@@ -234,6 +234,21 @@ class NoiseModel:
         return missed.withColumn(name, F.when(there, x + normal * self.signal_std(x)).otherwise(self.exp(F.col("_missed")))).drop("_missed")
 
 
+def model_texts(base: float = math.e) -> Column:
+    """M4 for a table of models, whose columns are called like the model's fields: the text that ``str`` gives for one of that base.
+
+    Exact halves of the last digit are rounded up here, to even there.
+    """
+    shown = NoiseModel(1.0, 0.0, 1.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, logintensityBase=base)
+    c = F.col
+    text = (
+        f"Z=({shown.log_label}(signal)%+.3f)*%.3f\nP(detect|Z)=%.4f Logit⁻¹(%.4f Z%+.4f)\n"
+        f"std(signal)={shown.exp_label}(½(%.4f%+.4f)(Z%+.4f)+½(%.4f%+.4f)√((Z%+.4f)²%+.4f)%+.4f) P(outlier)=%s\n"
+    )
+    hi, lo, bend = c("sigmaScaleHi"), c("sigmaScaleLo"), c("sigmaBend")
+    return F.format_string(text, -c("zShift"), c("zScale"), c("detectionMax"), c("zDetectionFactor"), c("zDetectionIntercept"), hi, lo, -bend, hi, -lo, -bend, c("sigmaSmooth"), c("sigmaOffset"), c("outlierProb").cast("string"))
+
+
 def uniform(keys: Sequence[str], seed: int) -> Column:
     """A number from 0 to below 1 by a digest of the seed and the keys as strings."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,37 +189,38 @@ def model_dict_round_trip(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").where("value > 0").select("event_id", F.round(model.zscore(F.col("value")), 6).alias("z"))
 
 
-@query("calibration_prefix", "SELECT r_regionkey, 'mscalib_' || r_name || '_LFQ_protgroup_' || r_regionkey || '_v1' AS prefix FROM region")
+@query("calibration_prefix", "SELECT s_suppkey, 'mscalib_' || s_name || '_LFQ_protgroup_' || s_nationkey || '_v1' AS prefix FROM supplier")
 def calibration_prefix(s: SparkSession, d: str) -> DataFrame:
-    rows = [(r[0], calib.calibration_file_prefix({"msinstrument": r[1], "quanttype": "LFQ", "quantobj": "protgroup", "id": r[0], "calib_ver": "v1"})) for r in table(s, d, "region").select("r_regionkey", "r_name").collect()]  # five regions
-    return s.createDataFrame(rows, table(s, d, "region").select("r_regionkey", F.col("r_name").alias("prefix")).schema)
+    return table(s, d, "supplier").select("s_suppkey", calib.file_prefixes(F.col("s_name"), F.lit("LFQ"), F.lit("protgroup"), F.col("s_nationkey"), F.lit("v1")).alias("prefix"))
 
 
 # --- columns of reports
 
 
-def _names(s: SparkSession, d: str, name: Column) -> list[str]:
-    """Column names made of the 25 nations."""
-    return [r[0] for r in table(s, d, "nation").select(name).distinct().collect()]
+# names of a report's columns as rows, one for each customer
 
 
-@query("msrun_columns", """SELECT colname, regexp_extract(colname, '^([^.|]+)', 1) AS measure, nullif(regexp_extract(colname, '^[^.|]+\\.([^|]*)', 1), '') AS msrun, nullif(regexp_extract(colname, '\\|(.+)$', 1), '') AS mstag
-  FROM (SELECT DISTINCT CASE n_regionkey % 3 WHEN 0 THEN 'Intensity.' || n_name || '|H' WHEN 1 THEN 'iBAQ.' || n_name ELSE 'LFQ_Intensity.' END AS colname FROM nation)""")
+@query("msrun_columns", """SELECT c_custkey, colname, regexp_extract(colname, '^([^.|]+)', 1) AS measure, nullif(regexp_extract(colname, '^[^.|]+\\.([^|]*)', 1), '') AS msrun, nullif(regexp_extract(colname, '\\|(.+)$', 1), '') AS mstag
+  FROM (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'Intensity.' || c_name || '|H' WHEN 1 THEN 'iBAQ.' || c_name ELSE 'LFQ_Intensity.' END AS colname FROM customer)""")
 def msrun_columns(s: SparkSession, d: str) -> DataFrame:
-    r = F.col("n_regionkey") % 3
-    return columns.column_frame(s, columns.parse_msrun_columns(_names(s, d, F.when(r == 0, F.concat(F.lit("Intensity."), "n_name", F.lit("|H"))).when(r == 1, F.concat(F.lit("iBAQ."), "n_name")).otherwise("LFQ_Intensity."))))
+    r = F.col("c_nationkey") % 3
+    name = F.when(r == 0, F.concat(F.lit("Intensity."), "c_name", F.lit("|H"))).when(r == 1, F.concat(F.lit("iBAQ."), "c_name")).otherwise("LFQ_Intensity.")
+    return columns.parsed_names(table(s, d, "customer").select("c_custkey", name.alias("colname")), columns.MSRUN)
 
 
-@query("ratio_columns", """SELECT colname, 'H' AS nom, 'L' AS denom, CASE WHEN colname LIKE '% normalized %' THEN 'normalized' WHEN colname LIKE '% count %' THEN 'count' END AS measure, regexp_extract(colname, '(\\S+)$', 1) AS sample
-  FROM (SELECT 'Ratio.H/L ' || CASE n_regionkey % 3 WHEN 0 THEN 'normalized ' WHEN 1 THEN 'count ' ELSE '' END || 's' || n_nationkey AS colname FROM nation)""")
+@query("ratio_columns", """SELECT c_custkey, colname, 'H' AS nom, 'L' AS denom, CASE WHEN colname LIKE '% normalized %' THEN 'normalized' WHEN colname LIKE '% count %' THEN 'count' END AS measure, regexp_extract(colname, '(\\S+)$', 1) AS sample
+  FROM (SELECT c_custkey, 'Ratio.H/L ' || CASE c_nationkey % 3 WHEN 0 THEN 'normalized ' WHEN 1 THEN 'count ' ELSE '' END || 's' || c_custkey AS colname FROM customer)""")
 def ratio_columns(s: SparkSession, d: str) -> DataFrame:
-    r = F.col("n_regionkey") % 3
-    return columns.column_frame(s, columns.parse_ratio_columns(_names(s, d, F.concat(F.lit("Ratio.H/L "), F.when(r == 0, "normalized ").when(r == 1, "count ").otherwise(""), F.lit("s"), "n_nationkey"))))
+    r = F.col("c_nationkey") % 3
+    name = F.concat(F.lit("Ratio.H/L "), F.when(r == 0, "normalized ").when(r == 1, "count ").otherwise(""), F.lit("s"), "c_custkey")
+    return columns.parsed_names(table(s, d, "customer").select("c_custkey", name.alias("colname")), columns.RATIO)
 
 
-@query("metrics_columns", """SELECT (CASE n_regionkey % 2 WHEN 0 THEN 'PG_' ELSE '' END) || 'intensity.[' || n_nationkey || '] ' || n_name || '.raw' AS colname, CASE n_regionkey % 2 WHEN 0 THEN 'PG' END AS scope, 'intensity' AS measure, CAST(n_nationkey AS INTEGER) AS rawfile_ix, n_name || '.raw' AS rawfile FROM nation""")
+@query("metrics_columns", """SELECT c_custkey, (CASE c_nationkey % 2 WHEN 0 THEN 'PG_' ELSE '' END) || 'intensity.[' || c_custkey || '] ' || c_name || '.raw' AS colname, CASE c_nationkey % 2 WHEN 0 THEN 'PG' END AS scope, 'intensity' AS measure,
+  CAST(c_custkey AS INTEGER) AS rawfile_ix, c_name || '.raw' AS rawfile FROM customer""")
 def metrics_columns(s: SparkSession, d: str) -> DataFrame:
-    return columns.column_frame(s, columns.parse_metrics_columns(_names(s, d, F.concat(F.when(F.col("n_regionkey") % 2 == 0, "PG_").otherwise(""), F.lit("intensity.["), "n_nationkey", F.lit("] "), "n_name", F.lit(".raw")))))
+    name = F.concat(F.when(F.col("c_nationkey") % 2 == 0, "PG_").otherwise(""), F.lit("intensity.["), "c_custkey", F.lit("] "), "c_name", F.lit(".raw"))
+    return columns.parsed_names(table(s, d, "customer").select("c_custkey", name.alias("colname")), columns.METRICS)
 
 
 @query("ratio_and_type_columns", """SELECT p_partkey, CASE WHEN p_size - 20 > 0 THEN CAST(p_size - 20 AS DOUBLE) END AS ratio, p_brand AS ratio_type, CASE WHEN p_size % 2 = 0 THEN p_type END AS ident FROM part""")
@@ -585,10 +587,21 @@ def flow_paths(s: SparkSession, d: str) -> DataFrame:
 # --- noise model and calibration
 
 
-@query("model_text", """SELECT printf('Z=(Log₂(signal)%+.3f)*%.3f', -5.0, 0.7) || chr(10) || printf('P(detect|Z)=%.4f Logit⁻¹(%.4f Z%+.4f)', 0.99, 1.2, 2.0) || chr(10)
-  || printf('std(signal)=2^(½(%.4f%+.4f)(Z%+.4f)+½(%.4f%+.4f)√((Z%+.4f)²%+.4f)%+.4f) P(outlier)=0.0001', 1.1, 0.4, -0.2, 1.1, -0.4, -0.2, 0.5, -0.3) || chr(10) AS shown FROM region LIMIT 1""")
+# a model for each part
+_MODELS = {"zScale": "0.5 + p_size / 100.0", "zShift": "5.0 + p_size / 8.0", "zDetectionFactor": "1.25", "zDetectionIntercept": "2.0 - p_size / 4.0", "detectionMax": "0.75", "sigmaScaleHi": "1.0 + p_size / 16.0", "sigmaScaleLo": "0.5", "sigmaOffset": "-0.25", "sigmaBend": "p_size / 16.0 - 1", "sigmaSmooth": "0.5", "outlierProb": "0.0625"}
+
+
+def _models(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", *[F.expr(x).cast("double").alias(c) for c, x in _MODELS.items()])
+
+
+_MODEL_SQL = f"SELECT p_partkey, {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for c, x in _MODELS.items())} FROM part"
+
+
+@query("model_text", f"""SELECT p_partkey, printf('Z=(Log₂(signal)%+.3f)*%.3f', -"zShift", "zScale") || chr(10) || printf('P(detect|Z)=%.4f Logit⁻¹(%.4f Z%+.4f)', "detectionMax", "zDetectionFactor", "zDetectionIntercept") || chr(10)
+  || printf('std(signal)=2^(½(%.4f%+.4f)(Z%+.4f)+½(%.4f%+.4f)√((Z%+.4f)²%+.4f)%+.4f) P(outlier)=0.0625', "sigmaScaleHi", "sigmaScaleLo", -"sigmaBend", "sigmaScaleHi", -"sigmaScaleLo", -"sigmaBend", "sigmaSmooth", "sigmaOffset") || chr(10) AS shown FROM ({_MODEL_SQL})""")
 def model_text(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(str(MODEL),)], "shown string")
+    return _models(s, d).select("p_partkey", noise.model_texts(2.0).alias("shown"))
 
 
 _D = "((log2(value) - 5.0) * 0.7 - 0.2)"
@@ -621,20 +634,18 @@ def likelihood_terms(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").where("value > 0 and value <> 100").select("event_id", F.round(llh, 5).alias("llh"))
 
 
-@query("model_prior", f"""WITH g AS (SELECT pow(2.0, k) AS value FROM range(1, 11) t(k)), r AS (SELECT pow(2.0, {_LOGSTD}) / value AS r FROM g), s AS (SELECT sum(-0.5 * (r / 0.1) * (r / 0.1) - ln(0.1) - 0.5 * ln(2 * pi())) AS s FROM r)
-  SELECT round((-ln(pi()) - ln(1 + 2.0 * 2.0)) + (-ln(pi()) - ln(1 + 1.2 * 1.2)) + s * 3 + (9.0 * ln(0.99) + 0.1000000000000000888 * ln(1 - 0.99) - (lgamma(10.0) + lgamma(1.1) - lgamma(11.1))), 4) AS prior, CAST(round(2.0 * 7.5 + 1.25, 4) AS DOUBLE) AS score FROM s""")
+@query("model_prior", f"""WITH m AS ({_MODEL_SQL}), g AS (SELECT pow(2.0, k) AS x FROM range(1, 11) t(k)), d AS (SELECT *, (ln(x) / ln(2.0) - "zShift") * "zScale" - "sigmaBend" AS d FROM m, g),
+  r AS (SELECT *, pow(2.0, 0.5 * ("sigmaScaleHi" + "sigmaScaleLo") * d + 0.5 * ("sigmaScaleHi" - "sigmaScaleLo") * sqrt(d * d + "sigmaSmooth") + "sigmaOffset") / x AS r FROM d)
+  SELECT p_partkey, round(ln(abs(sum(-0.5 * (r / 0.1) * (r / 0.1) - ln(0.1) - 0.5 * ln(2 * pi())) * 3 - 2 * ln(pi()) - ln(1 + pow(any_value("zDetectionIntercept"), 2)) - ln(1 + pow(any_value("zDetectionFactor"), 2))
+  + 9.0 * ln(0.75) + 0.1 * ln(0.25) - (lgamma(10.0) + lgamma(1.1) - lgamma(11.1)))), 6) AS log_abs_prior FROM r GROUP BY p_partkey""")
 def model_prior(s: SparkSession, d: str) -> DataFrame:
-    """Q1 over a grid of ten powers of two, weighed as 30 rows; Q14's score."""
-    prior = calib.log_prior(MODEL, [2.0**k for k in range(1, 11)], n=30)
-    return s.createDataFrame([(round(float(prior), 4), round(calib.bayesian_score(7.5, 1.25, 2.0), 4))], "prior double, score double")
+    """Q1 of each model over a grid of ten powers of two, weighed as 30 rows; its size by logarithm, as it has up to twenty digits."""
+    return _models(s, d).select("p_partkey", F.round(F.ln(F.abs(calib.log_priors([2.0**k for k in range(1, 11)], 30, 2.0))), 6).alias("log_abs_prior"))
 
 
-@query("score_front", """WITH p AS (SELECT n_nationkey, CAST(length(n_name) AS DOUBLE) AS a, CAST(n_nationkey * 7 % 13 AS DOUBLE) AS b FROM nation)
-  SELECT n_nationkey, a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a >= p.a AND q.b >= p.b AND (q.a > p.a OR q.b > p.b))""")
+@query("score_front", "WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, CAST(p_retailprice AS DOUBLE) AS b FROM part) SELECT p_partkey, a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a >= p.a AND q.b >= p.b AND (q.a > p.a OR q.b > p.b))")
 def score_front(s: SparkSession, d: str) -> DataFrame:
-    points = table(s, d, "nation").select("n_nationkey", F.length("n_name").cast("double").alias("a"), (F.col("n_nationkey") * 7 % 13).cast("double").alias("b"))
-    rows = points.collect()  # 25 candidates
-    return s.createDataFrame([rows[k] for k in calib.pareto_front([(r["a"], r["b"]) for r in rows])], points.schema)
+    return stats.skyline(table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").cast("double").alias("b")), "a", "b")
 
 
 @query("factory_model", "SELECT event_id, round((log2(value) - 3.0) * 2.0, 6) AS z, round(pow(2.0, (0.5 * 3.0 * d + 0.5 * 1.0 * sqrt(d * d + 1.0) + 0.25)), 4) AS std FROM (SELECT event_id, value, (log2(value) - 3.0) * 2.0 - 0.5 AS d FROM events WHERE value BETWEEN 1 AND 50)")
@@ -805,7 +816,8 @@ def missed_quantiles(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("bin").agg(F.count("*").alias("n"), *[F.round(F.percentile("missed_log", F.lit(q)), 6).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
 
 
-@query("calibration_search", "SELECT true AS is_better, true AS is_in_box FROM region LIMIT 1")
+# SQL has no evolution: what is found is held against the same search over arrays in tests, the likelihoods below against SQL
+@query("calibration_search")
 def calibration_search(s: SparkSession, d: str) -> DataFrame:
     """The search ends no worse than it began, inside of the factory's box."""
     rows = table(s, d, "events").groupBy(F.col("user_id").alias("pepmodstate_id"), F.col("event_type").alias("msrun")).agg(F.max("value").alias("intensity")).withColumn("ident_type", F.lit("MSMS"))
@@ -821,6 +833,32 @@ def calibration_search(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(fitness >= best[0] and ends, inside)], "is_better boolean, is_in_box boolean")
 
 
+def _candidates() -> list[noise.NoiseModel]:
+    """The first generation of a search."""
+    factory = calib.ModelFactory(0.7, 5.0, 2.0)
+    return [factory.model([round(float(x), 3) for x in p]) for p in np.random.default_rng(5).uniform(*np.array([(0.1, 3), (-2, 2), (0.6, 0.99), (0.2, 2), (0.2, 2), (-1, 3), (-2, 2), (0.1, 2)]).T, (6, 8))]
+
+
+def _llh_sql(k: int, m: noise.NoiseModel) -> str:
+    """The sum of terms over all events, and how likely so many outliers are."""
+    d = f"((l - {m.zShift!r}) * {m.zScale!r} - {m.sigmaBend!r})"
+    logstd = f"({0.5 * (m.sigmaScaleHi + m.sigmaScaleLo)!r} * {d} + {0.5 * (m.sigmaScaleHi - m.sigmaScaleLo)!r} * sqrt({d} * {d} + {m.sigmaSmooth!r}) + {m.sigmaOffset!r})"
+    t, p = f"(l * {m.detection_factor!r} + {m.detection_intercept!r})", m.outlierProb
+    terms = f"SELECT err, greatest(ln(1e-3), -(greatest(s, 0) + ln(1 + exp(-abs(s))))) AS seen, err * pow(2.0, -{logstd}) AS dev, {logstd} AS ls FROM (SELECT l, err, CASE WHEN err IS NULL THEN {t} ELSE -{t} END AS s FROM e)"
+    pdf = f"ln({1 - p!r} * exp(-dev * dev / 2) / sqrt(2 * pi()) + {p!r} / (pi() * (1 + dev * dev))) - (ls - {m.zShift!r}) * ln(2.0)"
+    counts = f"SELECT sum(seen) + coalesce(sum({pdf}) FILTER (err <> 0), 0) AS total, count(*) FILTER (err <> 0) AS n, count(*) FILTER (err <> 0 AND abs(dev) <= {m.distr.threshold!r}) AS i FROM ({terms})"
+    return f"SELECT {k} AS candidate, round(total + (n - i) * ln({p!r}) + i * ln({1 - p!r}) - (lgamma(n - i + 1) + lgamma(i + 1) - lgamma(n + 2)), 3) AS llh FROM ({counts})"
+
+
+@query("population_likelihoods", "WITH e AS (SELECT ln(value) / ln(2.0) AS l, CASE WHEN event_type <> 'view' THEN value - 100 END AS err FROM events WHERE value > 0) " + " UNION ALL ".join(_llh_sql(k, m) for k, m in enumerate(_candidates())))
+def population_likelihoods(s: SparkSession, d: str) -> DataFrame:
+    """One pass for all candidates."""
+    v = F.col("value")
+    rows = table(s, d, "events").where("value > 0").select(F.when(F.col("event_type") != "view", v - 100.0).alias("error"), MODEL.zscore(v).alias("z"), MODEL.log(v).alias("log"))
+    found = calib.population_llh(rows, _candidates())
+    return s.createDataFrame([(k, round(x, 3)) for k, x in enumerate(found)], "candidate int, llh double")
+
+
 # noise of detected values by the model's deviation there, missing ones from the draws
 @query("simulated_intensity", f"""WITH {DRAWS} SELECT event_id, round(CASE WHEN event_type <> 'view' THEN value + sqrt(-2 * ln(1 - {_uniform(2)})) * cos(2 * pi() * {_uniform(3)}) * pow(2.0, {LOGSTD}) ELSE pow(2.0, missed) END, 4) AS simulated FROM d""")
 def simulated_intensity(s: SparkSession, d: str) -> DataFrame:

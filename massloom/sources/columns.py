@@ -102,19 +102,36 @@ def _parsed(names: Sequence[str], pattern: str, fields: Sequence[str], numbers:
     return rows
 
 
+# Patterns of report columns, with the fields that their groups are.
+MSRUN = (r"^([^.|]+)(?:\.([^|]*))?(?:\|(.+))?$", ("measure", "msrun", "mstag"))
+RATIO = (r"^Ratio\.([^ ]+)/([^ ]+)(?:\s([Nn]ormalized|[Vv]ariability \[%\]|[Cc]ount|iso-count|type))?(?:\s(.+))?$", ("nom", "denom", "measure", "sample"))
+METRICS = (r"^(?:(PG|PEP|EG|R)_)?([^.]+)\.\[(\d+)\]\s(.+)?$", ("scope", "measure", "rawfile_ix", "rawfile"))
+
+
 def parse_msrun_columns(names: Sequence[str]) -> list[dict]:
     """measure[.msrun][|mstag]; an empty run is none."""
-    return _parsed(names, r"^([^.|]+)(?:\.([^|]*))?(?:\|(.+))?$", ("measure", "msrun", "mstag"))
+    return _parsed(names, *MSRUN)
 
 
 def parse_ratio_columns(names: Sequence[str]) -> list[dict]:
     """B13."""
-    return _parsed(names, r"^Ratio\.([^ ]+)/([^ ]+)(?:\s([Nn]ormalized|[Vv]ariability \[%\]|[Cc]ount|iso-count|type))?(?:\s(.+))?$", ("nom", "denom", "measure", "sample"))
+    return _parsed(names, *RATIO)
 
 
 def parse_metrics_columns(names: Sequence[str]) -> list[dict]:
     """B14."""
-    return _parsed(names, r"^(?:(PG|PEP|EG|R)_)?([^.]+)\.\[(\d+)\]\s(.+)?$", ("scope", "measure", "rawfile_ix", "rawfile"), ("rawfile_ix",))
+    return _parsed(names, *METRICS, ("rawfile_ix",))
+
+
+def parsed_names(df: DataFrame, kind: tuple[str, tuple[str, ...]], col: str = "colname", numbers: Sequence[str] = ("rawfile_ix",)) -> DataFrame:
+    """B12-B14 for names that are rows, as of a melted report: ``df`` with the fields of ``kind`` (MSRUN, RATIO, METRICS).
+
+    Null names have null fields; a name that does not fit is an error when computed.
+    """
+    pattern, fields = kind
+    fits = F.when(F.col(col).isNull() | F.col(col).rlike(pattern), F.col(col)).otherwise(F.raise_error(F.concat(F.lit("column name cannot be parsed: "), F.col(col))).cast("string"))
+    own = {f: F.nullif(F.regexp_extract(fits, pattern, k), F.lit("")) for k, f in enumerate(fields, 1)}
+    return df.withColumns({f: c.cast("int") if f in numbers else c for f, c in own.items()})
 
 
 def column_frame(spark, rows: list[dict]) -> DataFrame:

@@ -144,3 +144,14 @@ def test_exact_quantiles(spark, parts):
     shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
     assert stats.exact_quantiles(df, "v", shares, parts) == pytest.approx(np.quantile(values, shares).tolist(), abs=1e-12)
     assert stats.exact_quantiles(df.limit(0), "v", shares, parts) == [] and stats.exact_quantiles(df.where("v = 1.5"), "v", [0.5], parts) == [1.5]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_skyline(spark, parts):
+    r = random.Random(2)
+    points = [(k, r.choice([None, float("nan"), *map(float, range(9))]), r.choice([None, *range(9)])) for k in range(200)]
+    df = spark.createDataFrame(points, "k int, a double, b int")
+    fine = [(k, a, b) for k, a, b in points if a is not None and a == a and b is not None]
+    want = {k for k, a, b in fine if not any(x >= a and y >= b and (x > a or y > b) for _, x, y in fine)}
+    got = [x["k"] for x in stats.skyline(df, "a", "b", parts).collect()]
+    assert set(got) == want and len(got) == len(want) and stats.skyline(df.limit(0), "a", "b", parts).collect() == []

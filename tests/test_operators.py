@@ -409,7 +409,17 @@ def test_calibration(spark, tmp_path):
     assert math.isfinite(fit) and fit > -1e200
     rows_ = cal.used.toPandas()
     arrays = {"error": rows_["intensity_prediction_error"].to_numpy(float), "z": rows_["intensity_zscore_predicted"].to_numpy(float), "log": rows_["logintensity_predicted"].to_numpy(float)}
-    assert calib.sampled_llh(model, arrays) == pytest.approx(calib.log_likelihood(model, cal), rel=1e-6)
+    whole = lambda m: calib.whole_llh(m, *calib.partial_llh(m, arrays))
+    assert whole(model) == pytest.approx(calib.log_likelihood(model, cal), rel=1e-6)
+    # the search over executors is the search over arrays
+    factory = calib.ModelFactory(cal.zScale, cal.zShift, cal.base)
+    pool = [factory.model(p) for p in np.random.default_rng(1).uniform(*np.array(list(factory.bounds.values())).T, (5, 8))]
+    spread = cal.used.select(F.col("intensity_prediction_error").alias("error"), F.col("intensity_zscore_predicted").alias("z"), F.col("logintensity_predicted").alias("log")).repartition(5)
+    assert calib.population_llh(spread, pool) == pytest.approx([whole(m) for m in pool], rel=1e-9)
+    fitness = lambda ps: np.array([calib.bayesian_score(calib.log_prior(m, cal.grid, n=len(rows_)), whole(m)) for m in map(factory.model, ps)])
+    best, score = calib.generations(list(factory.bounds.values()), lambda ps: np.where(np.isfinite(f := fitness(ps)), f, -1e300), 15, 12, 1)
+    assert fit == pytest.approx(score, rel=1e-9) and factory.model(best).sigmaBend == pytest.approx(model.sigmaBend)
+    assert calib.population_llh(spread.limit(0), pool[:1]) == [pytest.approx(calib.whole_llh(pool[0], 0.0, 0, 0))]
     path = f"{tmp_path}/{calib.calibration_file_prefix({'msinstrument': 'q', 'quanttype': 'l', 'quantobj': 'p', 'id': 1, 'calib_ver': 2})}.json"
     calib.save_result(path, model, fit, [1.0], {"id": 1})
     assert path.endswith("mscalib_q_l_p_1_2.json") and calib.load_model(path) == model

@@ -68,6 +68,7 @@ def test_entry_without_the_subpackage(tmp_path):
 def test_without_sql(spark, sf_dir):
     """Queries that SQL cannot express, by what must hold."""
     q = registry.queries()
-    assert set(q) - set(registry.oracle_sql()) == {"aligned_names"}
+    assert set(q) - set(registry.oracle_sql()) == {"aligned_names", "calibration_search"}
     got = q["aligned_names"](spark, sf_dir).collect()
     assert len(got) == 100 and all(r["agn_pos"] is None or 1 <= r["agn_pos"] <= len(r["agn_seqid"]) for r in got)
+    assert [tuple(r) for r in q["calibration_search"](spark, sf_dir).collect()] == [(True, True)]

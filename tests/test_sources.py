@@ -168,3 +168,14 @@ def test_saved_r_lists(spark, tmp_path):
     with pytest.warns(UserWarning):
         got = texts.read_set_workspaces(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [("Hs_SigDB_C2", "SET_A", 1), ("Hs_SigDB_C2", "SET_A", 2), ("Hs_SigDB_C2", "SET_B", 3)]
+
+
+def test_names_as_rows(spark):
+    """Names of columns that are rows have the fields that a list of names has."""
+    names = ["Intensity.r1|H", "Intensity.", "iBAQ"]
+    got = columns.parsed_names(spark.createDataFrame([(n,) for n in [*names, None]], "colname string"), columns.MSRUN).collect()
+    assert [r.asDict() for r in got if r["colname"]] == columns.parse_msrun_columns(names) and got[-1]["measure"] is None
+    got = columns.parsed_names(spark.createDataFrame([("PG_intensity.[2] a.raw",), ("x.[10] ",)], "colname string"), columns.METRICS).collect()
+    assert [r.asDict() for r in got] == columns.parse_metrics_columns(["PG_intensity.[2] a.raw", "x.[10] "])
+    with pytest.raises(Exception, match="cannot be parsed"):
+        columns.parsed_names(spark.createDataFrame([("zzz",)], "colname string"), columns.METRICS).collect()

@@ -248,33 +248,18 @@ def protgroup_refs(df: DataFrame, penalties: DataFrame | None = None, row_col: s
     return refs.groupBy("ac", "pg_rank").agg(F.min(F.struct("ac_rank", F.col(row_col).alias("row_ix"))).alias("b")).select("ac", "pg_rank", "b.row_ix", "b.ac_rank")
 
 
-def match_protgroups(datasets: Mapping[str, DataFrame], penalties: DataFrame | None = None) -> DataFrame:
-    """N-way matching of protein groups; each dataset has a unique ``row_ix`` and its accession lists.
-
-    References that share (ac, pg_rank, ac_rank) meet in one row; in the order of these three (the reference order
-    is that of a hash) a row is absorbed by every row before it that is compatible, and betters its ranks where both are
-    no worse.  Rows are folded within connected components of datasets' groups, which compatibility cannot leave; a row is held
-    against those alone that name one of its groups.  Lists are intersected over the references of a list's own rank: majority
-    lists over those of rank 0, others over the best rank.
-    """
-    names = list(datasets)
-    refs = reduce(DataFrame.unionByName, [protgroup_refs(df, penalties).withColumn("ds", F.lit(n)) for n, df in datasets.items()])
-    met = materialize(refs.groupBy("ac", "pg_rank", "ac_rank").agg(*[F.max(F.when(F.col("ds") == n, F.col("row_ix"))).alias(f"rowix_{n}") for n in names]), "crossrefs")
-    keyed = met.withColumn("key", F.xxhash64("ac", "pg_rank", "ac_rank"))
-    # rows are tied to the groups that they name; nodes are hashed names
-    ends = [keyed.where(F.col(f"rowix_{n}").isNotNull()).select(F.col("key").alias("src"), F.xxhash64(F.lit(n), f"rowix_{n}").alias("dst")) for n in names]
-    comp = connected_components(reduce(DataFrame.unionByName, ends))
-    columns = [f"rowix_{n}" for n in names]
-    ranks = [f"{k}_{n}" for n in names for k in ("pgrank", "acrank")]
+def _absorbed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows (component, id, kept, rowix_*, pgrank_*, acrank_*) folded within components in order of ``id``; kept rows stand before all others."""
+    columns = ["id", *[f"{k}_{n}" for n in names for k in ("rowix", "pgrank", "acrank")]]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        held: list[tuple[int, dict]] = []
         naming: dict[tuple[str, int], list[int]] = {}  # rows that name a group
-        for r in rows.sort_values(["ac", "pg_rank", "ac_rank"], kind="stable").to_dict("records"):
-            new = {n: (int(r[f"rowix_{n}"]), int(r["pg_rank"]), int(r["ac_rank"])) for n in names if r[f"rowix_{n}"] == r[f"rowix_{n}"] and r[f"rowix_{n}"] is not None}
+        for r in part.sort_values("id", kind="stable").to_dict("records"):
+            new = {n: (int(r[f"rowix_{n}"]), int(r[f"pgrank_{n}"]), int(r[f"acrank_{n}"])) for n in names if r[f"rowix_{n}"] == r[f"rowix_{n}"] and r[f"rowix_{n}"] is not None}
             absorbed = False
-            for at in sorted({k for n, ref in new.items() for k in naming.get((n, ref[0]), ())}):
-                old = kept[at]
+            for at in [] if r["kept"] else sorted({k for n, ref in new.items() for k in naming.get((n, ref[0]), ())}):
+                old = held[at][1]
                 if any(n in old and new[n][0] != old[n][0] for n in new):
                     continue
                 absorbed = True
@@ -286,13 +271,73 @@ def match_protgroups(datasets: Mapping[str, DataFrame], penalties: DataFrame | N
                         old[n] = ref
             if not absorbed:
                 for n, ref in new.items():
-                    naming.setdefault((n, ref[0]), []).append(len(kept))
-                kept.append(new)
-        out = [{c: None for c in columns + ranks} | {f"rowix_{n}": v[0] for n, v in k.items()} | {f"pgrank_{n}": v[1] for n, v in k.items()} | {f"acrank_{n}": v[2] for n, v in k.items()} for k in kept]
-        return pd.DataFrame(out, columns=columns + ranks).astype("Int64")
+                    naming.setdefault((n, ref[0]), []).append(len(held))
+                held.append((r["id"], new))
+        out = [{c: None for c in columns} | {"id": i} | {f"{k}_{n}": v[at] for n, v in x.items() for at, k in enumerate(("rowix", "pgrank", "acrank"))} for i, x in held]
+        return pd.DataFrame(out, columns=columns).astype("Int64")
+
+    return rows.groupBy("component").applyInPandas(fold, ", ".join(f"{c} long" for c in columns))
+
+
+def _tied(rows: DataFrame, names: Sequence[str], groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with the component of rows that name common groups, (component, n)); with ``groups`` (dst) those alone tie."""
+    ends = reduce(DataFrame.unionByName, [rows.where(F.col(f"rowix_{n}").isNotNull()).select(F.col("id").alias("src"), F.xxhash64(F.lit(n), f"rowix_{n}").alias("dst")) for n in names])
+    if groups is not None:
+        ends = ends.join(groups, "dst", "left_semi")
+    # rows are even numbers, groups odd ones
+    comp = connected_components(ends.select((F.col("src") * 2).alias("src"), F.col("dst").bitwiseOR(1).alias("dst")))
+    tied = materialize(rows.join(comp.where("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("id"), "component"), "id"), "tied")
+    return tied, materialize(tied.groupBy("component").agg(F.count("*").alias("n")), "sizes")
 
-    schema = ", ".join(f"{c} long" for c in columns + ranks)
-    folded = keyed.join(comp.select(F.col("id").alias("key"), "component"), "key").groupBy("component").applyInPandas(fold, schema).dropDuplicates()
+
+def absorb(rows: DataFrame, names: Sequence[str], most: int = 100_000) -> DataFrame:
+    """Rows (id, rowix_*, pgrank_*, acrank_*) folded in order of ``id`` without a task that holds over about ``most`` rows.
+
+    A row can meet those rows alone with which it is in one component of rows that name common groups, so small components are folded each by
+    one task.  Rows of larger ones come in batches of their order.  Within a batch only groups that its rows name tie rows, and of the
+    rows kept before only those that name one of these can change: with these the batch falls into components of its own, and
+    if one is too large the batch is halved.  What a batch keeps stands before the next.
+    """
+    rows = rows.withColumn("kept", F.lit(False))
+    tied, sizes = _tied(rows, names)
+    large = sizes.where(F.col("n") > most).select("component")
+    done = _absorbed(tied.join(large, "component", "left_anti"), names)
+    if large.isEmpty():
+        return done
+    waiting = materialize(dense_rank_table(tied.join(large, "component", "left_semi").drop("component"), ["id"], "at", 0), "waiting")
+    total, at, batch = waiting.count(), 0, most
+    held = materialize(waiting.limit(0).drop("at", "kept"), "held")
+    named = lambda df: reduce(DataFrame.unionByName, [df.where(F.col(f"rowix_{n}").isNotNull()).select("id", F.xxhash64(F.lit(n), f"rowix_{n}").alias("dst")) for n in names])
+    while at < total:
+        own = waiting.where(F.col("at").between(at, at + batch - 1)).drop("at")
+        groups = materialize(named(own).select("dst").distinct(), "groups")
+        touched = materialize(named(held).join(groups, "dst", "left_semi").select("id").distinct(), "touched")
+        before = held.join(touched, "id", "left_semi").withColumn("kept", F.lit(True))
+        tied, sizes = _tied(own.unionByName(before), names, groups)
+        if batch > 1 and not sizes.where(F.col("n") > most).isEmpty() and tied.where("not kept").count() > 1:
+            batch = max(1, batch // 2)
+            continue
+        held = materialize(held.join(touched, "id", "left_anti").unionByName(_absorbed(tied, names)), "held")
+        at += batch
+    return done.unionByName(held)
+
+
+def match_protgroups(datasets: Mapping[str, DataFrame], penalties: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+    """N-way matching of protein groups; each dataset has a unique ``row_ix`` and its accession lists.
+
+    References that share (ac, pg_rank, ac_rank) meet in one row; in the order of these three (the reference order
+    is that of a hash) a row is absorbed by every row before it that is compatible, and betters its ranks where both are
+    no worse; a row is held against those alone that name one of its groups (``absorb``, whose tasks hold about ``most`` rows).  Lists are intersected over
+    the references of a list's own rank: majority lists over those of rank 0, others over the best rank.
+    """
+    names = list(datasets)
+    refs = reduce(DataFrame.unionByName, [protgroup_refs(df, penalties).withColumn("ds", F.lit(n)) for n, df in datasets.items()])
+    met = refs.groupBy("ac", "pg_rank", "ac_rank").agg(*[F.max(F.when(F.col("ds") == n, F.col("row_ix"))).cast("long").alias(f"rowix_{n}") for n in names])
+    ordered = materialize(dense_rank_table(met, ["ac", "pg_rank", "ac_rank"], "id", 0), "crossrefs")
+    columns = [f"rowix_{n}" for n in names]
+    ranks = [f"{k}_{n}" for n in names for k in ("pgrank", "acrank")]
+    ranked = [F.when(F.col(f"rowix_{n}").isNotNull(), F.col(c).cast("long")).alias(f"{k}_{n}") for n in names for k, c in (("pgrank", "pg_rank"), ("acrank", "ac_rank"))]
+    folded = absorb(materialize(ordered.select("id", *columns, *ranked), "rows"), names, most).select(*columns, *ranks).dropDuplicates()
     pg, ac = [F.col(f"pgrank_{n}") for n in names], [F.col(f"acrank_{n}") for n in names]
     out = folded.select(best_rank(*pg).alias("best_pg_rank"), worst_rank(*pg).alias("worst_pg_rank"), best_rank(*ac).alias("best_ac_rank"), worst_rank(*ac).alias("worst_ac_rank"), *columns, *ranks)
     # roll up what the datasets say

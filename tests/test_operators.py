@@ -462,6 +462,36 @@ def test_ranks_are_bettered_only_together(spark):
     assert [(x["pgrank_a"], x["acrank_a"], x["pgrank_b"], x["acrank_b"]) for x in r] == [(1, 2, 0, 2)]
 
 
+def plain_fold(rows, names):
+    """All rows in order, each against all that are kept."""
+    kept = []
+    for r in sorted(rows):
+        new = {n: ref for n, ref in zip(names, r[1:], strict=True) if ref}
+        absorbed = False
+        for old in kept:
+            if any(n in old for n in new) and all(old[n][0] == new[n][0] for n in new if n in old):
+                absorbed = True
+                for n, ref in new.items():
+                    if n not in old or (old[n][1] >= ref[1] and old[n][2] >= ref[2]):
+                        old[n] = ref
+        if not absorbed:
+            kept.append(new)
+    return [tuple(x.get(n, (None,) * 3) for n in names) for x in kept]
+
+
+@pytest.mark.parametrize("most", [100_000, 9])
+def test_absorption_in_batches(spark, most):
+    """Small components in one go, a large one in batches of its order: the same rows as one after the other, a shared group or not."""
+    rng = np.random.default_rng(11)
+    names = ["a", "b", "c"]
+    refs = lambda k: [(int(rng.integers(0, 9)) if rng.random() < 0.7 else 0, k % 2, int(rng.integers(0, 4))) if rng.random() < 0.6 else None for _ in names]
+    rows = [(k, *r) for k in range(32) if any(r := refs(k))] + [(100 + k, (100 + k, 0, 1), (100 + k, 1, 1), None) for k in range(5)]
+    flat = [(r[0], *[x for ref in r[1:] for x in (ref or (None,) * 3)]) for r in rows]
+    df = spark.createDataFrame(flat, ", ".join(["id long", *[f"{k}_{n} long" for n in names for k in ("rowix", "pgrank", "acrank")]])).repartition(3)
+    got = sorted((tuple(tuple(r[f"{k}_{n}"] for k in ("rowix", "pgrank", "acrank")) for n in names) for r in proteins.absorb(df, names, most).collect()), key=str)
+    assert got == sorted(plain_fold(rows, names), key=str)
+
+
 def test_axis_of_many_members(spark):
     """Only clustering has a limit."""
     df = spark.range(6000).select(F.col("id").alias("m"), F.lit(1).alias("o"), F.lit(1.0).alias("score"))

@@ -59,25 +59,26 @@ def restart_walk(edges: DataFrame, starts: DataFrame, restart: float, tolerance:
     return total
 
 
-def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[float] = tuple(k / 20 for k in range(1, 20)), src: str = "source", dst: str = "target", tolerance: float = 1e-3) -> DataFrame:
+def walk_weight_stats(edges: DataFrame, starts: DataFrame, restarts: Sequence[float] = tuple(k / 20 for k in range(1, 20)), src: str = "source", dst: str = "target", tolerance: float = 1e-3, weight: str | None = None) -> DataFrame:
     """(restart_prob, vertices, trans_probs): mean mass that walks from ``starts`` put on neighbours and beyond.
 
     All restart probabilities weigh the same steps, so the walk is made once; each step leaves two means on the driver.
     It ends when the least restart probability gives the rest at most ``tolerance``; no mass is let go before.
     """
-    steps = materialize(transition(edges, src, dst), "steps")
+    steps = materialize(transition(edges, src, dst, weight), "steps")
     near = materialize(edges.select(F.col(src).alias("start"), F.col(dst).alias("vertex"), F.lit(True).alias("near")).distinct(), "near")
     mass = starts.select("start", F.col("start").alias("vertex"), F.lit(1.0).alias("p")).distinct()
     n = max(1, mass.count())
     sums: list[tuple[float, float]] = []
     left = 1.0 - min(restarts)
-    weight = left
-    while weight > tolerance:
+    rest = left
+    while rest > tolerance:
         mass = materialize(walk_step(mass, steps, ["start"]), "walk")
-        got = mass.where("vertex <> start").join(near, ["start", "vertex"], "left").agg(F.sum(F.when(F.col("near"), F.col("p"))).alias("n"), F.sum(F.when(F.col("near").isNull(), F.col("p"))).alias("x")).first()
+        away = F.col("vertex") != F.col("start")
+        got = mass.join(near, ["start", "vertex"], "left").agg(F.sum(F.when(away & F.col("near"), F.col("p"))).alias("n"), F.sum(F.when(away & F.col("near").isNull(), F.col("p"))).alias("x"), F.count("*").alias("left")).first()
         sums.append(((got["n"] or 0.0) / n, (got["x"] or 0.0) / n))
-        weight *= left
-        if mass.isEmpty():  # every walk has ended
+        rest *= left
+        if not got["left"]:  # every walk has ended
             break
     rows = [(float(r), part, sum(r * (1 - r) ** k * m[at] for k, m in enumerate(sums, 1))) for r in restarts for at, part in enumerate(("neighbors", "exterior"))]
     return edges.sparkSession.createDataFrame(rows, "restart_prob double, vertices string, trans_probs double")

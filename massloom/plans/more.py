@@ -19,11 +19,10 @@ from .registry import query, table
 # --- reports written and read back
 
 
-def _report(rows: DataFrame, head: list[str], cells: list[Column], key: str, folder: str, name: str) -> None:
-    """One file of tab-separated lines under its header."""
-    line = F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells])
-    top = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("\t".join(head)).alias("value"))
-    top.union(rows.select(F.col(key).cast("long"), line)).repartition(1).sortWithinPartitions("k").select("value").write.text(f"{folder}/{name}")
+def _report(rows: DataFrame, head: list[str], cells: list[Column], folder: str, name: str) -> None:
+    """Files of tab-separated lines, each under the header."""
+    lines = rows.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(h) for h, c in zip(head, cells, strict=True)])
+    lines.write.options(header=True, sep="\t", emptyValue="").csv(f"{folder}/{name}")
 
 
 def _plus(c: Column) -> Column:
@@ -39,7 +38,7 @@ def protgroups_preset(s: SparkSession, d: str) -> DataFrame:
     weight = F.when(size % 5 > 0, F.format_string("%.2f", "p_retailprice")).otherwise("NaN")
     cells = [F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), _plus(size % 4 == 0), _plus(size % 3 == 0), _plus(size % 5 == 0), weight, size, size - 20, size - 10, F.when(size > 30, size / 10), F.when(size % 2 == 0, "By MS/MS"), F.lit("x")]
     folder = fresh_path(s, "protgroups")
-    _report(table(s, d, "part"), head, cells, "p_partkey", folder, "proteinGroups.txt")
+    _report(table(s, d, "part"), head, cells, folder, "proteinGroups.txt")
     df, _ = wide.read_protgroups(s, folder, ["intensity", "iBAQ", "ratio", "ident_type"])
     return df.select(
         "protgroup_id", "protein_acs", "gene_names", "is_reverse", "is_contaminant", "is_site_only_ident", F.col("mol_weight_kDa").alias("mol_weight_kda"), "n_peptides", F.col("`Intensity.r1|H`").alias("intensity_h"), F.col("`iBAQ.r1`").alias("ibaq"),
@@ -57,7 +56,7 @@ def evidence_preset(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     cells = [F.col("l_linestatus"), F.lit("x"), F.lit("1"), F.col("k"), seen, kind, F.col("l_partkey"), F.concat(F.lit("K"), "l_partkey"), F.concat(F.lit("_"), "l_returnflag", F.lit("_")), F.col("l_linenumber")]
     folder = fresh_path(s, "evidence")
-    _report(rows, head, cells, "k", folder, "evidence.txt")
+    _report(rows, head, cells, folder, "evidence.txt")
     runs = s.createDataFrame([("F", "E_F", False), ("O", "E_O", True)], "rawfile string, msexperiment string, is_skipped boolean")
     df, _ = wide.read_evidence(s, folder, runs)
     return df.select("evidence_id", "peptide_seq", "msrun", "msexperiment_orig", "intensity", "ident_type_code", "pepmod_id", "pepmodstate_id")
@@ -71,7 +70,7 @@ def dia_preset(s: SparkSession, d: str) -> DataFrame:
     head = ["PG.ProteinGroups", "PG.Genes", "EG.PrecursorId", "EG.IsDecoy", "R.FileName", "[1] a.raw.PG.Quantity", "[2] b.raw.PG.Quantity", "[1] a.raw.PG.RunEvidenceCount", "[2] b.raw.PG.RunEvidenceCount", "Other"]
     cells = [F.concat(F.lit("P"), "p_partkey"), F.col("p_brand"), F.concat(F.lit("_A"), size, F.lit("_.2")), F.when(size % 2 == 0, "True").otherwise("False"), F.lit("f"), F.concat(size, F.lit(".5")), F.when(size % 3 > 0, F.floor("p_retailprice").cast("int").cast("string")).otherwise("Filtered"), size + 1, size + 2, F.lit("")]
     folder = fresh_path(s, "dia")
-    _report(table(s, d, "part"), head, cells, "p_partkey", folder, "report.tsv")
+    _report(table(s, d, "part"), head, cells, folder, "report.tsv")
     df, _ = wide.read_dia_report(s, f"{folder}/report.tsv", ["quantity", "pepmodstate", "ident_stats"])
     keys = ["protgroup_sn_id", "gene_names", "pepmodstate_seq", "is_decoy"]
     long = reshape.pivot_runs_longer(df.select(*keys, *[F.col(f"`{c}`") for c in df.columns if c.startswith("PG_")]), keys)
@@ -147,9 +146,9 @@ def set_collections(s: SparkSession, d: str) -> DataFrame:
 def network_reader(s: SparkSession, d: str) -> DataFrame:
     folder = fresh_path(s, "network")
     rows = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    _report(rows, ["Gene1", "Gene2", "Direction", "Score"], [F.col("s_name"), F.col("n_name"), F.when(F.col("s_suppkey") % 2 == 0, "->").otherwise("<->"), F.format_string("%.2f", "s_acctbal")], "s_suppkey", folder, "fi")
+    _report(rows, ["Gene1", "Gene2", "Direction", "Score"], [F.col("s_name"), F.col("n_name"), F.when(F.col("s_suppkey") % 2 == 0, "->").otherwise("<->"), F.format_string("%.2f", "s_acctbal")], folder, "fi")
     ways = s.createDataFrame([(0, "->", "s", "t", 1, 0), (1, "<->", "u", "v", 1, 1)], "k long, d string, s string, t string, f int, r int")
-    _report(ways, ["direction", "source", "target", "src_to_dest", "dest_to_src"], [F.col(c) for c in ("d", "s", "t", "f", "r")], "k", folder, "ways")
+    _report(ways, ["direction", "source", "target", "src_to_dest", "dest_to_src"], [F.col(c) for c in ("d", "s", "t", "f", "r")], folder, "ways")
     return texts.read_network(s, f"{folder}/fi", f"{folder}/ways")
 
 

@@ -2,8 +2,8 @@
 
 Documents are aggregated by membership pattern (the sorted set of sources that a document belongs to),
 which leaves a table as small as the number of patterns.  Pattern to source arcs carry words; a pattern's
-supply arcs are convex: the first pass over its documents is cheap, each repetition dearer.  Successive
-shortest paths route each pattern's words to the sources' quotas; then every pattern's documents are
+supply arcs are convex: the first pass over its documents is cheap, each repetition dearer.  Shortest augmenting
+paths route each pattern's words to the sources' quotas (``mix_flow``); then every pattern's documents are
 taken in an order that a seeded hash of the id gives.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; documents of
@@ -13,7 +13,6 @@ are all taken or all left, except at the last document taken, where rows follow
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ..operators.ids import dense_rank_table
 from ..session import materialize
+from .mix_flow import flow_on_executors, min_cost_flow
 from .rows import few, unboxed, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns that the driver routes.  More sources than these are planned on the executors; more patterns of overlapping sources are
-#: an error, never a cut.
+#: Patterns that the driver routes.  More patterns than these are planned on the executors.  Sources that overlap are at most so many: the
+#: driver holds some numbers for each.
 MAX_PATTERNS = 200_000
 BINS = 4096
 
@@ -60,63 +60,6 @@ def capped_targets(sizes: Sequence[float], weights: Sequence[float], total: floa
     return target
 
 
-def min_cost_flow(supply: dict, quota: dict, member: dict, passes: int = 2) -> dict:
-    """{(pattern, source): words}: routes as much of ``quota`` as can be, at the least cost of repetition.
-
-    ``supply``: words by pattern; ``member``: sources by pattern; a pattern gives its words at most ``passes``
-    times, its k-th pass at cost k.  Costs depend on the pass alone, so shortest augmenting paths are found
-    pass by pass: an arc of pass k is opened only when no path of lower cost is left.
-    """
-    flow: dict = {}
-    given = dict.fromkeys(supply, 0.0)
-    left = dict(quota)
-    by_source: dict = {}
-    for p, sources in member.items():
-        for s in sources:
-            by_source.setdefault(s, []).append(p)
-    eps = 1e-6
-    for k in range(1, passes + 1):
-        # path search from a pattern with room in this pass: to a source with quota, or through a source
-        # that takes from another pattern which can be sent elsewhere
-        for start in sorted(supply, key=lambda p: (len(member[p]), str(p))):
-            while (room := k * supply[start] - given[start]) > eps:
-                before = {("p", start): None}
-                heap, end, tick = [(0, 0, "p", start)], None, 0
-                while heap and end is None:
-                    _, _, kind, x = heapq.heappop(heap)
-                    if kind == "p":
-                        for s in member[x]:
-                            if ("s", s) not in before:
-                                before["s", s] = ("p", x)
-                                tick += 1
-                                heapq.heappush(heap, (len(member[x]), tick, "s", s))
-                    elif left[x] > eps:
-                        end = ("s", x)  # a source may be called None
-                    else:
-                        for p in by_source[x]:
-                            if flow.get((p, x), 0) > eps and ("p", p) not in before:
-                                before["p", p] = ("s", x)
-                                tick += 1
-                                heapq.heappush(heap, (1 + len(member[p]), tick, "p", p))
-                if end is None:
-                    break
-                path, at = [], end
-                while at is not None:
-                    path.append(at)
-                    at = before[at]
-                path.reverse()
-                amount = min(room, left[end[1]])
-                for a, b in zip(path, path[1:], strict=False):
-                    if a[0] == "s":  # takes back what pattern b sends to source a
-                        amount = min(amount, flow[b[1], a[1]])
-                for a, b in zip(path, path[1:], strict=False):
-                    key, sign = ((a[1], b[1]), 1) if a[0] == "p" else ((b[1], a[1]), -1)
-                    flow[key] = flow.get(key, 0.0) + sign * amount
-                given[start] += amount
-                left[end[1]] -= amount
-    return {k: v for k, v in flow.items() if v > eps}
-
-
 def plan_of_sources(words: DataFrame, weights: Sequence[float], total_share: float, most: float) -> DataFrame:
     """(pattern, whole, part, source_size, target) of sources that do not overlap, however many: (pattern, words), a pattern being
     one source.
@@ -141,6 +84,29 @@ def plan_of_sources(words: DataFrame, weights: Sequence[float], total_share: flo
     return rows.withColumn("whole", whole).select("pattern", "whole", (F.col("target") - F.col("whole") * F.col("size")).alias("part"), F.col("size").alias("source_size"), "target")
 
 
+def plan_of_patterns(words: DataFrame, weights: Sequence[float], total_share: float, most: float, max_sources: int = MAX_PATTERNS) -> DataFrame:
+    """(pattern, whole, part, source_size, target) of patterns of overlapping sources, however many: (pattern, words).
+
+    The driver holds sources, executors patterns.
+    """
+    sizes = words.select(F.explode("pattern").alias("s"), "words").groupBy("s").agg(F.sum("words").alias("words")).limit(max_sources + 1).collect()
+    if len(sizes) > max_sources:
+        raise ValueError(f"more than {max_sources} sources that overlap")
+    size_of = {r["s"]: float(r["words"]) for r in sizes}
+    names = sorted(size_of, key=lambda s: (s is None, (s or "").encode()))
+    total = float(words.agg(F.sum("words")).first()[0])
+    target = capped_targets([size_of[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], total_share * total, most)
+    spark = words.sparkSession
+    at = F.broadcast(spark.createDataFrame([(s, i, size_of[s], target[i]) for i, s in enumerate(names)], "s string, i long, size double, target double"))
+    arcs = words.select("pattern", "words", F.explode("pattern").alias("_s")).join(at, F.col("_s").eqNullSafe(F.col("s")))
+    named = arcs.groupBy("pattern").agg(F.first("words").cast("double").alias("words"), F.sort_array(F.collect_list("i")).alias("members"), F.sum("size").alias("source_size"), F.sum("target").alias("target"))
+    named = materialize(named, "patterns")
+    routed = flow_on_executors(named, target, passes=int(most)).select(F.to_json(F.struct("pattern")).alias("tag"), F.aggregate("flow", F.lit(0.0), lambda a, x: a + x).alias("amount"))
+    rows = named.withColumn("tag", F.to_json(F.struct("pattern"))).join(routed, "tag").drop("tag")
+    whole = F.when(F.col("words") > 0, F.least(F.floor((F.col("amount") + 1e-6) / F.col("words")), F.lit(int(most)))).otherwise(0).cast("int")
+    return rows.withColumn("whole", whole).select("pattern", "whole", (F.col("amount") - F.col("whole") * F.col("words")).alias("part"), "source_size", "target")
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source: str = "source", max_patterns: int = MAX_PATTERNS,
@@ -157,7 +123,7 @@ def mix(
     found = words.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         if dict(docs.dtypes)[source].startswith("array"):
-            raise ValueError(f"more than {max_patterns} membership patterns")
+            return _taken(sized, bins, plan_of_patterns(words, weights, total_share, most), most)
         return _taken(sized, bins, plan_of_sources(words, weights, total_share, most), most)
     supply = {tuple(r["pattern"]): float(r["words"]) for r in found}
     member = {p: sorted(p, key=lambda s: (s is None, (s or "").encode())) for p in supply}

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -331,8 +332,69 @@ def test_more_sources_than_the_driver_plans(spark, sf_dir):
         none = [r for r in one.values() if r["pattern"] == [None]]  # the null source has its share like others
         assert none and abs(sum(r["taken"] for r in none) - none[0]["target"]) <= max(r["size"] for r in none)
         assert one.keys() == two.keys() and all(one[d]["taken"] == two[d]["taken"] and one[d]["source_size"] == two[d]["source_size"] and abs(one[d]["target"] - two[d]["target"]) < 1e-6 for d in one)
-    with pytest.raises(ValueError, match="membership patterns"):
-        mixing.mix(df.withColumn("source", F.array("source")), max_patterns=3)
+
+
+def overlapping(rng, n_patterns, n_sources):
+    member = {}
+    while len(member) < n_patterns:
+        p = tuple(sorted({f"s{int(n_sources * rng.random() ** 2):03}" for _ in range(rng.integers(1, 7))}))
+        member[p] = list(p)
+    supply = {p: float(rng.integers(0, 50)) for p in member}
+    names = sorted({s for p in member for s in p})
+    total = sum(supply.values())
+    share = rng.dirichlet(np.full(len(names), 0.4)) * total * rng.choice([0.7, 1.5, 2.5])
+    return supply, {s: float(round(q)) for s, q in zip(names, share, strict=True)}, member
+
+
+def words_and_repeats(supply, quota, member, flow):
+    """(words, words given again) of a flow, after its bounds are checked."""
+    given, into = Counter(), Counter()
+    for (p, s), x in flow.items():
+        assert s in member[p] and x > 0
+        given[p] += x
+        into[s] += x
+    assert all(given[p] <= 2 * supply[p] + 1e-4 for p in member) and all(into[s] <= quota[s] + 1e-4 for s in quota)
+    return sum(given.values()), sum(max(0.0, given[p] - supply[p]) for p in member)
+
+
+def most_words(supply, quota, member, times):
+    """The maximum flow by its least cut: over all sets of sources."""
+    names = list(quota)
+    return min(sum(quota[s] for i, s in enumerate(names) if cut >> i & 1) + sum(times * x for p, x in supply.items() if any(not cut >> names.index(s) & 1 for s in member[p])) for cut in range(1 << len(names)))
+
+
+def test_flows_meet_their_least_cuts(spark):
+    """Driver's and executors' flow: the most words, and as few of them again as the cut of the first pass lets be."""
+    for seed in range(12):
+        supply, quota, member = overlapping(np.random.default_rng(seed), 14, 7)
+        once, twice = most_words(supply, quota, member, 1), most_words(supply, quota, member, 2)
+        flows = [mixing.min_cost_flow(supply, quota, member)]
+        if seed < 4:
+            names = list(quota)
+            df = spark.createDataFrame([(list(p), [names.index(s) for s in p], x) for p, x in supply.items()], "pattern array<string>, members array<long>, words double")
+            rows = mixing.flow_on_executors(df, [quota[s] for s in names]).collect()
+            flows.append({(tuple(r["pattern"]), names[s]): x for r in rows for s, x in zip(r["members"], r["flow"], strict=True) if x > 1e-6})
+        for flow in flows:
+            words, again = words_and_repeats(supply, quota, member, flow)
+            assert abs(words - twice) < 1e-3 and abs(words - again - once) < 1e-3
+
+
+def test_flow_of_many_patterns_is_quick():
+    supply, quota, member = overlapping(np.random.default_rng(1), 8000, 60)
+    start = time.perf_counter()
+    flow = mixing.min_cost_flow(supply, quota, member)
+    assert time.perf_counter() - start < 5
+    words_and_repeats(supply, quota, member, flow)
+
+
+def test_more_patterns_than_the_driver_plans(spark):
+    names = [["a"], ["b"], ["a", "b"], [], ["b", "c"], ["c", "d", None], ["a", "d"]]
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), names[i * i % 7]) for i in range(700)], "doc_id long, text string, source array<string>")
+    for share in (1.5, 0.3):
+        one, two = (mixing.mix(df, total_share=share, max_patterns=n).collect() for n in (100, 3))
+        assert {(r["doc_id"], r["source_size"], round(r["target"], 6)) for r in one} == {(r["doc_id"], r["source_size"], round(r["target"], 6)) for r in two}
+        for f in (lambda r: r["taken"], lambda r: max(0, r["taken"] - r["size"])):
+            assert abs(sum(map(f, one)) - sum(map(f, two))) <= 7 * 7  # the last document of a pattern may be taken or left
 
 
 def test_overlapping_sources(spark):

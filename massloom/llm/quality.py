@@ -1,11 +1,11 @@
 """Quality classifier by co-training of two views.
 
-One view sees what the text says: hashed word uni- and bigrams, and statistics of words and letters.  The other sees the page
-about it: source, language, both together, bands of the declared length, and the layout (lines, their lengths and repeats, marks
-and separators).  Each trains a logistic model on the labelled rows; over several rounds each model reads all unlabelled
-documents, on the executors, and gives the other view those of which it is most sure, as pseudo-labels.  Both are calibrated
-on labelled rows that their models did not see, where a last logistic model combines their log-odds; its probability scores
-all documents.
+One view sees what the text says: hashed word uni- and bigrams, and statistics of words, letters, lines, marks and separators.
+The other sees what is said about the page, and nothing of the text: source, language, both together, and bands of the declared
+length.  Each trains a logistic model on the labelled rows; over several rounds each model reads all unlabelled
+documents, on the executors, and gives the other view those of which it is most sure, as pseudo-labels.  How sure a view is, is
+calibrated and proven in each round on labelled rows that its models did not see: a view that knows nothing teaches nothing.  At last
+both are calibrated so, and a logistic model combines their log-odds; its probability scores all documents.
 
 Texts cross to Python once: features of every document are written, about 400 bytes each, and training, every round and
 scoring read that table.  Bounded, by documented parameters, is what fits a model: at most ``max_labelled`` labelled rows, those of
@@ -35,8 +35,8 @@ from .rows import few, least_by_hash, unboxed, whole
 
 MAX_LABELLED, PER_ROUND = 12_000, 500
 META_COLS = ("source", "lang", "n_chars")
-#: Statistics of either view, buckets of n-grams and of names.
-CONTENT, LAYOUT, GRAMS, NAMES = 7, 7, 64, 64
+#: Statistics of texts, buckets of n-grams and of names.
+STATS, GRAMS, NAMES = 14, 64, 64
 #: Documents whose features are made at once.
 SLICE = 500
 _LETTER = re.compile(r"[^\W\d_]+")
@@ -45,12 +45,12 @@ _MARKS = re.compile(r"[^\w\s.,;:'\"()?-]")
 _BARE = re.compile(r"(?<!\S)[\W_]")
 
 
-def text_features(text: str | None) -> tuple[list[float], list[float]]:
-    """(content: statistics and hashed n-grams, layout) of one text; statistics are near 0 to 1 or logarithms."""
+def text_features(text: str | None) -> list[float]:
+    """Statistics and hashed n-grams of one text; statistics are near 0 to 1 or logarithms."""
     text = text or ""
     words = text.split()
     if not words:
-        return [0.0] * (CONTENT + GRAMS), [0.0] * LAYOUT
+        return [0.0] * (STATS + GRAMS)
     n, chars = len(words), len(text)
     h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
@@ -64,7 +64,7 @@ def text_features(text: str | None) -> tuple[list[float], list[float]]:
     sign = 1.0 - 2.0 * ((grams >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
     hashed = np.bincount((grams >> np.uint64(58)).astype(np.int64), sign, GRAMS) / np.sqrt(len(grams))
     layout = [np.log1p(n), len(_MARKS.findall(text)) / n, len(_BARE.findall(text)) / n, text.count("|") / n, len(set(lines)) / max(1, len(lines)), min(n / max(1, len(lines)) / 100, 5.0), np.log1p(len(lines))]
-    return [*content, *hashed.tolist()], layout
+    return [*content, *layout, *hashed.tolist()]
 
 
 def name_features(values: Sequence) -> np.ndarray:
@@ -94,6 +94,8 @@ class Logistic:
     stepped: np.ndarray
     edges: np.ndarray
     weight: np.ndarray
+    #: Slope and offset that calibrate the log-odds, where sureness is asked for.
+    line: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, stats: int, ridge: float = 1.0) -> Logistic:
@@ -123,8 +125,8 @@ class Logistic:
         return np.clip(self._expand(x) @ self.weight, -15, 15)
 
     def sureness(self, x: np.ndarray) -> np.ndarray:
-        """Probability of good, to nine digits: alike however rows are batched."""
-        return np.round(1 / (1 + np.exp(-self.odds(x))), 9)
+        """Calibrated probability of good, to nine digits: alike however rows are batched."""
+        return np.round(1 / (1 + np.exp(-(self.line[0] * self.odds(x) + self.line[1]))), 9)
 
 
 @dataclass
@@ -157,10 +159,19 @@ def _line(columns: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def surest(p: np.ndarray, keys: np.ndarray, good: int, bad: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ``good`` rows of highest p and the ``bad`` of lowest, none less than ``sure``; ties by key."""
+def surest(p: np.ndarray, keys: np.ndarray, good: int, bad: int, sure: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``good`` rows of highest p and the ``bad`` of lowest, none less sure than ``sure`` asks of its class; ties by key."""
     up, down = np.lexsort((keys, -p))[:good], np.lexsort((keys, p))[:bad]
-    return up[p[up] >= sure], down[1 - p[down] >= sure]
+    return up[p[up] >= sure[0]], down[1 - p[down] >= sure[1]]
+
+
+def proven(right: np.ndarray, share: float, z: float = 1.645) -> bool:
+    """Whether so many right answers beat a class's share of all rows: by the lower end of Wilson's interval, wrong once in twenty."""
+    n = len(right)
+    if not n:
+        return False
+    r = right.mean()
+    return (r + z * z / (2 * n) - z * np.sqrt(r * (1 - r) / n + z * z / (4 * n * n))) / (1 + z * z / n) > share
 
 
 class ArrayPool:
@@ -172,7 +183,7 @@ class ArrayPool:
     def __len__(self) -> int:
         return len(self.keys)
 
-    def surest(self, model: Logistic, view: int, good: int, bad: int, sure: float, skip: set[int]) -> list[tuple[int, float, np.ndarray]]:
+    def surest(self, model: Logistic, view: int, good: int, bad: int, sure: tuple[float, float], skip: set[int]) -> list[tuple[int, float, np.ndarray]]:
         """(key, label, features for the other view) that the model of ``view`` is surest of."""
         free = np.array([i for i, k in enumerate(self.keys.tolist()) if k not in skip], int)
         if not len(free):
@@ -192,7 +203,7 @@ class TablePool:
     def __len__(self) -> int:
         return self.n
 
-    def surest(self, model: Logistic, view: int, good: int, bad: int, sure: float, skip: set[int]) -> list[tuple[int, float, np.ndarray]]:
+    def surest(self, model: Logistic, view: int, good: int, bad: int, sure: tuple[float, float], skip: set[int]) -> list[tuple[int, float, np.ndarray]]:
         mine, other = ("t", "m") if view == 0 else ("m", "t")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +226,12 @@ class TablePool:
 
 def co_train(
     text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: ArrayPool | TablePool, rounds: int = 4, share: float = 0.05, per_round: int = PER_ROUND, sure: float = 0.95, folds: int = 5, seed: int = 7,
-    stats: tuple[int, int] = (CONTENT, LAYOUT),
+    stats: tuple[int, int] = (STATS, 0),
 ) -> Scorer:
     """``text``, ``meta``, ``label`` (1 good, 0 bad): labelled rows.  Each round a view gives at most ``share`` of the pool and
-    ``per_round`` rows, in the classes' proportion, of which it is at least ``sure``.  Calibration and mix are fitted on odds that models give
-    to folds that they did not see."""
+    ``per_round`` rows, in the classes' proportion, of which it is at least ``sure``, and twice as sure as the class's share alone would
+    let it be; it teaches only if, for both classes, labelled rows of which it is so sure prove it right more often than that share.  Sureness, calibration and mix are fitted on odds that models give to folds that they did not see; with a class of one labelled
+    row there are no folds, and nothing is taught."""
     label = label.astype(float)
     if len(np.unique(label)) < 2:
         return Scorer()
@@ -232,26 +244,39 @@ def co_train(
         return Logistic.fit(x, np.concatenate([label[own], [y for y, _ in extra]]), stats[k])
 
     known = np.arange(len(label))
-    most = max(1, min(per_round, int(share * len(pool))))
-    for _ in range(rounds if len(pool) else 0):
-        models = [train(0, known), train(1, known)]
-        for k in (0, 1):
-            for i, y, x in pool.surest(models[k], k, max(1, round(most * base)), max(1, round(most * (1 - base))), sure, set(taught[1 - k])):
-                taught[1 - k][i] = (y, x)
-    scorer = Scorer(train(0, known), train(1, known))
     folds = min(folds, int(min((label == 1).sum(), (label == 0).sum())))
     if folds < 2:
-        return scorer
+        return Scorer(train(0, known), train(1, known))
     # each class is dealt to the folds evenly
     order = np.random.default_rng(seed).permutation(len(known))
     fold = np.empty(len(known), int)
     for c in (0, 1):
         at = order[label[order] == c]
         fold[at] = np.arange(len(at)) % folds
-    odds = np.zeros((2, len(known)))
-    for f in range(folds):
+
+    def unseen(k: int) -> np.ndarray:
+        """Log-odds of the labelled rows by models that did not see them."""
+        odds = np.zeros(len(known))
+        for f in range(folds):
+            odds[fold == f] = train(k, known[fold != f]).odds(views[k][fold == f])
+        return odds
+
+    most = max(1, min(per_round, int(share * len(pool))))
+    limits = (max(sure, (1 + base) / 2), max(sure, 1 - base / 2))
+    for _ in range(rounds if len(pool) else 0):
+        models = [train(0, known), train(1, known)]
+        asked = []
+        for k in (0, 1):
+            odds = unseen(k)
+            models[k].line = tuple(_line(odds[:, None], label))  # type: ignore[assignment]
+            p = 1 / (1 + np.exp(-(models[k].line[0] * odds + models[k].line[1])))
+            able = proven(label[p >= limits[0]], base) and proven(1 - label[1 - p >= limits[1]], 1 - base)
+            asked.append(limits if able else (np.inf, np.inf))
         for k in (0, 1):
-            odds[k, fold == f] = train(k, known[fold != f]).odds(views[k][fold == f])
+            for i, y, x in pool.surest(models[k], k, max(1, round(most * base)), max(1, round(most * (1 - base))), asked[k], set(taught[1 - k])):
+                taught[1 - k][i] = (y, x)
+    scorer = Scorer(train(0, known), train(1, known))
+    odds = np.stack([unseen(0), unseen(1)])
     scorer.calibration = tuple(tuple(_line(o[:, None], label)) for o in odds)  # type: ignore[assignment]
     both = np.stack([a * o + b for o, (a, b) in zip(odds, scorer.calibration, strict=True)], axis=1)
     scorer.mix = tuple(_line(both, label))  # type: ignore[assignment]
@@ -282,9 +307,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
                 t, m = [], []
                 names = [b.column(f"m{k}").to_pylist() for k in range(n_meta)]
                 for i, text in enumerate(b.column("text").to_pylist()):
-                    content, layout = text_features(text)
-                    t.append(np.array(content, np.float32).tobytes())
-                    m.append(np.concatenate([layout, name_features([v[i] for v in names])]).astype(np.float32).tobytes())
+                    t.append(np.array(text_features(text), np.float32).tobytes())
+                    m.append(name_features([v[i] for v in names]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "key", "t", "m"])
 
     return view.mapInArrow(run, "doc_id long, key long, t binary, m binary")

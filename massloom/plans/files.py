@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import network, ptm, reshape
@@ -18,6 +18,12 @@ def _written(lines: DataFrame, name: str) -> str:
     return path
 
 
+def write_report(rows: DataFrame, head: list[str], cells: list[Column], path: str) -> None:
+    """Files of tab-separated lines, each under the header."""
+    lines = rows.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(h) for h, c in zip(head, cells, strict=True)])
+    lines.write.options(header=True, sep="\t", emptyValue="").csv(path)
+
+
 @query("fasta_round_trip", """SELECT CASE WHEN p_size % 2 = 0 THEN 'sp' ELSE 'tr' END AS src_db, 'P' || p_partkey AS protein_ac, 'C_' || p_size AS protein_code, p_name AS protein_name, p_type AS organism,
   CASE WHEN p_size % 3 > 0 THEN 'G' || p_size END AS genename, CAST(CASE WHEN p_size % 3 > 0 THEN p_size % 5 END AS INTEGER) AS protein_existence, upper(replace(p_name, ' ', '')) AS seq FROM part""")
 def fasta_round_trip(s: SparkSession, d: str) -> DataFrame:
@@ -53,11 +59,10 @@ def report_round_trip(s: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
     plus = lambda c: F.when(c, "+").otherwise("")
     price = F.when(size % 5 > 0, F.format_string("%.2f", "p_retailprice")).otherwise("n. def.")
-    cells = F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", plus(size % 4 == 0), plus(size % 3 == 0), price, (size - 20).cast("string"), (size - 20).cast("string"))
-    head = "id\tProtein IDs\tReverse\tPotential contaminant\tScore\tIntensity a\tIntensity b"
-    # one file, so that the header is its first line
-    lines = s.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(head).alias("value")).union(table(s, d, "part").select("p_partkey", cells))
-    path = _written(lines.repartition(1).sortWithinPartitions("k").select("value"), "report")
+    head = ["id", "Protein IDs", "Reverse", "Potential contaminant", "Score", "Intensity a", "Intensity b"]
+    cells = [F.col("p_partkey"), F.col("p_name"), plus(size % 4 == 0), plus(size % 3 == 0), price, size - 20, size - 20]
+    path = fresh_path(s, "report")
+    write_report(table(s, d, "part"), head, cells, path)
     df, _ = wide.read_wide_table(s, path, wide.PROTGROUPS, ["intensity"], wide.PROTGROUPS_NA)
     df = wide.cast_columns(df, {"protgroup_id": "long", "ident_score": "double"})
     return reshape.pivot_longer(df, ["protgroup_id", "protein_acs", "is_reverse", "is_contaminant", "ident_score"], r"^(?P<value>Intensity)\.(?P<var>.+)$", "msrun", {"Intensity": "intensity"})

@@ -14,15 +14,14 @@ from ..operators.align import blosum90
 from ..session import fresh_path
 from ..sources import columns, texts, wide
 from .core import LOGSTD, MODEL
+from .files import write_report
 from .registry import query, table
 
 # --- reports written and read back
 
 
 def _report(rows: DataFrame, head: list[str], cells: list[Column], folder: str, name: str) -> None:
-    """Files of tab-separated lines, each under the header."""
-    lines = rows.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(h) for h, c in zip(head, cells, strict=True)])
-    lines.write.options(header=True, sep="\t", emptyValue="").csv(f"{folder}/{name}")
+    write_report(rows, head, cells, f"{folder}/{name}")
 
 
 def _plus(c: Column) -> Column:

@@ -9,9 +9,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from massloom.plans import registry
+from massloom.plans import files, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -72,3 +73,14 @@ def test_without_sql(spark, sf_dir):
     got = q["aligned_names"](spark, sf_dir).collect()
     assert len(got) == 100 and all(r["agn_pos"] is None or 1 <= r["agn_pos"] <= len(r["agn_seqid"]) for r in got)
     assert [tuple(r) for r in q["calibration_search"](spark, sf_dir).collect()] == [(True, True)]
+
+
+def test_report_files_carry_their_header(spark, sf_dir, tmp_path, monkeypatch):
+    """A part with key 0 ties with no header: each of the report's files begins with it."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts.orderBy(F.desc("p_partkey")).repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(files, "fresh_path", lambda s, name: f"{tmp_path}/{name}")
+    got = registry.queries()["report_round_trip"](spark, str(tmp_path))
+    assert got.count() == 2 * parts.count()
+    heads = {f.read_text().split("\n")[0].split("\t")[0] for f in (tmp_path / "report").glob("part-*")}
+    assert heads == {"id"} and len(list((tmp_path / "report").glob("part-*"))) == 3

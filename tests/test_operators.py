@@ -618,3 +618,13 @@ def test_graphs_by_either_path(spark):
     want = {v: int(np.flatnonzero(reach[v] & reach[:, v]).min()) for v in {x for e in edges for x in e}}
     weighted = df.withColumn("w", F.lit(1.0))
     assert dict(map(tuple, network.strong_components(weighted, 0.5).collect())) == want == dict(map(tuple, network.strong_components(weighted, 0.5, one_task=0).collect()))
+
+
+def test_distances_come_by_rows(spark, monkeypatch):
+    """A row of a table has a row of a block, whatever the batch: whole blocks of 2 MB filled a task's memory."""
+    entries = spark.createDataFrame([(i, o, 1.0 if i % 3 == o % 3 else 0.0) for i in range(10) for o in range(6)], "ix long, o long, x double")
+    whole = matrices.distance_blocks(entries, 10, 4)
+    assert {len(r["distances"]) for r in whole.collect()} == {4 * 8}
+    want = sorted((r["i"], r["j"], r["row"], bytes(r["distances"])) for r in whole.collect())
+    monkeypatch.setattr(matrices, "SPAN", 2)  # sums of three spans
+    assert sorted((r["i"], r["j"], r["row"], bytes(r["distances"])) for r in matrices.distance_blocks(entries, 10, 4).collect()) == want

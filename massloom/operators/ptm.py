@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import literal_split
+from ..functions.nulls import literal_split, not_null
 from ..functions.strings import locprob_pattern, ptm_label, ptm_pattern
 from ..session import materialize, ship_package
 from .align import align, blosum90
+from .batches import hot_join, tasks
 from .graph import connected_components
 from .ids import dense_rank_table
 
@@ -119,66 +120,124 @@ def extract_ptm_locprobs(df: DataFrame, fmt: str = "maxquant", objid_col: str =
     return out.withColumn("ptm_type", F.when(fits, F.col("ptm_type")).otherwise(F.raise_error(F.concat(F.lit("probability contradicts "), F.col("_mod"))).cast("string"))).drop("_mod", "_m")
 
 
-def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col: str, seqid_col: str = "protein_ac", objid_cols: Sequence[str] = ("ptm_id",), pos_col: str = "ptm_pos", self_matches: bool = True, score: Callable[[str, str], int] | None = None, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
-    """Where each object's residue lies in the sequences of its group, and in the alignment; unmapped objects stay with nulls.
+def _text(df: DataFrame, seqid_col: str, group_col: str, name: str) -> DataFrame:
+    """(name, group, _t, seq): sequences with a digest that stands for their text; a sequence without text is an error when computed."""
+    seq = not_null(F.col("seq"), "a sequence without text")
+    return df.select(F.col(seqid_col).alias(name), group_col, F.sha2(seq, 256).alias("_t"), "seq")
 
-    Only sequences that objects use are aligned, and each pair of different sequence texts once, with BLOSUM90 by default.
-    """
-    ship_package(objs.sparkSession)
+
+def _placed(places: DataFrame, used: DataFrame, dest: DataFrame, group_col: str, self_matches: bool, score: Callable[[str, str], int] | None, gap_open: int, gap_extend: int) -> DataFrame:
+    """(group, _t, _p, _d, agn_pos, agn_column, agn_AA, agn_match, agn_score, agn_len, agn_match_ratio): where the places (group, _t, _p) of texts lie in
+    the texts _d of their group.  Proteins of one text in a group are one here, and each pair of different texts is aligned once."""
+    spark = places.sparkSession
+    ship_package(spark)
     score = score or blosum90()
-    used = seqs.join(objs.select(seqid_col).distinct(), seqid_col, "left_semi").select(F.col(seqid_col).alias("src"), group_col, F.col("seq").alias("src_seq"))
-    pairs = used.join(dest.select(F.col(seqid_col).alias("dest"), group_col, F.col("seq").alias("dest_seq")), group_col)
-    if not self_matches:
-        pairs = pairs.where("src <> dest")
-    pairs = materialize(pairs, "pairs")
+    texts = materialize(used.select("_t", "seq").union(dest.select("_t", "seq")).distinct(), "texts")
+    ends = lambda df, c, lo, hi: df.groupBy(group_col, "_t").agg(F.min(c).alias(lo), F.max(c).alias(hi))
+    dests = materialize(ends(dest, "dest", "lo2", "hi2").withColumnRenamed("_t", "_d"), "dest-texts")
+    met = hot_join(ends(used, "src", "lo", "hi"), dests, [group_col])
+    if not self_matches:  # a protein that is alone with its text is not held against itself
+        met = met.where("_t <> _d or lo <> hi or lo2 <> hi2 or lo <> lo2")
+    met = materialize(met.select(group_col, "_t", "_d"), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):  # a pair's places are sent before the next is aligned
-                total, to, columns, matches, at = align(b["src_seq"][k].as_py(), b["dest_seq"][k].as_py(), score, gap_open, gap_extend)
-                places = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (to, at)]
-                numbers = [pa.array([total]), *places, pa.array([columns]), pa.array([matches / columns if columns else 0.0])]
-                yield pa.RecordBatch.from_arrays([b["src_seq"].slice(k, 1), b["dest_seq"].slice(k, 1), *numbers], names=["src_seq", "dest_seq", "agn_score", "places", "columns", "agn_len", "agn_match_ratio"])
-
-    texts = pairs.select("src_seq", "dest_seq").distinct()
-    aligned = materialize(texts.mapInArrow(run, "src_seq string, dest_seq string, agn_score long, places array<int>, columns array<int>, agn_len long, agn_match_ratio double"), "alignments")
-    found = pairs.join(aligned, ["src_seq", "dest_seq"])
+                other = b["dest_seq"][k].as_py()
+                total, to, columns, matches, at = align(b["seq"][k].as_py(), other, score, gap_open, gap_extend)
+                lists = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (to, at)]
+                letters = pa.array(["".join(other[j - 1] if j else "-" for j in to.tolist())])
+                numbers = [pa.array([total]), *lists, letters, pa.array([columns]), pa.array([matches / columns if columns else 0.0])]
+                yield pa.RecordBatch.from_arrays([b["_t"].slice(k, 1), b["_d"].slice(k, 1), *numbers], names=["_t", "_d", "agn_score", "places", "columns", "letters", "agn_len", "agn_match_ratio"])
+
+    pairs = materialize(met.select("_t", "_d").distinct(), "text-pairs")
+    whole = pairs.join(texts, "_t").join(texts.select(F.col("_t").alias("_d"), F.col("seq").alias("dest_seq")), "_d").select("_t", "_d", "seq", "dest_seq")
+    aligned = whole.repartition(tasks(spark, pairs.count(), 1000), "_t", "_d").mapInArrow(run, "_t string, _d string, agn_score long, places array<int>, columns array<int>, letters string, agn_len long, agn_match_ratio double")
+    aligned = materialize(aligned, "alignments")
+    inside = F.col("_p").between(1, F.length("seq"))
+    known = places.join(texts, "_t").select(group_col, "_t", "_p", inside.alias("inside"), F.when(inside, F.substring("seq", F.col("_p"), F.lit(1))).alias("aa"))
+    found = known.join(met, [group_col, "_t"]).join(aligned, ["_t", "_d"])
+    found = found.withColumn("agn_pos", F.when(F.col("inside"), F.nullif(F.get("places", F.col("_p") - 1), F.lit(0)))).withColumn("agn_AA", F.when(F.col("agn_pos").isNotNull(), F.substring("letters", F.col("_p"), F.lit(1))))
+    op = F.when(~F.col("inside") & (F.col("_p") != NOWHERE), F.lit(None).cast("string")).when(F.col("agn_pos").isNull(), "-").when(F.col("agn_AA") == F.col("aa"), "=").otherwise("X")
+    column = F.when(F.col("inside"), F.get("columns", F.col("_p") - 1)).alias("agn_column")
+    return materialize(found.select(group_col, "_t", "_p", "_d", "agn_pos", column, "agn_AA", op.alias("agn_match"), "agn_score", "agn_len", "agn_match_ratio"), "placed")
+
+
+#: Stands for an object's position that is null.
+NOWHERE = -(1 << 31)
+
+
+def map_positions(objs: DataFrame, seqs: DataFrame, dest: DataFrame, group_col: str, seqid_col: str = "protein_ac", objid_cols: Sequence[str] = ("ptm_id",), pos_col: str = "ptm_pos", self_matches: bool = True, score: Callable[[str, str], int] | None = None, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
+    """Where each object's residue lies in the sequences of its group, and in the alignment; unmapped objects stay with nulls.
+
+    Only sequences that objects use are aligned, and each pair of different sequence texts once, with BLOSUM90 by default.  Places are found for
+    texts; proteins meet only in the result, which is made by blocks of a group's objects and sequences.
+    """
+    used = _text(seqs.join(objs.select(seqid_col).distinct(), seqid_col, "left_semi"), seqid_col, group_col, "src")
+    own = _text(dest, seqid_col, group_col, "dest")
     rows = objs.select(*objid_cols, seqid_col, F.col(pos_col).cast("int").alias(pos_col)).distinct()
-    mapped = rows.join(found.withColumnRenamed("src", seqid_col), seqid_col, "left")
-    inside = F.col(pos_col).between(1, F.size("places"))
-    place = F.when(inside, F.nullif(F.get("places", F.col(pos_col) - 1), F.lit(0)))
-    aa, dest_aa = F.when(inside, F.substring("src_seq", F.col(pos_col), F.lit(1))), F.substring("dest_seq", F.col("agn_pos"), F.lit(1))
-    out = mapped.withColumn("agn_pos", place).withColumn("agn_AA", F.when(F.col("agn_pos").isNotNull(), dest_aa))
-    op = F.when(F.col("dest").isNull() | ~inside, F.lit(None).cast("string")).when(F.col("agn_pos").isNull(), "-").when(F.col("agn_AA") == aa, "=").otherwise("X")
-    column = F.when(inside, F.get("columns", F.col(pos_col) - 1)).alias("agn_column")
-    return out.select(*objid_cols, seqid_col, pos_col, group_col, F.col("dest").alias("agn_seqid"), "agn_pos", column, "agn_AA", op.alias("agn_match"), "agn_score", "agn_len", "agn_match_ratio")
+    there = rows.join(used.select(F.col("src").alias(seqid_col), group_col, "_t"), seqid_col).withColumn("_p", F.coalesce(F.col(pos_col), F.lit(NOWHERE)))
+    placed = _placed(there.select(group_col, "_t", "_p").distinct(), used, own, group_col, self_matches, score, gap_open, gap_extend)
+    right = own.select("dest", group_col, F.col("_t").alias("_d"))
+    counts = there.groupBy(group_col).count().join(right.select(group_col, "_d").distinct(), group_col)
+    mapped = hot_join(there.join(placed, [group_col, "_t", "_p"]), right, [group_col, "_d"], counts)
+    if not self_matches:
+        mapped = mapped.where(F.col(seqid_col) != F.col("dest"))
+    result = [*objid_cols, seqid_col, pos_col, group_col, "agn_seqid", "agn_pos", "agn_column", "agn_AA", "agn_match", "agn_score", "agn_len", "agn_match_ratio"]
+    mapped = mapped.withColumnRenamed("dest", "agn_seqid").select(*result)
+    known = used.join(own.groupBy(group_col).agg(F.min("dest").alias("lo"), F.max("dest").alias("hi")), group_col)
+    if not self_matches:
+        known = known.where("lo <> src or hi <> src")
+    alone = rows.join(known.select(F.col("src").alias(seqid_col)).distinct(), seqid_col, "left_anti")
+    have = {f.name: f.dataType for f in mapped.schema.fields}
+    return mapped.unionByName(alone.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(have[c]).alias(c) for c in result]))
 
 
-def group_objects(objs: DataFrame, seqs: DataFrame, group_col: str = "protgroup_id", seqid_col: str = "protein_ac", rank_col: str = "seq_rank", type_col: str = "ptm_type", aa_col: str = "ptm_AA", pos_col: str = "ptm_pos", force_refseqs: bool = True, **alignment) -> DataFrame:
+def group_objects(objs: DataFrame, seqs: DataFrame, group_col: str = "protgroup_id", seqid_col: str = "protein_ac", rank_col: str = "seq_rank", type_col: str = "ptm_type", aa_col: str = "ptm_AA", pos_col: str = "ptm_pos", force_refseqs: bool = True, self_matches: bool = True, score: Callable[[str, str], int] | None = None, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
     """Objects that stand at the same residue across a sequence group, with a group id, the reference and a unique label.
 
     ``objs``: (type, protein, position, residue); ``seqs``: (protein, group, rank, seq).  Residues of better ranked sequences where
-    nothing was observed join as candidates with ``force_refseqs``; observed and reference rows are returned.
+    nothing was observed join as candidates with ``force_refseqs``; observed and reference rows are returned.  Proteins of one text in a group
+    stand at the same residues, so links are between residues of texts, and each protein's row has one to its own.
     """
-    ranked = objs.join(seqs.select(seqid_col, group_col, rank_col), seqid_col)
+    used = _text(seqs.join(objs.select(seqid_col).distinct(), seqid_col, "left_semi"), seqid_col, group_col, "src")
+    ranked = objs.join(seqs.select(seqid_col, group_col, rank_col, F.sha2("seq", 256).alias("_t")), seqid_col)
     node = [type_col, group_col, seqid_col, pos_col]
-    dest = seqs.join(ranked.select(group_col).distinct(), group_col, "left_semi")
-    maps = map_positions(ranked, seqs, dest, group_col, seqid_col, [type_col, aa_col], pos_col, **alignment).where("agn_match = '='")
-    name = lambda seq, pos: F.struct(F.col(type_col).cast("string").alias("t"), F.col(group_col).cast("string").alias("g"), F.col(seq).alias("s"), F.col(pos).cast("long").alias("p"))
-    seen = ranked.select(*node, aa_col, rank_col).distinct().withColumn("is_observed", F.lit(True))
-    there = maps.select(type_col, group_col, F.col("agn_seqid").alias(seqid_col), F.col("agn_pos").cast("long").alias(pos_col), F.col("agn_AA").alias(aa_col)).distinct()
-    unseen = there.join(seen.select(*node), node, "left_anti").join(seqs.select(seqid_col, group_col, rank_col), [seqid_col, group_col])
+    dest = _text(seqs.join(ranked.select(group_col).distinct(), group_col, "left_semi"), seqid_col, group_col, "dest")
+    seen = ranked.select(*node, aa_col, rank_col, "_t").distinct().withColumn("is_observed", F.lit(True))
+    sources = materialize(seen.groupBy(type_col, group_col, "_t", F.col(pos_col).cast("int").alias("_p")).agg(F.min(seqid_col).alias("lo"), F.max(seqid_col).alias("hi")).where("_p is not null"), "sources")
+    placed = _placed(sources.select(group_col, "_t", "_p").distinct(), used, dest, group_col, self_matches, score, gap_open, gap_extend)
+    links = materialize(sources.join(placed.where("agn_match = '='").select(group_col, "_t", "_p", "_d", "agn_pos", "agn_AA"), [group_col, "_t", "_p"]), "links")
+    reached = links.groupBy(type_col, group_col, "_d", "agn_pos", "agn_AA").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    there = reached.join(dest.select("dest", group_col, F.col("_t").alias("_d")), [group_col, "_d"])
+    if not self_matches:
+        there = there.where("lo <> dest or hi <> dest")
+    there = there.select(type_col, group_col, F.col("dest").alias(seqid_col), F.col("agn_pos").cast("long").alias(pos_col), F.col("agn_AA").alias(aa_col), F.col("_d").alias("_t")).distinct()
     rows = seen.withColumn(pos_col, F.col(pos_col).cast("long"))
     if force_refseqs:
-        rows = rows.unionByName(unseen.select(*node, aa_col, rank_col).withColumn("is_observed", F.lit(False)))
-    rows = materialize(rows.withColumn("_node", name(seqid_col, pos_col)), "objects")
-    links = maps.select(name(seqid_col, pos_col).alias("src"), name("agn_seqid", "agn_pos").alias("dst"))
-    links = links.join(rows.select(F.col("_node").alias("dst")), "dst", "left_semi")
-    comp = connected_components(links)
-    named = rows.join(comp.withColumnRenamed("id", "_node"), "_node", "left").withColumn("_comp", F.coalesce("component", "_node"))
+        unseen = there.join(seen.select(*node), node, "left_anti").join(seqs.select(seqid_col, group_col, rank_col), [seqid_col, group_col])
+        rows = rows.unionByName(unseen.select(*node, aa_col, rank_col, "_t").withColumn("is_observed", F.lit(False)))
+    place = lambda at, pos: F.struct(F.col(type_col).cast("string").alias("t"), F.col(group_col).cast("string").alias("g"), F.col(at).alias("s"), F.col(pos).cast("long").alias("p"))
+    rows = materialize(rows.withColumn("_node", place(seqid_col, pos_col)).withColumn("_place", place("_t", pos_col)), "objects")
+    # numbers of the nodes in their order: the least of a component is its name
+    rows = materialize(rows.join(dense_rank_table(rows.select("_node").distinct(), ["_node"], "_id"), "_node").drop("_node"), "objects")
+    seen = rows.where("is_observed")
+    crossed = None
+    if not self_matches:  # a text that is not aligned with itself residue by residue: its proteins' pairs
+        odd = links.where("_t = _d and _p <> agn_pos").select(place("_t", "_p").alias("_place"), place("_d", "agn_pos").alias("_to"))
+        links = links.where("_t <> _d or _p = agn_pos")
+        crossed = odd.join(seen.select("_place", F.col(seqid_col).alias("a"), F.col("_id").alias("src")), "_place").join(rows.select(F.col("_place").alias("_to"), F.col(seqid_col).alias("b"), F.col("_id").alias("dst")), "_to").where("a <> b").select("src", "dst")
+    first = lambda df, at, name: df.groupBy(F.col("_place").alias(at)).agg(F.min("_id").alias(name))
+    ways = links.select(place("_t", "_p").alias("_from"), place("_d", "agn_pos").alias("_to")).distinct()
+    ways = materialize(ways.join(first(seen, "_from", "src"), "_from").join(first(rows, "_to", "dst"), "_to"), "ways")
+    edges = ways.select("src", "dst")
+    for df, at, name in ((seen, "_from", "src"), (rows, "_to", "dst")):
+        edges = edges.union(df.join(ways.select(F.col(at).alias("_place"), name).distinct(), "_place").select("_id", name))
+    comp = connected_components(edges if crossed is None else edges.union(crossed))
+    named = rows.drop("_place", "_t").join(comp.withColumnRenamed("id", "_id"), "_id", "left").withColumn("_comp", F.coalesce("component", "_id"))
     numbers = dense_rank_table(named.select("_comp").distinct(), ["_comp"], "ptm_id")
     best = F.row_number().over(Window.partitionBy("ptm_id").orderBy(F.col(rank_col).asc_nulls_last(), seqid_col, pos_col))
-    out = named.join(numbers, "_comp").withColumn("is_reference", best == 1).drop("_node", "_comp", "component")
+    out = named.join(numbers, "_comp").withColumn("is_reference", best == 1).drop("_id", "_comp", "component")
     refs = out.where("is_reference")
     plain = ptm_label(F.col(type_col), F.col(group_col), F.col(aa_col), F.col(pos_col))
     # groups that would share a label count up from the reference's rank

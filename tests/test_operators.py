@@ -628,3 +628,19 @@ def test_distances_come_by_rows(spark, monkeypatch):
     want = sorted((r["i"], r["j"], r["row"], bytes(r["distances"])) for r in whole.collect())
     monkeypatch.setattr(matrices, "SPAN", 2)  # sums of three spans
     assert sorted((r["i"], r["j"], r["row"], bytes(r["distances"])) for r in matrices.distance_blocks(entries, 10, 4).collect()) == want
+
+
+@pytest.mark.parametrize("self_matches", [True, False])
+def test_copies_of_a_text_make_no_pairs_of_proteins(spark, monkeypatch, self_matches):
+    """200 proteins of two texts in one group: nothing that is written has a row for each pair of them."""
+    seqs = spark.createDataFrame([(f"P{k:03}", "g", "MKSWVTFR" if k % 2 else "MKSWTFR", 1) for k in range(200)], "protein_ac string, protgroup_id string, seq string, seq_rank int")
+    objs = spark.createDataFrame([("Phospho", f"P{k:03}", 3, "S") for k in range(0, 200, 3)], "ptm_type string, protein_ac string, ptm_pos int, ptm_AA string")
+    sizes, write = [], ptm.materialize
+    monkeypatch.setattr(ptm, "materialize", lambda df, name="table": (lambda out: sizes.append(out.count()) or out)(write(df, name)))
+    got = ptm.group_objects(objs, seqs, self_matches=self_matches).collect()
+    assert max(sizes) <= 1000
+    assert {r["ptm_id"] for r in got} == {1} and sorted(r["protein_ac"] for r in got if r["is_observed"]) == [f"P{k:03}" for k in range(0, 200, 3)]
+    sizes.clear()
+    places = ptm.map_positions(objs, seqs, seqs, "protgroup_id", objid_cols=["ptm_type"], self_matches=self_matches)
+    assert max(sizes) <= 1000 and places.count() == 67 * (200 if self_matches else 199)
+    assert rows(places.select("agn_pos", "agn_match").distinct()) == [(3, "=")]

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.nulls import literal_split
 from ..functions.strings import collapse_values
 from ..session import materialize
+from .batches import hot_join, tasks
 from .graph import connected_components
 from .ids import dense_rank_table
 
@@ -31,27 +32,27 @@ def _signature(df: DataFrame, key: str, *parts: str) -> DataFrame:
 
 def flagged(members: DataFrame, decisive: DataFrame, set_col: str, elem_col: str) -> DataFrame:
     """(id, e, d): distinct members, d being 1 where the element is decisive for the set."""
-    rows = members.select(F.col(set_col).alias("id"), F.col(elem_col).alias("e"), F.lit(0).alias("d")).union(decisive.select(set_col, elem_col, F.lit(1)))
-    return rows.groupBy("id", "e").agg(F.max("d").alias("d"))
+    rows = materialize(members.select(F.col(set_col).alias("id"), F.col(elem_col).alias("e"), F.lit(0).alias("d")).union(decisive.select(set_col, elem_col, F.lit(1))), "flags")
+    return rows.repartition(tasks(rows.sparkSession, rows.count(), 1 << 20), "id", "e").groupBy("id", "e").agg(F.max("d").alias("d"))
 
 
-def pair_relations(members: DataFrame, decisive: DataFrame, set_col: str = "id", elem_col: str = "pep") -> DataFrame:
+def pair_relations(members: DataFrame, decisive: DataFrame, set_col: str = "id", elem_col: str = "pep", each: int = 1 << 20) -> DataFrame:
     """G1, G3.4: (id1, id2, n_common, n_left, n_right) of sets id1 < id2 that share an element of ``members``.
 
     ``n_left`` counts decisive elements of id1 that are not common, ``n_right`` those of id2.  Elements of the very same
     sets are one weighted element, so what a pair has in common costs one row however often it occurs; an element of k sets
-    makes k(k-1)/2 pairs, which are part of the result.
+    makes k(k-1)/2 pairs, which are part of the result.  Sizes go with the members, so pairs are dealt once, about ``each`` to a task.
     """
     rows = materialize(flagged(members, decisive, set_col, elem_col), "members")
     like = _signature(rows, "e", "id", "d")
     one = like.groupBy("n", "h1", "h2").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("e", "w")
-    few = rows.join(one, "e")
-    a = few.select(F.col("id").alias("id1"), "e", "w", F.col("d").alias("d1"))
-    b = few.select(F.col("id").alias("id2"), "e", F.col("d").alias("d2"))
-    counts = a.join(b, "e").where("id1 < id2").groupBy("id1", "id2").agg(F.sum("w").alias("n_common"), F.sum(F.col("w") * F.col("d1")).alias("c1"), F.sum(F.col("w") * F.col("d2")).alias("c2"))
-    sizes = rows.groupBy("id").agg(F.sum("d").alias("s"))
-    out = counts.join(sizes.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(sizes.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
-    return out.select("id1", "id2", "n_common", (F.col("s1") - F.col("c1")).alias("n_left"), (F.col("s2") - F.col("c2")).alias("n_right"))
+    few = materialize(rows.join(one, "e").join(rows.groupBy("id").agg(F.sum("d").alias("s")), "id"), "shared")
+    a = few.select(F.col("id").alias("id1"), "e", "w", F.col("d").alias("d1"), F.col("s").alias("s1"))
+    b = few.select(F.col("id").alias("id2"), "e", F.col("d").alias("d2"), F.col("s").alias("s2"))
+    made = few.groupBy("e").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    pairs = hot_join(a, b, ["e"], each=each).where("id1 < id2").repartition(tasks(few.sparkSession, int(made or 0), each), "id1", "id2")
+    counts = pairs.groupBy("id1", "id2").agg(F.sum("w").alias("n_common"), F.sum(F.col("w") * F.col("d1")).alias("c1"), F.sum(F.col("w") * F.col("d2")).alias("c2"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
+    return counts.select("id1", "id2", "n_common", (F.col("s1") - F.col("c1")).alias("n_left"), (F.col("s2") - F.col("c2")).alias("n_right"))
 
 
 def containments(members: DataFrame, decisive: DataFrame, set_col: str = "id", elem_col: str = "pep") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lists, stats, strings
 from ..functions.nulls import extract_or_null, zero_to_null
 from ..operators import calib, graph, ids, network, noise, proteins, ptm, reshape, sets
+from ..operators.batches import tasks
 from ..operators.matrices import clamp_range, heatmap_cells
 from ..sources.columns import add_run_metadata
 from ..sources.texts import attribute_map
@@ -278,7 +279,8 @@ LINKS = "SELECT DISTINCT l_partkey AS prot, l_orderkey AS pep FROM lineitem"
 
 def _links(s: SparkSession, d: str) -> DataFrame:
     """Orders are the peptides of parts."""
-    return table(s, d, "lineitem").select(F.col("l_partkey").alias("prot"), F.col("l_orderkey").alias("pep")).distinct()
+    rows = table(s, d, "lineitem").select(F.col("l_partkey").alias("prot"), F.col("l_orderkey").alias("pep"))
+    return rows.repartition(tasks(s, rows.count(), 1 << 20), "prot", "pep").distinct()
 
 
 @query("identical_sets", "SELECT dense_rank() OVER (ORDER BY first) AS setgroup_id, prot FROM (SELECT prot, min(prot) OVER (PARTITION BY e) AS first FROM (SELECT l_partkey AS prot, list_sort(list_distinct(list(l_orderkey))) AS e FROM lineitem GROUP BY 1))")

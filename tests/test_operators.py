@@ -644,3 +644,9 @@ def test_copies_of_a_text_make_no_pairs_of_proteins(spark, monkeypatch, self_mat
     places = ptm.map_positions(objs, seqs, seqs, "protgroup_id", objid_cols=["ptm_type"], self_matches=self_matches)
     assert max(sizes) <= 1000 and places.count() == 67 * (200 if self_matches else 199)
     assert rows(places.select("agn_pos", "agn_match").distinct()) == [(3, "=")]
+
+
+def test_pairs_are_dealt_to_more_tasks_as_they_grow(spark):
+    links = spark.createDataFrame([(p, e) for e in range(40) for p in range(e, e + 8)], "id int, pep int")
+    few, many = proteins.pair_relations(links, links), proteins.pair_relations(links, links, each=20)
+    assert rows(few) == rows(many) and many.rdd.getNumPartitions() >= 40 * 28 // 20

@@ -38,7 +38,12 @@ def index_unique(df: DataFrame, cols: str | Sequence[str], name: str = "ix", sta
     else:
         seen = df.groupBy(*cols).agg(F.min(order_col).alias("_first"))
         table = dense_rank_table(seen, ["_first", *cols], name, start).drop("_first")
-    right = table.select(*[F.col(c).alias(f"_key{k}") for k, c in enumerate(cols)], name)
+    return _with_ids(df, table, cols, [name])
+
+
+def _with_ids(df: DataFrame, table: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``df`` with ``names`` of the row of ``table`` that has its values of ``cols``, null being a value."""
+    right = table.select(*[F.col(c).alias(f"_key{k}") for k, c in enumerate(cols)], *names)
     met = None
     for k, c in enumerate(cols):
         same = df[c].eqNullSafe(right[f"_key{k}"])
@@ -73,6 +78,9 @@ def update_pepmodstates(df: DataFrame) -> DataFrame:
 
     The fraction counts where any row has one.
     """
-    df = index_unique(df, ["peptide_id", "pepmod_seq"], "pepmod_id", 0)
-    fractions = "msfraction" in df.columns and not df.where("msfraction is not null").isEmpty()
-    return index_unique(df, ["pepmod_id", *(["msfraction"] if fractions else []), "charge"], "pepmodstate_id", 0)
+    fractions = ["msfraction"] if "msfraction" in df.columns and not df.where("msfraction is not null").isEmpty() else []
+    keys = ["peptide_id", "pepmod_seq", *fractions, "charge"]
+    # states get their ids among themselves, and rows meet them once
+    states = index_unique(materialize(df.select(*keys).distinct(), "states"), ["peptide_id", "pepmod_seq"], "pepmod_id", 0)
+    states = index_unique(materialize(states, "states"), ["pepmod_id", *fractions, "charge"], "pepmodstate_id", 0)
+    return _with_ids(df, materialize(states, "states"), keys, ["pepmod_id", "pepmodstate_id"])

@@ -88,6 +88,8 @@ def fix_ident_type(c: Column, name: str) -> Column:
     return F.when(c != "", c)
 
 
+#: Rows of run metadata that are broadcast.
+FEW = 200_000
 IDENT_TYPES = ("By matching", "By MS/MS")
 
 
@@ -143,7 +145,8 @@ def add_run_metadata(df: DataFrame, msruns: DataFrame, group: Sequence[str] = ()
     """Run metadata by raw file.
 
     A key that occurs twice is an error.  A clash with a column of ``group`` renames the old one, others are skipped.
-    Runs without metadata keep nulls.
+    Runs without metadata keep nulls.  Metadata of up to ``FEW`` runs goes to every task: rows of a report have few run keys,
+    and a shuffle by these would bring all rows of a run to one task.
     """
     for side, frame in (("report", df), ("run metadata", msruns)):
         if key not in frame.columns:
@@ -161,4 +164,5 @@ def add_run_metadata(df: DataFrame, msruns: DataFrame, group: Sequence[str] = ()
             warnings.warn(f"column {c} is there already, skipped", stacklevel=2)
             continue
         new.append(c)
-    return df.join(msruns.select(key, *new), key, "left")
+    runs = msruns.select(key, *new)
+    return df.join(F.broadcast(runs) if runs.count() <= FEW else runs, key, "left")

@@ -650,3 +650,13 @@ def test_pairs_are_dealt_to_more_tasks_as_they_grow(spark):
     links = spark.createDataFrame([(p, e) for e in range(40) for p in range(e, e + 8)], "id int, pep int")
     few, many = proteins.pair_relations(links, links), proteins.pair_relations(links, links, each=20)
     assert rows(few) == rows(many) and many.rdd.getNumPartitions() >= 40 * 28 // 20
+
+
+def test_run_metadata_is_not_joined_by_a_shuffle(spark):
+    """All rows of a run would come to one task."""
+    from massloom.sources.columns import add_run_metadata
+
+    df, runs = spark.range(10).selectExpr("id", "string(id % 2) as rawfile"), spark.createDataFrame([("0", 1), ("1", 1)], "rawfile string, run int")
+    out = add_run_metadata(df, runs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and {r["run"] for r in out.collect()} == {1}

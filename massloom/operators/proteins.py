@@ -5,19 +5,20 @@ Groups are long frames throughout; a record type with sets in it exists only as
 
 from __future__ import annotations
 
+import itertools
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import literal_split
 from ..functions.strings import collapse_values
-from ..session import materialize
-from .batches import hot_join, tasks
+from ..session import materialize, ship_package
+from .batches import hot_join, tasks, whole_keys
 from .graph import connected_components
 from .ids import dense_rank_table
 
@@ -253,13 +254,20 @@ def _absorbed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows (component, id, kept, rowix_*, pgrank_*, acrank_*) folded within components in order of ``id``; kept rows stand before all others."""
     columns = ["id", *[f"{k}_{n}" for n in names for k in ("rowix", "pgrank", "acrank")]]
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    refs = [(n, columns.index(f"rowix_{n}")) for n in names]
+    schema = pa.schema([(c, pa.int64()) for c in columns])
+    ship_package(rows.sparkSession)
+
+    def fold(part: list[tuple]) -> list[tuple]:
+        """Rows (id, rowix_*, pgrank_*, acrank_*, kept) of one component, in order."""
+        if len(part) == 1:
+            return [part[0][:-1]]
         held: list[tuple[int, dict]] = []
         naming: dict[tuple[str, int], list[int]] = {}  # rows that name a group
-        for r in part.sort_values("id", kind="stable").to_dict("records"):
-            new = {n: (int(r[f"rowix_{n}"]), int(r[f"pgrank_{n}"]), int(r[f"acrank_{n}"])) for n in names if r[f"rowix_{n}"] == r[f"rowix_{n}"] and r[f"rowix_{n}"] is not None}
+        for r in part:
+            new = {n: r[k : k + 3] for n, k in refs if r[k] is not None}
             absorbed = False
-            for at in [] if r["kept"] else sorted({k for n, ref in new.items() for k in naming.get((n, ref[0]), ())}):
+            for at in [] if r[-1] else sorted({k for n, ref in new.items() for k in naming.get((n, ref[0]), ())}):
                 old = held[at][1]
                 if any(n in old and new[n][0] != old[n][0] for n in new):
                     continue
@@ -273,11 +281,18 @@ def _absorbed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
             if not absorbed:
                 for n, ref in new.items():
                     naming.setdefault((n, ref[0]), []).append(len(held))
-                held.append((r["id"], new))
-        out = [{c: None for c in columns} | {"id": i} | {f"{k}_{n}": v[at] for n, v in x.items() for at, k in enumerate(("rowix", "pgrank", "acrank"))} for i, x in held]
-        return pd.DataFrame(out, columns=columns).astype("Int64")
-
-    return rows.groupBy("component").applyInPandas(fold, ", ".join(f"{c} long" for c in columns))
+                held.append((r[0], new))
+        return [(i, *itertools.chain.from_iterable(x.get(n, (None, None, None)) for n in names)) for i, x in held]
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_keys(batches, ["component"]):
+            every = zip(*[t[c].to_pylist() for c in ["component", *columns, "kept"]], strict=True)
+            out = [x for _, part in itertools.groupby(every, key=lambda r: r[0]) for x in fold([r[1:] for r in part])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+
+    given = rows.select("component", *[F.col(c).cast("long").alias(c) for c in columns], "kept")
+    # many components are folded by one task, one after another
+    return given.repartition("component").sortWithinPartitions("component", "id").mapInArrow(folded, ", ".join(f"{c} long" for c in columns))
 
 
 def _tied(rows: DataFrame, names: Sequence[str], groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

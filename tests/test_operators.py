@@ -660,3 +660,11 @@ def test_run_metadata_is_not_joined_by_a_shuffle(spark):
     out = add_run_metadata(df, runs)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and {r["run"] for r in out.collect()} == {1}
+
+
+def test_components_are_folded_many_to_a_task(spark):
+    """A group of the query engine for each component took milliseconds of a task."""
+    df = spark.createDataFrame([(k, k // 2, False, k // 2, 0, 1) for k in range(400)], "id long, component long, kept boolean, rowix_a long, pgrank_a long, acrank_a long")
+    out = proteins._absorbed(df, ["a"])
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert rows(out) == sorted([(2 * k, k, 0, 1) for k in range(200)], key=str)

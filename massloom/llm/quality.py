@@ -37,7 +37,7 @@ MAX_LABELLED, PER_ROUND = 12_000, 500
 META_COLS = ("source", "lang", "n_chars")
 #: Statistics of texts, buckets of n-grams and of names.
 STATS, GRAMS, NAMES = 14, 64, 64
-#: Documents whose features are made at once.
+#: Documents whose features are made, and rows that are widened, at once.
 SLICE = 500
 _LETTER = re.compile(r"[^\W\d_]+")
 _CAPS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
@@ -103,13 +103,15 @@ class Logistic:
         edges = np.quantile(x[:, :stats], STEPS, axis=0)
         stepped = np.array([c for c in range(edges.shape[1]) if len(np.unique(edges[:, c])) > 2], int)  # not those of two values
         model = cls(mean, scale, stepped, edges[:, stepped], np.zeros(x.shape[1] + len(STEPS) * len(stepped) + 1))
-        z = model._expand(x)
-        penalty = np.full(z.shape[1], ridge)
+        penalty = np.full(len(model.weight), ridge)
         penalty[-1] = 1e-6
         for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(z @ model.weight, -30, 30)))
-            g = z.T @ (p - y) + penalty * model.weight
-            h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
+            g, h = penalty * model.weight, np.diag(penalty)
+            for lo in range(0, len(x), SLICE):  # rows are widened a slice at a time
+                z = model._expand(x[lo : lo + SLICE])
+                p = 1 / (1 + np.exp(-np.clip(z @ model.weight, -30, 30)))
+                g += z.T @ (p - y[lo : lo + SLICE])
+                h += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
             step = np.linalg.solve(h, g)
             model.weight = model.weight - step
             if np.abs(step).max() < 1e-6:
@@ -122,7 +124,8 @@ class Logistic:
         return np.hstack([z, *steps, np.ones((len(z), 1))])
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._expand(x) @ self.weight, -15, 15)
+        parts = [self._expand(x[lo : lo + SLICE]) @ self.weight for lo in range(0, max(1, len(x)), SLICE)]
+        return np.clip(np.concatenate(parts), -15, 15)
 
     def sureness(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability of good, to nine digits: alike however rows are batched."""

@@ -490,6 +490,20 @@ def test_both_views_beat_each_alone(spark):
         assert np.mean(found[4]) >= np.mean(found[0]) - 0.003
 
 
+def test_quality_fit_widens_a_slice_at_a_time(monkeypatch):
+    """The driver never holds all widened rows, and slices fit the same model."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1700, 6))
+    y = (x[:, 0] + rng.normal(size=1700) > 0).astype(float)
+    expand, seen = quality.Logistic._expand, []
+    monkeypatch.setattr(quality.Logistic, "_expand", lambda self, rows: seen.append(len(rows)) or expand(self, rows))
+    parts = quality.Logistic.fit(x, y, 2)
+    odds = parts.odds(x)
+    assert max(seen) <= quality.SLICE and len(parts.odds(x[:0])) == 0
+    monkeypatch.setattr(quality, "SLICE", 5000)
+    assert np.allclose(odds, quality.Logistic.fit(x, y, 2).odds(x), atol=1e-9)
+
+
 def test_views_are_parted(spark):
     """Metadata features do not move with the text, nor content features with metadata."""
     rows = [(1, "Alpha beta | gamma\n" * 9, "en", "web", 120), (2, "x", "en", "web", 120), (3, "x", "de", None, 7)]

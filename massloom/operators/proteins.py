@@ -21,16 +21,11 @@ from ..session import materialize, ship_package
 from .batches import hot_join, tasks, whole_keys
 from .graph import connected_components
 from .ids import dense_rank_table
+from .sets import SIGNATURE, signatures
 
 
 # --- relations of sets
 
-def _signature(df: DataFrame, key: str, *parts: str) -> DataFrame:
-    """(key, n, h1, h2): a hash of the set of ``parts`` that each key has, by sums, so a hot key is summed where its rows are."""
-    h = F.xxhash64(*parts)
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("h2"))
-
-
 def flagged(members: DataFrame, decisive: DataFrame, set_col: str, elem_col: str) -> DataFrame:
     """(id, e, d): distinct members, d being 1 where the element is decisive for the set."""
     rows = materialize(members.select(F.col(set_col).alias("id"), F.col(elem_col).alias("e"), F.lit(0).alias("d")).union(decisive.select(set_col, elem_col, F.lit(1))), "flags")
@@ -45,8 +40,8 @@ def pair_relations(members: DataFrame, decisive: DataFrame, set_col: str = "id",
     makes k(k-1)/2 pairs, which are part of the result.  Sizes go with the members, so pairs are dealt once, about ``each`` to a task.
     """
     rows = materialize(flagged(members, decisive, set_col, elem_col), "members")
-    like = _signature(rows, "e", "id", "d")
-    one = like.groupBy("n", "h1", "h2").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("e", "w")
+    like = signatures(rows, ["e"], ["id", "d"])
+    one = like.groupBy(*SIGNATURE).agg(F.min("e").alias("e"), F.count("*").alias("w")).select("e", "w")
     few = materialize(rows.join(one, "e").join(rows.groupBy("id").agg(F.sum("d").alias("s")), "id"), "shared")
     a = few.select(F.col("id").alias("id1"), "e", "w", F.col("d").alias("d1"), F.col("s").alias("s1"))
     b = few.select(F.col("id").alias("id2"), "e", F.col("d").alias("d2"), F.col("s").alias("s2"))
@@ -57,16 +52,33 @@ def pair_relations(members: DataFrame, decisive: DataFrame, set_col: str = "id",
 
 
 def containments(members: DataFrame, decisive: DataFrame, set_col: str = "id", elem_col: str = "pep") -> DataFrame:
-    """(child, parent) of different sets: every decisive element of the child is a member of the parent.
+    """(child, parent) of different sets: every decisive element of the child is a member of the parent."""
+    rows = materialize(flagged(members, decisive, set_col, elem_col), "members")
+    return _contained(rows, rows.groupBy("id").agg(*_bits("d"), *_bits()))
+
+
+def _bits(flag: str | None = None) -> list[Column]:
+    """256 bits, in four numbers, of the elements e (with ``flag``: of those that have it): a set lacks no bit of a set that it contains."""
+    h = F.xxhash64("e")
+    here = lambda k: (F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == k) & (F.col(flag) == 1 if flag else F.lit(True))
+    bit = F.expr("shiftleft(1L, cast(xxhash64(e) & 63 as int))")
+    return [F.bit_or(F.when(here(k), bit).otherwise(F.lit(0).cast("long"))).alias(f"{flag or 'm'}{k}") for k in range(4)]
 
-    A parent has the child's rarest decisive element, so only sets that share that one are looked at: a set with an element of its
-    own has no candidate, however many sets its other elements are in.
+
+def _contained(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """(child, parent) from (id, e, d) and the sets' bits.
+
+    A set with a decisive element of its own is in no other.  A parent has the child's rarest decisive element, so only sets that share that
+    one are looked at, and of these only those that have all the child's bits are compared with it element by element.
     """
-    has = members.select(F.col(set_col).alias("parent"), F.col(elem_col).alias("e")).distinct()
-    must = materialize(decisive.select(F.col(set_col).alias("child"), F.col(elem_col).alias("e")).distinct(), "decisive")
-    rare = must.join(has.groupBy("e").agg(F.count("*").alias("n")), "e").groupBy("child").agg(F.min(F.struct("n", "e")).alias("r"), F.count("*").alias("need"))
-    found = rare.where("r.n > 1").select("child", "need", F.col("r.e").alias("e")).join(has, "e").where("child <> parent").select("child", "parent", "need")
-    found = materialize(found, "candidates")
+    elements = materialize(rows.groupBy("e").agg(F.count("*").alias("n"), F.min("id").alias("one"), F.max("d").alias("d")), "elements")
+    apart = elements.where("n = 1 and d = 1 and e is not null").select(F.col("one").alias("child")).distinct()
+    must = materialize(rows.where("d = 1").select(F.col("id").alias("child"), "e").join(apart, "child", "left_anti"), "decisive")
+    has = rows.select(F.col("id").alias("parent"), "e")
+    rare = must.join(elements.where("n > 1").select("e", "n"), "e").groupBy("child").agg(F.min(F.struct("n", "e")).alias("r"), F.count("*").alias("need"))
+    found = rare.select("child", "need", F.col("r.e").alias("e")).join(has, "e").where("child <> parent").select("child", "parent", "need")
+    found = found.join(bits.select(F.col("id").alias("child"), *[f"d{k}" for k in range(4)]), "child").join(bits.select(F.col("id").alias("parent"), *[f"m{k}" for k in range(4)]), "parent")
+    found = materialize(found.where(" and ".join(f"d{k} & ~m{k} = 0" for k in range(4))).select("child", "parent", "need"), "candidates")
     met = found.join(must, "child").join(has, ["parent", "e"]).groupBy("child", "parent", "need").agg(F.count("*").alias("met"))
     return met.where("met = need").select("child", "parent")
 
@@ -95,25 +107,34 @@ def assemble_protgroups(pep2prots: DataFrame, minspec_peptides: int = 1, nspec_p
 
     Ranks above 0 are decisive, the least of a protein counts.  Groups are numbered by their least protein.
     """
-    rows = pep2prots.select(F.col(pep).alias("pep"), F.col(prot).alias("prot"), F.col(rank).alias("rank"))
-    universe = materialize(dense_rank_table(rows.where("rank > 0").select("prot").distinct(), ["prot"], "id"), "proteins")
-    own = materialize(rows.join(universe, "prot").select("id", "pep", "rank"), "links")
-    best = own.where("rank > 0").groupBy("id").agg(F.min("rank").alias("best"))
-    decisive = own.join(best, "id").where("rank = best").select("id", "pep").distinct()
-    allpeps = own.select("id", "pep").distinct()
+    rows = pep2prots.select(F.col(pep).alias("e"), F.col(prot).alias("prot"), F.col(rank).alias("rank"))
+    spark = rows.sparkSession
+    # numbers are ids themselves
+    universe = None if isinstance(rows.schema["prot"].dataType, T.IntegralType) else materialize(dense_rank_table(rows.where("rank > 0").select("prot").distinct(), ["prot"], "id"), "proteins")
+    given = rows.where("prot is not null").withColumn("id", F.col("prot").cast("long")) if universe is None else rows.join(universe, "prot")
+    # links of a protein lie together, so what is summed by protein is summed where they lie; one with many lies in several tasks
+    spread = given.select("id", "e", "rank").repartitionByRange(tasks(spark, given.count(), 1 << 20), "id", "e")
+    own = materialize(spread.groupBy("id", "e").agg(F.min(F.when(F.col("rank") > 0, F.col("rank"))).alias("rank")), "links")
+    least, most, n, ranked = own.agg(F.min("rank"), F.max("rank"), F.count("*"), F.count("rank")).first()
+    if n == ranked and least == most:  # one rank for all
+        own = own.select("id", "e", F.lit(1).alias("d"))
+    else:
+        best = own.groupBy("id").agg(F.min("rank").alias("best")).where("best is not null")
+        own = materialize(own.join(best, "id").select("id", "e", F.coalesce(F.col("rank") == F.col("best"), F.lit(False)).cast("int").alias("d")), "links")
     # proteins of the very same peptides are equivalent: only the first of each goes into pairs
-    alike = _signature(flagged(allpeps, decisive, "id", "pep"), "id", "e", "d")
-    first = alike.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
-    twins = materialize(alike.join(first, ["n", "h1", "h2"]).select("id", "first"), "twins")
+    alike = materialize(signatures(own, ["id"], ["e", "d"], *_bits("d"), *_bits()), "signatures")
+    first = alike.groupBy(*SIGNATURE).agg(F.min("id").alias("first"))
+    twins = materialize(alike.join(first, list(SIGNATURE)).select("id", "first"), "twins")
     only = twins.where("id = first").select("id")
-    own_all, own_decisive = allpeps.join(only, "id", "left_semi"), decisive.join(only, "id", "left_semi")
+    others = twins.where("id <> first").select("id")
+    firsts = own if others.isEmpty() else materialize(own.join(others, "id", "left_anti"), "firsts")
     # groups merge by the shares of what they have apart: without such a share no pair but those that contain one another counts
     merging = rspec_peptides > 0
     if merging:
-        pairs = materialize(pair_relations(own_all, own_decisive), "pairs")
+        pairs = materialize(pair_relations(firsts, firsts.where("d = 1"), elem_col="e"), "pairs")
         inside = pairs.where("n_left = 0").select(F.col("id1").alias("child"), F.col("id2").alias("parent")).union(pairs.where("n_right = 0").select("id2", "id1"))
     else:
-        inside = containments(own_all, own_decisive)
+        inside = _contained(firsts, alike)
     inside = materialize(inside, "inside")
     back = inside.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
     same = connected_components(inside.join(back, ["child", "parent"]), "child", "parent")
@@ -140,21 +161,19 @@ def assemble_protgroups(pep2prots: DataFrame, minspec_peptides: int = 1, nspec_p
     below = descendants(subsets, tops)
     classes = below.join(group_of.select(F.col("id").alias("root"), "group"), "root").select("group", F.col("id").alias("rep")).distinct()
     prots = materialize(classes.join(reps, "rep").select("group", "id").distinct(), "group-proteins")
-    peps = materialize(prots.join(allpeps, "id").select("group", "pep").distinct(), "group-peptides")
-
-    def once(df: DataFrame, item: str) -> DataFrame:
-        alone = df.groupBy(item).agg(F.count("*").alias("n")).where("n = 1").select(item)
-        return df.join(alone, item, "left_semi")
-
-    spec = once(peps, "pep")
+    sizes = prots.groupBy("group").agg(F.count("*").alias("k"))
+    # a peptide that one group alone has: no list of the groups' peptides is needed
+    of_groups = own.join(prots, "id").groupBy("e").agg(F.min("group").alias("group"), F.max("group").alias("last"))
+    spec = materialize(of_groups.where("group = last and e is not null").select("group", "e"), "specific")
     kept = spec.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= minspec_peptides) if minspec_peptides > 0 else prots.select("group").distinct()
     numbers = materialize(dense_rank_table(kept.select("group"), ["group"], "group_id", 0), "groups")
-    named = prots.join(universe, "id").select("group", F.col("prot").cast("string").alias("item"))
-    parts = [
-        (once(prots, "id").join(universe, "id").select("group", F.col("prot").cast("string").alias("item")), "major"), (named, "prot"),
-        (spec.select("group", F.col("pep").cast("string").alias("item")), "spec"), (peps.select("group", F.col("pep").cast("string").alias("item")), "pep"),
-    ]
-    return reduce(DataFrame.unionByName, [p.join(numbers, "group").select("group_id", F.lit(kind).alias("kind"), "item") for p, kind in parts])
+    major = prots.groupBy("id").agg(F.count("*").alias("n"), F.min("group").alias("group")).where("n = 1")
+    named = materialize(prots.join(numbers, "group").join(sizes, "group"), "named-proteins")
+    item = lambda df: df.withColumn("item", F.col("id").cast("string")) if universe is None else df.join(universe, "id").withColumn("item", F.col("prot").cast("string"))
+    # only groups of several proteins can have a peptide twice
+    peps = [own.join(named.where(k), "id").select("group_id", F.col("e").cast("string").alias("item")) for k in ("k = 1", "k > 1")]
+    parts = [(item(major.join(numbers, "group")), "major"), (item(named), "prot"), (spec.join(numbers, "group").withColumn("item", F.col("e").cast("string")), "spec"), (peps[0], "pep"), (peps[1].distinct(), "pep")]
+    return reduce(DataFrame.unionByName, [p.select("group_id", F.lit(kind).alias("kind"), "item") for p, kind in parts])
 
 
 def group_records(groups: DataFrame) -> DataFrame:

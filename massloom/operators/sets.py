@@ -34,6 +34,20 @@ def set_members(df: DataFrame, set_col: str, obj_col: str, min_size: int = 1, co
     return rows.where(F.col(obj_col).isNotNull()).join(right, met, "left_semi").select(*keys, obj_col)
 
 
+#: What ``signatures`` tells of a set: equal for equal sets, and for others but by chance of hashes of 128 bits.
+SIGNATURE = ("_n", "_h1", "_h2", "_h3")
+
+
+def signatures(rows: DataFrame, keys: Sequence[str], parts: Sequence[str], *more: Column) -> DataFrame:
+    """(keys, SIGNATURE[, more]) of the set of ``parts``, distinct rows, that each key has, by sums of hashes: none is gathered, and a hot
+    key is summed where its rows are.  Null is a value."""
+    told = [x for p in parts for x in (F.col(p).isNull(), F.col(p))]
+    h = F.xxhash64(*told)
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_h1"), F.sum(F.shiftrightunsigned(h, 32)).alias("_h2"), F.bit_xor(F.xxhash64(F.lit(1), *told)).alias("_h3"), *more,
+    )
+
+
 def sets_to_frame(sets: DataFrame, set_col: str, obj_col: str = "obj", set2coll: DataFrame | None = None, coll_col: str = "coll_id") -> DataFrame:
     """One row per member; with ``set2coll`` (set_col, coll_col) the collection too, null where unknown."""
     rows = sets.select(*[c for c in sets.columns if c != "objs"], F.explode("objs").alias(obj_col))

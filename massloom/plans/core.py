@@ -317,7 +317,8 @@ def protein_equivalence(s: SparkSession, d: str) -> DataFrame:
   SELECT group_id, kind, item FROM kept JOIN (SELECT root, 'major' AS kind, CAST(prot AS VARCHAR) AS item FROM major UNION ALL SELECT root, 'prot', CAST(prot AS VARCHAR) FROM gp
   UNION ALL SELECT root, 'spec', CAST(pep AS VARCHAR) FROM spec UNION ALL SELECT root, 'pep', CAST(pep AS VARCHAR) FROM gq) x ON x.root = kept.root""")
 def protein_groups(s: SparkSession, d: str) -> DataFrame:
-    return proteins.assemble_protgroups(_links(s, d).withColumn("rank", F.lit(1)))
+    rows = table(s, d, "lineitem").select(F.col("l_partkey").alias("prot"), F.col("l_orderkey").alias("pep"), F.lit(1).alias("rank"))
+    return proteins.assemble_protgroups(rows)
 
 
 @query("components", """WITH e AS (SELECT o_orderkey * 3 AS a, o_custkey * 3 + 1 AS b FROM orders UNION ALL SELECT c_custkey * 3 + 1, c_nationkey * 3 + 2 FROM customer),

@@ -620,6 +620,32 @@ def test_graphs_by_either_path(spark):
     assert dict(map(tuple, network.strong_components(weighted, 0.5).collect())) == want == dict(map(tuple, network.strong_components(weighted, 0.5, one_task=0).collect()))
 
 
+def test_few_candidates_are_compared(spark, monkeypatch):
+    """Sets that share the rarest element alone are told apart by their bits, and those with an element of their own never meet another."""
+    links = [(i, f"common{i // 2}") for i in range(200)] + [(i, f"e{i}-{k // 2}" if i % 2 else f"e{i}-{k}") for i in range(200) for k in range(6)]
+    links += [(i + 1000 * j, e) for i, e in links if i < 20 for j in (1, 2) if j == 1 or not e.endswith("5")]
+    df = spark.createDataFrame(links, "id long, pep string").distinct()
+    made, whole = {}, proteins.materialize
+    monkeypatch.setattr(proteins, "materialize", lambda d, name="table": made.setdefault(name, whole(d, name)))
+    got = set(map(tuple, proteins.containments(df, df).collect()))
+    sets = {}
+    for i, e in links:
+        sets.setdefault(i, set()).add(e)
+    want = {(a, b) for a in sets for b in sets if a != b and sets[a] <= sets[b]}
+    assert got == want and made["candidates"].count() < len(want) + 20
+    assert made["decisive"].select("child").distinct().count() < 70  # the 180 without copies are in no other
+
+
+def test_protein_groups_of_numbers(spark):
+    """Numbers are ids themselves, repeated links and nulls included: the same groups as by names."""
+    rng = np.random.default_rng(8)
+    links = [(int(p), int(q), int(r)) for p, q, r in zip(rng.integers(0, 14, 60), rng.integers(0, 18, 60), rng.integers(0, 3, 60), strict=True)] + [(None, 3, 1), (3, None, 1)]
+    df = spark.createDataFrame(links + links[:9], "pep int, prot int, rank int")
+    named = df.selectExpr("lpad(pep, 3, '0') as pep", "lpad(prot, 3, '0') as prot", "rank")
+    got = sorted((g, k, i and i.zfill(3)) for g, k, i in map(tuple, proteins.assemble_protgroups(df).collect()) if i)
+    assert got == sorted(t for t in map(tuple, proteins.assemble_protgroups(named).collect()) if t[2]) and got
+
+
 def test_distances_come_by_rows(spark, monkeypatch):
     """A row of a table has a row of a block, whatever the batch: whole blocks of 2 MB filled a task's memory."""
     entries = spark.createDataFrame([(i, o, 1.0 if i % 3 == o % 3 else 0.0) for i in range(10) for o in range(6)], "ix long, o long, x double")

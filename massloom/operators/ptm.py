@@ -16,6 +16,7 @@ from .align import align, blosum90
 from .batches import hot_join, tasks
 from .graph import connected_components
 from .ids import dense_rank_table
+from .sets import SIGNATURE, signatures
 
 TERMINAL = ("Protein N-term", "Protein C-term")
 
@@ -247,13 +248,22 @@ def group_objects(objs: DataFrame, seqs: DataFrame, group_col: str = "protgroup_
     return out.join(labels, "ptm_id").where("is_observed or is_reference")
 
 
-def set_groups(df: DataFrame, set_col: str, elem_col: str, group_cols: Sequence[str] = (), name: str = "setgroup_id") -> DataFrame:
+def set_groups(df: DataFrame, set_col: str, elem_col: str | Sequence[str], group_cols: Sequence[str] = (), name: str = "setgroup_id") -> DataFrame:
     """(group_cols, setgroup_id, set) of sets with identical elements within the group columns, numbered from 1 by
-    (group columns, least set)."""
-    sets = df.groupBy(*group_cols, set_col).agg(F.array_sort(F.collect_set(elem_col)).alias("_e"))
-    firsts = sets.groupBy(*group_cols, "_e").agg(F.min(set_col).alias("_first"))
-    numbers = dense_rank_table(firsts.select(*group_cols, "_first"), [*group_cols, "_first"], name)
-    return sets.join(firsts, [*group_cols, "_e"]).join(numbers, [*group_cols, "_first"]).select(*group_cols, name, set_col)
+    (group columns, least set).  A null element is none; with several columns an element is their values, nulls too.
+
+    Sets are told by sums of hashes of their elements, made once: none is gathered or compared as a list.
+    """
+    one = isinstance(elem_col, str)
+    keys = [*group_cols, set_col]
+    rows = df.select(*keys, *[F.col(c).alias(f"_e{k}") for k, c in enumerate([elem_col] if one else elem_col)])
+    parts = [c for c in rows.columns if c not in keys]
+    # a set's rows lie together, in several tasks if there are many, so they are summed where they lie
+    rows = rows.repartitionByRange(tasks(df.sparkSession, rows.count(), 1 << 20), *keys, *parts).groupBy(*keys, *parts).agg(F.lit(1))
+    sets = materialize(signatures(rows, keys, parts, there=F.col("_e0").isNotNull() if one else None), "sets")
+    firsts = sets.groupBy(*group_cols, *SIGNATURE).agg(F.min(set_col).alias("_first"))
+    numbers = dense_rank_table(firsts, [*group_cols, "_first"], name).where("_first is not null")
+    return sets.join(numbers, [*group_cols, *SIGNATURE]).select(*group_cols, name, set_col)
 
 
 def ptm_groups(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -262,9 +272,10 @@ def ptm_groups(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Groups of ptms share the same offsets of the same peptides, groups of ptmns those of the same peptide states; ptm groups that share
     a ptmn group are one.  Merging to a fixpoint is one search for connected components.
     """
-    links = links.withColumn("_pep", F.struct("peptide_id", "ptm_offset")).withColumn("_pms", F.struct("pepmodstate_id", "ptm_offset"))
-    ptm2group = materialize(set_groups(links, "ptm_id", "_pep", ["ptm_type"], "ptmgroup_id"), "ptmgroups")
-    ptmn2group = materialize(set_groups(links, "ptmn_id", "_pms", ["ptm_type", "nselptms"], "ptmngroup_id"), "ptmngroups")
+    # written once: columns of one value are columns then, by which rows stay dealt
+    links = materialize(links.select("ptm_type", "ptm_id", "nselptms", "ptmn_id", "peptide_id", "pepmodstate_id", "ptm_offset"), "links")
+    ptm2group = materialize(set_groups(links, "ptm_id", ["peptide_id", "ptm_offset"], ["ptm_type"], "ptmgroup_id"), "ptmgroups")
+    ptmn2group = materialize(set_groups(links, "ptmn_id", ["pepmodstate_id", "ptm_offset"], ["ptm_type", "nselptms"], "ptmngroup_id"), "ptmngroups")
     both = links.select("ptm_id", "ptmn_id").distinct().join(ptmn2group, "ptmn_id").join(ptm2group, ["ptm_type", "ptm_id"]).select("ptm_type", "nselptms", "ptmgroup_id", "ptmngroup_id").distinct()
     both = materialize(both, "sharing")
     # ptm groups are even numbers, ptmn groups odd: one component for both

@@ -38,14 +38,15 @@ def set_members(df: DataFrame, set_col: str, obj_col: str, min_size: int = 1, co
 SIGNATURE = ("_n", "_h1", "_h2", "_h3")
 
 
-def signatures(rows: DataFrame, keys: Sequence[str], parts: Sequence[str], *more: Column) -> DataFrame:
-    """(keys, SIGNATURE[, more]) of the set of ``parts``, distinct rows, that each key has, by sums of hashes: none is gathered, and a hot
-    key is summed where its rows are.  Null is a value."""
+def signatures(rows: DataFrame, keys: Sequence[str], parts: Sequence[str], *more: Column, there: Column | None = None) -> DataFrame:
+    """(keys, SIGNATURE[, more]) of the set of ``parts``, distinct rows (with ``there``, those where it holds), that each key has, by sums of
+    hashes: none is gathered, and a hot key is summed where its rows are.  Null is a value."""
     told = [x for p in parts for x in (F.col(p).isNull(), F.col(p))]
-    h = F.xxhash64(*told)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("_h1"), F.sum(F.shiftrightunsigned(h, 32)).alias("_h2"), F.bit_xor(F.xxhash64(F.lit(1), *told)).alias("_h3"), *more,
-    )
+    h, other = F.xxhash64(*told), F.xxhash64(F.lit(1), *told)
+    if there is not None:
+        h, other = F.when(there, h), F.when(there, other)
+    sums = [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32)), F.bit_xor(other)]
+    return rows.groupBy(*keys).agg(F.count(h).alias("_n"), *[F.coalesce(x, F.lit(0).cast("long")).alias(c) for x, c in zip(sums, SIGNATURE[1:], strict=True)], *more)
 
 
 def sets_to_frame(sets: DataFrame, set_col: str, obj_col: str = "obj", set2coll: DataFrame | None = None, coll_col: str = "coll_id") -> DataFrame:

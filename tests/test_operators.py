@@ -285,6 +285,14 @@ def test_set_groups_and_ptm_groups(spark):
     assert all(len(v) == 1 for v in per.values())
 
 
+def test_sets_are_told_by_sums(spark, monkeypatch):
+    """Nulls, repeats and elements of several columns; no list of a set is made."""
+    monkeypatch.setattr(ptm.F, "collect_set", None)
+    df = spark.createDataFrame([("t", 1, "a", None), ("t", 1, None, "a"), ("t", 2, "a", None), ("t", 2, "a", None), ("t", 3, None, "a"), ("t", 4, None, None), ("t", 5, None, None), (None, 6, "a", None)], "g string, s int, e string, f string")
+    assert rows(ptm.set_groups(df, "s", "e", ["g"])) == [("t", 1, 1), ("t", 1, 2), ("t", 2, 3), ("t", 2, 4), ("t", 2, 5)]
+    assert rows(ptm.set_groups(df, "s", ["e", "f"], ["g"])) == [("t", 1, 1), ("t", 2, 2), ("t", 3, 3), ("t", 4, 4), ("t", 4, 5)]
+
+
 # --- networks
 
 

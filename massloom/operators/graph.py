@@ -49,18 +49,58 @@ def _in_one_task(e: DataFrame) -> DataFrame:
     return materialize(e.repartition(1).mapInArrow(settle, f"id {kind}, component {kind}"), "components")
 
 
+def _contracted(e: DataFrame, one_task: int) -> DataFrame:
+    """(id, component) of the ends of edges (u, v) between different long numbers.
+
+    In a step every vertex goes to its least neighbour or itself, and edges go with it, so a component stays one and gets smaller; in every
+    other step a vertex of one neighbour goes to that one.  From the third step on what is least is drawn by hash, anew in each, so
+    no order of numbers makes many steps: their vertices are then called by the hashes, which differ for different numbers.
+    """
+    steps: list[DataFrame] = []
+    held: list[DataFrame] = []  # (name, least): vertices after each step, with the least number that went there
+    while e.count() > one_task:
+        k = len(steps)
+        name = (lambda c, k=k: F.xxhash64(F.lit(k), c)) if k > 1 else F.col
+        least = e.union(e.select("v", "u")).groupBy("u").agg(F.min(name("v")).alias("m"), F.max(name("v")).alias("top"))
+        down = F.least("m", name("u"))
+        to = materialize(least.select("u", (F.when(F.col("m") == F.col("top"), F.col("m")).otherwise(down) if k % 2 == 0 else down).alias("to")), "steps")
+        went = to.select("to", F.col("u").alias("least")) if not held else to.join(held[-1], to["u"] == held[-1]["name"]).select("to", "least")
+        held.append(materialize(went.groupBy(F.col("to").alias("name")).agg(F.min("least").alias("least")), "vertices"))
+        steps.append(to)
+        e = e.join(to, "u").select("v", F.col("to").alias("a")).join(to.withColumnRenamed("u", "v"), "v").where("a <> to").select(F.least("a", "to").alias("u"), F.greatest("a", "to").alias("v"))
+        e = materialize(e.distinct(), "edges")
+    if not steps:
+        return _in_one_task(e)
+    met = held[-1].join(_in_one_task(e).withColumnRenamed("id", "name"), "name")
+    label = met.join(met.groupBy("component").agg(F.min("least").alias("label")), "component").select("name", "label")
+    for k in range(len(steps) - 1, -1, -1):  # back to the numbers; who has no edge left has a component of its own
+        label = materialize(held[k].join(label, "name", "left").select("name", F.coalesce("label", "least").alias("label")), "labels")
+        label = steps[k].join(label, steps[k]["to"] == label["name"]).select(F.col("u").alias("name"), "label")
+    return label.select(F.col("name").alias("id"), F.col("label").alias("component"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): the smallest id that each vertex reaches, for every vertex of an edge.
 
-    Up to ``one_task`` edges between numbers or strings are settled by one task.  More go by alternating large-star and small-star steps:
+    Up to ``one_task`` edges between numbers or strings are settled by one task.  Graphs of more edges between numbers are contracted until
+    they are so small (``_contracted``); edges between others go by alternating large-star and small-star steps:
     each round maps every vertex's neighbours to the smallest of them, so the number of rounds grows with the
-    logarithm of the component size.  Each step is one aggregation with map-side combine and one join, which AQE
+    logarithm of the component size.  Each step is one aggregation with map-side combine and joins, which AQE
     splits when a hub is hot.  Rounds are cut by tables in the shared folder.  Null ends and self loops of ``edges``
     add nothing but, for loops, the vertex itself.
     """
-    e = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "edges")
+    e = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"), "edges")
     if not isinstance(e.schema["u"].dataType, (T.StructType, T.ArrayType, T.MapType)) and e.count() <= one_task:
         return _in_one_task(e)
+    if all(isinstance(e.schema[c].dataType, T.IntegralType) for c in ("u", "v")):
+        kind = e.schema["u"].dataType
+        e = e.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+        found = _contracted(e.where("u <> v"), one_task)
+        loops = e.where("u = v").select(F.col("u").alias("id")).distinct()
+        if not loops.isEmpty():
+            found = materialize(found, "components")
+            found = found.union(loops.join(found, "id", "left_anti").select("id", "id"))
+        return found.select(*[F.col(c).cast(kind).alias(c) for c in ("id", "component")])
     vertices = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
     star = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = materialize(star, "edges")

@@ -628,6 +628,21 @@ def test_graphs_by_either_path(spark):
     assert dict(map(tuple, network.strong_components(weighted, 0.5).collect())) == want == dict(map(tuple, network.strong_components(weighted, 0.5, one_task=0).collect()))
 
 
+@pytest.mark.parametrize("kind", ["chain", "stars", "pairs", "random"])
+def test_components_contract(spark, monkeypatch, kind):
+    """Edges of numbers get few in a few steps, whatever the shape; repeated edges, loops and negative numbers too."""
+    rng = np.random.default_rng(4)
+    n = 400
+    ends = {"chain": [(k, k + 1) for k in range(n)], "stars": [(k, 1000 + k % 7) for k in range(n)] + [(1000 + k, -1) for k in range(6)], "pairs": [(2 * k, 2 * k + 1) for k in range(n)], "random": [tuple(x) for x in rng.integers(-200, 200, (n, 2)).tolist()]}[kind]
+    df = spark.createDataFrame(ends + ends[:50] + [(7777, 7777), (3, 3)], "src long, dst long")
+    made, whole = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda d, name="table": made.append(name) or whole(d, name))
+    got = sorted(map(tuple, graph.connected_components(df, one_task=20).collect()))
+    steps = made.count("steps")
+    assert got == sorted(map(tuple, graph.connected_components(df).collect())) and (7777, 7777) in got
+    assert 1 <= steps <= {"chain": 14, "stars": 2, "pairs": 2, "random": 6}[kind]
+
+
 def test_few_candidates_are_compared(spark, monkeypatch):
     """Sets that share the rarest element alone are told apart by their bits, and those with an element of their own never meet another."""
     links = [(i, f"common{i // 2}") for i in range(200)] + [(i, f"e{i}-{k // 2}" if i % 2 else f"e{i}-{k}") for i in range(200) for k in range(6)]

@@ -149,13 +149,53 @@ def _strong_in_one_task(strong: DataFrame) -> DataFrame:
     return materialize(strong.repartition(1).mapInArrow(settle, f"id {kind}, component {kind}"), "components")
 
 
+def _by_mutual(edges: DataFrame, one_task: int) -> DataFrame | None:
+    """(id, component) of edges (u, v) between different numbers by contraction; None where no two vertices have edges both ways.
+
+    Vertices with edges both ways are one, by connected components; vertices that nothing enters or nothing leaves are alone, and
+    what is left between the others is a smaller graph of the same kind.
+    """
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    pairs = materialize(edges.groupBy(low.alias("a"), high.alias("b")).agg(F.bit_or(F.when(F.col("u") < F.col("v"), 1).otherwise(2)).alias("ways")), "pairs")
+    n, mutual = pairs.agg(F.count("*"), F.count(F.when(F.col("ways") == 3, 1))).first()
+    single = pairs.where("ways < 3").select(F.when(F.col("ways") == 1, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(F.col("ways") == 1, F.col("b")).otherwise(F.col("a")).alias("v"))
+    if n + mutual <= one_task:
+        return _strong_in_one_task(single.union(pairs.where("ways = 3").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")))
+    if not mutual:
+        return None
+    one = connected_components(pairs.where("ways = 3"), "a", "b", one_task=one_task)
+    one = materialize(one, "mutual")
+    ends = single.join(one.select(F.col("id").alias("u"), F.col("component").alias("a")), "u", "left").join(one.select(F.col("id").alias("v"), F.col("component").alias("b")), "v", "left")
+    rest = materialize(ends.select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")), "single")
+    live = materialize(rest.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "live")
+    before = live.count()
+    while before:
+        entered, left = live.select(F.col("v").alias("u")).distinct(), live.select(F.col("u").alias("v")).distinct()
+        live = materialize(live.join(entered, "u", "left_semi").join(left, "v", "left_semi").select("u", "v"), "live")
+        now = live.count()
+        if now > 0.9 * before:  # a long chain is not peeled end by end
+            break
+        before = now
+    others = rest.select(F.col("u").alias("id")).union(rest.select("v")).distinct().join(one, "id", "left_anti").select("id", F.col("id").alias("component"))
+    found = one.union(others)
+    if live.isEmpty():
+        return found
+    joined = strong_components(live.withColumn("w", F.lit(1.0)), 0.5, "w", "u", "v", one_task).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return found.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def strong_components(edges: DataFrame, threshold: float, weight: str = "w", src: str = "src", dst: str = "dst", one_task: int = ONE_TASK) -> DataFrame:
     """N3, tree cut: (id, component) of vertices joined both ways by edges of at least ``threshold``.
 
-    Up to ``one_task`` edges are settled by one task.  More go by least labels forward and backward; where both agree
-    a component is done, and edges inside one pair of labels go on.
+    Up to ``one_task`` edges are settled by one task.  More between numbers are contracted where they go both ways (``_by_mutual``).  What then
+    is left goes by least labels forward and backward; where both agree a component is done, and edges inside one pair of labels go on.
     """
-    strong = materialize(edges.where(F.col(weight) >= threshold).select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "strong")
+    strong = edges.where(F.col(weight) >= threshold).select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    if all(isinstance(strong.schema[c].dataType, T.IntegralType) for c in ("u", "v")):
+        found = _by_mutual(strong, one_task)
+        if found is not None:
+            return found
+    strong = materialize(strong.distinct(), "strong")
     if not isinstance(strong.schema["u"].dataType, (T.StructType, T.ArrayType, T.MapType)) and strong.count() <= one_task:
         return _strong_in_one_task(strong)
     vertices = strong.select(F.col("u").alias("id")).union(strong.select("v")).distinct()

@@ -643,6 +643,18 @@ def test_components_contract(spark, monkeypatch, kind):
     assert 1 <= steps <= {"chain": 14, "stars": 2, "pairs": 2, "random": 6}[kind]
 
 
+def test_strong_components_contract(spark, monkeypatch):
+    """Vertices with edges both ways are one, and ends that lead on are alone: labels go round by round over what is left only."""
+    both = [(k, 1000 + k % 9) for k in range(200)]
+    edges = both + [(b, a) for a, b in both] + [(1000 + k, 2000 + k % 2) for k in range(9)] + [(2000, 3000)] + [(1000, 1001), (1001, 1002), (1002, 1000), (5000, 1000)]
+    df = spark.createDataFrame([(*e, 1.0) for e in edges], "src long, dst long, w double")
+    made, whole = [], network.materialize
+    monkeypatch.setattr(network, "materialize", lambda d, name="table": made.append(name) or whole(d, name))
+    got = sorted(map(tuple, network.strong_components(df, 0.5, one_task=10).collect()))
+    assert "label" not in made
+    assert got == sorted(map(tuple, network.strong_components(df, 0.5).collect())) and dict(got)[1002] == 0 and dict(got)[5000] == 5000
+
+
 def test_few_candidates_are_compared(spark, monkeypatch):
     """Sets that share the rarest element alone are told apart by their bits, and those with an element of their own never meet another."""
     links = [(i, f"common{i // 2}") for i in range(200)] + [(i, f"e{i}-{k // 2}" if i % 2 else f"e{i}-{k}") for i in range(200) for k in range(6)]

@@ -48,7 +48,8 @@ def _with_ids(df: DataFrame, table: DataFrame, cols: Sequence[str], names: Seque
     for k, c in enumerate(cols):
         same = df[c].eqNullSafe(right[f"_key{k}"])
         met = same if met is None else met & same
-    return df.join(right, met).drop(*[f"_key{k}" for k in range(len(cols))])
+    # each row has a partner; as an outer join it goes where no id is asked for and rows are made distinct
+    return df.join(right, met, "left").drop(*[f"_key{k}" for k in range(len(cols))])
 
 
 def update_protgroups(df: DataFrame) -> DataFrame:
@@ -80,7 +81,15 @@ def update_pepmodstates(df: DataFrame) -> DataFrame:
     """
     fractions = ["msfraction"] if "msfraction" in df.columns and not df.where("msfraction is not null").isEmpty() else []
     keys = ["peptide_id", "pepmod_seq", *fractions, "charge"]
-    # states get their ids among themselves, and rows meet them once
-    states = index_unique(materialize(df.select(*keys).distinct(), "states"), ["peptide_id", "pepmod_seq"], "pepmod_id", 0)
-    states = index_unique(materialize(states, "states"), ["pepmod_id", *fractions, "charge"], "pepmodstate_id", 0)
-    return _with_ids(df, materialize(states, "states"), keys, ["pepmod_id", "pepmodstate_id"])
+    # states get their ids among themselves, in one order that is that of both, and rows meet them once
+    lead = [F.col(c).asc_nulls_last() for c in ("peptide_id", "pepmod_seq")]
+    order = [*lead, *[F.col(c).asc_nulls_last() for c in (*fractions, "charge")]]
+    n = max(1, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = materialize(df.select(*keys).distinct().repartitionByRange(n, *lead).withColumn("_part", F.spark_partition_id()), "states")
+    part = Window.partitionBy("_part")
+    ranked = materialize(spread.withColumn("_state", F.row_number().over(part.orderBy(*order))).withColumn("_mod", F.dense_rank().over(part.orderBy(*lead))), "states")
+    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"), F.max("_mod").alias("_m"))  # ``n`` rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_m")])
+    ids = [(F.col(a) + F.col(b) - 1).cast("long").alias(c) for a, b, c in (("_m", "_mod", "pepmod_id"), ("_n", "_state", "pepmodstate_id"))]
+    return _with_ids(df, ranked.join(F.broadcast(offsets), "_part").select(*keys, *ids), keys, ["pepmod_id", "pepmodstate_id"])

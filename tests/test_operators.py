@@ -655,6 +655,21 @@ def test_strong_components_contract(spark, monkeypatch):
     assert got == sorted(map(tuple, network.strong_components(df, 0.5).collect())) and dict(got)[1002] == 0 and dict(got)[5000] == 5000
 
 
+@pytest.mark.parametrize("fractions", [False, True])
+def test_states_are_ranked_once(spark, monkeypatch, fractions):
+    """Both ids come of one order, in which nulls are last; the states are written twice and rows never."""
+    rng = np.random.default_rng(6)
+    data = [(int(p) or None, "abc"[s] if s < 3 else None, int(f) if fractions else None, int(c) or None) for p, s, f, c in rng.integers(0, [9, 4, 2, 4], (150, 4))]
+    made, whole = [], ids.materialize
+    monkeypatch.setattr(ids, "materialize", lambda d, name="table": made.append(name) or whole(d, name))
+    got = ids.update_pepmodstates(spark.createDataFrame(data, "peptide_id int, pepmod_seq string, msfraction int, charge int").repartition(5)).collect()
+    key = lambda *xs: tuple((x is None, "" if x is None else x) for x in xs)
+    mods = {k: n for n, k in enumerate(sorted({key(p, s) for p, s, _, _ in data}))}
+    states = {k: n for n, k in enumerate(sorted({key(*r) for r in data}))}
+    assert len(got) == len(data) and made == ["states", "states"]
+    assert all(r["pepmod_id"] == mods[key(r["peptide_id"], r["pepmod_seq"])] and r["pepmodstate_id"] == states[key(r["peptide_id"], r["pepmod_seq"], r["msfraction"], r["charge"])] for r in got)
+
+
 def test_few_candidates_are_compared(spark, monkeypatch):
     """Sets that share the rarest element alone are told apart by their bits, and those with an element of their own never meet another."""
     links = [(i, f"common{i // 2}") for i in range(200)] + [(i, f"e{i}-{k // 2}" if i % 2 else f"e{i}-{k}") for i in range(200) for k in range(6)]

@@ -706,6 +706,18 @@ def test_distances_come_by_rows(spark, monkeypatch):
     assert sorted((r["i"], r["j"], r["row"], bytes(r["distances"])) for r in matrices.distance_blocks(entries, 10, 4).collect()) == want
 
 
+def test_distances_are_rounded_and_named_by_blocks(spark):
+    """Rounding is that of ``F.round``, and pairs are not joined to names one by one: what is joined has a row for a member and a block."""
+    cells = spark.createDataFrame([(f"m{i}" if i else None, o, 1.0 + (i * o) % 5) for i in range(11) for o in range(3)], "m string, o int, score double")
+    got = matrices.cosine_distances(cells, "m", "o", block=4, digits=3)
+    want = matrices.cosine_distances(cells, "m", "o", block=4).withColumn("distance", F.round("distance", 3))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 55
+    x = [0.0, 0.0005, 0.0015, 1.0005, 2.6745, 0.1234999999, 100.0, 0.00149999999999999]
+    assert list(matrices.half_up(np.array(x), 3)) == [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, v double").orderBy("k").select(F.round("v", 3)).collect()]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Join")  # rows of pairs are made above the joins
+
+
 @pytest.mark.parametrize("self_matches", [True, False])
 def test_copies_of_a_text_make_no_pairs_of_proteins(spark, monkeypatch, self_matches):
     """200 proteins of two texts in one group: nothing that is written has a row for each pair of them."""
